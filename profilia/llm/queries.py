@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, ogg, quality, topk
+from . import bpe, ngram_join, ogg, quality, topk, url_filter, warc
+from .common import Scratch
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +40,23 @@ def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_media(ogg.encode_media(_read(spark, sf_dir, "documents")))
 
 
+def op6_warc_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scratch = Scratch(spark, "op6")
+    archives = f"{scratch.root}/archives"
+    warc.write_archives(_read(spark, sf_dir, "pages"), archives, scratch)
+    return warc.resolved(warc.read_archives(spark, archives, scratch=scratch))
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, payload_bytes, h, array_to_string(list_transform(range(0, 32), lambda i:
+        substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substring(h, (i // 4 * 5 + 1)::BIGINT, 5))::BIGINT >> (15 - i % 4 * 5)::INT) & 31) + 1)::BIGINT, 1)), '') AS payload_digest,
+        max(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+
 def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantized(_read(spark, sf_dir, "embeddings"))
     return topk.exact_top_k(vectors, vectors.where(F.col("id") % 20 == 0), k=20)
@@ -61,11 +79,48 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+OP10_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"), OP10_RULES)
+
+
+OP10_SQL = """
+WITH RECURSIVE tags AS (
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>')) AS tag FROM pages WHERE contains(url, '://')),
+found AS (SELECT url, trim(replace(coalesce(nullif(regexp_extract(tag, '(?is)\\bhref\\s*=\\s*["'']?([^"''>\\s]*)', 1), ''),
+    regexp_extract(tag, '(?is)[;,]\\s*url\\s*=\\s*["'']?\\s*([^"''>]+)', 1)), '&amp;', '&')) AS link
+  FROM tags WHERE regexp_matches(tag, '(?is)\\brel\\s*=\\s*["'']?canonical\\b|\\bhttp-equiv\\s*=\\s*["'']?refresh\\b')),
+links AS (SELECT url, CASE WHEN contains(link, '://') THEN link WHEN starts_with(link, '//') THEN 'http:' || link
+    WHEN starts_with(link, '/') THEN regexp_extract(url, '^([^?#]*?://[^/?#]*)', 1) || link
+    ELSE regexp_extract(url, '^([^?#]*?://[^/?#]*)', 1) || coalesce(nullif(regexp_extract(url, '^[^?#]*?://[^/?#]*(/(?:[^/?#]*/)*)', 1), ''), '/') || link END AS target
+  FROM found WHERE link <> ''),
+urls AS (SELECT DISTINCT url FROM pages UNION SELECT target FROM links),
+cut AS (SELECT url, CASE WHEN contains(url, '://') THEN substring(url, strpos(url, '://') + 3) END AS rest FROM urls),
+parts AS (SELECT url, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+    coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path, coalesce(regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1), '') AS query FROM cut),
+rules(v, h, p) AS (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')),
+fits AS (SELECT url, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM parts JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY url),
+nodes AS (SELECT parts.url, host, path, host || path || query AS node, rule, verdict FROM parts LEFT JOIN fits ON fits.url = parts.url),
+e AS (SELECT DISTINCT a.node AS a, b.node AS b FROM links JOIN nodes a ON a.url = links.url JOIN nodes b ON b.url = links.target),
+both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a, a AS b FROM both_ways UNION SELECT r.a, t.b FROM reach r JOIN both_ways t ON t.a = r.b),
+bad AS (SELECT r.a AS node FROM reach r JOIN nodes n ON n.node = r.b GROUP BY r.a
+  HAVING count(*) FILTER (n.verdict = 'block') > 0 AND count(*) FILTER (n.verdict = 'allow') = 0)
+SELECT p.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, n.rule,
+  coalesce(n.verdict, CASE WHEN n.node IN (SELECT node FROM bad) THEN 'block' END, 'allow') AS verdict
+FROM pages p LEFT JOIN nodes n ON n.url = p.url
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op5_ogg_media": op5_ogg_media,
+    "op6_warc_chain": op6_warc_chain,
     "op7_exact_top_k": op7_exact_top_k,
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_url_filters": op10_url_filters,
 }
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL, "op7_exact_top_k": OP7_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL, "op6_warc_chain": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op10_url_filters": OP10_SQL}
