@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, ogg, quality, topk, url_filter, warc
+from . import bpe, mixing, ngram_join, ogg, quality, topk, url_filter, warc
 from .common import Scratch
 
 
@@ -36,6 +36,10 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS co
 """
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(mixing.mix_sources(_read(spark, sf_dir, "documents")))
+
+
 def op5_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.read_media(ogg.encode_media(_read(spark, sf_dir, "documents")))
 
@@ -116,6 +120,7 @@ FROM pages p LEFT JOIN nodes n ON n.url = p.url
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op4_mixing": op4_mixing,
     "op5_ogg_media": op5_ogg_media,
     "op6_warc_chain": op6_warc_chain,
     "op7_exact_top_k": op7_exact_top_k,
