@@ -13,6 +13,7 @@ from .common import Scratch
 
 #: Vectors in a block, queries in a block, vectors whose scores give the first thresholds.
 BLOCK, QUERY_BLOCK, WARM = 2048, 512, 2048
+_FLOORS = "struct<ids:array<bigint>,floors:array<bigint>>"
 #: Coordinates that a query looks at (its largest), and the cosine threshold from which they prune better than lengths.
 FOCUS, STEEP = 8, 0.5
 
@@ -26,12 +27,14 @@ def _matrix(ids: list, vectors: list[list[int]]) -> tuple[np.ndarray, np.ndarray
 
 
 def _pack(ids: np.ndarray, m: np.ndarray) -> bytes:
-    return np.array(m.shape, np.int64).tobytes() + ids.tobytes() + m.tobytes()
+    """Ids and components, the latter in the narrowest integers that hold them."""
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if not m.size or np.abs(m).max() <= np.iinfo(t).max)
+    return np.array([*m.shape, np.dtype(kind).itemsize], np.int64).tobytes() + ids.tobytes() + m.astype(kind).tobytes()
 
 
 def _unpack(b: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n, w = np.frombuffer(b, np.int64, 2)
-    return np.frombuffer(b, np.int64, n, 16), np.frombuffer(b, np.int64, n * w, 16 + 8 * n).reshape(n, w)
+    n, w, size = np.frombuffer(b, np.int64, 3)
+    return np.frombuffer(b, np.int64, n, 24), np.frombuffer(b, f"i{size}", n * w, 24 + 8 * n).reshape(n, w).astype(np.int64)
 
 
 def _block(table: pa.Table) -> pa.Table:
@@ -73,7 +76,8 @@ def _search(k: int):
                 q, m = _aligned(q, m)
                 mf, qf = m.astype(float), q.astype(float)
                 qn, mn = np.sqrt(np.square(qf).sum(1)), np.sqrt(np.square(mf).sum(1))
-                floor = np.frombuffer(floors, np.int64).astype(float) if floors else np.full(len(q), -np.inf)
+                known = dict(zip(*floors.values(), strict=True)) if floors else {}
+                floor = np.array([known.get(i, -np.inf) for i in qids.tolist()], float)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     local = np.where(qn * mn[0] > 0, floor / (qn * mn[0]), np.where(floor > 0, np.inf, -np.inf))
                 out: list[tuple[int, int, int]] = []
@@ -99,24 +103,6 @@ def _search(k: int):
     return run
 
 
-def _floors(k: int):
-    """Thresholds of a query block from its scores in the first block: the k-th best, where there are k."""
-
-    def run(table: pa.Table) -> pa.Table:
-        data = table.column("data")[0].as_py()
-        qids, _ = _unpack(data)
-        q, s = (np.asarray(table.column(c).drop_null()) for c in ("query_id", "score"))
-        floors = np.full(len(qids), np.iinfo(np.int64).min // 2)
-        order = np.lexsort((-s, q))
-        q, s = q[order], s[order]
-        a, b = np.searchsorted(q, qids), np.searchsorted(q, qids, side="right")
-        full = b - a >= k
-        floors[full] = s[a[full] + k - 1]
-        return pa.table({"block": table.column("block").slice(0, 1), "floors": pa.array([floors.tobytes()], pa.binary())})
-
-    return run
-
-
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scratch: Scratch | None = None) -> DataFrame:
     """vectors and queries (id long, v array<long>) -> query_id, rank, vec_id, score, best k of every query.
 
@@ -149,16 +135,17 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scratch: Sc
     first_block = data.orderBy("block").limit(1).select(F.lit(1).alias("one"), F.col("data").alias("vb"), F.col("block").alias("vblock"))
     warm = asked.select(F.lit(1).alias("one"), F.col("data"), F.col("block")).join(F.broadcast(first_block), "one")  # one block of at most a few times BLOCK vectors
     out = "query_id long, vec_id long, score long"
-    start = scratch.table(warm.select("data", F.lit(None).cast("binary").alias("floors"), "vb").mapInArrow(_search(k), out), "warm")
-    found = start.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n_queries))).select("block", "query_id", "score")
-    floors = asked.select("block", "data").join(found, "block", "left").groupBy("block").applyInArrow(_floors(k), "block long, floors binary")
-    ready_q = scratch.table(asked.join(floors, "block"), "floors")
+    start = scratch.table(warm.select("data", F.lit(None).cast(_FLOORS).alias("floors"), "vb").mapInArrow(_search(k), out), "warm")
+    kth = start.groupBy("query_id").agg(F.sort_array(F.collect_list("score"), asc=False).alias("s")).where(F.size("s") >= k)  # at most k each
+    kth = kth.select(F.pmod(F.xxhash64("query_id"), F.lit(n_queries)).alias("block"), "query_id", F.element_at("s", k).alias("floor"))
+    floors = kth.groupBy("block").agg(F.struct(F.collect_list("query_id").alias("ids"), F.collect_list("floor").alias("floors")).alias("floors"))
+    ready_q = scratch.table(asked.join(floors, "block", "left").select("top", "n", "data", F.col("floors").cast(_FLOORS).alias("floors")), "floors")
     first_id = data.agg(F.min("block")).first()[0]
     longest = {r["band"]: r["top"] for r in data.groupBy(F.shiftright("block", 32).alias("band")).agg(F.max("top").alias("top")).collect()}  # at most 64
     bands = F.array(*[F.struct(F.lit(b).cast("long").alias("band"), F.lit(float(t)).alias("top"), F.lit(-(-sizes[b] // BLOCK)).cast("long").alias("deal")) for b, t in longest.items()])
-    small = ready_q.select("block", "top", "data", "floors").mapInArrow(_least_floor, "top double, low long, data binary, floors binary")
-    fits = (F.col("x.top") * F.col("top") * (1 + 1e-9) + 1e-6 >= F.col("low")) | (F.col("low") <= 0)
-    reach = small.select("data", "floors", "top", "low", F.explode(bands).alias("x")).where(fits)
+    low = F.when(F.size("floors.floors") == F.col("n"), F.array_min("floors.floors"))  # a query without a threshold meets every block
+    fits = F.col("low").isNull() | (F.col("low") <= 0) | (F.col("x.top") * F.col("top") * (1 + 1e-9) + 1e-6 >= F.col("low"))
+    reach = ready_q.withColumn("low", low).select("data", "floors", "top", "low", F.explode(bands).alias("x")).where(fits)
     pairs = reach.select("data", "floors", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.deal") - 1)).alias("sub"), "x.band").select("data", "floors", (F.col("band") * (1 << 32) + F.col("sub")).alias("vblock"))
     met = pairs.where(F.col("vblock") != first_id).join(data.select(F.col("block").alias("vblock"), F.col("data").alias("vb")), "vblock")
     every = start.unionByName(met.select("data", "floors", "vb").mapInArrow(_search(k), out))
@@ -166,12 +153,6 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scratch: Sc
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _least_floor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        low = [int(np.frombuffer(x, np.int64).min()) for x in b.column("floors").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("top"), pa.array(low, pa.int64()), b.column("data"), b.column("floors")], names=["top", "low", "data", "floors"])
-
-
 def quantized(embeddings: DataFrame) -> DataFrame:
     """embeddings (vec_id, embedding, ...) -> id, v: floor(64 * x) of every component; unusable vectors go."""
     x = embeddings.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("e"))
