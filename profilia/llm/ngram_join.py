@@ -238,8 +238,8 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
         return out
 
     stars = found.where("key is null").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    best = sized_pairs(stars).groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
-    first = scratch.table(best.select("a", "b"), "hub-pairs")
+    best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
+    first = scratch.table(sized_pairs(best).select("a", "b"), "hub-pairs")
     links = verified(first, "hub")
     comps = connected_components(links, scratch)
 
