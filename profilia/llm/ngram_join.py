@@ -29,6 +29,8 @@ from .shingles import set_digest, shingle_sets, slices
 
 SKETCH_BITS = 22
 PARTS = 64
+#: Partners that a class meets in one place when pairs are verified.
+FAN = 500
 #: Prefix entries that a task gathers before it aggregates them, and that a bucket holds on average.
 FLUSH, BUCKET = 2_000_000, 500_000
 
@@ -153,9 +155,17 @@ def _bucket(table: pa.Table) -> pa.Table:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Set of each class, once for each task."""
+    seen: set[int] = set()
     for _, texts in slices(batches, "text"):
-        sets = shingle_sets(texts)
-        yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["cls", "members"])
+        rows = []
+        for s in shingle_sets(texts):
+            cls = set_digest(s)
+            if cls not in seen:
+                rows.append((cls, s.tobytes()))
+            if len(seen) < FLUSH:
+                seen.add(cls)
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], names=["cls", "members"])
 
 
 def _far(x: np.ndarray, y: np.ndarray, most: int, depth: int = 3) -> int:
@@ -184,11 +194,19 @@ def similar(x: np.ndarray, y: np.ndarray, num: int = 3, den: int = 4) -> bool:
 
 
 def _verify(num: int, den: int):
+    """mapInArrow function over (dest, hub, cls, members) in order of dest, the hub's set first: the hub against each of its partners."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, hub, own = None, None, None
         for b in batches:
-            cols = [b.column(i).to_pylist() for i in range(4)]
-            ok = [(s, d) for s, d, x, y in zip(*cols, strict=True) if similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den)]
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in ok], pa.int64()), pa.array([d for _, d in ok], pa.int64())], names=["src", "dst"])
+            out: list[tuple[int, int]] = []
+            for dest, h, cls, x in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+                members = np.frombuffer(x, np.uint64)
+                if h:
+                    at, hub, own = dest, cls, members
+                elif dest == at and similar(own, members, num, den):
+                    out.append((hub, cls))
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in out], pa.int64()), pa.array([d for _, d in out], pa.int64())], names=["src", "dst"])
 
     return run
 
@@ -228,13 +246,16 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
         return pairs.join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct()
-        wanted = scratch.table(ids.join(classes, "cls").select("rk").distinct(), f"{name}-ids")
-        sets = scratch.table(rows.join(sized(wanted), "rk", "left_semi").select("text").mapInArrow(_sets, "cls long, members binary").dropDuplicates(["cls"]), f"{name}-sets")
-        x = sets.select(F.col("cls").alias("a"), F.col("members").alias("x"))
-        y = sets.select(F.col("cls").alias("b"), F.col("members").alias("y"))
-        out = scratch.table(pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verify(num, den), "src long, dst long"), f"{name}-links")
-        scratch.drop(wanted, sets)
+        """Sends a's set and each partner's to one place, FAN partners to a place, and compares them there."""
+        places = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("places"))
+        pairs = pairs.select("a", "b").join(places, "a").withColumn("dest", F.xxhash64("a", F.pmod(F.xxhash64("b"), "places")))
+        route = pairs.select("dest", F.lit(False).alias("hub"), F.col("b").alias("cls")).union(pairs.select("dest", F.lit(True), "a").distinct())
+        route = scratch.table(route, f"{name}-routes")
+        wanted = scratch.table(route.select("cls").distinct().join(classes, "cls").select("rk").distinct(), f"{name}-ids")
+        sets = rows.join(sized(wanted), "rk", "left_semi").select("text").mapInArrow(_sets, "cls long, members binary")
+        sent = sets.join(sized(route), "cls").select("dest", "hub", "cls", "members").repartition("dest").sortWithinPartitions("dest", F.desc("hub"), "cls")
+        out = scratch.table(sent.mapInArrow(_verify(num, den), "src long, dst long"), f"{name}-links")
+        scratch.drop(wanted, route)
         return out
 
     stars = found.where("key is null").groupBy("a", "b").agg(F.sum("w").alias("w"))
