@@ -57,6 +57,7 @@ def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= max_rows else df
 
 
-def row_key(*cols: str) -> Column:
+def row_key(*cols: str | Column) -> Column:
     """A 64-bit key of a row's content that is defined for nulls and equal for repeated rows."""
-    return F.xxhash64(*[x for c in cols for x in (F.col(c), F.col(c).isNull())])
+    cols = [F.col(c) if isinstance(c, str) else c for c in cols]
+    return F.xxhash64(*[x for c in cols for x in (c, c.isNull())])

@@ -166,12 +166,12 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     part = F.struct("begin", "words", "uses")
     parts = _pieces(mix).groupBy("sid", "at").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     chosen = mix.documents.select("sid", "at", "rk", "size").where("size > 0").join(parts, ["sid", "at"]).select("rk", "size", "parts")
-    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    base = docs.withColumn("rk", row_key(*[c for c in ("doc_id", "source", "text")]))
-    texts = base.groupBy("rk").agg(F.first("text").alias("text"), *[F.first(c).alias(c) for c in rest])
-    rows = chosen.join(texts, "rk").select(*rest, "text", "size", "parts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    key = row_key(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
+    texts = docs.select(key.alias("rk"), F.struct(*docs.columns).alias("row")).groupBy("rk").agg(F.first("row").alias("row"))
+    rows = chosen.join(texts, "rk").select("row", "size", "parts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     rows = rows.withColumn("parts", F.filter("parts", lambda p: p["uses"] >= F.col("copy"))).where(F.size("parts") > 0)
-    some = F.transform(F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), lambda w: F.array_join(F.transform("parts", lambda p: F.array_join(F.slice(w, p["begin"].cast("int") + 1, p["words"].cast("int")), " ")), " "))[0]
-    text = F.when(F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size"), F.col("text")).otherwise(some)
-    rows = rows.withColumn("text", text)
-    return rows.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    words = F.array(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)))
+    some = F.transform(words, lambda w: F.array_join(F.transform("parts", lambda p: F.array_join(F.slice(w, p["begin"].cast("int") + 1, p["words"].cast("int")), " ")), " "))[0]
+    whole = F.aggregate("parts", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")
+    rows = rows.select("row", F.when(whole, F.col("row.text")).otherwise(some).alias("new"))
+    return rows.select(*[F.col("new").alias(c) if c == "text" else F.length("new").cast("long").alias(c) if c == "n_chars" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, ngram_join, ogg, quality, topk, url_filter, warc
+from . import bpe, line_dedup, mixing, ngram_join, ogg, quality, topk, url_filter, warc
 from .common import Scratch
 
 
@@ -36,6 +36,11 @@ FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT a, min(b) AS co
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.length("row.text").cast("long").alias("n_chars"), F.sha2(F.col("row.text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(mixing.mix_sources(_read(spark, sf_dir, "documents")))
 
@@ -120,6 +125,7 @@ FROM pages p LEFT JOIN nodes n ON n.url = p.url
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
     "op5_ogg_media": op5_ogg_media,
     "op6_warc_chain": op6_warc_chain,
