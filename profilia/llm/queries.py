@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, ngram_join, ogg, quality, topk, url_filter, warc
+from . import bpe, line_dedup, mixing, ngram_join, ogg, quality, sharding, topk, url_filter, warc
 from .common import Scratch
 
 
@@ -15,6 +15,12 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(_read(spark, sf_dir, "documents"), f"{Scratch(spark, 'op1').root}/store")
+    where = F.regexp_extract("file", "[^/]+/[^/]+$", 0).alias("file")
+    return out.select("row.doc_id", F.octet_length("row.text").cast("long").alias("n_bytes"), F.sha2(F.col("row.text").cast("binary"), 256).alias("text_sha256"), where, "tier", "file_rows", "file_bytes")
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ngram_join.ngram_jaccard_components(_read(spark, sf_dir, "documents"), num=3, den=4)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -124,6 +130,7 @@ FROM pages p LEFT JOIN nodes n ON n.url = p.url
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_line_dedup": op3_line_dedup,
     "op4_mixing": op4_mixing,
