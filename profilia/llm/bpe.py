@@ -174,13 +174,15 @@ def _coder(rules, key: str):
         a = _loaded[key]
         for part, texts in slices(batches, "text"):
             ids = [a.encode(t.decode()) for t in texts]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids, pa.binary()), pa.array([a.decode(i) for i in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+            rest = [c for c in part.schema.names if c != "text"]
+            coded = [pa.array(ids, pa.binary()), pa.array([a.decode(i) for i in ids], pa.string())]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *coded], names=[*rest, "ids", "decoded"])
 
     return run
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, ids (packed unsigned 32-bit), decoded; no shuffle.
+def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
+    """docs (doc_id, text, ...) -> doc_id, the string columns in `keep`, ids (packed unsigned 32-bit), decoded; no shuffle.
 
     Null and empty texts have no ids; repeated rows and null ids stay; long texts are whole, words of any length
     take time in proportion to it; an empty table gives an empty result; further columns are ignored.
@@ -188,8 +190,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     rules = load_rules(path)
     key = hashlib.sha256(json.dumps([rules["labels"], rules["merges"]]).encode()).hexdigest()
     shared = docs.sparkSession.sparkContext.broadcast(rules)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_coder(shared, key), "doc_id long, ids binary, decoded string")
+    keep = keep or []
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in keep], F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_coder(shared, key), ", ".join(["doc_id long", *[f"`{c}` string" for c in keep], "ids binary", "decoded string"]))
 
 
 def digests(coded: DataFrame) -> DataFrame:

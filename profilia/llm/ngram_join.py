@@ -212,10 +212,10 @@ def _verify(num: int, den: int):
 
 
 def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratch: Scratch | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, class_id: one row for each row of docs.
+    """docs (doc_id, text, ...) -> doc_id, n_shingles, component_id, class_id, root, rk: one row for each row of docs.
 
     Two documents link when den * |A & B| >= num * |A | B| for their sets of 5-word shingles. component_id is the
-    smallest doc_id reachable by links, class_id tells equal sets apart. Null and blank texts have no shingles, link
+    smallest doc_id reachable by links, class_id tells equal sets apart, root components and rk rows. Null and blank texts have no shingles, link
     with nothing and keep their own doc_id; a null doc_id takes part and is reported under its component's smallest
     id; repeated rows are returned as often as they occur; an empty table gives an empty result; further columns of
     docs are ignored.
@@ -284,8 +284,25 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
 
     root = classes.join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("root"), "least")
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = scratch.table(root.join(least, "root").select("cls", "component_id"), "labels")
+    label = scratch.table(root.join(least, "root").select("cls", "root", "component_id"), "labels")
     scratch.drop(found, shared, open_keys, left, second, links, links2, first)
-    full = filled.join(label, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id"), "rk")
-    blank = info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), "rk")
+    full = filled.join(label, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id"), "root", "rk")
+    blank = info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("root"), "rk")
     return full.unionByName(blank)
+
+
+def one_of_each(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
+    """The rows of docs, all columns, without near duplicates: of each component the row with the smallest doc_id stays.
+
+    Ids that are null come last; of rows that agree in id and text one stays; rows without any word all stay.
+    """
+    scratch = Scratch(docs.sparkSession, "ngram")
+    found = ngram_jaccard_components(docs, num, den, scratch).where("root is not null").select("root", "rk", F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "rk").alias("place"))
+    found = scratch.table(found, "found")
+    keep = found.groupBy("root").agg(F.min("place").alias("keep"))
+    rows = found.groupBy("root", "rk").agg(F.count("*").alias("n")).join(keep, "root")
+    odd = scratch.table(rows.where((F.col("rk") != F.col("keep.rk")) | (F.col("n") > 1)).select("rk", (F.col("rk") == F.col("keep.rk")).alias("again")), "odd")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("rk"))
+    single = keyed.join(sized(odd.select("rk")), "rk", "left_anti").select("row")
+    repeated = keyed.join(sized(odd.where("again").select("rk")), "rk", "left_semi").groupBy("rk").agg(F.first("row").alias("row")).select("row")
+    return single.union(repeated).select("row.*")
