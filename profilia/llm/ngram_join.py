@@ -6,10 +6,9 @@
    threshold must share a member with. Every task first aggregates its own prefix entries: it links the classes
    that share a shingle to the smallest of them and forwards only that one, so a shingle sends at most one
    entry for each task however many documents hold it.
-3. Buckets of shingles do the same among tasks. Each class is compared with the hub that it shares most with;
-   the verified links are contracted to components.
-4. All remaining pairs that share a prefix shingle and lie in different components are enumerated (positional and
-   length filter) and verified once each, so no link between components is lost; pairs inside a component need none.
+3. Buckets of shingles do the same among tasks. Components grow from hub pairs (see linking.py); the pairs that share a
+   prefix shingle and still lie in different components are enumerated with the positional and length filters.
+4. Each candidate pair is verified once, behind a suffix filter.
 
 Only counters and the sketch (SKETCH_BITS, 4 MiB) reach the driver.
 """
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, row_key, sized
-from .components import connected_components
+from .linking import linked_components
 from .shingles import set_digest, shingle_sets, slices
 
 SKETCH_BITS = 22
@@ -260,32 +259,18 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
 
     stars = found.where("key is null").groupBy("a", "b").agg(F.sum("w").alias("w"))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
-    first = scratch.table(sized_pairs(best).select("a", "b"), "hub-pairs")
-    links = verified(first, "hub")
-    comps = connected_components(links, scratch)
-
-    shared = found.where("key is not null").select("key", F.col("a").alias("cls"), F.col("w").alias("pos"))
-    shared = shared.join(sized(comps.select(F.col("id").alias("cls"), "component")), "cls", "left").withColumn("component", F.coalesce("component", "cls"))
+    shared = found.where("key is not null").select("key", F.col("a").alias("id"), F.col("w").alias("pos")).join(size.withColumnRenamed("cls", "id"), "id")
     shared = scratch.table(shared, "shared")
-    groups = shared.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("k")).where("k > 1").select("key", "major")
-    open_keys = scratch.table(groups, "open-keys")
-    left = scratch.table(shared.join(sized(open_keys), "key").join(size, "cls").select("key", "cls", "component", "pos", "n", (F.col("component") != F.col("major")).alias("minor")), "open")
-    l, r = left.where("minor").alias("l"), left.alias("r")
     both = F.col("l.n") + F.col("r.n")
     rest = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
-    cross = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (~F.col("r.minor") | (F.col("l.cls") < F.col("r.cls")))
-    cross &= (F.least("l.n", "r.n") * den >= F.greatest("l.n", "r.n") * num) & (rest * (num + den) >= both * num)
-    more = l.join(r, cross).select(F.least("l.cls", "r.cls").alias("a"), F.greatest("l.cls", "r.cls").alias("b")).distinct()
-    done = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    second = scratch.table(more.join(done, ["a", "b"], "left_anti"), "cross-pairs")
-    links2 = verified(second, "cross")
-    comps = connected_components(links.union(links2), scratch)
+    possible = (F.least("l.n", "r.n") * den >= F.greatest("l.n", "r.n") * num) & (rest * (num + den) >= both * num)
+    comps = linked_components(shared, best, lambda pairs, name: verified(sized_pairs(pairs), name), scratch, possible)
     sketch.unpersist()
 
     root = classes.join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("root"), "least")
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
     label = scratch.table(root.join(least, "root").select("cls", "root", "component_id"), "labels")
-    scratch.drop(found, shared, open_keys, left, second, links, links2, first)
+    scratch.drop(found, shared)
     full = filled.join(label, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id"), "root", "rk")
     blank = info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("root"), "rk")
     return full.unionByName(blank)
