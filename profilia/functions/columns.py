@@ -46,8 +46,8 @@ def clipped_ratio(c: Column, scale: Column, eps: float, top: float) -> Column:
 
 
 def rounded(c: Column, digits: int = 6) -> Column:
-    """For comparing results: `digits` places, none for values of a million and more."""
-    return F.when(F.abs(c) < 1e6, F.round(c, digits)).otherwise(F.round(c, 0))
+    """For comparing results: `digits` places, none for values of a million and more; no negative zero."""
+    return F.when(F.abs(c) < 1e6, F.round(c, digits)).otherwise(F.round(c, 0)) + F.lit(0.0)
 
 
 def slugify(c: Column) -> Column:

@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
-FAR = 1 << 40
-
 
 def interpolated(c: Column, i: Column, w: WindowSpec) -> Column:
     """Missing values linearly between their neighbours by position, the ends filled flat."""
-    back, ahead = w.rowsBetween(-FAR, 0), w.rowsBetween(0, FAR)
+    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
     here = F.when(c.isNotNull(), F.struct(i.alias("i"), c.alias("y")))
     p, n = F.last(here, ignorenulls=True).over(back), F.first(here, ignorenulls=True).over(ahead)
     between = p["y"] + (n["y"] - p["y"]) * (i - p["i"]) / (n["i"] - p["i"])

@@ -85,7 +85,8 @@ def padded(panel: DataFrame, channels: tuple[str, ...], T: int) -> DataFrame:
     """well_name and one array of T values for each channel."""
     maps = [F.map_from_entries(F.collect_list(F.struct("t", c))).alias(c) for c in channels]
     out = panel.where(F.col("t").between(0, T - 1)).groupBy("well_name").agg(*maps)
-    return out.select("well_name", *[F.transform(F.sequence(F.lit(0), F.lit(T - 1)), lambda t, c=c: F.try_element_at(F.col(c), t)).alias(c) for c in channels])
+    at = lambda c: F.transform(F.sequence(F.lit(0), F.lit(T - 1)), lambda t: F.try_element_at(F.col(c), t))
+    return out.select("well_name", *[at(c).alias(c) for c in channels])
 
 
 def preprocess_profiles(raw: DataFrame, cfg: PrepConfig = PrepConfig()) -> Profiles:
