@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows of at most a few dozen bytes; a side is broadcast only when its counted rows stay below this.
 BROADCAST_ROWS = 1_000_000
+#: Rows that a task writes at least where a table's size is known beforehand.
+TASK_ROWS = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,8 +41,11 @@ class Scratch:
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
-    def table(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def table(self, df: DataFrame, name: str = "t", most: int | None = None) -> DataFrame:
+        """most: rows that df has at most, if known; small tables are then written by few tasks."""
         self._n += 1
+        if most is not None:
+            df = df.coalesce(max(1, -(-most // TASK_ROWS)))
         path = f"{self.root}/{self._n:03d}-{name}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, most: int | None = None) -> DataFrame:
     """(src, dst) long edges -> (id, component): every vertex of an edge with the smallest id of its component.
 
     Each round every vertex joins the smallest vertex of its closed neighbourhood and edges are renamed
@@ -16,11 +16,14 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     the round afterwards, so that chains shrink by a constant factor. Minima are pre-aggregated before each
     shuffle and joins have one row per vertex on one side, so a vertex with very many edges is split by AQE.
     Nulls and self-loops are ignored; repeated edges count once; no edges give an empty table.
+    most: the number of edges at most, if known.
     """
-    cur = scratch.table(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").distinct(), "edges")
+    cur = scratch.table(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")).where("src <> dst").distinct(), "edges", most)
     parents: list[DataFrame] = []
-    while not cur.isEmpty():
+    most = 0
+    while n := cur.count():
         k = len(parents)
+        most = max(most, 2 * n)  # later tables are no larger
 
         def order(c, k=k):
             first = F.lit(0).cast("long") if k == 0 else F.xxhash64(c, F.lit(k))
@@ -29,11 +32,11 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         both = cur.select(F.col("src").alias("v"), F.col("dst").alias("w")).union(cur.select("dst", "src"))
         best = both.groupBy("v").agg(F.min(order(F.col("w"))).alias("m"))
         smaller = F.col("m") < order(F.col("v"))
-        parent = scratch.table(best.select("v", F.when(smaller, F.col("m")["id"]).otherwise(F.col("v")).alias("p")), "parent")
+        parent = scratch.table(best.select("v", F.when(smaller, F.col("m")["id"]).otherwise(F.col("v")).alias("p")), "parent", most)
         parents.append(parent)
         a = parent.select(F.col("v").alias("src"), F.col("p").alias("ps"))
         b = parent.select(F.col("v").alias("dst"), F.col("p").alias("pd"))
-        nxt = scratch.table(cur.join(a, "src").join(b, "dst").where("ps <> pd").select(F.col("ps").alias("src"), F.col("pd").alias("dst")).distinct(), "edges")
+        nxt = scratch.table(cur.join(a, "src").join(b, "dst").where("ps <> pd").select(F.col("ps").alias("src"), F.col("pd").alias("dst")).distinct(), "edges", most)
         scratch.drop(cur)
         cur = nxt
     if not parents:
@@ -42,8 +45,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     for p in parents[1:]:
         step = p.select(F.col("v").alias("root"), "p")
         label = label.join(step, "root", "left").select("id", F.coalesce("p", "root").alias("root"))
-    label = scratch.table(label, "roots")
+    label = scratch.table(label, "roots", most)
     least = label.groupBy("root").agg(F.min("id").alias("component"))
-    out = scratch.table(label.join(least, "root").select("id", F.least("component", "root").alias("component")), "components")
+    out = scratch.table(label.join(least, "root").select("id", F.least("component", "root").alias("component")), "components", most)
     scratch.drop(label, *parents)
     return out

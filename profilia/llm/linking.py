@@ -25,17 +25,19 @@ def linked_components(shared: DataFrame, first: DataFrame, verify: Callable[[Dat
     possible: a condition on aliases l and r of shared that every linked pair meets at some shared key. Gives id, component of
     all ids with links.
     """
-    done = scratch.table(first.select("a", "b"), "pairs")
+    n_shared = shared.count()
+    done = scratch.table(first.select("a", "b"), "pairs", n_shared)
+    n_links = done.count()
     links = verify(done, "hub")
     seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     before = None
     for k in range(ROUNDS + 1):
-        comps = connected_components(links, scratch)
+        comps = connected_components(links, scratch, n_links)
         placed = shared.join(sized(comps), "id", "left").withColumn("component", F.coalesce("component", "id"))
         groups = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        open_keys = scratch.table(groups.where("k > 1").select("key", "major", ((F.col("m") * F.col("m") - F.col("s")) / 2).cast("double").alias("pairs"), "m"), "open-keys")
+        open_keys = scratch.table(groups.where("k > 1").select("key", "major", ((F.col("m") * F.col("m") - F.col("s")) / 2).cast("double").alias("pairs"), "m"), "open-keys", n_shared)
         pairs, entries = open_keys.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        rest = scratch.table(placed.join(sized(open_keys.select("key", "major")), "key").withColumn("minor", F.col("component") != F.col("major")), "open")
+        rest = scratch.table(placed.join(sized(open_keys.select("key", "major")), "key").withColumn("minor", F.col("component") != F.col("major")), "open", n_shared)
         scratch.drop(open_keys)
         if k == ROUNDS or pairs <= FEW * entries or (before is not None and pairs > 0.7 * before):
             break
@@ -44,8 +46,9 @@ def linked_components(shared: DataFrame, first: DataFrame, verify: Callable[[Dat
         met = rest.where("minor").select("key", F.col("id").alias("b")).join(members, "key").groupBy("a", "b").agg(F.count("*").alias("n"))
         best = met.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), F.xxhash64("a", F.lit(k))))).where(F.col("nth") <= PARTNERS)
         fresh = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(seen, ["a", "b"], "left_anti").distinct()
-        fresh = scratch.table(fresh, "pairs")
-        links = scratch.table(links.union(verify(fresh, f"round-{k}")), "links")
+        fresh = scratch.table(fresh, "pairs", n_shared)
+        n_links += fresh.count()
+        links = scratch.table(links.union(verify(fresh, f"round-{k}")), "links", n_links)
         seen = seen.union(fresh)
         scratch.drop(rest)
     l, r = rest.where("minor").alias("l"), rest.alias("r")
@@ -53,7 +56,7 @@ def linked_components(shared: DataFrame, first: DataFrame, verify: Callable[[Dat
     if possible is not None:
         cross &= possible
     more = l.join(r, cross).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    more = scratch.table(more.join(seen, ["a", "b"], "left_anti"), "pairs")
-    out = connected_components(links.union(verify(more, "cross")), scratch)
+    more = scratch.table(more.join(seen, ["a", "b"], "left_anti"), "pairs", int(pairs))
+    out = connected_components(links.union(verify(more, "cross")), scratch, n_links + more.count())
     scratch.drop(rest, more)
     return out

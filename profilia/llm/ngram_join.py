@@ -226,7 +226,8 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
     scan = scratch.table(rows.mapInArrow(_signatures, "part int, counts binary, doc_id long, rk long, n long, cls long"), "signatures")
     info = scan.where("part is null").select("doc_id", "rk", "n", "cls")
     filled = info.where("n > 0")
-    classes = scratch.table(filled.groupBy("cls").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("doc_id").alias("least")), "classes")
+    classes = scratch.table(filled.groupBy("cls").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("doc_id").alias("least")), "classes", scan.count())
+    n_classes = classes.count()
 
     parts = scan.where("part is not null").select("part", "counts").repartition("part").mapInArrow(_levels, "part int, levels binary").collect()
     levels = np.zeros((PARTS, (1 << SKETCH_BITS) // PARTS), np.uint8)
@@ -247,12 +248,14 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Sends a's set and each partner's to one place, FAN partners to a place, and compares them there."""
         places = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("places"))
+        n = pairs.count()
         pairs = pairs.select("a", "b").join(places, "a").withColumn("dest", F.xxhash64("a", F.pmod(F.xxhash64("b"), "places")))
         route = pairs.select("dest", F.lit(False).alias("hub"), F.col("b").alias("cls")).union(pairs.select("dest", F.lit(True), "a").distinct())
-        route = scratch.table(route, f"{name}-routes")
-        wanted = scratch.table(route.select("cls").distinct().join(classes, "cls").select("rk").distinct(), f"{name}-ids")
+        route = scratch.table(route, f"{name}-routes", 2 * n)
+        wanted = scratch.table(route.select("cls").distinct().join(classes, "cls").select("rk").distinct(), f"{name}-ids", min(2 * n, n_classes))
         sets = rows.join(sized(wanted), "rk", "left_semi").select("text").mapInArrow(_sets, "cls long, members binary")
         sent = sets.join(sized(route), "cls").select("dest", "hub", "cls", "members").repartition("dest").sortWithinPartitions("dest", F.desc("hub"), "cls")
+        sent = sent.coalesce(max(1, -(-n // (4 * FAN))))  # whole partitions one after the other: a place stays together and in order
         out = scratch.table(sent.mapInArrow(_verify(num, den), "src long, dst long"), f"{name}-links")
         scratch.drop(wanted, route)
         return out
@@ -260,16 +263,16 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
     stars = found.where("key is null").groupBy("a", "b").agg(F.sum("w").alias("w"))
     best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
     shared = found.where("key is not null").select("key", F.col("a").alias("id"), F.col("w").alias("pos")).join(size.withColumnRenamed("cls", "id"), "id")
-    shared = scratch.table(shared, "shared")
+    shared = scratch.table(shared, "shared", found.count())
     both = F.col("l.n") + F.col("r.n")
     rest = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
     possible = (F.least("l.n", "r.n") * den >= F.greatest("l.n", "r.n") * num) & (rest * (num + den) >= both * num)
-    comps = linked_components(shared, best, lambda pairs, name: verified(sized_pairs(pairs), name), scratch, possible)
+    comps = linked_components(shared, sized_pairs(best), verified, scratch, possible)
     sketch.unpersist()
 
     root = classes.join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("root"), "least")
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
-    label = scratch.table(root.join(least, "root").select("cls", "root", "component_id"), "labels")
+    label = scratch.table(root.join(least, "root").select("cls", "root", "component_id"), "labels", n_classes)
     scratch.drop(found, shared)
     full = filled.join(label, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id"), "root", "rk")
     blank = info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("root"), "rk")
