@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BaselineConfig, ForecastConfig, PrepConfig
 from ..functions import columns as C
-from ..operators import anomaly, baseline, clusters, features, forecast, neighbors, preprocess
+from ..operators import anomaly, baseline, clusters, dtw, features, forecast, layout, models, neighbors, preprocess
 from ..sources import tables
 
 R = C.rounded
@@ -226,6 +226,29 @@ def gmm_bic(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.gmm_bic(xy, range(2, 6))[0]
 
 
+def dtw_refined_edges(spark: SparkSession, sf: str) -> DataFrame:
+    tensor = _profiles(spark, sf).tensor().persist()
+    flat = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0.0)))
+    points = tensor.select(F.col("well_name").alias("id"), F.concat(flat("r_oil_norm"), flat("wc")).alias("v"))
+    return dtw.refine(neighbors.knn(points, points, 5), tensor)
+
+
+def umap_map(spark: SparkSession, sf: str) -> DataFrame:
+    e = tables.embeddings(spark, sf)
+    graph = layout.fuzzy_graph(neighbors.knn(e, e, 15, "bigint"), 15)
+    return layout.layout(graph, clusters.pca_map(e)[0], epochs=5)
+
+
+def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
+    return models.flag_outliers(models.isolation_scores(tables.embeddings(spark, sf), trees=50))
+
+
+def elasticnet_forecast(spark: SparkSession, sf: str) -> DataFrame:
+    panel = _profiles(spark, sf).panel
+    targets = panel.where(F.col("t") >= 20).select("well_name", "t", F.col("r_oil_s").alias("y"))
+    return models.elastic_net_forecast(forecast.prefix_features(forecast.prefix_scaled(panel)), targets)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -234,5 +257,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         forecast_long, forecast_wide, forecast_metrics, lof_scores, medoid_distance, anomaly_scores, top_anomalies, silhouette_by_label,
         mutual_reachability, cluster_summary, prototypes_median_iqr, cluster_mean_bands, clipped_signal, dense_month_spine, interpolated_series,
         run_length_start, zscored_wide, slugify_names, sanitize_names, record_range_parse, pca_map, kmeans_auto, gmm_bic,
+        dtw_refined_edges, umap_map, isolation_forest, elasticnet_forecast,
     )
 }
