@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of at most a few dozen bytes; a side is broadcast only when its counted rows stay below this.
-BROADCAST_ROWS = 1_000_000
+#: Bytes, estimated from counted rows, up to which a side is broadcast; for one column of ids more, as they pack densely.
+BROADCAST_BYTES, BROADCAST_ID_BYTES = 8 << 20, 32 << 20
 #: Rows that a task writes at least where a table's size is known beforehand.
 TASK_ROWS = 100_000
 
@@ -57,9 +57,11 @@ class Scratch:
             delete(self.spark, t._scratch_path)
 
 
-def sized(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df (a scratch table) marked for broadcast if its counted rows allow it, else left to a shuffled join."""
-    return F.broadcast(df) if df.count() <= max_rows else df
+def sized(df: DataFrame) -> DataFrame:
+    """df (a scratch table of short columns) marked for broadcast if its counted rows allow it, else left to a shuffled join."""
+    n = len(df.columns)
+    rows = (BROADCAST_ID_BYTES if n == 1 else BROADCAST_BYTES) // (16 + 16 * n)
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def row_key(*cols: str | Column) -> Column:
