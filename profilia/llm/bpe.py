@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import cache
@@ -28,9 +30,13 @@ from pyspark.sql import functions as F
 from .shingles import slices
 
 END = "</w>"
-#: Distinct words and decided transitions that a Python worker keeps; beyond, it starts anew.
-KEPT_WORDS, KEPT_STEPS = 200_000, 2_000_000
+#: Distinct words that a Python worker keeps in a generation, of which it has two, and decided transitions.
+KEPT_WORDS, KEPT_STEPS = 250_000, 2_000_000
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")  # fixed: the split of the published tokenizer
+#: The same split for texts of ASCII and composed Latin letters only, and what such texts don't hold; both are in normal form C already.
+_LATIN = "a-z\u00df-\u00f6\u00f8-\u017f"
+_LATIN_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\s{_LATIN}0-9]+", re.ASCII)
+_OTHER = re.compile("[^\x00-\x7f\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]")
 
 
 def byte_labels() -> list[str]:
@@ -53,6 +59,7 @@ class Automaton:
         self.taken: dict[tuple[int, int], int] = {}  # (state, arc) -> time
         self.steps: dict[tuple[int, int], bool] = {}
         self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         for time, (a, b) in enumerate(merges):
             u, v = self.ids[a], self.ids[b]
             alive = self._has(u, v, time)
@@ -99,14 +106,19 @@ class Automaton:
 
     def path(self, word: str) -> list[int]:
         """Ids of the accepted path of a non-empty word, given as byte labels."""
-        n, arcs, longest = len(word), self.arcs, self.longest
+        n, arcs, longest, steps = len(word), self.arcs, self.longest, self.steps
         last, back = [-1] * (n + 1), [0] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - longest), i):
+            for j in range(i - 1, max(-1, i - longest - 1), -1):
                 x = arcs.get(word[j:i] if i < n else word[j:] + END)
-                if x is not None and (j == 0 or (last[j] >= 0 and self.step(last[j], x))):
-                    last[i], back[i] = x, j
-                    break
+                if x is None or last[j] < 0 < j:
+                    continue
+                if j:
+                    ok = steps.get((last[j], x))
+                    if not (self.step(last[j], x) if ok is None else ok):
+                        continue
+                last[i], back[i] = x, j
+                break
         out, i = [], n
         while i:
             if last[i] < 0:
@@ -117,16 +129,22 @@ class Automaton:
 
     def _ids_of(self, word: str) -> bytes:
         if len(self.words) >= KEPT_WORDS:
-            self.words.clear()
-        ids = self.path(word.encode().decode("latin-1").translate(_table()))
-        found = self.words[word] = np.array(ids, "<u4").tobytes()
+            self.older, self.words = self.words, {}
+        found = self.words.get(word) or self.older.get(word)
+        if found is None:
+            ids = self.path(word.encode().decode("latin-1").translate(_table()))
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        self.words[word] = found
         return found
 
     def _plain(self, text: str) -> bytes:
-        if not text.isascii():
+        if not _OTHER.search(text):
+            found = _LATIN_WORD.findall(text.lower())
+        else:
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # a final sigma is lowered like any other
+            found = _WORD.findall(text.lower())
         words = self.words
-        return b"".join([words.get(w) or self._ids_of(w) for w in _WORD.findall(text.lower())])
+        return b"".join([words.get(w) or self._ids_of(w) for w in found])
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; special tokens' texts are theirs."""
