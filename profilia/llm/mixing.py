@@ -23,6 +23,8 @@ SHARE = 1.5
 LIMIT = 2
 #: Rows of a source in a chunk of its layout, bins of the unit interval that source draws are looked up by, steps of a walk.
 CHUNK_ROWS, BINS, WALK = 10_000, 4096, 64
+#: Slots that a task draws or permutes.
+TASK_SLOTS = 200_000
 SEED = 20240101
 
 
@@ -84,7 +86,7 @@ def _draw(sources: DataFrame, scratch: Scratch) -> DataFrame:
     edges = sources.where("quota > 0").select("sid", "quota", upto.alias("upto")).select("sid", ((F.col("upto") - F.col("quota")) / F.lit(float(total or 1))).alias("lo"), (F.col("upto") / F.lit(float(total or 1))).alias("hi"))
     last_bin = F.least(F.lit(BINS - 1), F.floor(F.col("hi") * BINS)).cast("int")
     bins = scratch.table(edges.select("sid", "lo", "hi", F.explode(F.sequence(F.floor(F.col("lo") * BINS).cast("int"), last_bin)).alias("bin")), "bins")
-    slots = spark.range(total).select(F.floor(F.col("id") / SHARD).cast("long").alias("shard"), _uniform(F.lit(SEED), F.col("id")).alias("u"))
+    slots = spark.range(0, total, 1, max(1, -(-total // TASK_SLOTS))).select(F.floor(F.col("id") / SHARD).cast("long").alias("shard"), _uniform(F.lit(SEED), F.col("id")).alias("u"))
     drawn = slots.withColumn("bin", F.floor(F.col("u") * BINS).cast("int")).join(sized(bins), "bin").where("u >= lo and u < hi")
     counts = scratch.table(drawn.groupBy("sid", "shard").agg(F.count("*").alias("n")), "multinomial")
     earlier = Window.partitionBy("sid").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,9 +117,11 @@ def permuted(i: Column, n: Column, *key: Column) -> Column:
             right = F.pmod(right + F.pmod(F.xxhash64(*key, F.lit(2 * k + 1), left), b), b)
         return left * b + right
 
-    start = F.struct(i.alias("x"), F.lit(False).alias("done"))
-    walk = lambda s, _: F.when(s["done"], s).otherwise(F.transform(F.array(once(s["x"])), lambda y: F.struct(y.alias("x"), (y < n).alias("done")))[0])
-    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, walk)["x"]
+    def walk(x: Column) -> Column:
+        step = lambda y, _: F.when(y < n, y).otherwise(once(y))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, step)
+
+    return F.transform(F.array(once(i)), lambda y: F.when(y < n, y).otherwise(walk(y)))[0]
 
 
 def mix_sources(docs: DataFrame, scratch: Scratch | None = None) -> Mix:
@@ -130,7 +134,9 @@ def mix_sources(docs: DataFrame, scratch: Scratch | None = None) -> Mix:
     layout, ids = _layout(docs, scratch)
     sources = scratch.table(_targets(ids), "targets")
     shares = scratch.table(_draw(sources, scratch), "shares")
-    slots = shares.select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("r")).join(sized(sources.select("sid", "blocks")), "sid")
+    n_slots = sources.agg(F.sum("quota")).first()[0] or 0
+    spread = shares.repartition(max(1, -(-n_slots // TASK_SLOTS)), "sid", "shard")  # few rows that become many
+    slots = spread.select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("r")).join(sized(sources.select("sid", "blocks")), "sid")
     turn = F.floor(F.col("r") / F.col("blocks")).cast("long")
     block = permuted(F.pmod("r", "blocks"), F.col("blocks"), F.lit(SEED), F.col("sid"), turn)
     draws = slots.select("sid", "shard", block.alias("block"))
