@@ -90,9 +90,11 @@ def _prefix_entries(levels, n_buckets: int, num: int, den: int):
     """mapInArrow function: texts -> packed entries, aggregated in the task; kind 0 entry, 1 hub pair, 2 shared entry."""
 
     def rows(kind: int, data: np.ndarray, bucket: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(bucket):
+            return
         order = np.argsort(bucket, kind="stable")
         data, bucket = data[order], bucket[order]
-        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else []
+        first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
         for a, b in zip(first, [*first[1:], len(bucket)], strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([kind], pa.int32()), pa.array([data[a:b].tobytes()], pa.binary())], names=_NAMES)
 
