@@ -1,8 +1,9 @@
 """Fuzzy line dedup with DataFrame operations only.
 
 A line, trimmed and lower-cased, has as shingles the SHINGLE characters from the start of each word and, in longer words, from each
-PIECE-th character on. MinHash: each shingle is hashed once and permuted by xor masks; the minima of a line form BANDS
-bands of ROWS. Lines that share a band are candidates; exact Jaccard similarity of the shingle sets, as 64-bit hashes, decides;
+PIECE-th character on. MinHash: each shingle is hashed once, and that hash once more for every two permutations, which order by its
+upper and lower half; the minima of a line form BANDS bands of ROWS. Lines that share a band are candidates; exact Jaccard similarity
+of the shingle sets, as 64-bit hashes, decides;
 connected components of the links keep one line, the first by document and position.
 
 Lines meet hubs first and the pairs of a band that lie in different components afterwards (see linking.py), so large groups
@@ -42,10 +43,12 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _bands(lines: DataFrame) -> DataFrame:
     """id, bands: a row for each distinct line; shingles are aggregated where the lines are read."""
     each = lines.select(F.xxhash64("line").alias("id"), F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    masks = [(0x9E3779B97F4A7C15 * (2 * k + 1)) % (1 << 63) for k in range(BANDS * ROWS)]
-    least = [F.min(F.shiftright(F.col("h").bitwiseXOR(F.lit(m)), 32).cast("int")).alias(f"m{k}") for k, m in enumerate(masks)]
+    n = BANDS * ROWS
+    mixed = each.select("id", *[F.xxhash64(F.lit(k), "h").alias(f"p{k}") for k in range(-(-n // 2))])
+    half = lambda k: F.col(f"p{k // 2}") if k % 2 == 0 else F.shiftleft(F.col(f"p{k // 2}"), 32)
+    least = [F.min(F.shiftright(half(k), 32).cast("int")).alias(f"m{k}") for k in range(n)]
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return each.groupBy("id").agg(*least).select("id", bands.alias("bands"))
+    return mixed.groupBy("id").agg(*least).select("id", bands.alias("bands"))
 
 
 def duplicate_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:

@@ -146,6 +146,24 @@ def test_op3(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_op3_recall(spark):
+    """Similar lines must meet in a band about as often as independent permutations make them."""
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9)))) for _ in range(5000)]
+    rows = []
+    for n in rng.integers(15, 25, 6000):
+        w = [str(x) for x in rng.choice(words, n)]
+        rows.append((" ".join(w), " ".join(w + [str(rng.choice(words)) for _ in range(int(rng.integers(1, 3)))])))
+    x, y = (F.array_distinct(line_dedup.shingles(F.col(c))) for c in "ab")
+    pairs = spark.createDataFrame(rows, "a string, b string").withColumn("j", F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).where("j between 0.8 and 0.92").cache()
+    bands = line_dedup._bands(pairs.select(F.col("a").alias("line")).union(pairs.select("b")))
+    one = bands.select(F.col("id").alias("i"), F.col("bands").alias("x"))
+    two = bands.select(F.col("id").alias("k"), F.col("bands").alias("y"))
+    met = pairs.select("j", F.xxhash64("a").alias("i"), F.xxhash64("b").alias("k")).join(one, "i").join(two, "k").select(F.arrays_overlap("x", "y").cast("int"), 1 - F.pow(1 - F.pow("j", line_dedup.ROWS), line_dedup.BANDS)).collect()
+    got, ideal = np.mean(met, axis=0)
+    assert len(met) > 500 and got > ideal - 0.004
+
+
 def test_op4(docs, empty):
     mix = mixing.mix_sources(docs)
     got = mixing.taken_words(mix).collect()
