@@ -1,7 +1,6 @@
 """Fuzzy line dedup with DataFrame operations only.
 
-A line, trimmed and lower-cased, has as shingles the SHINGLE characters from the start of each word and, in longer words, from each
-PIECE-th character on. MinHash: each shingle is hashed once, and that hash once more for every two permutations, which order by its
+A line, trimmed and lower-cased, has as shingles the SHINGLE characters from each character on, or itself if it is shorter. MinHash: each shingle is hashed once, and that hash once more for every two permutations, which order by its
 upper and lower half; the minima of a line form BANDS bands of ROWS. Lines that share a band are candidates; exact Jaccard similarity
 of the shingle sets, as 64-bit hashes, decides;
 connected components of the links keep one line, the first by document and position.
@@ -18,11 +17,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, row_key, sized
 from .linking import linked_components
 
-SHINGLE, PIECE = 12, 8
+SHINGLE = 12
 BANDS, ROWS = 7, 3
 #: Similarity of 4/5 or more.
 NUM, DEN = 4, 5
-_PATTERN = rf"(?s)(?=(.{{1,{SHINGLE}}}))\S{{1,{PIECE}}}\s*"
+_PATTERN = rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}$))."
 
 
 def normal(line: Column) -> Column:
@@ -33,6 +32,10 @@ def shingles(line: Column) -> Column:
     return F.regexp_extract_all(line, F.lit(_PATTERN), F.lit(1))
 
 
+def _hashes(line: str) -> Column:
+    return F.transform(shingles(F.col(line)), lambda s: F.xxhash64(s))
+
+
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, rk, pos, line: every line that isn't blank."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -64,17 +67,18 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataF
     scratch.drop(signed)
     ids = scratch.table(shared.select("id").distinct(), "candidate-ids")
     texts = lines.select(F.xxhash64("line").alias("id"), "line").join(sized(ids), "id", "left_semi").groupBy("id").agg(F.max("line").alias("line"))
-    texts = scratch.table(texts, "candidate-lines")
+    texts = scratch.table(texts.select("id", "line", F.size(F.array_distinct(_hashes("line"))).alias("n")), "candidate-lines")
     scratch.drop(ids)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         wanted = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
         met = texts.join(sized(wanted), "id", "left_semi")
-        hashed = F.array_distinct(F.transform(shingles(F.col("line")), lambda s: F.xxhash64(s)))
-        x = met.select(F.col("id").alias("a"), hashed.alias("x"))
-        y = met.select(F.col("id").alias("b"), hashed.alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        links = pairs.join(x, "a").join(y, "b").where(both * (NUM + DEN) >= (F.size("x") + F.size("y")) * NUM)
+        x = met.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx"))
+        y = met.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny"))
+        total = F.col("nx") + F.col("ny")
+        near = F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM
+        both = F.size(F.array_intersect(_hashes("x"), _hashes("y")))  # from the texts, which are shorter than their shingles
+        links = pairs.join(x, "a").join(y, "b").where(near & (both * (NUM + DEN) >= total * NUM))
         out = scratch.table(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-links")
         scratch.drop(wanted)
         return out

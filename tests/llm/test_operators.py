@@ -164,6 +164,17 @@ def test_op3_recall(spark):
     assert len(met) > 500 and got > ideal - 0.004
 
 
+def test_op3_shifted_lines(spark):
+    """Similarity mustn't depend on where a line without blanks, or a long word, begins."""
+    rng = np.random.default_rng(13)
+    han = "".join(chr(0x4E00 + int(c)) for c in rng.integers(0, 3000, 120))
+    code = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz0123456789"), 150))
+    rows = [(1, han, "s"), (2, "\u4e00" + han, "s"), (3, han[:60] + "\u4e00" + han[60:], "s"), (4, code, "s"), (5, f"https://{code}", "s"), (6, code[::-1], "s"), (7, han[::-1], "s"), (8, "short", "s"), (9, "shorn", "s")]
+    got = {r["row"]["doc_id"]: (r["row"]["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(documents(spark, rows)).collect()}
+    assert {i for i, (_, n) in got.items() if n} == {2, 3, 5}
+    assert all(got[i] == ("", 1) for i in (2, 3, 5)) and all(got[i][0] == t for i, t, _ in rows if i not in (2, 3, 5))
+
+
 def test_op4(docs, empty):
     mix = mixing.mix_sources(docs)
     got = mixing.taken_words(mix).collect()
