@@ -218,12 +218,12 @@ def pca_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmeans_auto(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.kmeans_auto(tables.embeddings(spark, sf), range(2, 6), runs=1)[0]
+    return clusters.kmeans_auto(tables.embeddings(spark, sf), range(2, 13), runs=25)[0]
 
 
 def gmm_bic(spark: SparkSession, sf: str) -> DataFrame:
     xy = clusters.pca_map(tables.embeddings(spark, sf))[0].select("id", F.array("x", "y").alias("v"))
-    return clusters.gmm_bic(xy, range(2, 6))[0]
+    return clusters.gmm_bic(xy, range(2, 11))[0]
 
 
 def dtw_refined_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -240,7 +240,7 @@ def umap_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
-    return models.flag_outliers(models.isolation_scores(tables.embeddings(spark, sf), trees=50))
+    return models.flag_outliers(models.isolation_scores(tables.embeddings(spark, sf), trees=300))
 
 
 def elasticnet_forecast(spark: SparkSession, sf: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from profilia import report
 from profilia.config import ManifoldConfig
 from profilia.operators import clusters, dtw, layout, models, neighbors
+from profilia.plans import queries
 from profilia.streaming import monthly
 
 
@@ -59,6 +60,33 @@ def test_clusterings_find_blobs(blobs):
         assert by[0] == by[39] != by[40] == by[79]
 
 
+def test_queries_search_the_whole_range(spark, monkeypatch):
+    """The registered queries pass the reference's ranges, starts and trees."""
+    seen = {}
+
+    def note(name, out):
+        return lambda df, *a, **k: (seen.update({name: (a, k)}), out)[1]
+
+    monkeypatch.setattr(clusters, "kmeans_auto", note("kmeans", (None, {})))
+    monkeypatch.setattr(clusters, "gmm_bic", note("gmm", (None, {})))
+    monkeypatch.setattr(clusters, "pca_map", lambda df: (spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double"), []))
+    monkeypatch.setattr(models, "isolation_scores", note("forest", None))
+    monkeypatch.setattr(models, "flag_outliers", lambda s: s)
+    monkeypatch.setattr(queries.tables, "embeddings", lambda *a: None)
+    for f in (queries.kmeans_auto, queries.gmm_bic, queries.isolation_forest):
+        f(spark, "")
+    assert seen == {"kmeans": ((range(2, 13),), {"runs": 25}), "gmm": ((range(2, 11),), {}), "forest": ((), {"trees": 300})}
+
+
+def test_kmeans_finds_seven_blobs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    rows = [(20 * b + i, [float(x) for x in rng.normal(0, 0.1, 2) + (10 * (b % 3), 10 * (b // 3))]) for b in range(7) for i in range(20)]
+    monkeypatch.setattr(queries.tables, "embeddings", lambda *a: spark.createDataFrame(rows, "id long, v array<double>").coalesce(1).cache())
+    whole = clusters.kmeans_auto
+    monkeypatch.setattr(clusters, "kmeans_auto", lambda df, ks, runs: whole(df, ks, runs=min(runs, 3)))  # fewer starts, for time
+    assert queries.kmeans_auto(spark, "").select("cluster").distinct().count() == 7
+
+
 def test_pca_and_layout(blobs):
     two = blobs.where("id < 80")
     start, share = clusters.pca_map(two)
