@@ -40,6 +40,7 @@ class ManifoldConfig:
     channel_weights: tuple[float, ...] = (0.7, 0.3)
     radius: int = 6
     k_refine: int = 40
+    n_neighbors: int = 30
     seed: int = 43
 
 

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ManifoldConfig
+from .neighbors import knn
 
 
 def frames(channels: list, weights: tuple[float, ...]) -> np.ndarray:
@@ -55,3 +56,17 @@ def refine(edges: DataFrame, profiles: DataFrame, cfg: ManifoldConfig = Manifold
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), t.column("d"), pa.array(d, pa.float64())], names=["a", "b", "d", "d_dtw"])
 
     return both.select("a", "b", "d", "xa", "xb").mapInArrow(run, "a string, b string, d double, d_dtw double")
+
+
+def refined_neighbors(points: DataFrame, profiles: DataFrame, cfg: ManifoldConfig = ManifoldConfig()) -> DataFrame:
+    """points (id, v) and profiles -> i, j, d: the n_neighbors nearest of each id where the k_refine nearest pairs have warped distances.
+
+    All other pairs keep their plain ones, so the search goes deep enough for n_neighbors unrefined pairs of every id.
+    """
+    refined = refine(knn(points, points, cfg.k_refine), profiles, cfg).select("a", "b", "d", F.when(F.abs("d_dtw") < float("inf"), F.col("d_dtw")).alias("w")).persist()
+    both = refined.select(F.col("a").alias("i"), F.col("b").alias("j"), "d", "w").union(refined.select("b", "a", "d", "w"))
+    most = both.groupBy("i").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    plain = knn(points, points, cfg.n_neighbors + most).select("i", "j", "d")
+    d = both.select("i", "j", F.coalesce("w", "d").alias("d")).union(plain.join(both.select("i", "j"), ["i", "j"], "left_anti"))
+    nth = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+    return d.withColumn("nth", nth).where(F.col("nth") <= cfg.n_neighbors).select("i", "j", "d")

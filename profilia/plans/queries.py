@@ -7,12 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BaselineConfig, ForecastConfig, PrepConfig
+from ..config import BaselineConfig, ForecastConfig, ManifoldConfig, PrepConfig
 from ..functions import columns as C
 from ..operators import anomaly, baseline, clusters, dtw, features, forecast, layout, models, neighbors, preprocess
 from ..sources import tables
 
 R = C.rounded
+_MAP = ManifoldConfig()
 
 
 def _rounded(df: DataFrame) -> DataFrame:
@@ -226,17 +227,27 @@ def gmm_bic(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.gmm_bic(xy, range(2, 11))[0]
 
 
-def dtw_refined_edges(spark: SparkSession, sf: str) -> DataFrame:
+def _well_points(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     tensor = _profiles(spark, sf).tensor().persist()
     flat = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0.0)))
-    points = tensor.select(F.col("well_name").alias("id"), F.concat(flat("r_oil_norm"), flat("wc")).alias("v"))
-    return dtw.refine(neighbors.knn(points, points, 5), tensor)
+    return tensor.select(F.col("well_name").alias("id"), F.concat(flat("r_oil_norm"), flat("wc")).alias("v")), tensor
+
+
+def dtw_refined_edges(spark: SparkSession, sf: str) -> DataFrame:
+    points, tensor = _well_points(spark, sf)
+    return dtw.refine(neighbors.knn(points, points, _MAP.k_refine), tensor, _MAP)
 
 
 def umap_map(spark: SparkSession, sf: str) -> DataFrame:
     e = tables.embeddings(spark, sf)
-    graph = layout.fuzzy_graph(neighbors.knn(e, e, 15, "bigint"), 15)
-    return layout.layout(graph, clusters.pca_map(e)[0], epochs=5)
+    graph = layout.fuzzy_graph(neighbors.knn(e, e, _MAP.n_neighbors, "bigint"), _MAP.n_neighbors)
+    return layout.layout(graph, clusters.pca_map(e)[0])
+
+
+def umap_dtw_map(spark: SparkSession, sf: str) -> DataFrame:
+    points, tensor = _well_points(spark, sf)
+    graph = layout.fuzzy_graph(dtw.refined_neighbors(points, tensor, _MAP), _MAP.n_neighbors)
+    return layout.layout(graph, clusters.pca_map(points)[0])
 
 
 def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
@@ -257,6 +268,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         forecast_long, forecast_wide, forecast_metrics, lof_scores, medoid_distance, anomaly_scores, top_anomalies, silhouette_by_label,
         mutual_reachability, cluster_summary, prototypes_median_iqr, cluster_mean_bands, clipped_signal, dense_month_spine, interpolated_series,
         run_length_start, zscored_wide, slugify_names, sanitize_names, record_range_parse, pca_map, kmeans_auto, gmm_bic,
-        dtw_refined_edges, umap_map, isolation_forest, elasticnet_forecast,
+        dtw_refined_edges, umap_map, umap_dtw_map, isolation_forest, elasticnet_forecast,
     )
 }

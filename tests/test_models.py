@@ -41,6 +41,39 @@ def test_refine_checks_channels(spark):
     assert dtw.refine(e, p).count() == 0
 
 
+def test_refined_neighbors(spark):
+    """Against all pairs: refined ones at warped distances, the others at plain ones."""
+    rng = np.random.default_rng(4)
+    x = {f"w{i:02d}": rng.normal(size=(2, 6)) * (1 + i % 4) for i in range(30)}
+    cfg = ManifoldConfig(k_refine=4, n_neighbors=6)
+    points = spark.createDataFrame([(k, [float(z) for z in v.ravel()]) for k, v in x.items()], "id string, v array<double>")
+    wells = spark.createDataFrame([(k, *[[float(z) for z in c] for c in v]) for k, v in x.items()], "well_name string, r_oil_norm array<double>, wc array<double>")
+    d = {(a, b): round(float(np.linalg.norm(x[a] - x[b])), 9) for a in x for b in x if a != b}
+    near = {a: sorted((d[a, b], b) for b in x if b != a)[:4] for a in x}
+    for a, b in {(min(a, b), max(a, b)) for a in x for _, b in near[a]}:
+        d[a, b] = d[b, a] = slow_dtw(*(dtw.frames(x[k], cfg.channel_weights) for k in (a, b)))
+    want = {a: [b for _, b in sorted((d[a, b], b) for b in x if b != a)[:6]] for a in x}
+    got = {}
+    for r in dtw.refined_neighbors(points, wells, cfg).orderBy("i", "d", "j").collect():
+        got.setdefault(r["i"], []).append(r["j"])
+        assert r["d"] == pytest.approx(d[r["i"], r["j"]])
+    assert got == want
+
+
+def test_map_queries_use_the_settings(spark, monkeypatch):
+    ks, epochs = [], []
+    monkeypatch.setattr(queries, "_profiles", lambda *a: type("P", (), {"tensor": lambda s: spark.createDataFrame([], "well_name string, r_oil_norm array<double>, wc array<double>")})())
+    monkeypatch.setattr(queries.tables, "embeddings", lambda *a: None)
+    monkeypatch.setattr(queries.neighbors, "knn", lambda a, b, k, *t: ks.append(k))
+    monkeypatch.setattr(queries.dtw, "refine", lambda *a: None)
+    monkeypatch.setattr(queries.clusters, "pca_map", lambda *a: [None])
+    monkeypatch.setattr(queries.layout, "fuzzy_graph", lambda e, k: ks.append(k))
+    monkeypatch.setattr(queries.layout, "layout", lambda g, s, **k: epochs.append(k))
+    queries.dtw_refined_edges(spark, "")
+    queries.umap_map(spark, "")
+    assert ks == [40, 30, 30] and epochs == [{}]
+
+
 @pytest.fixture(scope="module")
 def blobs(spark):
     rng = np.random.default_rng(2)
