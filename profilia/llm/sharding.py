@@ -20,8 +20,8 @@ from .common import delete, sized
 
 #: Bytes of a merged file; shards below TARGET * FULL are merged; each tier spans a factor of FAN in size.
 TARGET, FULL, FAN = 32 << 20, 0.75, 4
-#: Shards that are packed into runs together.
-GROUP = 1024
+#: Shards that are packed into runs together; appends of a table at most.
+GROUP, ARRIVALS = 1024, 100
 _MANIFEST = "file string, bytes long, rows long, tier int, batch string"
 
 
@@ -111,6 +111,13 @@ class ShardStore:
         delete(self.spark, staged)
         return done
 
+    def compact_all(self, schema: T.StructType) -> int:
+        """Compacts until no tier holds shards to merge: merged files that are still small meet those of the tier they reach."""
+        version = max(self.versions(), default=0)
+        while (after := self.compact(schema)) != version:
+            version = after
+        return version
+
     def read(self, schema: T.StructType, version: int | None = None, with_file: bool = False) -> DataFrame:
         """The rows of a version."""
         manifest = self.manifest(version)
@@ -133,19 +140,22 @@ class ShardStore:
 
 
 def shard_documents(docs: DataFrame, root: str, arrivals: str = "lang", target: int = TARGET) -> DataFrame:
-    """Appends docs arrival by arrival (a value of the column `arrivals` each), compacts them and reads the last version back.
+    """Appends docs arrival by arrival (a value of the column `arrivals` each, or several together if there are many), compacts them and reads the last version back.
 
     Gives all columns of docs as `row` with file, tier, batch, file_rows, file_bytes of the shard that holds the row. Nulls in any column,
     empty and very long texts and repeated rows are stored as they are; rows whose arrival is null form an arrival; an
     empty table gives an empty store and result; columns of any name are kept.
     """
     store = ShardStore(docs.sparkSession, root, target)
-    names = [r[0] for r in docs.select(F.col(arrivals)).distinct().orderBy(arrivals).limit(101).collect()]
-    if len(names) > 100:
-        raise ValueError("more than 100 arrivals; append them as they come")
-    for name in names:
-        store.append(docs.where(F.col(arrivals).eqNullSafe(F.lit(name))))
-    store.compact(docs.schema)
+    names = [r[0] for r in docs.select(F.col(arrivals)).distinct().orderBy(arrivals).limit(ARRIVALS + 1).collect()]
+    if len(names) > ARRIVALS:  # values that share a hash arrive together
+        part = F.pmod(F.xxhash64(F.col(arrivals)), F.lit(ARRIVALS))
+        arriving = [part == F.lit(k) for k in range(ARRIVALS)]
+    else:
+        arriving = [F.col(arrivals).eqNullSafe(F.lit(name)) for name in names]
+    for rows in arriving:
+        store.append(docs.where(rows))
+    store.compact_all(docs.schema)
     store.remove_unused()
     rows = store.read(docs.schema, with_file=True).select(F.struct(*docs.columns).alias("row"), F.col("__file").alias("file"))
     about = store.manifest().select("file", "tier", "batch", F.col("rows").alias("file_rows"), F.col("bytes").alias("file_bytes"))

@@ -410,3 +410,12 @@ def test_op1(spark, docs, empty, tmp_path):
     assert text(store.read(docs.schema)) == sorted(text(docs) * 5)
     assert sharding.shard_documents(docs, f"file://{tmp_path}/d", arrivals="source").count() == docs.count()
     assert sharding.shard_documents(empty, f"file://{tmp_path}/e").count() == 0
+
+
+def test_op1_cascade_and_many_arrivals(spark, tmp_path, monkeypatch):
+    """A tier's merged file meets those of the tier that it reaches; more arrivals than ARRIVALS are stored too."""
+    d = spark.range(1860).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.least(F.floor(F.col("id") / 240), F.lit(4)).cast("string").alias("lang")).coalesce(1)
+    assert sharding.shard_documents(d, f"file://{tmp_path}/c", target=1 << 20).select("file").distinct().count() == 1
+    monkeypatch.setattr(sharding, "ARRIVALS", 3)
+    got = sharding.shard_documents(d.withColumn("lang", F.when(F.col("lang") > "0", F.col("lang"))), f"file://{tmp_path}/m")
+    assert sorted(map(tuple, got.select("row.*").select("doc_id", "text").collect())) == sorted(map(tuple, d.select("doc_id", "text").collect()))
