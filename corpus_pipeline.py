@@ -50,7 +50,7 @@ STAGES = [
     ("BPE encoding and decoding", token_ids),
 ]
 
-#: The classifier, MinHash and the random mix aren't SQL; tests/llm compares each stage with a plain version.
+#: The classifier, MinHash and the random mix aren't SQL; tests/llm tests the operators of the stages, not the stages themselves.
 ORACLE_SQL = None
 
 
