@@ -1,12 +1,16 @@
 """Fuzzy line dedup with DataFrame operations only.
 
-A line, trimmed and lower-cased, has as shingles the SHINGLE characters from each character on, or itself if it is shorter. MinHash: each shingle is hashed once, and that hash once more for every two permutations, which order by its
-upper and lower half; the minima of a line form BANDS bands of ROWS. Lines that share a band are candidates; exact Jaccard similarity
-of the shingle sets, as 64-bit hashes, decides;
-connected components of the links keep one line, the first by document and position.
+A line, lower-cased and trimmed, has as shingles the SHINGLE characters (UTF-16 units) from each character on, or itself if it is
+shorter. MinHash: each shingle is hashed once, and that hash once more for every two permutations, which order by its upper and
+lower half; the minima of a line form BANDS bands of ROWS. Lines that share a band are candidates; exact Jaccard similarity of the
+shingle sets, as 64-bit hashes, decides; connected components of the links keep one line, the first by document and position.
 
 Lines meet hubs first and the pairs of a band that lie in different components afterwards (see linking.py), so large groups
-of similar lines cost a few comparisons for each line and no pair of a band is left out.
+of similar lines cost a few comparisons for each line and no pair of a band is left out. What is left is compared inside the
+join by bit sets of the shingles, which bound the similarity from above, before any text is sent.
+
+Equal lines have equal 64-bit ids and equal check hashes (another seed). Of different lines that share an id, which 128 bits tell
+apart, the one with the largest check hash takes part in the fuzzy comparison and all are compared for equality.
 """
 
 from __future__ import annotations
@@ -14,104 +18,144 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, row_key, sized
+from .common import Scratch, sized, whole_row_key
 from .linking import linked_components
 
 SHINGLE = 12
 BANDS, ROWS = 7, 3
 #: Similarity of 4/5 or more.
 NUM, DEN = 4, 5
-_PATTERN = rf"(?s)(?=(.{{{SHINGLE}}}|^.{{1,{SHINGLE - 1}}}$))."
+#: 64-bit words of a line's bit set.
+WORDS = 8
+_BLANKS = " \t\n\x0b\f\r"
 
 
-def normal(line: Column) -> Column:
-    return F.lower(F.btrim(line, F.lit(" \t\n\x0b\f\r")))
+def _positions(line: str) -> tuple[Column, Column]:
+    """The line's UTF-16 units as bytes, and the number of its shingles."""
+    units = F.encode(F.col(line), "UTF-16BE")
+    return units, F.greatest(F.lit(1), F.floor(F.octet_length(units) / 2).cast("int") - (SHINGLE - 1))
 
 
-def shingles(line: Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(_PATTERN), F.lit(1))
+def shingle_hashes(line: str) -> Column:
+    """The set of a line's shingles as an array of 64-bit hashes."""
+    return F.array_distinct(_hashes(line))
 
 
 def _hashes(line: str) -> Column:
-    return F.transform(shingles(F.col(line)), lambda s: F.xxhash64(s))
+    units, n = _positions(line)
+    each = lambda u: F.transform(F.sequence(F.lit(1), n), lambda p: F.xxhash64(F.substring(u, 2 * p - 1, F.lit(2 * SHINGLE))))
+    return F.transform(F.array(units), each)[0]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, rk, pos, line: every line that isn't blank."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = rows.select("doc_id", row_key("doc_id", "text").alias("rk"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
-    return rows.select("doc_id", "rk", "pos", normal(F.col("raw")).alias("line")).where("line <> ''")
-
-
-def _bands(lines: DataFrame) -> DataFrame:
-    """id, bands: a row for each distinct line; shingles are aggregated where the lines are read."""
-    each = lines.select(F.xxhash64("line").alias("id"), F.explode(shingles(F.col("line"))).alias("s")).select("id", F.xxhash64("s").alias("h"))
-    n = BANDS * ROWS
-    mixed = each.select("id", *[F.xxhash64(F.lit(k), "h").alias(f"p{k}") for k in range(-(-n // 2))])
-    half = lambda k: F.col(f"p{k // 2}") if k % 2 == 0 else F.shiftleft(F.col(f"p{k // 2}"), 32)
-    least = [F.min(F.shiftright(half(k), 32).cast("int")).alias(f"m{k}") for k in range(n)]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_row_key(docs).alias("rk"), F.lower(F.col("text").cast("string")).alias("text"))
+    rows = rows.select("doc_id", "rk", F.posexplode(F.split("text", "\n", -1)).alias("pos", "raw"))
+    return rows.select("doc_id", "rk", "pos", F.btrim("raw", F.lit(_BLANKS)).alias("line")).where("line <> ''")
+
+
+def _keyed(lines: DataFrame) -> DataFrame:
+    return lines.withColumns({"id": F.xxhash64("line"), "chk": F.xxhash64("line", F.lit(1))})
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """lines (id, line), repeated or not -> id, bands; shingles are aggregated where the lines are read."""
+    units, n = _positions("line")
+    rows = lines.select("id", units.alias("u"), n.alias("n")).select("id", "u", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("p"))
+    each = rows.select("id", F.xxhash64(F.substring("u", 2 * F.col("p") - 1, F.lit(2 * SHINGLE))).alias("h"))
+    k = BANDS * ROWS
+    mixed = each.select("id", *[F.xxhash64(F.lit(i), "h").alias(f"p{i}") for i in range(-(-k // 2))])
+    half = lambda i: F.col(f"p{i // 2}") if i % 2 == 0 else F.shiftleft(F.col(f"p{i // 2}"), 32)
+    least = [F.min(F.shiftright(half(i), 32).cast("int")).alias(f"m{i}") for i in range(k)]
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     return mixed.groupBy("id").agg(*least).select("id", bands.alias("bands"))
 
 
-def duplicate_lines(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Two tables: id of each distinct line that has another occurrence or a similar line -> keep (doc_id, rk, pos), the occurrence that stays;
-    and id, doc_id, rk, pos of every line.
-    """
+def bit_sets(texts: DataFrame) -> DataFrame:
+    """texts (id, line), an id once -> id, n (size of the shingle set), w0 .. (parities of the shingles that fall on each bit)."""
+    each = texts.select("id", F.explode(shingle_hashes("line")).alias("h"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
+    part = F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1))
+    words = [F.bit_xor(F.when(part == w, bit).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+    return each.groupBy("id").agg(F.count("*").alias("n"), *words)
+
+
+def possible(l: str, r: str) -> Column:
+    """Whether sizes and bit sets allow the similarity: each bit in which two sets differ stands for a shingle that one of them lacks."""
+    differ = F.bit_count(F.col(f"{l}.w0").bitwiseXOR(F.col(f"{r}.w0")))
+    for w in range(1, WORDS):
+        differ = differ + F.bit_count(F.col(f"{l}.w{w}").bitwiseXOR(F.col(f"{r}.w{w}")))
+    x, y = F.col(f"{l}.n"), F.col(f"{r}.n")
+    return (DEN * F.least(x, y) >= NUM * F.greatest(x, y)) & (differ * (NUM + DEN) <= (x + y) * (DEN - NUM))
+
+
+def duplicate_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """rk, gone, kept, copies of each row with lines that occur elsewhere or resemble others: positions that go and that stay, and how often the row occurs."""
     lines = _lines(docs)
-    places = scratch.table(lines.select(F.xxhash64("line").alias("id"), "doc_id", "rk", "pos"), "places")
-    signed = scratch.table(_bands(lines), "bands")
+    places = scratch.table(_keyed(lines).select("id", "chk", "doc_id", "rk", "pos"), "places")
+    signed = scratch.table(signatures(lines.select(F.xxhash64("line").alias("id"), "line")), "bands")
     each = signed.select("id", F.explode("bands").alias("key"))
     hubs = scratch.table(each.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub"), "hubs")
     shared = scratch.table(each.join(sized(hubs), "key"), "shared")
-    scratch.drop(signed)
     ids = scratch.table(shared.select("id").distinct(), "candidate-ids")
-    texts = lines.select(F.xxhash64("line").alias("id"), "line").join(sized(ids), "id", "left_semi").groupBy("id").agg(F.max("line").alias("line"))
-    texts = scratch.table(texts.select("id", "line", F.size(F.array_distinct(_hashes("line"))).alias("n")), "candidate-lines")
-    scratch.drop(ids)
+    met = _keyed(lines.select("line")).join(sized(ids), "id", "left_semi").distinct()
+    texts = scratch.table(met.select("id", "line", "chk"), "candidate-lines")
+    if texts.count() > ids.count():  # different lines with the same id
+        texts = scratch.table(texts.groupBy("id").agg(F.max_by("line", "chk").alias("line"), F.max("chk").alias("chk")), "one-line-each")
+    marked = scratch.table(bit_sets(texts), "bit-sets")
+    marks = ["n", *[f"w{w}" for w in range(WORDS)]]
+    scratch.drop(signed, hubs, ids)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = scratch.table(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), f"{name}-ids")
-        met = texts.join(sized(wanted), "id", "left_semi")
-        x = met.select(F.col("id").alias("a"), F.col("line").alias("x"), F.col("n").alias("nx"))
-        y = met.select(F.col("id").alias("b"), F.col("line").alias("y"), F.col("n").alias("ny"))
-        total = F.col("nx") + F.col("ny")
-        near = F.least("nx", "ny") * DEN >= F.greatest("nx", "ny") * NUM
-        both = F.size(F.array_intersect(_hashes("x"), _hashes("y")))  # from the texts, which are shorter than their shingles
-        links = pairs.join(x, "a").join(y, "b").where(near & (both * (NUM + DEN) >= total * NUM))
+        side = lambda c: marked.select(F.col("id").alias(c), F.struct(*marks).alias(f"m{c}"))
+        near = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").where(possible("ma", "mb")).select("a", "b", (F.col("ma.n") + F.col("mb.n")).alias("both")), f"{name}-near")
+        wanted = scratch.table(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), f"{name}-ids")
+        some = texts.join(sized(wanted), "id", "left_semi")
+        x, y = some.select(F.col("id").alias("a"), F.col("line").alias("x")), some.select(F.col("id").alias("b"), F.col("line").alias("y"))
+        links = near.join(x, "a").join(y, "b").where(F.size(F.array_intersect(_hashes("x"), _hashes("y"))) * (NUM + DEN) >= F.col("both") * NUM)
         out = scratch.table(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-links")
-        scratch.drop(wanted)
+        scratch.drop(near, wanted)
         return out
 
     stars = shared.where("id <> hub").groupBy("id", "hub").agg(F.count("*").alias("n"))
     best = stars.groupBy("id").agg(F.max_by("hub", F.struct("n", "hub")).alias("hub")).select(F.col("hub").alias("a"), F.col("id").alias("b"))
-    comps = linked_components(shared.select("key", "id"), best, verified, scratch)
-    scratch.drop(hubs, shared, texts)
-
-    place = F.min(F.struct("doc_id", "rk", "pos")).alias("keep")
-    seen = places.groupBy("id").agg(place, F.count("*").alias("n"))
-    seen = scratch.table(seen.join(sized(comps), "id", "left").where("n > 1 or component is not null").select("id", "keep", F.coalesce("component", "id").alias("component")), "seen")
-    kept = seen.groupBy("component").agg(F.min("keep").alias("keep"))
-    return scratch.table(seen.select("id", "component").join(kept, "component").select("id", "keep"), "duplicates"), places
+    comps = linked_components(shared.select("key", "id"), best, verified, scratch, possible("l", "r"), marked)
+    fuzzy = scratch.table(comps.join(texts.select("id", "chk"), "id").select("id", "chk", "component"), "fuzzy")
+    scratch.drop(shared, marked, texts)
+
+    counts = places.groupBy("id", "chk").agg(F.count("*").alias("n"))
+    group = [F.coalesce("component", "id").alias("g"), F.when(F.col("component").isNull(), F.col("chk")).otherwise(0).alias("c")]
+    repeated = scratch.table(counts.join(sized(fuzzy), ["id", "chk"], "left").where("n > 1 or component is not null").select("id", "chk", *group), "repeated")
+    members = scratch.table(places.join(sized(repeated), ["id", "chk"]).select("g", "c", "doc_id", "rk", "pos"), "members")
+    keep = scratch.table(members.groupBy("g", "c").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("keep")), "keep")
+    stays = (F.col("keep.rk") == F.col("rk")) & (F.col("keep.pos") == F.col("pos"))
+    found = members.join(sized(keep), ["g", "c"]).groupBy("rk").agg(F.collect_set(F.when(~stays, F.col("pos"))).alias("gone"), F.collect_set(F.when(stays, F.col("pos"))).alias("kept"), F.count("*").alias("n"))
+    out = scratch.table(found.select("rk", "gone", "kept", (F.col("n") / (F.size("gone") + F.size("kept"))).cast("long").alias("copies")).where("size(gone) > 0 or copies > 1"), "dropped")
+    scratch.drop(places, fuzzy, repeated, members, keep)
+    return out
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """docs (doc_id, text, ...) -> columns row (that of docs, with the text that stays), n_lines, n_dropped.
 
-    n_lines counts the lines that aren't blank; blank lines always stay. A null text stays null, an empty one empty. Rows that repeat a
-    whole row count as one document, so each of them keeps its lines; a null doc_id comes first in order. An empty table gives
-    an empty result.
+    n_lines counts the lines that aren't blank; blank lines always stay. A null text stays null, an empty one empty. Of rows that
+    are equal in all columns one keeps what stays of their lines and the others lose all lines. A null doc_id comes first in order. Texts and
+    lines of any length are read whole. Columns of docs keep their names and values, whatever they are called. An empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
-    duplicates, places = duplicate_lines(docs, scratch)
-    found = places.select("rk", "pos", "id").join(sized(duplicates), "id")
-    gone = found.where((F.col("keep.rk") != F.col("rk")) | (F.col("keep.pos") != F.col("pos")))
-    gone = scratch.table(gone.groupBy("rk").agg(F.collect_set("pos").alias("gone")), "dropped")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("rk")).join(sized(gone), "rk", "left")
+    gone = duplicate_lines(docs, scratch)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_row_key(docs).alias("rk")).join(sized(gone), "rk", "left")
+    if gone.where("copies > 1").isEmpty():
+        rows = rows.select("row", "gone")
+    else:
+        again = rows.where("copies > 1").groupBy("rk").agg(F.first("row").alias("row"), F.first("gone").alias("gone"), F.first("kept").alias("kept"), F.count("*").alias("n"))
+        again = again.select("row", "gone", "kept", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+        again = again.select("row", F.when(F.col("nth") == 1, F.col("gone")).otherwise(F.array_union("gone", "kept")).alias("gone"))
+        rows = rows.where("copies is null or copies = 1").select("row", "gone").union(again)
     parts = F.split("row.text", "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone"))
     text = F.transform(F.array(F.struct(parts.alias("p"), stay.alias("s"))), lambda x: F.array_join(F.transform(x["s"], lambda i: F.element_at(x["p"], i + 1)), "\n"))[0]
-    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.filter(parts, lambda p: p.rlike(r"\S"))))
+    n_lines = F.when(F.col("row.text").isNull(), 0).otherwise(F.size(F.filter(parts, lambda p: F.btrim(p, F.lit(_BLANKS)) != "")))
     return rows.select(
         F.col("row").withField("text", F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(text)).alias("row"),
         n_lines.cast("long").alias("n_lines"),

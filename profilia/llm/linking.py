@@ -2,7 +2,8 @@
 
 First every id meets the hub that it shares most keys with. While many pairs are left that share a key and lie in different
 components, each id outside the largest component of a key meets members of that component, drawn anew each round. Finally all
-pairs that are left are compared, so no link between components is missed; inside a component no comparison is needed.
+pairs that are left are compared, first by bounds inside the join so that only pairs that may link leave it: no link between
+components is missed; inside a component no comparison is needed.
 """
 
 from __future__ import annotations
@@ -19,11 +20,11 @@ from .components import connected_components
 ROUNDS, PARTNERS, FEW = 6, 3, 1
 
 
-def linked_components(shared: DataFrame, first: DataFrame, verify: Callable[[DataFrame, str], DataFrame], scratch: Scratch, possible: Column | None = None) -> DataFrame:
+def linked_components(shared: DataFrame, first: DataFrame, verify: Callable[[DataFrame, str], DataFrame], scratch: Scratch, possible: Column | None = None, marks: DataFrame | None = None) -> DataFrame:
     """shared: key, id and more; first: pairs (a, b); verify: pairs (a, b) -> scratch table of links (src, dst).
 
-    possible: a condition on aliases l and r of shared that every linked pair meets at some shared key. Gives id, component of
-    all ids with links.
+    possible: a condition on aliases l and r of shared that every linked pair meets at some shared key; marks: further columns of
+    each id that it reads. Gives id, component of all ids with links.
     """
     n_shared = shared.count()
     done = scratch.table(first.select("a", "b"), "pairs", n_shared)
@@ -34,11 +35,11 @@ def linked_components(shared: DataFrame, first: DataFrame, verify: Callable[[Dat
     for k in range(ROUNDS + 1):
         comps = connected_components(links, scratch, n_links)
         placed = shared.join(sized(comps), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        groups = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("s"))
-        open_keys = scratch.table(groups.where("k > 1").select("key", "major", ((F.col("m") * F.col("m") - F.col("s")) / 2).cast("double").alias("pairs"), "m"), "open-keys", n_shared)
+        groups = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c").cast("double") * F.col("c")).alias("s"))
+        open_keys = scratch.table(groups.where("k > 1").select("key", "major", ((F.col("m").cast("double") * F.col("m") - F.col("s")) / 2).alias("pairs"), "m"), "open-keys", n_shared)
         pairs, entries = open_keys.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
         rest = scratch.table(placed.join(sized(open_keys.select("key", "major")), "key").withColumn("minor", F.col("component") != F.col("major")), "open", n_shared)
-        scratch.drop(open_keys)
+        scratch.drop(open_keys, comps)
         if k == ROUNDS or pairs <= FEW * entries or (before is not None and pairs > 0.7 * before):
             break
         before = pairs
@@ -51,12 +52,16 @@ def linked_components(shared: DataFrame, first: DataFrame, verify: Callable[[Dat
         links = scratch.table(links.union(verify(fresh, f"round-{k}")), "links", n_links)
         seen = seen.union(fresh)
         scratch.drop(rest)
-    l, r = rest.where("minor").alias("l"), rest.alias("r")
+    full = rest
+    if marks is not None:
+        full = scratch.table(rest.join(marks.join(sized(scratch.table(rest.select("id").distinct(), "open-ids", n_shared)), "id", "left_semi"), "id"), "marked", n_shared)
+        scratch.drop(rest)
+    l, r = full.where("minor").alias("l"), full.alias("r")
     cross = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (~F.col("r.minor") | (F.col("l.id") < F.col("r.id")))
     if possible is not None:
         cross &= possible
     more = l.join(r, cross).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
-    more = scratch.table(more.join(seen, ["a", "b"], "left_anti"), "pairs", int(pairs))
+    more = scratch.table(more.join(seen, ["a", "b"], "left_anti"), "pairs", int(min(pairs, 1e15)))
     out = connected_components(links.union(verify(more, "cross")), scratch, n_links + more.count())
-    scratch.drop(rest, more)
+    scratch.drop(full, more, done)
     return out
