@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes, measured over all rows, up to which a side is broadcast; for one column of ids more, as they pack densely.
-BROADCAST_BYTES, BROADCAST_ID_BYTES = 8 << 20, 32 << 20
+BROADCAST_BYTES, BROADCAST_ID_BYTES = 24 << 20, 32 << 20
 #: Rows that a task writes at least where a table's size is known beforehand.
 TASK_ROWS = 100_000
 

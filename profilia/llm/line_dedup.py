@@ -1,8 +1,8 @@
 """Fuzzy line dedup with DataFrame operations only.
 
 A line, lower-cased and trimmed, has as shingles the SHINGLE characters (UTF-16 units) from each character on, or itself if it is
-shorter. MinHash: each shingle is hashed once, and that hash once more for every two permutations, which order by its upper and
-lower half; the minima of a line form BANDS bands of ROWS. Lines that share a band are candidates; exact Jaccard similarity of the
+shorter. MinHash: each shingle is hashed once, and that hash once more for every band, whose ROWS permutations order by fields of
+it; the minima of a line form BANDS bands of ROWS. Lines that share a band are candidates; exact Jaccard similarity of the
 shingle sets, as 64-bit hashes, decides; connected components of the links keep one line, the first by document and position.
 
 Lines meet hubs first and the pairs of a band that lie in different components afterwards (see linking.py), so large groups
@@ -23,10 +23,14 @@ from .linking import linked_components
 
 SHINGLE = 12
 BANDS, ROWS = 7, 3
+#: Bits of the hash that a permutation orders by.
+FIELD = 21
+#: Shingles of a row that is aggregated.
+STEP = 4
 #: Similarity of 4/5 or more.
 NUM, DEN = 4, 5
 #: 64-bit words of a line's bit set.
-WORDS = 8
+WORDS = 16
 _BLANKS = " \t\n\x0b\f\r"
 
 
@@ -59,15 +63,16 @@ def _keyed(lines: DataFrame) -> DataFrame:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """lines (id, line), repeated or not -> id, bands; shingles are aggregated where the lines are read."""
+    """lines (id, line), repeated or not -> id, bands; shingles are aggregated where the lines are read, STEP of them in a row."""
     units, n = _positions("line")
-    rows = lines.select("id", units.alias("u"), n.alias("n")).select("id", "u", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("p"))
-    each = rows.select("id", F.xxhash64(F.substring("u", 2 * F.col("p") - 1, F.lit(2 * SHINGLE))).alias("h"))
-    k = BANDS * ROWS
-    mixed = each.select("id", *[F.xxhash64(F.lit(i), "h").alias(f"p{i}") for i in range(-(-k // 2))])
-    half = lambda i: F.col(f"p{i // 2}") if i % 2 == 0 else F.shiftleft(F.col(f"p{i // 2}"), 32)
-    least = [F.min(F.shiftright(half(i), 32).cast("int")).alias(f"m{i}") for i in range(k)]
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
+    rows = lines.select("id", units.alias("u"), n.alias("n")).select("id", "u", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STEP))).alias("p"))
+    at = lambda i: F.least(F.col("p") + i, F.col("n"))
+    each = rows.select("id", *[F.xxhash64(F.substring("u", 2 * at(i) - 1, F.lit(2 * SHINGLE))).alias(f"h{i}") for i in range(STEP)])
+    # a shingle's hash is hashed once more for each band, and a permutation's order is by FIELD bits of that
+    mixed = each.select("id", *[F.xxhash64(F.col(f"h{i}").bitwiseXOR(F.lit(b))).alias(f"p{b}_{i}") for b in range(BANDS) for i in range(STEP)])
+    field = lambda b, r, i: F.shiftright(f"p{b}_{i}", FIELD * r).bitwiseAND(F.lit((1 << FIELD) - 1).cast("long"))
+    least = [F.min(F.least(*[field(b, r, i) for i in range(STEP)])).alias(f"m{b}_{r}") for b in range(BANDS) for r in range(ROWS)]
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b}_{r}") for r in range(ROWS)]) for b in range(BANDS)])
     return mixed.groupBy("id").agg(*least).select("id", bands.alias("bands"))
 
 
@@ -130,7 +135,9 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     keep = scratch.table(members.groupBy("g", "c").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("keep")), "keep")
     stays = (F.col("keep.rk") == F.col("rk")) & (F.col("keep.pos") == F.col("pos"))
     found = members.join(sized(keep), ["g", "c"]).groupBy("rk").agg(F.collect_set(F.when(~stays, F.col("pos"))).alias("gone"), F.collect_set(F.when(stays, F.col("pos"))).alias("kept"), F.count("*").alias("n"))
-    out = scratch.table(found.select("rk", "gone", "kept", (F.col("n") / (F.size("gone") + F.size("kept"))).cast("long").alias("copies")).where("size(gone) > 0 or copies > 1"), "dropped")
+    copies = (F.col("n") / (F.size("gone") + F.size("kept"))).cast("long")
+    found = found.withColumn("copies", copies).where("size(gone) > 0 or copies > 1")
+    out = scratch.table(found.select("rk", "gone", F.when(F.col("copies") > 1, F.col("kept")).alias("kept"), "copies"), "dropped")
     scratch.drop(places, fuzzy, repeated, members, keep)
     return out
 
@@ -144,8 +151,9 @@ def dedup_lines(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     gone = duplicate_lines(docs, scratch)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_row_key(docs).alias("rk")).join(sized(gone), "rk", "left")
-    if gone.where("copies > 1").isEmpty():
+    repeats = not gone.where("copies > 1").isEmpty()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), whole_row_key(docs).alias("rk")).join(sized(gone if repeats else gone.select("rk", "gone")), "rk", "left")
+    if not repeats:
         rows = rows.select("row", "gone")
     else:
         again = rows.where("copies > 1").groupBy("rk").agg(F.first("row").alias("row"), F.first("gone").alias("gone"), F.first("kept").alias("kept"), F.count("*").alias("n"))

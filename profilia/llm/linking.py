@@ -1,7 +1,9 @@
 """Components of a similarity graph whose candidates share keys, without comparing all pairs of large groups.
 
 First every id meets the hub that it shares most keys with. While many pairs are left that share a key and lie in different
-components, each id outside the largest component of a key meets members of that component, drawn anew each round. Finally all
+components and, by the share of links among the pairs of the round before, many of them link, each id outside the largest component
+of a key meets a member of that component and one of a few ids of the key that fall into the same cell, both drawn anew each
+round, so that dense groups grow together whether their hub belongs to them or not. Finally all
 pairs that are left are compared, first by bounds inside the join so that only pairs that may link leave it: no link between
 components is missed; inside a component no comparison is needed.
 """
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, sized
 from .components import connected_components
 
-#: Rounds at most before the remaining pairs are compared; partners of an id in a round; pairs for each entry that need no further round.
-ROUNDS, PARTNERS, FEW = 6, 3, 1
+#: Rounds at most before the remaining pairs are compared; partners of an id in a round; links expected for each entry that need no further round; ids of a key in a cell, on average.
+ROUNDS, PARTNERS, FEW, CELL = 8, 3, 1, 4
 
 
 def linked_components(shared: DataFrame, first: DataFrame, verify: Callable[[DataFrame, str], DataFrame], scratch: Scratch, possible: Column | None = None, marks: DataFrame | None = None) -> DataFrame:
@@ -31,25 +33,31 @@ def linked_components(shared: DataFrame, first: DataFrame, verify: Callable[[Dat
     n_links = done.count()
     links = verify(done, "hub")
     seen = done.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    before = None
+    rate = links.count() / max(1, n_links)
     for k in range(ROUNDS + 1):
         comps = connected_components(links, scratch, n_links)
         placed = shared.join(sized(comps), "id", "left").withColumn("component", F.coalesce("component", "id"))
         groups = placed.groupBy("key", "component").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("component", F.struct("c", "component")).alias("major"), F.count("*").alias("k"), F.sum("c").alias("m"), F.sum(F.col("c").cast("double") * F.col("c")).alias("s"))
         open_keys = scratch.table(groups.where("k > 1").select("key", "major", ((F.col("m").cast("double") * F.col("m") - F.col("s")) / 2).alias("pairs"), "m"), "open-keys", n_shared)
         pairs, entries = open_keys.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("m"), F.lit(0))).first()
-        rest = scratch.table(placed.join(sized(open_keys.select("key", "major")), "key").withColumn("minor", F.col("component") != F.col("major")), "open", n_shared)
+        rest = scratch.table(placed.join(sized(open_keys.select("key", "major", F.col("m").alias("size"))), "key").withColumn("minor", F.col("component") != F.col("major")), "open", n_shared)
         scratch.drop(open_keys, comps)
-        if k == ROUNDS or pairs <= FEW * entries or (before is not None and pairs > 0.7 * before):
+        if k == ROUNDS or pairs * rate <= FEW * entries:
             break
-        before = pairs
         members = rest.where("not minor").groupBy("key").agg(F.min_by("id", F.xxhash64("id", "key", F.lit(k))).alias("a"))
-        met = rest.where("minor").select("key", F.col("id").alias("b")).join(members, "key").groupBy("a", "b").agg(F.count("*").alias("n"))
+        met = rest.where("minor").select("key", F.col("id").alias("b")).join(members, "key").select("a", "b")
+        h = F.xxhash64("id", "key", F.lit(-1 - k))
+        cell = rest.select("key", "id", "component", h.alias("h"), F.pmod(h, F.ceil(F.col("size") / CELL)).alias("cell"))
+        least = cell.groupBy("key", "cell").agg(F.min_by("id", "h").alias("a"), F.min_by("component", "h").alias("c"))
+        mates = cell.join(least, ["key", "cell"]).where("component <> c").select("a", F.col("id").alias("b"))
+        met = met.union(mates).groupBy("a", "b").agg(F.count("*").alias("n"))
         best = met.withColumn("nth", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("n"), F.xxhash64("a", F.lit(k))))).where(F.col("nth") <= PARTNERS)
         fresh = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(seen, ["a", "b"], "left_anti").distinct()
         fresh = scratch.table(fresh, "pairs", n_shared)
-        n_links += fresh.count()
-        links = scratch.table(links.union(verify(fresh, f"round-{k}")), "links", n_links)
+        n_fresh, found = fresh.count(), verify(fresh, f"round-{k}")
+        rate = found.count() / max(1, n_fresh)
+        n_links += n_fresh
+        links = scratch.table(links.union(found), "links", n_links)
         seen = seen.union(fresh)
         scratch.drop(rest)
     full = rest
