@@ -44,6 +44,15 @@ class ManifoldConfig:
     seed: int = 43
 
 
+@dataclass(frozen=True)
+class ClusterConfig:
+    min_cluster_size: int = 50
+    min_samples: int = 12
+    cluster_selection_epsilon: float = 0.0
+    allow_single_cluster: bool = False
+    lof_neighbors: int = 30
+
+
 @dataclass(frozen=True)
 class BaselineConfig:
     signal: str = "bopd"

@@ -69,6 +69,21 @@ def record_count(label: Column, default: int = 300) -> Column:
     return F.when(a != "", F.greatest(F.lit(1).cast("long"), F.try_subtract(b.cast("long"), a.cast("long")) + 1)).otherwise(F.lit(default).cast("long"))
 
 
+def group_dir_name(label: Column) -> Column:
+    """'records a - b' for a label that names a range, else the sanitized label in lower case."""
+    a, b = (F.regexp_extract(label, r"(?i)Records?\s+(\d+)\s+to\s+(\d+)", i) for i in (1, 2))
+    return F.when(a != "", F.concat(F.lit("records "), a, F.lit(" - "), b)).otherwise(F.lower(sanitize_filename(F.coalesce(label, F.lit("")))))
+
+
+def group_index(link: Column) -> Column:
+    """The number of the group that a tree link names (s0, two backslashes, digits); null where there is none."""
+    return F.nullif(F.regexp_extract(link, r"s0\\\\(\d+)", 1), F.lit("")).cast("long")
+
+
+def well_file_name(label: Column, suffix: str = ".csv") -> Column:
+    return F.concat(sanitize_filename(F.coalesce(label, F.lit(""))), F.lit(suffix))
+
+
 def is_tree_node(label: Column) -> Column:
     return label.rlike(r"^\s*\d{6,}\s*-\s*.+")
 

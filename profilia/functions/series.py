@@ -7,18 +7,21 @@ from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
-def interpolated(c: Column, i: Column, w: WindowSpec) -> Column:
-    """Missing values linearly between their neighbours by position, the ends filled flat."""
-    back, ahead = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(0, Window.unboundedFollowing)
+def interpolated(c: Column, i: Column, w: WindowSpec, back: WindowSpec) -> Column:
+    """Missing values linearly between their neighbours by position, the ends filled flat; back is w in descending order.
+
+    Both neighbours come from running frames, so a series costs time in proportion to its length.
+    """
     here = F.when(c.isNotNull(), F.struct(i.alias("i"), c.alias("y")))
-    p, n = F.last(here, ignorenulls=True).over(back), F.first(here, ignorenulls=True).over(ahead)
+    seen = lambda x: F.last(here, ignorenulls=True).over(x.rowsBetween(Window.unboundedPreceding, 0))
+    p, n = seen(w), seen(back)
     between = p["y"] + (n["y"] - p["y"]) * (i - p["i"]) / (n["i"] - p["i"])
     return F.coalesce(c, F.when(p.isNotNull() & n.isNotNull(), between), p["y"], n["y"])
 
 
 def winsorized(c: Column, low: float, high: float, whole: WindowSpec) -> Column:
-    lo, hi = F.percentile(c, F.lit(low)).over(whole), F.percentile(c, F.lit(high)).over(whole)
-    return F.when(c.isNotNull(), F.least(F.greatest(c, lo), hi))
+    ends = F.percentile(c, F.array(F.lit(low), F.lit(high))).over(whole)
+    return F.when(c.isNotNull(), F.least(F.greatest(c, ends[0]), ends[1]))
 
 
 def hat_matrix(window: int, poly: int) -> np.ndarray:

@@ -35,7 +35,17 @@ def monthly_signal(rows: DataFrame, cfg: BaselineConfig = BaselineConfig()) -> D
 def interpolated_signal(signal: DataFrame) -> DataFrame:
     w = Window.partitionBy("well_name").orderBy("date")
     out = signal.withColumn("i", F.row_number().over(w) - 1)
-    return out.withColumn("f", S.interpolated(F.col("s"), F.col("i"), w))
+    return out.withColumn("f", S.interpolated(F.col("s"), F.col("i"), w, Window.partitionBy("well_name").orderBy(F.desc("date"))))
+
+
+def filled_signal(signal: DataFrame, empty: float = 0.0) -> DataFrame:
+    """The monthly signal with months that have no value as `empty`: the sum over a month without rows is 0."""
+    return signal.withColumn("s", F.coalesce("s", F.lit(empty)))
+
+
+def monthly_means(rows: DataFrame, column: str) -> DataFrame:
+    """well_name, date (month end), s: the mean of a column's present values in each month that has rows; for signals that can't be summed."""
+    return rows.groupBy("well_name", C.month_end(F.col("date")).alias("date")).agg(F.avg(column).alias("s"))
 
 
 def run_starts(filled: DataFrame, cfg: BaselineConfig = BaselineConfig()) -> DataFrame:

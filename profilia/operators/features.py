@@ -52,6 +52,7 @@ def compute_side_features(panel: DataFrame, T: int = 36) -> DataFrame:
 def scale_features(features: DataFrame, key: str = "well_name") -> DataFrame:
     """(x - median) / (q75 - q25) of each column with exact quantiles; a spread of 0 counts as 1, nulls stay."""
     cols = [c for c in features.columns if c != key]
+    features = features.persist()  # read for the quantiles and for the rows
     stats = features.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in cols])  # one row
     both = features.alias("f").join(F.broadcast(stats.alias("s")))
     spread = lambda c: F.col(f"s.{c}")[2] - F.col(f"s.{c}")[0]

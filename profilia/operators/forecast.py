@@ -38,10 +38,10 @@ def knn_forecast(matrices: DataFrame, cfg: ForecastConfig = ForecastConfig()) ->
         raise ValueError("fewer than 3 wells with a complete horizon")
     points = full.select(F.col("well_name").alias("id"), F.col("x_pref").alias("v"))
     near = knn(points, points, min(cfg.K + 1, n), drop_self=False)
-    kept = near.where((F.col("d") > 0) & (F.col("rank") <= cfg.K + 1))
-    alone = near.where("rank = 1").join(kept.select("i").distinct(), "i", "left_anti")
-    order = F.row_number().over(Window.partitionBy("i").orderBy("rank"))
-    pairs = kept.withColumn("nth", order).where(F.col("nth") <= cfg.K).select("i", "j").union(alone.select("i", "j"))
+    own = Window.partitionBy("i")
+    ok = F.when((F.col("d") > 0) & (F.col("rank") <= cfg.K + 1), 1).otherwise(0)
+    near = near.withColumn("ok", ok).withColumns({"any": F.max("ok").over(own), "nth": F.sum("ok").over(own.orderBy("rank"))})
+    pairs = near.where(((F.col("ok") == 1) & (F.col("nth") <= cfg.K)) | ((F.col("any") == 0) & (F.col("rank") == 1))).select("i", "j")
     a = full.select(F.col("well_name").alias("i"), F.slice("y_full", 1, cfg.T_pref).alias("a"))
     b = full.select(F.col("well_name").alias("j"), F.col("y_full").alias("b"))
     both = pairs.join(a, "i").join(b, "j")
@@ -66,11 +66,11 @@ def prefix_features(scaled: DataFrame, cfg: ForecastConfig = ForecastConfig()) -
 
 
 def forecast_long(matrices: DataFrame, forecast: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
-    """well_name, t, y_true, y_pred (observed in the prefix), segment for the wells with a forecast."""
-    true = matrices.join(forecast.select("well_name").distinct(), "well_name").select("well_name", F.posexplode("y_full").alias("t", "y_true"))
-    both = true.join(forecast, ["well_name", "t"], "left")
+    """well_name, t, y_true, y_pred (observed in the prefix), segment for the wells with a forecast; the forecast is computed once."""
+    months = forecast.groupBy("well_name").agg(F.map_from_entries(F.collect_list(F.struct("t", "y_pred"))).alias("pred"))  # a horizon each
+    true = matrices.join(months, "well_name").select("well_name", "pred", F.posexplode("y_full").alias("t", "y_true"))
     seen = F.col("t") < cfg.T_pref
-    return both.select("well_name", "t", "y_true", F.when(seen, F.col("y_true")).otherwise(F.col("y_pred")).alias("y_pred"), F.when(seen, "observed").otherwise("forecast").alias("segment"))
+    return true.select("well_name", "t", "y_true", F.when(seen, F.col("y_true")).otherwise(F.try_element_at("pred", F.col("t"))).alias("y_pred"), F.when(seen, "observed").otherwise("forecast").alias("segment"))
 
 
 def forecast_wide(long: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
@@ -82,8 +82,8 @@ def forecast_wide(long: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> Da
 def evaluate_forecasts(long: DataFrame) -> DataFrame:
     """rmse, smape, n_eval over the wells whose forecast months are all present on both sides."""
     rows = long.where("segment = 'forecast'")
-    whole = rows.groupBy("well_name").agg(F.bool_and(F.col("y_true").isNotNull() & F.col("y_pred").isNotNull()).alias("ok")).where("ok").select("well_name")
-    e = F.col("y_pred") - F.col("y_true")
-    return rows.join(whole, "well_name").agg(
-        F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(2 * F.abs(e) / (F.abs("y_pred") + F.abs("y_true") + 1e-9)).alias("smape"), F.count_distinct("well_name").alias("n_eval")
+    e, both = F.col("y_pred") - F.col("y_true"), F.col("y_true").isNotNull() & F.col("y_pred").isNotNull()
+    wells = rows.groupBy("well_name").agg(
+        F.bool_and(both).alias("ok"), F.count("*").alias("n"), F.sum(e * e).alias("sq"), F.sum(2 * F.abs(e) / (F.abs("y_pred") + F.abs("y_true") + 1e-9)).alias("rel")
     )
+    return wells.where("ok").agg(F.sqrt(F.sum("sq") / F.sum("n")).alias("rmse"), (F.sum("rel") / F.sum("n")).alias("smape"), F.count("*").alias("n_eval"))

@@ -7,13 +7,15 @@ and sums over all edges at once; its coordinates aren't those of any other imple
 from __future__ import annotations
 
 import math
-import tempfile
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+from .preprocess import numbered
+
 #: Curve of the low-dimensional similarity for a least distance of 0.05.
 CURVE_A, CURVE_B = 1.75, 0.84
 
@@ -43,11 +45,8 @@ def fuzzy_graph(edges: DataFrame, k: int) -> DataFrame:
 
 def layout(graph: DataFrame, start: DataFrame, epochs: int = 15, negatives: int = 4, rate: float = 1.0, seed: int = 43) -> DataFrame:
     """graph (i, j, w) and start (id, x, y) -> id, x, y after `epochs` rounds of forces, checkpointed each."""
-    sc = graph.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(graph.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())  # our own only where none is set
-    graph = graph.checkpoint()
-    ids = start.select("id").withColumn("k", F.row_number().over(Window.orderBy("id")) - 1).checkpoint()
+    graph = cut(graph)
+    ids = cut(numbered(start.select("id"), "id", "k"))
     n = ids.count()
     pos = start
     clip = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
@@ -65,5 +64,5 @@ def layout(graph: DataFrame, start: DataFrame, epochs: int = 15, negatives: int
         step = both.groupBy(F.col("i").alias("id")).agg(F.avg(clip(force * dx)).alias("gx"), F.avg(clip(force * dy)).alias("gy"))
         speed = rate * (1 - e / epochs)
         moved = pos.join(step, "id", "left").select("id", (F.col("x") + speed * F.coalesce("gx", F.lit(0.0))).alias("x"), (F.col("y") + speed * F.coalesce("gy", F.lit(0.0))).alias("y"))
-        pos = moved.checkpoint()
+        pos = cut(moved)
     return pos

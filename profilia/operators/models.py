@@ -26,7 +26,9 @@ def isolation_scores(vectors: DataFrame, trees: int = 100, seed: int = 42) -> Da
     """
     n = vectors.count()
     share = min(1.0, TREE_ROWS / max(1, n))
-    drawn = vectors.select("v", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "id").where(F.pmod(F.xxhash64("id", "tree", F.lit(seed)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)) + 1)
+    cut = int(share * 1_000_000) + 1
+    mine = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(F.xxhash64("id", t, F.lit(seed)), F.lit(1_000_000)) < F.lit(cut))
+    drawn = vectors.select("id", "v", F.explode(mine).alias("tree"))  # a row for each tree that draws the row
 
     def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
         rng = np.random.default_rng((seed, int(key[0])))

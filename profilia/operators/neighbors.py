@@ -57,9 +57,12 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, id_type: str = "string",
     def kernel(a: dict, b: dict):
         d = np.round(_distances(a["v"], b["v"]), 9)
         rows = []
+        some = min(len(b["id"]), k + 1) - 1  # one more, as the row itself may be among them
+        edge = np.partition(d, some, axis=1)[:, some] if len(b["id"]) else np.zeros(len(d))
         for i, x in enumerate(a["id"]):
-            order = np.lexsort((b["id"], d[i]))
-            order = order[b["id"][order] != x] if drop_self else order
+            near = np.flatnonzero(d[i] <= edge[i])
+            near = near[b["id"][near] != x] if drop_self else near
+            order = near[np.lexsort((b["id"][near], d[i, near]))]
             rows += [(x, b["id"][j], d[i, j]) for j in order[:k]]
         return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
 

@@ -15,6 +15,17 @@ from ..sources.tables import canonical
 VOLUMES = ("oil", "water", "gas")
 
 
+def producing_rows(raw: DataFrame) -> DataFrame:
+    """Rows whose three volumes are all present and not negative."""
+    return canonical(raw).where(" and ".join(f"{c} >= 0" for c in VOLUMES))
+
+
+def sample_wells(rows: DataFrame, n: int, seed: int = 43) -> DataFrame:
+    """All rows of n wells, the first in an order that the seed shuffles; all wells if there are no more."""
+    wells = rows.select("well_name").distinct().orderBy(F.xxhash64("well_name", F.lit(seed)), "well_name").limit(n)
+    return rows.join(wells, "well_name", "left_semi")
+
+
 def monthly_rates(raw: DataFrame, cfg: PrepConfig = PrepConfig()) -> DataFrame:
     """One row for each well and present month: sums, effective days and daily rates. A month without any value sums to 0."""
     rows = canonical(raw)
@@ -31,12 +42,12 @@ def monthly_rates(raw: DataFrame, cfg: PrepConfig = PrepConfig()) -> DataFrame:
 def smooth_rates(rates: DataFrame, cfg: PrepConfig = PrepConfig()) -> DataFrame:
     """Winsorized rates r_*, smoothed r_*_s, position i and length n of the series."""
     whole = Window.partitionBy("well_name")
-    w = whole.orderBy("date")
+    w, back = whole.orderBy("date"), whole.orderBy(F.desc("date"))
     out = rates.withColumns({f"r_{c}": S.winsorized(F.col(f"r_{c}"), cfg.winsorize_low, cfg.winsorize_high, whole) for c in VOLUMES})
     out = out.withColumns({"i": F.row_number().over(w) - 1, "n": F.count(F.lit(1)).over(whole)})
     base = {f"r_{c}_s": F.col(f"r_{c}") for c in VOLUMES}
     if cfg.interpolate_gaps:
-        base = {k: S.interpolated(v, F.col("i"), w) for k, v in base.items()}
+        base = {k: S.interpolated(v, F.col("i"), w, back) for k, v in base.items()}
     out = out.withColumns(base)
     out = out.withColumns({k: S.smoothed(F.col(k), F.col("i"), F.col("n"), w, cfg.smooth_window, cfg.smooth_poly) for k in base})
     if cfg.clamp_nonnegative:
@@ -59,6 +70,15 @@ def add_channels(smooth: DataFrame, cfg: PrepConfig = PrepConfig()) -> DataFrame
 PANEL = ["well_name", "t", "date", "oil_sum", "water_sum", "gas_sum", "days_sum", "valid_days", "days_eff", "r_oil", "r_water", "r_gas", "r_oil_s", "r_water_s", "r_gas_s", "wc", "gor", "r_oil_norm", "r_water_norm", "r_gas_norm", "dr_oil_norm"]
 
 
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows with their place from 0 in the order of the unique column `by`: ranges are numbered on their own and shifted by the rows before them."""
+    ranged = rows.repartitionByRange(by).withColumn("__part", F.spark_partition_id()).persist()
+    before = ranged.groupBy("__part").agg(F.count("*").alias("n"))  # one row for each partition
+    offsets = before.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "offset")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(by)) - 1
+    return ranged.withColumn("__k", inside).join(F.broadcast(offsets), "__part").withColumn(name, F.col("offset") + F.col("__k")).drop("__part", "__k", "offset")
+
+
 @dataclass
 class Profiles:
     """Lazy results: panel, the wells that were dropped with their reasons, and their counts."""
@@ -74,7 +94,7 @@ class Profiles:
     @property
     def wells(self) -> DataFrame:
         """well_name with its explicit place in the order of names."""
-        return self.panel.select("well_name").distinct().withColumn("well_idx", F.row_number().over(Window.orderBy("well_name")) - 1)
+        return numbered(self.panel.select("well_name").distinct(), "well_name", "well_idx")
 
     def tensor(self) -> DataFrame:
         """An array of length T for each channel and well, null where the profile has ended."""

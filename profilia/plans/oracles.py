@@ -174,6 +174,11 @@ ORACLES: dict[str, str] = {
     "zscored_wide": f"WITH {WIDE} SELECT well_name, t, {r('((f - m) / (sd + 1e-8))', 'z')} FROM zz WHERE n = 12",
     "slugify_names": r"""SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(' ' || p_name || ': a/b, ' || p_name), '[\\/:*?"<>|]+', '_', 'g'), '[\s,]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part""",
     "sanitize_names": r"""SELECT c_custkey, coalesce(nullif(trim(regexp_replace(regexp_replace(c_name || ' <x>|  ?', '[\\/:*?"<>|]+', ' ', 'g'), '\s+', ' ', 'g')), ''), 'file') AS name FROM customer""",
+    "producing_rows": f"WITH {B} SELECT well_name, count(*) AS n, {r('sum(oil)', 'oil')}, {r('sum(gas)', 'gas')} FROM raw WHERE oil >= 0 AND gas >= 0 AND water >= 0 GROUP BY 1",
+    "resampled_sums": f"WITH {BASE} SELECT well_name, date, {r('coalesce(s, 0.0)', 's')} FROM fil",
+    "monthly_means": f"WITH {B} SELECT well_name, last_day(date) AS date, {r('avg(oil)', 's')} FROM raw GROUP BY 1, 2",
+    "group_names": """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'group ' || c_custkey ELSE 'records ' || c_custkey || ' - 9000' END AS folder,
+  CASE WHEN c_custkey % 2 = 0 THEN c_custkey::BIGINT END AS nth, c_custkey || ' a b.csv' AS file FROM customer""",
     "record_range_parse": r"""WITH l AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'Group ' || c_custkey ELSE 'Records ' || c_custkey || ' to ' || (c_custkey * 2 - 40) END AS label FROM customer)
         SELECT c_custkey, CASE WHEN regexp_matches(label, '(?i)Records?\s+(\d+)\s+to\s+(\d+)') THEN greatest(1, regexp_extract(label, '(?i)Records?\s+(\d+)\s+to\s+(\d+)', 2)::BIGINT - regexp_extract(label, '(?i)Records?\s+(\d+)\s+to\s+(\d+)', 1)::BIGINT + 1) ELSE 300 END AS records,
           regexp_matches(lpad(c_custkey::VARCHAR, 5, '0') || '1 - x', '^\s*\d{6,}\s*-\s*.+') AS is_node FROM l""",

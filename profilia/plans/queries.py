@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BaselineConfig, ForecastConfig, ManifoldConfig, PrepConfig
 from ..functions import columns as C
-from ..operators import anomaly, baseline, clusters, dtw, features, forecast, layout, models, neighbors, preprocess
+from ..operators import anomaly, barycenter, baseline, clusters, density, dtw, features, forecast, layout, models, neighbors, preprocess
 from ..sources import tables
 
 R = C.rounded
@@ -214,6 +214,45 @@ def record_range_parse(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", C.record_count(label).alias("records"), C.is_tree_node(F.concat(F.lpad(key.cast("string"), 5, "0"), F.lit("1 - x"))).alias("is_node"))
 
 
+def producing_rows(spark: SparkSession, sf: str) -> DataFrame:
+    rows = preprocess.producing_rows(tables.part_wells(spark, sf))
+    return _rounded(rows.groupBy("well_name").agg(F.count("*").alias("n"), F.sum("oil").alias("oil"), F.sum("gas").alias("gas")))
+
+
+def resampled_sums(spark: SparkSession, sf: str) -> DataFrame:
+    signal = baseline.monthly_signal(baseline.daily_signals(tables.part_wells(spark, sf)), _BASE)
+    return _rounded(baseline.filled_signal(signal).select("well_name", "date", "s"))
+
+
+def monthly_means(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(baseline.monthly_means(tables.part_wells(spark, sf), "oil"))
+
+
+def sampled_wells(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(preprocess.sample_wells(preprocess.monthly_rates(tables.supplier_wells(spark, sf)), 20).select("well_name", "date", "r_oil"))
+
+
+def group_names(spark: SparkSession, sf: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    key = F.col("c_custkey").cast("string")
+    label = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Group <"), key, F.lit("> "))).otherwise(F.concat(F.lit("Records "), key, F.lit(" to 9000")))
+    link = F.concat(F.lit("x('s0"), F.repeat(F.lit("\\"), F.when(F.col("c_custkey") % 2 == 0, 2).otherwise(1)), key, F.lit("')"))
+    return c.select("c_custkey", C.group_dir_name(label).alias("folder"), C.group_index(link).alias("nth"), C.well_file_name(F.concat(key, F.lit(": a/b"))).alias("file"))
+
+
+def hdbscan_clusters(spark: SparkSession, sf: str) -> DataFrame:
+    xy = clusters.pca_map(tables.embeddings(spark, sf))[0].select("id", F.array("x", "y").alias("v"))
+    return density.hdbscan_clusters(xy)
+
+
+def cluster_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return density.cluster_quality(tables.embeddings(spark, sf))
+
+
+def barycenters(spark: SparkSession, sf: str) -> DataFrame:
+    return barycenter.barycenters(_profiles(spark, sf).tensor(), _labels(spark, sf), "r_oil_norm")
+
+
 def pca_map(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.pca_map(tables.embeddings(spark, sf))[0]
 
@@ -267,7 +306,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         start_detection_high_thr, profile_tensor, side_features, side_features_scaled, prefix_scaled, prefix_features, knn_edges, knn_pairs, knn_forecast,
         forecast_long, forecast_wide, forecast_metrics, lof_scores, medoid_distance, anomaly_scores, top_anomalies, silhouette_by_label,
         mutual_reachability, cluster_summary, prototypes_median_iqr, cluster_mean_bands, clipped_signal, dense_month_spine, interpolated_series,
-        run_length_start, zscored_wide, slugify_names, sanitize_names, record_range_parse, pca_map, kmeans_auto, gmm_bic,
+        run_length_start, zscored_wide, slugify_names, sanitize_names, record_range_parse, producing_rows, resampled_sums, monthly_means, sampled_wells,
+        group_names, hdbscan_clusters, cluster_quality, barycenters, pca_map, kmeans_auto, gmm_bic,
         dtw_refined_edges, umap_map, umap_dtw_map, isolation_forest, elasticnet_forecast,
     )
 }

@@ -29,6 +29,44 @@ def export_csv_summaries(map_: DataFrame, summary: DataFrame, out: str, k: int =
         df.write.mode("overwrite").option("header", True).csv(f"{out}/{name}")
 
 
+def export_forecasts(long: dict[str, DataFrame], metrics: dict[str, DataFrame], out: str) -> None:
+    """pred_<model> (a column for each month) and metrics (a row for each model) as CSV folders under out."""
+    for name, df in long.items():
+        wide = df.where("segment = 'forecast'").groupBy("well_name").pivot("t").agg(F.max("y_pred"))
+        wide.select("well_name", *[F.col(f"`{c}`").alias(f"m{int(c) + 1}") for c in sorted(wide.columns[1:], key=int)]).write.mode("overwrite").option("header", True).csv(f"{out}/pred_{name}")
+    rows = None
+    for name, df in metrics.items():
+        one = df.select(F.lit(name).alias("model"), "rmse", "smape", "n_eval")
+        rows = one if rows is None else rows.unionByName(one)
+    if rows is not None:
+        rows.coalesce(1).write.mode("overwrite").option("header", True).csv(f"{out}/metrics")
+
+
+def export_matrix(rows: DataFrame, column: str, path: str) -> None:
+    """well_name and an array of a matrix's row as Parquet, in the order of names within each file."""
+    rows.select("well_name", F.col(column).cast("array<double>").alias("row")).sortWithinPartitions("well_name").write.mode("overwrite").parquet(path)
+
+
+def lines_svg(rows: DataFrame, width: int = 640, height: int = 240) -> str:
+    """(name, t, y[, low, high]) as one line for each name with its band; POINTS rows at most: prototypes, forecasts, cluster means."""
+    found = rows.orderBy("name", "t").limit(POINTS).collect()
+    band = {"low", "high"} <= set(rows.columns)
+    ys = [r[c] for r in found for c in (["y", "low", "high"] if band else ["y"]) if r[c] is not None]
+    if not ys:
+        return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"/>'
+    last, lo, hi = max(r["t"] for r in found) or 1, min(ys), max(ys)
+    xy = lambda t, y: f"{10 + t / last * (width - 20):.1f},{height - 10 - (y - lo) / ((hi - lo) or 1) * (height - 20):.1f}"
+    out = []
+    for k, name in enumerate(sorted({r["name"] for r in found})):
+        of = [r for r in found if r["name"] == name and r["y"] is not None]
+        hue = f"hsl({k * 67 % 360},65%,45%)"
+        if band:
+            edge = [xy(r["t"], r["low"]) for r in of] + [xy(r["t"], r["high"]) for r in reversed(of)]
+            out.append(f'<polygon points="{" ".join(edge)}" fill="{hue}" fill-opacity="0.2"/>')
+        out.append(f'<polyline points="{" ".join(xy(r["t"], r["y"]) for r in of)}" fill="none" stroke="{hue}"><title>{escape(str(name))}</title></polyline>')
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{"".join(out)}</svg>'
+
+
 def scatter_svg(data: DataFrame, width: int = 640, height: int = 480) -> str:
     """The map as SVG, at most POINTS points in hash order."""
     rows = data.orderBy(F.xxhash64("well_name")).limit(POINTS).collect()

@@ -31,17 +31,30 @@ def canonical(df: DataFrame) -> DataFrame:
 
 
 def read_production_csv(spark: SparkSession, path: str) -> DataFrame:
-    """All CSV files of a folder, as strings under one schema; columns that aren't known are dropped."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False).csv(path)
-    known = raw.withColumnsRenamed(RENAMES)
-    return canonical(known.select(*[c for c in CANONICAL if c in known.columns]))
+    """All CSV files under a folder, their columns matched by name; unknown columns are dropped, absent ones null.
+
+    Files are read by groups of equal headers, of which there are few, so headers may differ in order and in columns.
+    """
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
+    first = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("nth")).where("start = 0")
+    heads = first.groupBy("path").agg(F.min_by("value", "nth").alias("head")).groupBy("head").agg(F.collect_list("path").alias("paths")).orderBy("head").collect()  # paths, which the driver lists anyway
+    out = None
+    for h in heads:
+        rows = spark.read.option("header", True).csv(h["paths"])
+        named = rows.withColumnsRenamed({c: RENAMES.get(c.lstrip("\ufeff").strip(), c.lstrip("\ufeff").strip()) for c in rows.columns})
+        part = named.select(*[F.col(c).cast("string").alias(c) if c in named.columns else F.lit(None).cast("string").alias(c) for c in CANONICAL])
+        out = part if out is None else out.unionByName(part)
+    return canonical(out if out is not None else spark.createDataFrame([], ", ".join(f"{c} string" for c in CANONICAL)))
 
 
 def _plain_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         out = []
         for path, text in zip(b["path"], b["value"], strict=True):
-            rows = [r for r in csv.reader(io.StringIO(text.lstrip("﻿"))) if any(x.strip() for x in r)]
+            try:
+                rows = [r for r in csv.reader(io.StringIO(text.lstrip("\ufeff"))) if any(x.strip() for x in r)]
+            except csv.Error:  # this file is skipped, the others are read
+                continue
             if len(rows) < 4:
                 continue
             trimmed = [r[: max(i + 1 for i, x in enumerate(r) if x.strip())] for r in rows]

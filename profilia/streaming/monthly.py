@@ -15,10 +15,13 @@ def arriving_files(spark: SparkSession, path: str, files_per_trigger: int = 100)
 
 
 def monthly_sums(rows: DataFrame, delay: str = "40 days") -> DataFrame:
-    """Sums and days for each well and month; a month is final once the watermark has passed its end.
+    """Sums, days and rates for each well and month; a month is final once the watermark has passed its end.
 
-    Windows of one day, the finest that months are made of, carry the state; rows later than `delay` are left out.
+    The event time is the end of a row's month, so the state holds one row for each well and open month; rows of months that ended more than
+    `delay` before the latest month seen are left out. Negative volumes and days count as missing.
     """
-    day = F.window("date", "1 day")
-    daily = rows.withWatermark("date", delay).groupBy("well_name", day.alias("w")).agg(*[F.sum(F.when(F.col(c) >= 0, F.col(c))).alias(c) for c in ("oil", "water", "gas", "days_prod")])
-    return daily.select("well_name", F.to_date("w.start").alias("date"), "oil", "water", "gas", "days_prod")
+    ended = rows.withColumn("month_end", F.last_day("date").cast("timestamp")).withWatermark("month_end", delay)
+    present = {c: F.when(F.col(c) >= 0, F.col(c)) for c in ("oil", "water", "gas", "days_prod")}
+    sums = ended.groupBy("well_name", "month_end").agg(*[F.sum(v).alias(c) for c, v in present.items()])
+    rates = [F.when(F.col("days_prod") > 0, F.col(c) / F.col("days_prod")).alias(f"r_{c}") for c in ("oil", "water", "gas")]
+    return sums.select("well_name", F.trunc(F.to_date("month_end"), "MM").alias("date"), "oil", "water", "gas", "days_prod", *rates)

@@ -142,11 +142,11 @@ def test_elastic_net(spark):
 
 
 def test_stream(spark, tmp_path):
-    rows = spark.sql("SELECT 'w' AS well_name, timestamp'2024-01-05 10:00:00' AS date, 2.0D AS oil, -1.0D AS water, 1.0D AS gas, 1.0D AS days_prod UNION ALL SELECT 'w', timestamp'2024-01-05 12:00:00', 3.0D, 1.0D, 1.0D, 1.0D")
+    rows = spark.sql("SELECT 'w' AS well_name, timestamp'2024-01-05 10:00:00' AS date, 2.0D AS oil, -1.0D AS water, 1.0D AS gas, 1.0D AS days_prod UNION ALL SELECT 'w', timestamp'2024-01-25 12:00:00', 3.0D, 1.0D, 1.0D, 1.0D")
     rows.write.parquet(f"{tmp_path}/in")
     q = monthly.monthly_sums(monthly.arriving_files(spark, f"{tmp_path}/in")).writeStream.format("memory").queryName("monthly_t").outputMode("complete").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
     q.awaitTermination(60)
-    assert [(r["oil"], r["water"]) for r in spark.table("monthly_t").collect()] == [(5.0, 1.0)]
+    assert [(str(r["date"]), r["oil"], r["water"], r["days_prod"], r["r_oil"]) for r in spark.table("monthly_t").collect()] == [("2024-01-01", 5.0, 1.0, 2.0, 2.5)]
 
 
 def test_report(spark, tmp_path):
@@ -157,3 +157,16 @@ def test_report(spark, tmp_path):
     assert "R &amp; D" in page and "&lt;w3&gt;" in page and page.count("<circle") == 20
     report.export_csv_summaries(m, clusters.summarize_clusters(m.withColumn("prob", F.lit(1.0))), f"file://{tmp_path}/out")
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/out/cluster_summary").count() == 2
+
+
+def test_forecast_exports_and_lines(spark, tmp_path):
+    long = spark.createDataFrame([("a", t, 1.0, 1.0 + t, "observed" if t < 1 else "forecast") for t in range(3)], "well_name string, t int, y_true double, y_pred double, segment string")
+    metrics = spark.createDataFrame([(1.0, 0.5, 3)], "rmse double, smape double, n_eval long")
+    report.export_forecasts({"knn": long}, {"knn": metrics, "net": metrics}, f"file://{tmp_path}/f")
+    read = lambda n: spark.read.option("header", True).csv(f"file://{tmp_path}/f/{n}")
+    assert read("pred_knn").columns == ["well_name", "m2", "m3"] and read("metrics").count() == 2
+    report.export_matrix(spark.createDataFrame([("b", [1.0, None]), ("a", [2.0, 3.0])], "well_name string, x array<double>"), "x", f"file://{tmp_path}/m")
+    assert {r["well_name"]: r["row"] for r in spark.read.parquet(f"file://{tmp_path}/m").collect()} == {"a": [2.0, 3.0], "b": [1.0, None]}
+    band = spark.createDataFrame([("<c>", t, 1.0 * t, 0.5 * t, 2.0 * t) for t in range(4)], "name string, t int, y double, low double, high double")
+    svg = report.lines_svg(band)
+    assert svg.count("<polyline") == svg.count("<polygon") == 1 and "&lt;c&gt;" in svg and "<polyline" not in report.lines_svg(band.limit(0))

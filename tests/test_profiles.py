@@ -46,7 +46,7 @@ def test_smoothing_keeps_quadratics_and_short_series(spark, n):
 def test_interpolation(spark):
     df = spark.createDataFrame([("w", k, v) for k, v in enumerate([None, 1.0, None, 3.0, None])], "w string, i int, y double")
     w = Window.partitionBy("w").orderBy("i")
-    assert [r[0] for r in df.select(S.interpolated(F.col("y"), F.col("i"), w), "i").orderBy("i").collect()] == [1, 1, 2, 3, 3]
+    assert [r[0] for r in df.select(S.interpolated(F.col("y"), F.col("i"), w, Window.partitionBy("w").orderBy(F.desc("i"))), "i").orderBy("i").collect()] == [1, 1, 2, 3, 3]
 
 
 def test_start_cut_and_reasons(spark):
@@ -149,3 +149,22 @@ def test_preamble_csv(spark, tmp_path):
     (tmp_path / "tiny.csv").write_text("a\n")
     got = sorted((r["row"]["API_WellNo"], r["row"]["OIL"], r["meta"]["Well_Nm"]) for r in tables.read_preamble_csv(spark, f"file://{tmp_path}").collect())
     assert got == [("7", "3", "One"), ("8", "4", "One")]
+
+
+def test_rows_samples_and_names(spark):
+    rows = raw(spark, months([1, -1, None, 2], "a") + months([3], "b") + months([4], "c"))
+    assert preprocess.producing_rows(rows).count() == 4
+    some = [{r["well_name"] for r in preprocess.sample_wells(rows, n, 7).collect()} for n in (1, 2, 2, 9)]
+    assert [len(x) for x in some] == [1, 2, 2, 3] and some[0] < some[1] == some[2]
+    signal = baseline.monthly_signal(baseline.daily_signals(raw(spark, [("w", "2024-01-03", 5.0, 0.0, 0.0, 1.0), ("w", "2024-03-03", 5.0, 0.0, 0.0, 1.0)])), BaselineConfig(signal="bbl_mo"))
+    assert [r["s"] for r in baseline.filled_signal(signal).orderBy("date").collect()] == [5.0, 0.0, 5.0]
+    odd = spark.createDataFrame([(None,), ("Records 3 to 9",), ("A/b",)], "x string")
+    assert [tuple(r) for r in odd.select(C.group_dir_name(F.col("x")), C.well_file_name(F.col("x")), C.group_index(F.col("x"))).collect()] == [("file", "file.csv", None), ("records 3 - 9", "Records 3 to 9.csv", None), ("a b", "A b.csv", None)]
+
+
+def test_csv_headers_may_differ(spark, tmp_path):
+    (tmp_path / "x").mkdir()
+    (tmp_path / "a.csv").write_text("API_WellNo,RptDate,BBLS_OIL_COND,MCF_GAS,BBLS_WTR,DAYS_PROD,Lease\nw1,2024-01-01,1,2,3,4,z\n")
+    (tmp_path / "x" / "b.csv").write_text("RptDate,API_WellNo,MCF_GAS,BBLS_OIL_COND,BBLS_WTR\n2024-02-01,w2,5,6,7\nbad,w3,1,1,1\n")
+    got = sorted((r["well_name"], r["oil"], r["gas"], r["water"], r["days_prod"]) for r in tables.read_production_csv(spark, f"file://{tmp_path}").collect())
+    assert got == [("w1", 1.0, 2.0, 3.0, 4.0), ("w2", 6.0, 5.0, 7.0, None)]
