@@ -3,14 +3,17 @@
 A store is a folder: data/<batch>/part-* are immutable Parquet shards, manifests/v<n> is the table of the shards that make up
 version n. Arrivals are appended as the small shards that their tasks write, without a shuffle. Compaction looks at
 the manifest only to find runs: shards are put in tiers by size, each tier's shards are packed in order into runs of
-about the target size, and the rows of a run are rewritten as one file. A version appears by one atomic rename of its finished
-manifest; of two writers of the same version the second fails and can try again. Files that a version no longer
-names stay readable for older versions until they are removed.
+about the target size, and the rows of a run are rewritten as one file by one task, which reads the run's files and no others. A
+version appears by one atomic rename of its finished manifest; of two writers of the same version the second fails and can try
+again. Files that a version no longer names stay readable for older versions until they are removed; files of a writer that hasn't
+committed yet are kept for a day.
 """
 
 from __future__ import annotations
 
+import time
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -20,8 +23,10 @@ from .common import delete, sized
 
 #: Bytes of a merged file; shards below TARGET * FULL are merged; each tier spans a factor of FAN in size.
 TARGET, FULL, FAN = 32 << 20, 0.75, 4
-#: Shards that are packed into runs together; appends of a table at most.
-GROUP, ARRIVALS = 1024, 100
+#: Shards that are packed into runs together; appends of a table at most; files that one scan names.
+GROUP, ARRIVALS, FILES = 1024, 100, 5_000
+#: Seconds for which remove_unused keeps folders that no manifest names: their writers may be about to commit.
+GRACE = 86_400
 _MANIFEST = "file string, bytes long, rows long, tier int, batch string"
 
 
@@ -80,62 +85,78 @@ class ShardStore:
         rows.write.option("compression", "zstd").parquet(f"{self.root}/data/{batch}")
         return self._commit(self.manifest(version).unionByName(self._shards(batch, rows.schema)), version + 1)
 
-    def runs(self) -> DataFrame:
-        """file, run of each shard that is to be merged: shards of a tier, dealt into groups of about GROUP and packed to about the target size."""
+    def runs(self, least: int = FAN) -> DataFrame:
+        """file, run of each shard that is to be merged: shards of a tier, dealt into groups of about GROUP and packed to about the target size.
+
+        A run has two shards or more; a group of a tier waits until it holds `least`.
+        """
         small = self.manifest().where(F.col("bytes") < self.target * FULL)
         numbered = small.withColumn("part", F.pmod(F.xxhash64("file"), F.lit(-(-max(1, small.count()) // GROUP))))
-        upto = F.sum("bytes").over(Window.partitionBy("tier", "part").orderBy("file"))
-        packed = numbered.withColumn("bin", F.floor((upto - F.col("bytes")) / self.target))
-        run = packed.select("file", "bytes", F.xxhash64("tier", "part", "bin").alias("run"))
+        group = Window.partitionBy("tier", "part")
+        numbered = numbered.withColumn("have", F.count("*").over(group)).where(F.col("have") >= least)
+        packed = numbered.withColumn("bin", F.floor((F.sum("bytes").over(group.orderBy("file")) - F.col("bytes")) / self.target))
+        run = packed.select("file", F.xxhash64("tier", "part", "bin").alias("run"))
         several = run.groupBy("run").agg(F.count("*").alias("n")).where("n > 1").select("run")
         return run.join(several, "run").select("file", "run")
 
-    def compact(self, schema: T.StructType) -> int:
+    def _scan(self, files: list[str], schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*files)
+
+    def compact(self, schema: T.StructType, least: int = FAN) -> int:
         """Merges runs of similar shards into files of about the target size; gives the new version, or the last if there are none."""
         version = max(self.versions(), default=0)
         before = self.manifest(version)
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        self.runs().write.parquet(staged)
+        self.runs(least).write.parquet(staged)
         runs = self.spark.read.schema("file string, run long").parquet(staged)
-        n = runs.agg(F.countDistinct("run")).first()[0]
-        if not n:
+        sizes = runs.groupBy("run").agg(F.count("*").alias("n")).orderBy("run").collect()  # one for each merged file
+        if not sizes:
             delete(self.spark, staged)
             return version
         batch = f"merge-{uuid.uuid4().hex}"
-        batches = [r[0] for r in before.select("batch").distinct().collect()]  # folders, one for each arrival or merge
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.root}/data/{b}" for b in batches]).select(F.struct(*[F.col(c) for c in schema.names]).alias("row"), F.col("_metadata.file_path").alias("file"))
-        placed = rows.join(sized(runs), "file").select("row", "run").repartition(max(1, n), "run").select("row.*", F.col("run").alias("__run"))
-        placed.write.option("compression", "zstd").partitionBy("__run").parquet(f"{self.root}/data/{batch}")
+        waves: list[dict[int, int]] = [{}]  # runs of about FILES files together, numbered
+        held = 0
+        for r in sizes:
+            if waves[-1] and held + r["n"] > FILES:
+                waves.append({})
+                held = 0
+            waves[-1][r["run"]] = len(waves[-1])
+            held += r["n"]
+        for i, place in enumerate(waves):
+            wave = {r["file"]: place[r["run"]] for r in runs.where(F.col("run").between(min(place), max(place))).collect()}
+            dealt = self.spark.createDataFrame(list(wave.items()), "file string, place int")
+            rows = self._scan(list(wave), schema).select(F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("row"), F.col("_metadata.file_path").alias("file"))
+            merged = rows.join(F.broadcast(dealt), "file").repartitionById(len(place), "place").select("row.*")  # a run for each task
+            merged.write.option("compression", "zstd").parquet(f"{self.root}/data/{batch}/{i:08d}")
         kept = before.join(runs.select("file"), "file", "left_anti")
         done = self._commit(kept.unionByName(self._shards(batch, schema)), version + 1)
         delete(self.spark, staged)
         return done
 
     def compact_all(self, schema: T.StructType) -> int:
-        """Compacts until no tier holds shards to merge: merged files that are still small meet those of the tier they reach."""
+        """Compacts until no tier holds two shards to merge: merged files that are still small meet those of the tier they reach."""
         version = max(self.versions(), default=0)
-        while (after := self.compact(schema)) != version:
+        while (after := self.compact(schema, least=2)) != version:
             version = after
         return version
 
     def read(self, schema: T.StructType, version: int | None = None, with_file: bool = False) -> DataFrame:
-        """The rows of a version."""
-        manifest = self.manifest(version)
-        batches = [r[0] for r in manifest.select("batch").distinct().collect()]
-        if not batches:
+        """The rows of a version, from the files that its manifest names and no others."""
+        files = [r["file"] for r in self.manifest(version).select("file").orderBy("file").collect()]  # names, which a scan's driver lists anyway
+        if not files:
             empty = self.spark.createDataFrame([], schema)
             return empty.withColumn("__file", F.lit(None).cast("string")) if with_file else empty
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*[f"{self.root}/data/{b}" for b in batches]).select(*schema.names, F.col("_metadata.file_path").alias("__file"))
-        rows = rows.join(sized(manifest.select(F.col("file").alias("__file"))), "__file", "left_semi")
-        return rows.select(*schema.names, "__file") if with_file else rows.select(*schema.names)
+        scans = [self._scan(files[i : i + FILES], schema) for i in range(0, len(files), FILES)]
+        extra = [F.col("_metadata.file_path").alias("__file")] if with_file else []
+        return reduce(DataFrame.union, [x.select(*[F.col(f"`{c}`") for c in schema.names], *extra) for x in scans])
 
-    def remove_unused(self) -> None:
-        """Deletes the folders of batches that the last version doesn't name; older versions can't be read then."""
+    def remove_unused(self, grace: float = GRACE) -> None:
+        """Deletes the folders of batches that the last version doesn't name and that are older than `grace` seconds; older versions can't be read then."""
         named = {r[0] for r in self.manifest().select("batch").distinct().collect()}
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/data")
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         for s in fs.listStatus(path) if fs.exists(path) else []:
-            if s.getPath().getName() not in named:
+            if s.getPath().getName() not in named and s.getModificationTime() / 1000 <= time.time() - grace:
                 fs.delete(s.getPath(), True)
 
 
@@ -156,7 +177,6 @@ def shard_documents(docs: DataFrame, root: str, arrivals: str = "lang", target:
     for rows in arriving:
         store.append(docs.where(rows))
     store.compact_all(docs.schema)
-    store.remove_unused()
-    rows = store.read(docs.schema, with_file=True).select(F.struct(*docs.columns).alias("row"), F.col("__file").alias("file"))
+    rows = store.read(docs.schema, with_file=True).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("__file").alias("file"))
     about = store.manifest().select("file", "tier", "batch", F.col("rows").alias("file_rows"), F.col("bytes").alias("file_bytes"))
     return rows.join(sized(about), "file")

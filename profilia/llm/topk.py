@@ -11,11 +11,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Vectors in a block, queries in a block, vectors whose scores give the first thresholds.
-BLOCK, QUERY_BLOCK, WARM = 2048, 512, 2048
+#: Vectors in a block, queries in a block.
+BLOCK, QUERY_BLOCK = 2048, 512
 _FLOORS = "struct<ids:array<bigint>,floors:array<bigint>>"
-#: Coordinates that a query looks at (its largest), and the cosine threshold from which they prune better than lengths.
-FOCUS, STEEP = 8, 0.5
+#: Coordinates that a query looks at (its largest), and vectors of a bucket on which it tries whether they prune better than lengths.
+FOCUS, TRIED = 8, 64
 
 
 def _matrix(ids: list, vectors: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -56,6 +56,30 @@ def _product(q: np.ndarray, m: np.ndarray) -> np.ndarray:
     return q @ m.T
 
 
+def survivors(q: np.ndarray, mf: np.ndarray, mn: np.ndarray, floor: float, slack: float) -> np.ndarray:
+    """Rows of a bucket (longest first, lengths mn) whose product with q may reach floor.
+
+    Length pruning cuts the bucket where length alone can't reach it. Coordinate pruning takes the query's largest coordinates exactly and bounds
+    the rest by Cauchy and Schwarz; it is chosen where, at the bucket's local threshold and by a few of its vectors, it saves products.
+    """
+    qn = np.sqrt(np.square(q).sum())
+    n = int(np.searchsorted(-mn * qn, -(floor - slack), side="right"))
+    if floor <= 0 or len(q) <= FOCUS or not n:
+        return np.arange(n)
+    at = np.argsort(-np.abs(q))[:FOCUS]
+    q_rest = np.sqrt(max(0.0, qn**2 - np.square(q[at]).sum()))
+
+    def reach(rows: np.ndarray) -> np.ndarray:
+        part = mf[np.ix_(rows, at)]
+        m_rest = np.sqrt(np.maximum(0.0, np.square(mn[rows]) - np.square(part).sum(1)))
+        return part @ q[at] + q_rest * m_rest >= floor - slack
+
+    tried = np.unique(np.linspace(0, n - 1, TRIED).astype(int))
+    if reach(tried).mean() * len(q) + 2 * FOCUS >= len(q):
+        return np.arange(n)
+    return np.flatnonzero(reach(np.arange(n)))
+
+
 def _search(k: int):
     """mapInArrow function over pairs of a query block (with thresholds) and a vector block."""
 
@@ -87,14 +111,7 @@ def _search(k: int):
                     for i, s in zip(dense, _product(q[dense], m), strict=True):
                         out += best(int(qids[i]), ids, s)
                 for i in np.flatnonzero((local > 0) & (floor <= qn * mn[0] + slack)):
-                    n = int(np.searchsorted(-mn * qn[i], -(floor[i] - slack[i]), side="right"))  # length pruning: longest first
-                    rows = np.arange(n)
-                    if local[i] >= STEEP and q.shape[1] > FOCUS:  # coordinate pruning: a part exactly, the rest by Cauchy and Schwarz
-                        at = np.argsort(-np.abs(qf[i]))[:FOCUS]
-                        part = mf[:n, at] @ qf[i, at]
-                        q_rest = np.sqrt(max(0.0, qn[i] ** 2 - np.square(qf[i, at]).sum()))
-                        m_rest = np.sqrt(np.maximum(0.0, np.square(mn[:n]) - np.square(mf[:n, at]).sum(1)))
-                        rows = np.flatnonzero(part + q_rest * m_rest >= floor[i] - slack[i])
+                    rows = survivors(qf[i], mf, mn, floor[i], slack[i])
                     if len(rows):
                         out += best(int(qids[i]), ids[rows], _product(q[i : i + 1], m[rows])[0])
                 a = np.array(out, np.int64).reshape(-1, 3)
@@ -111,11 +128,13 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scratch: Sc
     length bound reaches the smallest threshold in it; inside, a query's local cosine threshold chooses between
     pruning by length alone or by its largest coordinates, and the survivors' products are verified exactly.
     Ties go to the smaller id and bounds are never strict, so equal scores aren't lost. A row isn't its own
-    candidate; rows with the id of a query aren't either. Shorter vectors count as padded by zeros; empty tables give
+    candidate; rows with the id of a query aren't either. Of queries with one id the largest vector, in the order of arrays, asks; candidates
+    with one id all count. Vectors of any length are read whole and further columns are ignored. Shorter vectors count as padded by zeros; empty tables give
     an empty result; ids that are null take no part.
     """
     spark = vectors.sparkSession
     scratch = scratch or Scratch(spark, "topk")
+    queries = queries.where("id is not null").groupBy("id").agg(F.max("v").alias("v"))
     ready = vectors.where("id is not null").select("id", "v").withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
     ready = scratch.table(ready, "vectors")
     total = ready.count()
@@ -147,7 +166,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, scratch: Sc
     fits = F.col("low").isNull() | (F.col("low") <= 0) | (F.col("x.top") * F.col("top") * (1 + 1e-9) + 1e-6 >= F.col("low"))
     reach = ready_q.withColumn("low", low).select("data", "floors", "top", "low", F.explode(bands).alias("x")).where(fits)
     pairs = reach.select("data", "floors", F.explode(F.sequence(F.lit(0).cast("long"), F.col("x.deal") - 1)).alias("sub"), "x.band").select("data", "floors", (F.col("band") * (1 << 32) + F.col("sub")).alias("vblock"))
-    met = pairs.where(F.col("vblock") != first_id).join(data.select(F.col("block").alias("vblock"), F.col("data").alias("vb")), "vblock")
+    n_blocks = sum(-(-c // BLOCK) for c in sizes.values())
+    other = data.select(F.col("block").alias("vblock"), F.col("data").alias("vb")).repartition(n_blocks, "vblock")
+    met = pairs.where(F.col("vblock") != first_id).repartition(n_blocks, "vblock").join(other, "vblock")
     every = start.unionByName(met.select("data", "floors", "vb").mapInArrow(_search(k), out))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

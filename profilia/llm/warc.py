@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, sized
 
 MAGIC = b"WARC/1.1\r\n"
-#: Records in an archive file at most; bounds what one task reads at once.
-FILE_RECORDS = 1024
+#: Classes of pages by bytes at most, and records of a class in an archive file: about 64 MB a file, which bounds what one task reads at once.
+CLASSES = [(1 << 16, 1024), (1 << 20, 64), (1 << 23, 8), (1 << 31, 1)]
 DATE = "2024-01-01T00:00:00Z"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -37,7 +37,8 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch | None = None)
     """One record for each row of pages (page_id, url, html, ...) in archive files under path.
 
     Among rows of equal payload those with the largest page_id are responses and the others revisit them. A null html is an
-    empty payload; a null page_id or url leaves its header out, and such a row is a revisit if its payload has an id.
+    empty payload; a null page_id or url leaves its header out, and such a row is a revisit if its payload has an id. Long pages are written whole,
+    fewer of them to a file; repeated rows give records of their own; an empty table gives an archive without records; further columns are ignored.
     """
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
@@ -61,7 +62,14 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch | None = None)
         F.lit("\r\n"),
         payload,
     )
-    both.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    size = F.octet_length("html")
+    kind = F.coalesce(*[F.when(size <= most, k) for k, (most, _) in enumerate(CLASSES)])
+    there = {r["kind"] for r in rows.select(kind.alias("kind")).distinct().collect()}  # at most one for each class
+    both = both.withColumn("kind", kind)
+    for k, (_, records) in enumerate(CLASSES):
+        if k in there or (k == 0 and not there):
+            part = both.where(F.col("kind") == k) if len(there) > 1 else both
+            part.select(record.alias("value")).write.mode("append").option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", records).text(path)
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,15})\r\n")
