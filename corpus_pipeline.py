@@ -1,7 +1,8 @@
 """A training-data pipeline over documents: quality, lines, near duplicates, source mix, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again for the next. All but
-the last return the columns of documents.
+the last return the columns of documents. Null and empty texts, null ids, repeated rows and further columns of any name pass through every stage
+as its operator's docstring says (a mixed document comes once or twice); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilia.llm import bpe, line_dedup, mixing, ngram_join, quality
-from profilia.llm.common import Scratch
+from profilia.llm.common import Scratch, temporary
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +51,7 @@ STAGES = [
     ("BPE encoding and decoding", token_ids),
 ]
 
-#: The classifier, MinHash and the random mix aren't SQL; tests/llm tests the operators of the stages, not the stages themselves.
+#: The classifier, MinHash and the random mix aren't SQL; tests/llm/test_pipeline.py checks each stage against a plain version.
 ORACLE_SQL = None
 
 
@@ -58,6 +59,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's result is written to the shared folder and read again."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with temporary():  # a stage's own tables go once its result is written, and so does the input of the stage
+            docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            scratch.drop(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

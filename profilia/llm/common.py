@@ -66,7 +66,8 @@ class Scratch:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            delete(self.spark, t._scratch_path)
+            if "_scratch_path" in vars(t):  # not what was selected from a table
+                delete(self.spark, t._scratch_path)
 
     def drop_all(self) -> None:
         delete(self.spark, self.root)

@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, most: int | None =
         scratch.drop(cur)
         cur = nxt
     if not parents:
-        return cur.select(F.col("src").alias("id"), F.col("dst").alias("component"))
+        return scratch.table(cur.select(F.col("src").alias("id"), F.col("dst").alias("component")), "components", 0)
     label = parents[0].select(F.col("v").alias("id"), F.col("p").alias("root"))
     for p in parents[1:]:
         step = p.select(F.col("v").alias("root"), "p")

@@ -146,6 +146,64 @@ def test_op3(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_op3_brute_force(spark):
+    """One line of each component of exact similarity stays: short and long lines, fuzzy pairs, repeated characters, whole rows that repeat."""
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), int(rng.integers(2, 9)))) for _ in range(300)]
+    lines = []
+    for _ in range(25):
+        base = [str(x) for x in rng.choice(words, int(rng.integers(3, 60)))]
+        for _ in range(6):
+            w = list(base)
+            for _ in range(int(rng.integers(0, 3))):
+                w[int(rng.integers(len(w)))] = str(rng.choice(words))
+            lines.append(" ".join(w))
+    lines += ["a" * 500, "a" * 400, "ab" * 100, "short", "shorn", "日本語" * 20, "日本語" * 21]
+    twice = "one more row that comes twice\nand its other line"
+    rows = [(i, t, 1) for i, t in enumerate(lines)] + [(500, None, 1), (501, "", 1), (600, twice, 1), (600, twice, 1), (600, twice, 2)]
+    got = {}
+    for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, row int")).collect():
+        got.setdefault(r["row"]["doc_id"], []).append((r["row"]["text"], r["n_lines"], r["n_dropped"]))
+
+    def shingles(line):
+        u = line.encode("utf-16-be")
+        return {u[2 * k : 2 * k + 24] for k in range(max(1, len(u) // 2 - 11))}
+
+    sets, u = [shingles(x) for x in lines], Union()
+    for a, b in itertools.combinations(range(len(lines)), 2):
+        u.find(a), u.find(b)
+        if 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])):
+            u.join(a, b)
+    first = {}
+    for k in range(len(lines)):
+        first.setdefault(u.find(k), k)
+    stays = {k: first[u.find(k)] == k for k in range(len(lines))}
+    assert 40 < sum(not x for x in stays.values()) and {k: got[k] == [(lines[k], 1, 0)] for k in stays} == stays
+    assert got[500] == [(None, 0, 0)] and got[501] == [("", 0, 0)]
+    assert sorted(got[600]) == [("", 2, 2), ("", 2, 2), (twice, 2, 0)]
+
+
+def test_op3_bounds_never_exclude_links(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for k in range(400):
+        x = "".join(rng.choice(list("abcdefgh "), int(rng.integers(20, 900))))
+        at = int(rng.integers(len(x)))
+        rows.append((2 * k, x, k))
+        rows.append((2 * k + 1, x[:at] + "".join(rng.choice(list("xyz"), int(rng.integers(0, 12)))) + x[at:], k))
+    t = spark.createDataFrame(rows, "id long, line string, pair int")
+    marked = line_dedup.bit_sets(t).join(t, "id").cache()
+    l, r = marked.where("id % 2 = 0").alias("l"), marked.where("id % 2 = 1").alias("r")
+    both = l.join(r, F.col("l.pair") == F.col("r.pair")).select("l.line", F.col("r.line").alias("other"), line_dedup.possible("l", "r").alias("may"))
+    seen = 0
+    for x, y, may in both.collect():
+        a, b = ({z.encode("utf-16-be")[2 * k : 2 * k + 24] for k in range(max(1, len(z) - 11))} for z in (x, y))
+        linked = 9 * len(a & b) >= 4 * (len(a) + len(b))
+        seen += linked
+        assert may or not linked
+    assert seen > 100
+
+
 def test_op3_recall(spark):
     """Similar lines must meet in a band about as often as independent permutations make them."""
     rng = np.random.default_rng(11)
@@ -154,9 +212,9 @@ def test_op3_recall(spark):
     for n in rng.integers(15, 25, 6000):
         w = [str(x) for x in rng.choice(words, n)]
         rows.append((" ".join(w), " ".join(w + [str(rng.choice(words)) for _ in range(int(rng.integers(1, 3)))])))
-    x, y = (F.array_distinct(line_dedup.shingles(F.col(c))) for c in "ab")
+    x, y = (line_dedup.shingle_hashes(c) for c in "ab")
     pairs = spark.createDataFrame(rows, "a string, b string").withColumn("j", F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))).where("j between 0.8 and 0.92").cache()
-    bands = line_dedup._bands(pairs.select(F.col("a").alias("line")).union(pairs.select("b")))
+    bands = line_dedup.signatures(pairs.select(F.xxhash64("a").alias("id"), F.col("a").alias("line")).union(pairs.select(F.xxhash64("b"), "b")))
     one = bands.select(F.col("id").alias("i"), F.col("bands").alias("x"))
     two = bands.select(F.col("id").alias("k"), F.col("bands").alias("y"))
     met = pairs.select("j", F.xxhash64("a").alias("i"), F.xxhash64("b").alias("k")).join(one, "i").join(two, "k").select(F.arrays_overlap("x", "y").cast("int"), 1 - F.pow(1 - F.pow("j", line_dedup.ROWS), line_dedup.BANDS)).collect()
@@ -294,6 +352,35 @@ def test_op7(spark):
     assert topk.exact_top_k(none, none).count() == 0 and topk.exact_top_k(v, none).count() == 0
 
 
+def test_op7_pruning(spark):
+    """Spread lengths and peaked vectors: both prunings leave few products and lose none."""
+    rng = np.random.default_rng(9)
+    m = rng.normal(size=(600, 24)) * 8
+    m[np.arange(600), rng.integers(0, 24, 600)] += 400
+    m *= rng.uniform(0.02, 1, (600, 1)) ** 2
+    m = np.floor(m)
+    m = m[np.argsort(-np.sqrt((m**2).sum(1)))]
+    mn, counts = np.sqrt((m**2).sum(1)), []
+    for q in m[::40]:
+        s = m @ q
+        floor = np.sort(s)[-20]
+        rows = topk.survivors(q, m, mn, floor, 1e-6)
+        assert set(np.flatnonzero(s >= floor)) <= set(rows)
+        counts.append(len(rows))
+    assert np.mean(counts) < 200
+    flat = np.ones((100, 24))
+    assert len(topk.survivors(flat[0], flat, np.sqrt((flat**2).sum(1)), 23.0, 1e-6)) == 100
+    short = np.array([[9.0] * 4, [1.0] * 4])
+    assert topk.survivors(short[0], short, np.array([18.0, 2.0]), 200.0, 1e-6).tolist() == [0]
+    rows = [(k, [int(x) for x in v]) for k, v in enumerate(m[:200])] + [(0, [0] * 24), (7, [1] * 24)]
+    v = spark.createDataFrame(rows, "id long, v array<long>")
+    got = topk.exact_top_k(v, v.where("id % 20 = 0"), 5).collect()
+    asks = {i: max(x for j, x in rows if j == i) for i in range(0, 200, 20)}
+    for i, q in asks.items():
+        want = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in rows if j != i)[:5]
+        assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == i) == [(k + 1, j, -s) for k, (s, j) in enumerate(want)]
+
+
 @pytest.fixture(scope="module")
 def automaton():
     return bpe.Automaton(**bpe.load_rules(bpe.default_rules()))
@@ -317,6 +404,24 @@ def test_op8_against_library(spark, docs, empty, automaton):
     assert bpe.encode_documents(empty, bpe.default_rules()).count() == 0
 
 
+def test_op8_every_code_point(automaton):
+    """Classes, lower case and composition of all code points are those of the library."""
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(bpe.default_rules())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for i in range(0, len(points), 4000):
+        text = " ".join(f"a{chr(c)}1{chr(c)}!" for c in points[i : i + 4000] if c % 5 == 0 or c < 0x20000)
+        assert np.frombuffer(automaton.encode(text), "<u4").tolist() == lib.encode(text, add_special_tokens=False).ids
+
+
+def test_op8_table_is_filled_once(automaton):
+    automaton._clear()
+    automaton.path("unbelievable")
+    n = len(automaton.next)
+    assert n > 5 and automaton.path("unbelievable") and len(automaton.next) == n
+
+
 def test_op8_small_merges():
     labels = ["a", "b", "a</w>", "b</w>", "aa", "ab</w>", "aa</w>", "aab</w>"]
     a = bpe.Automaton(labels, [("a", "a"), ("a", "b</w>"), ("a", "a</w>"), ("aa", "b</w>")], {})
@@ -366,6 +471,22 @@ def test_op9_gradient_layout():
     assert quality.scores([long, b"BAD!!"], m)[1] == pytest.approx(quality.scores([b"BAD!!"], m)[0], abs=1e-6)
 
 
+def test_op9_forward_pass():
+    """The vectorised scores against loops over chunks, filters and positions."""
+    rng = np.random.default_rng(3)
+    m = {"w": rng.normal(size=(quality.WIDTH, 257, quality.FILTERS)).astype(np.float32), "a": rng.normal(size=(quality.FILTERS, quality.HIDDEN)).astype(np.float32), "b": rng.normal(size=quality.HIDDEN).astype(np.float32), "c": rng.normal(size=quality.HIDDEN).astype(np.float32), "d": np.array([0.1], np.float32)}
+    for text in (b"", b"short", bytes(rng.integers(0, 256, 700, dtype=np.uint8)), bytes(rng.integers(0, 256, 1300, dtype=np.uint8))):
+        cells = -(-(len(text) + quality.WIDTH) // quality.CELL)
+        data = list(text) + [256] * (cells * quality.CELL + quality.WIDTH - len(text))
+        logits = []
+        for k in range(max(1, -(-(cells - 1) // quality.STEP))):
+            span = range(k * quality.STEP * quality.CELL, min(k * quality.STEP + quality.CHUNK, cells) * quality.CELL)
+            top = np.max([sum(m["w"][j, data[p + j]] for j in range(quality.WIDTH)) for p in span], axis=0)
+            logits.append(np.maximum(0, top @ m["a"] + m["b"]) @ m["c"] + 0.1)
+        want = 1 / (1 + np.exp(-np.clip(np.mean(logits), -30, 30)))
+        assert quality.scores([text], m)[0] == pytest.approx(want, rel=1e-4, abs=1e-7)
+
+
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
 
@@ -419,3 +540,26 @@ def test_op1_cascade_and_many_arrivals(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(sharding, "ARRIVALS", 3)
     got = sharding.shard_documents(d.withColumn("lang", F.when(F.col("lang") > "0", F.col("lang"))), f"file://{tmp_path}/m")
     assert sorted(map(tuple, got.select("row.*").select("doc_id", "text").collect())) == sorted(map(tuple, d.select("doc_id", "text").collect()))
+
+
+def test_op1_runs_and_writers(spark, tmp_path):
+    """Runs hold shards of one tier up to the target; few shards wait; what another writer hasn't committed isn't removed."""
+    d = spark.range(4000).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 512).alias("text"), F.lit("x").alias("place"))
+    store = sharding.ShardStore(spark, f"file://{tmp_path}/s", target=1 << 20)
+    for k in range(6):
+        store.append(d.where(F.col("doc_id") % 6 == k).coalesce(1))
+    manifest = {r["file"]: r for r in store.manifest().collect()}
+    by_run = {}
+    for r in store.runs().collect():
+        by_run.setdefault(r["run"], []).append(manifest[r["file"]])
+    assert by_run and all(len(x) > 1 and len({f["tier"] for f in x}) == 1 and sum(f["bytes"] for f in x) < 2 * store.target for x in by_run.values())
+    assert store.runs(least=7).count() == 0
+    before = len(manifest)
+    store.compact(d.schema)
+    assert store.manifest().count() == before - sum(map(len, by_run.values())) + len(by_run)
+    other = tmp_path / "s" / "data" / "append-other"
+    other.mkdir()
+    store.remove_unused()
+    assert other.exists() and store.read(d.schema, version=6).count() == 4000
+    store.remove_unused(grace=-1)
+    assert not other.exists() and store.read(d.schema).count() == 4000
