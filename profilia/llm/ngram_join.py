@@ -8,7 +8,8 @@
    entry for each task however many documents hold it.
 3. Buckets of shingles do the same among tasks. Components grow from hub pairs (see linking.py); the pairs that share a
    prefix shingle and still lie in different components are enumerated with the positional and length filters.
-4. Each candidate pair is verified once, behind a suffix filter.
+4. Before any set is sent, a pair must pass the length filter and a bound from the parities of both sets' shingles by their low
+   bits: each bit in which they differ stands for a shingle that one set lacks. Each candidate pair is verified once, behind a suffix filter.
 
 Only counters and the sketch (SKETCH_BITS, 4 MiB) reach the driver.
 """
@@ -28,26 +29,36 @@ from .shingles import set_digest, shingle_sets, slices
 
 SKETCH_BITS = 22
 PARTS = 64
+#: Parity bits of a set, a multiple of 64.
+PARITIES = 2048
 #: Partners that a class meets in one place when pairs are verified.
 FAN = 500
 #: Prefix entries that a task gathers before it aggregates them, and that a bucket holds on average.
 FLUSH, BUCKET = 2_000_000, 500_000
 
 
+def parities(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of PARITIES bits, as 64-bit integers, for each set: how many members fall on each bit, modulo 2."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (np.concatenate(sets) & np.uint64(PARITIES - 1)).astype(np.int64)
+    odd = np.bincount(owner * PARITIES + bit, minlength=len(sets) * PARITIES).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(len(sets), PARITIES), axis=1).view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    names = ["part", "counts", "doc_id", "rk", "n", "cls"]
+    names = ["part", "counts", "doc_id", "rk", "n", "cls", "bits"]
     for part, texts in slices(batches, "text"):
         sets = shingle_sets(texts)
         cells = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
         counts += np.bincount(cells.astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
         k = len(sets)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), part.column("doc_id"), part.column("rk"), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64())], names=names
-        )
+        bits = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(parities(sets).ravel()))
+        found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64()), bits]
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), part.column("doc_id"), part.column("rk"), *found], names=names)
     for p, x in enumerate(counts.reshape(PARTS, -1)):
         if x.any():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())] + [pa.nulls(1, pa.int64())] * 4, names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())] + [pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.list_(pa.int64()))], names=names)
 
 
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,7 +236,7 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
     scratch = scratch or Scratch(spark, "ngram")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("rk", row_key("doc_id", "text"))
-    scan = scratch.table(rows.mapInArrow(_signatures, "part int, counts binary, doc_id long, rk long, n long, cls long"), "signatures")
+    scan = scratch.table(rows.mapInArrow(_signatures, "part int, counts binary, doc_id long, rk long, n long, cls long, bits array<long>"), "signatures")
     info = scan.where("part is null").select("doc_id", "rk", "n", "cls")
     filled = info.where("n > 0")
     classes = scratch.table(filled.groupBy("cls").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("doc_id").alias("least")), "classes", scan.count())
@@ -243,12 +254,22 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
 
     size = classes.select("cls", "n")
 
-    def sized_pairs(pairs: DataFrame) -> DataFrame:
-        """The length filter."""
-        return pairs.join(size.select(F.col("cls").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("cls").alias("b"), F.col("n").alias("nb")), "b").where(F.least("na", "nb") * den >= F.greatest("na", "nb") * num)
+    def near(pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that lengths and parities allow."""
+        ids = scratch.table(pairs.select(F.col("a").alias("cls")).union(pairs.select("b")).distinct(), f"{name}-classes", n_classes)
+        marks = scan.where("n > 0").select("cls", "n", "bits").join(sized(ids), "cls", "left_semi").groupBy("cls").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+        marks = scratch.table(marks, f"{name}-marks", n_classes)
+        x, y = (marks.select(F.col("cls").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"bits{c}")) for c in "ab")
+        differ = F.aggregate(F.zip_with("bitsa", "bitsb", lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, k: s + k)
+        sizes = F.least("na", "nb") * den >= F.greatest("na", "nb") * num
+        out = pairs.join(x, "a").join(y, "b").where(sizes & (differ * (num + den) <= (F.col("na") + F.col("nb")) * (den - num))).select("a", "b")
+        out = scratch.table(out, f"{name}-near")
+        scratch.drop(ids, marks)
+        return out
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         """Sends a's set and each partner's to one place, FAN partners to a place, and compares them there."""
+        pairs = near(pairs, name)
         places = pairs.groupBy("a").agg(F.ceil(F.count("*") / FAN).alias("places"))
         n = pairs.count()
         pairs = pairs.select("a", "b").join(places, "a").withColumn("dest", F.xxhash64("a", F.pmod(F.xxhash64("b"), "places")))
@@ -259,23 +280,24 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
         sent = sets.join(sized(route), "cls").select("dest", "hub", "cls", "members").repartition("dest").sortWithinPartitions("dest", F.desc("hub"), "cls")
         sent = sent.coalesce(max(1, -(-n // (4 * FAN))))  # whole partitions one after the other: a place stays together and in order
         out = scratch.table(sent.mapInArrow(_verify(num, den), "src long, dst long"), f"{name}-links")
-        scratch.drop(wanted, route)
+        scratch.drop(wanted, route, pairs)
         return out
 
     stars = found.where("key is null").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    best = stars.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
+    best = scratch.table(stars.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")), "hub-pairs", n_classes)
     shared = found.where("key is not null").select("key", F.col("a").alias("id"), F.col("w").alias("pos")).join(size.withColumnRenamed("cls", "id"), "id")
     shared = scratch.table(shared, "shared", found.count())
+    scratch.drop(found)
     both = F.col("l.n") + F.col("r.n")
     rest = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
     possible = (F.least("l.n", "r.n") * den >= F.greatest("l.n", "r.n") * num) & (rest * (num + den) >= both * num)
-    comps = linked_components(shared, sized_pairs(best), verified, scratch, possible)
+    comps = linked_components(shared, best, verified, scratch, possible)
     sketch.unpersist()
 
     root = classes.join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("root"), "least")
     least = root.groupBy("root").agg(F.min("least").alias("component_id"))
     label = scratch.table(root.join(least, "root").select("cls", "root", "component_id"), "labels", n_classes)
-    scratch.drop(found, shared)
+    scratch.drop(shared, best)
     full = filled.join(label, "cls").select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("cls").alias("class_id"), "root", "rk")
     blank = info.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("root"), "rk")
     return full.unionByName(blank)
