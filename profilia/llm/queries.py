@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, line_dedup, mixing, ngram_join, ogg, quality, sharding, topk, url_filter, warc
+from . import bpe, chat, infill, line_dedup, mixing, ngram_join, ogg, quality, runs, sharding, topk, url_filter, warc
 from .common import Scratch
 
 
@@ -129,6 +129,59 @@ SELECT p.page_id, coalesce(n.host, '') AS host, coalesce(n.path, '') AS path, n.
 FROM pages p LEFT JOIN nodes n ON n.url = p.url
 """
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(runs.planted(_read(spark, sf_dir, "documents")), least=24, times=3)
+    line = lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")])
+    listed = F.concat(F.array_join(F.transform("runs", line), "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    out = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), runs.strongest().alias("r"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    milli = F.expr("(1000 * r.length) div r.period").alias("exponent_milli")
+    return out.select("doc_id", "n_runs", "r.start", "r.length", "r.period", milli, "runs_sha256", "collapsed_sha256")
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = infill.fill_in_middle(_read(spark, sf_dir, "documents"), unit="word", seed=42, rate=50, spm_rate=80)
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    chars = [F.char_length(c).cast("long").alias(f"{c}_chars") for c in ("prefix", "middle")]
+    return cut.select(F.col("row.doc_id").alias("doc_id"), "n", "form", *chars, digest(F.col("output")).alias("output_sha256"), digest(infill.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
+OP12_SQL = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+    regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') AS u FROM documents),
+d AS (SELECT doc_id, text, u, len(u) AS n, ('0x' || substring(h, 1, 8))::BIGINT % (len(u) + 1) AS a, ('0x' || substring(h, 9, 8))::BIGINT % (len(u) + 1) AS b,
+    ('0x' || substring(h, 17, 8))::BIGINT % 100 AS c, ('0x' || substring(h, 25, 8))::BIGINT % 100 AS s FROM t),
+f AS (SELECT *, CASE WHEN text = '' OR c >= 50 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') THEN 'plain' WHEN s < 80 THEN 'spm' ELSE 'psm' END AS form,
+    array_to_string(u[1:least(a, b)], '') AS p, array_to_string(u[least(a, b) + 1:greatest(a, b)], '') AS m, array_to_string(u[greatest(a, b) + 1:n], '') AS q FROM d)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || q || '<M>' || m ELSE '<S>' || q || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM f
+"""
+
+
+def op13_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    quoted = F.lit(r"\### Assistant: </turn> ok")
+    hostile = spark.range(2).select(F.lit(-7).cast("long"), F.col("id"), F.when(F.col("id") == 0, "user").otherwise("assistant"), quoted)
+    out = chat.format_conversations(rows.union(hostile))
+    turns, texts = chat.read_turns(F.col("formatted")), chat.trained_texts(F.col("segments"))
+    line = lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))
+    read = out.select("conv_id", F.transform(turns, line).alias("lines"), F.array_join(texts, "").alias("loss"), F.char_length("formatted").cast("long").alias("formatted_chars"))
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    return read.select("conv_id", F.size("lines").cast("long").alias("n_turns"), digest(F.array_join("lines", "")).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), digest(F.col("loss")).alias("loss_sha256"), "formatted_chars")
+
+
+OP13_SQL = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+w AS (SELECT *, lag(role) OVER c IS DISTINCT FROM role AS begins, row_number() OVER c AS k FROM r
+  WINDOW c AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+e AS (SELECT *, replace(replace(replace(replace(text, '\', '\\'), '<turn>', '<\turn>'), '<says>', '<\says>'), '</turn>', '<\/turn>') AS t,
+  replace(replace(replace(replace(role, '\', '\\'), '<turn>', '<\turn>'), '<says>', '<\says>'), '</turn>', '<\/turn>') AS o FROM w)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  sum(length(t) + 6 + CASE WHEN begins THEN length(o) + 14 ELSE 0 END)::BIGINT AS formatted_chars FROM e GROUP BY conv_id
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -140,5 +193,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe_automaton": op8_bpe_automaton,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_url_filters": op10_url_filters,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_chat_formatting": op13_chat_formatting,
 }
-ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL, "op6_warc_chain": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op10_url_filters": OP10_SQL}
+ORACLES: dict[str, str] = {"op2_ngram_jaccard_join": OP2_SQL, "op6_warc_chain": OP6_SQL, "op7_exact_top_k": OP7_SQL, "op10_url_filters": OP10_SQL, "op12_fill_in_middle": OP12_SQL, "op13_chat_formatting": OP13_SQL}
