@@ -4,14 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anomaly import silhouette_points
-
 
 def summarize_clusters(map_: DataFrame) -> DataFrame:
     """(cluster, prob) of each well -> cluster, size, share, prob_median, noise_share."""
@@ -56,16 +54,3 @@ def gmm_bic(vectors: DataFrame, ks: range = range(2, 11), seed: int = 42) -> tup
     bic = {k: -2 * m.summary.logLikelihood + (k * d + k * d * (d + 1) / 2 + k - 1) * math.log(n) for k, m in models.items()}
     best = models[min(bic, key=bic.get)]
     return best.transform(rows).select("id", F.col("prediction").alias("cluster"), F.array_max(vector_to_array("probability")).alias("prob")), bic
-
-
-def kmeans_auto(vectors: DataFrame, ks: range = range(2, 13), seed: int = 42, runs: int = 3) -> tuple[DataFrame, dict[int, float]]:
-    """(id, v) -> id, cluster for the number of clusters with the largest exact silhouette, and those silhouettes."""
-    rows = _features(vectors).cache()
-    labels, score = {}, {}
-    for k in ks:
-        models = [KMeans(k=k, seed=seed + r).fit(rows) for r in range(runs)]
-        best = min(models, key=lambda m: m.summary.trainingCost)
-        labels[k] = best.transform(rows).select("id", F.col("prediction").alias("label"))
-        score[k] = silhouette_points(vectors.select("id", "v").join(labels[k], "id")).agg(F.avg("silhouette")).first()[0]
-    best_k = max(score, key=lambda k: (score[k], -k))
-    return labels[best_k].withColumnRenamed("label", "cluster"), score

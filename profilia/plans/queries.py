@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BaselineConfig, ForecastConfig, ManifoldConfig, PrepConfig
 from ..functions import columns as C
-from ..operators import anomaly, barycenter, baseline, clusters, density, dtw, features, forecast, layout, models, neighbors, preprocess
+from ..operators import anomaly, barycenter, baseline, clusters, density, dtw, features, forecast, kmeans, layout, models, neighbors, preprocess
 from ..sources import tables
 
 R = C.rounded
@@ -258,7 +258,7 @@ def pca_map(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kmeans_auto(spark: SparkSession, sf: str) -> DataFrame:
-    return clusters.kmeans_auto(tables.embeddings(spark, sf), range(2, 13), runs=25)[0]
+    return kmeans.kmeans_auto(tables.embeddings(spark, sf), range(2, 13), runs=25)[0]
 
 
 def gmm_bic(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from profilia import report
 from profilia.config import ManifoldConfig
-from profilia.operators import clusters, dtw, layout, models, neighbors
+from profilia.operators import clusters, dtw, kmeans, layout, models, neighbors
 from profilia.plans import queries
 from profilia.streaming import monthly
 
@@ -88,7 +88,7 @@ def test_isolation(blobs):
 
 def test_clusterings_find_blobs(blobs):
     two = blobs.where("id < 80")
-    for found in (clusters.kmeans_auto(two, range(2, 4), runs=1)[0], clusters.gmm_bic(two, range(2, 4))[0].select("id", "cluster")):
+    for found in (kmeans.kmeans_auto(two, range(2, 4), runs=1)[0], clusters.gmm_bic(two, range(2, 4))[0].select("id", "cluster")):
         by = {r["id"]: r["cluster"] for r in found.collect()}
         assert by[0] == by[39] != by[40] == by[79]
 
@@ -100,7 +100,7 @@ def test_queries_search_the_whole_range(spark, monkeypatch):
     def note(name, out):
         return lambda df, *a, **k: (seen.update({name: (a, k)}), out)[1]
 
-    monkeypatch.setattr(clusters, "kmeans_auto", note("kmeans", (None, {})))
+    monkeypatch.setattr(kmeans, "kmeans_auto", note("kmeans", (None, {})))
     monkeypatch.setattr(clusters, "gmm_bic", note("gmm", (None, {})))
     monkeypatch.setattr(clusters, "pca_map", lambda df: (spark.createDataFrame([(1, 0.0, 0.0)], "id long, x double, y double"), []))
     monkeypatch.setattr(models, "isolation_scores", note("forest", None))
@@ -115,8 +115,8 @@ def test_kmeans_finds_seven_blobs(spark, monkeypatch):
     rng = np.random.default_rng(8)
     rows = [(20 * b + i, [float(x) for x in rng.normal(0, 0.1, 2) + (10 * (b % 3), 10 * (b // 3))]) for b in range(7) for i in range(20)]
     monkeypatch.setattr(queries.tables, "embeddings", lambda *a: spark.createDataFrame(rows, "id long, v array<double>").coalesce(1).cache())
-    whole = clusters.kmeans_auto
-    monkeypatch.setattr(clusters, "kmeans_auto", lambda df, ks, runs: whole(df, ks, runs=min(runs, 3)))  # fewer starts, for time
+    whole = kmeans.kmeans_auto
+    monkeypatch.setattr(kmeans, "kmeans_auto", lambda df, ks, runs: whole(df, ks, runs=min(runs, 3)))  # fewer starts, for time
     assert queries.kmeans_auto(spark, "").select("cluster").distinct().count() == 7
 
 
