@@ -253,6 +253,10 @@ def barycenters(spark: SparkSession, sf: str) -> DataFrame:
     return barycenter.barycenters(_profiles(spark, sf).tensor(), _labels(spark, sf), "r_oil_norm")
 
 
+def prototypes_dba(spark: SparkSession, sf: str) -> DataFrame:
+    return barycenter.prototypes(_profiles(spark, sf).tensor(), _labels(spark, sf), ["r_oil_norm", "wc"], method="dba")
+
+
 def pca_map(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.pca_map(tables.embeddings(spark, sf))[0]
 
@@ -307,7 +311,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         forecast_long, forecast_wide, forecast_metrics, lof_scores, medoid_distance, anomaly_scores, top_anomalies, silhouette_by_label,
         mutual_reachability, cluster_summary, prototypes_median_iqr, cluster_mean_bands, clipped_signal, dense_month_spine, interpolated_series,
         run_length_start, zscored_wide, slugify_names, sanitize_names, record_range_parse, producing_rows, resampled_sums, monthly_means, sampled_wells,
-        group_names, hdbscan_clusters, cluster_quality, barycenters, pca_map, kmeans_auto, gmm_bic,
+        group_names, hdbscan_clusters, cluster_quality, barycenters, prototypes_dba, pca_map, kmeans_auto, gmm_bic,
         dtw_refined_edges, umap_map, umap_dtw_map, isolation_forest, elasticnet_forecast,
     )
 }

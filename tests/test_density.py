@@ -99,3 +99,84 @@ def test_barycenters(spark):
     z, y = np.array([r["value"] for r in got]), np.array([r[1] for r in rows[:6]])
     assert len(z) == 12 and barycenter.soft_dtw(z, y, 0.1)[0].sum() < barycenter.soft_dtw(y.mean(0), y, 0.1)[0].sum()
     assert barycenter.barycenters(p, labels.limit(0), "oil", T=12).count() == 0
+
+
+def plain_path(z, y):
+    """The warping path of least summed squares by a table of steps; ties go diagonal, then along z."""
+    r = np.full((len(z) + 1, len(y) + 1), np.inf)
+    r[0, 0] = 0
+    for i, j in itertools.product(range(len(z)), range(len(y))):
+        r[i + 1, j + 1] = (z[i] - y[j]) ** 2 + min(r[i, j], r[i, j + 1], r[i + 1, j])
+    i, j, path = len(z), len(y), []
+    while i and j:
+        path.append((i - 1, j - 1))
+        _, _, i, j = min((r[i - 1, j - 1], 0, i - 1, j - 1), (r[i - 1, j], 1, i - 1, j), (r[i, j - 1], 2, i, j - 1))
+    return r[-1, -1], path
+
+
+def plain_dba(members, rounds, tol=1e-5):
+    z, cost = members.mean(0), np.inf
+    for _ in range(rounds):
+        found = [plain_path(z, y) for y in members]
+        mean = sum(c for c, _ in found) / len(members)
+        stop = cost - mean <= tol
+        if mean <= cost:
+            at = [[y[j] for (_, path), y in zip(found, members, strict=True) for i, j in path if i == k] for k in range(len(z))]
+            z, cost = np.array([np.mean(v) for v in at]), mean
+        if stop:
+            break
+    return z
+
+
+def test_dtw_align_is_the_best_path():
+    rng = np.random.default_rng(5)
+    z, y = rng.normal(size=7), np.concatenate((rng.normal(size=(20, 9)), np.zeros((1, 9))))
+    value, total, count = barycenter.dtw_align(z, y)
+    for k, row in enumerate(y):
+        cost, path = plain_path(z, row)
+        assert value[k] == pytest.approx(cost) and total[k] == pytest.approx([sum(row[j] for i, j in path if i == p) for p in range(7)])
+        assert count[k].tolist() == [sum(i == p for i, _ in path) for p in range(7)]
+
+
+@pytest.fixture(scope="module")
+def bumps(spark):
+    t = np.arange(16)
+    curve = lambda at: np.exp(-((t - at) ** 2) / 3)
+    rows = [(f"w{i}", [float(x) for x in curve(4 + i % 6)], [float(x) for x in np.cumsum(curve(9 - i % 4))]) for i in range(24)] + [("one", [1.0, None] * 8, [0.5] * 16), ("noise", [9.0] * 16, [9.0] * 16)]
+    p = spark.createDataFrame(rows, "well_name string, oil array<double>, wc array<double>").repartition(5).cache()
+    labels = spark.createDataFrame([(f"w{i}", i % 2) for i in range(24)] + [("one", 7), ("noise", -1), ("gone", 3), ("w1", None)], "well_name string, cluster int")
+    return p, labels, rows
+
+
+def curves_of(df):
+    out = {}
+    for r in sorted(df.collect(), key=lambda r: r["t"]):
+        out.setdefault((r["cluster"], r["channel"]), []).append(r["value"])
+    return out
+
+
+def test_dba_equals_plain_averaging_and_beats_the_mean(bumps):
+    p, labels, rows = bumps
+    got = curves_of(barycenter.prototypes(p, labels, ["oil", "wc"], T=14, method="dba", rounds=10))
+    assert set(got) == {(c, n) for c in (0, 1, 7) for n in ("oil", "wc")}
+    for c, (at, name) in itertools.product((0, 1), ((1, "oil"), (2, "wc"))):
+        members = np.array([r[at][:14] for i, r in enumerate(rows[:24]) if i % 2 == c])
+        assert got[c, name] == pytest.approx(plain_dba(members, 10), abs=1e-9)
+        cost = lambda z, members=members: sum(plain_path(z, y)[0] for y in members)
+        assert cost(np.array(got[c, name])) < 0.5 * cost(members.mean(0))
+    assert got[7, "oil"] == [1.0, 0.0] * 7 and got[7, "wc"] == [0.5] * 14
+
+
+def test_prototypes_by_method(bumps, monkeypatch):
+    p, labels, rows = bumps
+    with pytest.raises(ValueError):
+        barycenter.prototypes(p, labels, ["oil"], method="mean")
+    median = curves_of(barycenter.prototypes(p, labels, ["oil"], method="median"))
+    assert median[0, "oil"] == pytest.approx(np.median([r[1] for r in rows[:24:2]], axis=0)) and median[7, "oil"][1] is None
+    soft = curves_of(barycenter.prototypes(p, labels, ["oil", "wc"], T=16, gamma=0.1, rounds=3))
+    assert soft[1, "wc"] == pytest.approx(curves_of(barycenter.prototypes(p, labels, ["wc"], T=16, method="softdtw", gamma=0.1, rounds=3))[1, "wc"])
+    whole = barycenter._soft
+    monkeypatch.setattr(barycenter, "_soft", lambda rows, c, *a: whole(rows, c, *a) | {(1, "oil"): np.full(16, np.nan)})
+    fallen = curves_of(barycenter.prototypes(p, labels, ["oil", "wc"], T=16, gamma=0.1, rounds=3))
+    assert fallen[1, "oil"] == pytest.approx(median[1, "oil"]) and fallen[0, "oil"] == pytest.approx(soft[0, "oil"]) and len(fallen) == 6
+    assert barycenter.prototypes(p.limit(0), labels, ["oil"]).collect() == []
