@@ -41,7 +41,11 @@ class ManifoldConfig:
     radius: int = 6
     k_refine: int = 40
     n_neighbors: int = 30
+    min_dist: float = 0.05
+    n_components: int = 2
     seed: int = 43
+    #: Rounds of forces over all edges; None: 500 up to 10,000 profiles, 200 beyond.
+    epochs: int | None = None
 
 
 @dataclass(frozen=True)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ManifoldConfig
+from .lineage import cut
 from .neighbors import knn
 
 
@@ -63,7 +64,7 @@ def refined_neighbors(points: DataFrame, profiles: DataFrame, cfg: ManifoldConfi
 
     All other pairs keep their plain ones, so the search goes deep enough for n_neighbors unrefined pairs of every id.
     """
-    refined = refine(knn(points, points, cfg.k_refine), profiles, cfg).select("a", "b", "d", F.when(F.abs("d_dtw") < float("inf"), F.col("d_dtw")).alias("w")).persist()
+    refined = cut(refine(knn(points, points, cfg.k_refine), profiles, cfg).select("a", "b", "d", F.when(F.abs("d_dtw") < float("inf"), F.col("d_dtw")).alias("w")))
     both = refined.select(F.col("a").alias("i"), F.col("b").alias("j"), "d", "w").union(refined.select("b", "a", "d", "w"))
     most = both.groupBy("i").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
     plain = knn(points, points, cfg.n_neighbors + most).select("i", "j", "d")

@@ -1,23 +1,56 @@
-"""A two-dimensional map of profiles from their neighbour graph: fuzzy weights, then attraction along edges and repulsion of random pairs.
+"""A map of profiles from their neighbour graph: fuzzy weights, a start from the graph's spectrum, then attraction along edges and
+repulsion of random pairs.
 
-The layout follows the published method in outline (weights from local scales, cross-entropy forces, seeded), each epoch being joins
-and sums over all edges at once; its coordinates aren't those of any other implementation.
+The layout follows the published method: weights from local scales, a curve fitted to the least distance, edges drawn in proportion to
+their weight, several random repulsions for each draw, a falling step. Edges are dealt into parts by their head, at most EDGES of one
+head to a part; in a round a task moves the heads of a part through several epochs, with the tails of other parts where the round found
+them, and positions are exchanged and checkpointed between rounds. Coordinates are seeded and don't depend on tasks or partitions,
+but equal no other implementation's.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..config import ManifoldConfig
+from . import clusters
 from .lineage import cut
 from .preprocess import numbered
+from .spectral import eigenvectors
 
-#: Curve of the low-dimensional similarity for a least distance of 0.05.
-CURVE_A, CURVE_B = 1.75, 0.84
+#: Heads of a part, edges of one head in a part, vertices that repulsion draws from in a round (all, if there are no more).
+HEADS, EDGES, DRAWN = 1024, 1 << 15, 8192
+#: In an epoch a head moves at most so often; its further edges are averaged into these moves.
+TURNS = 32
+_STEP_LIMIT = 4.0
+
+
+def fit_curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
+    """a, b of 1 / (1 + a d^2b), by least squares to the curve that is 1 up to min_dist and falls exponentially beyond (damped Gauss-Newton)."""
+    x = np.linspace(0, 3 * spread, 300)[1:]
+    y = np.where(x < min_dist, 1.0, np.exp(-(x - min_dist) / spread))
+    rest = lambda p: 1 / (1 + np.exp(p[0]) * x ** (2 * p[1])) - y  # noqa: E731  (the logarithm of a keeps it positive)
+    p, damping = np.array([0.0, 1.0]), 1e-3
+    for _ in range(200):
+        f = 1 / (1 + np.exp(p[0]) * x ** (2 * p[1]))
+        slope = -f * (1 - f)
+        jacobian = np.stack([slope, slope * 2 * np.log(x)], 1)
+        normal, gradient = jacobian.T @ jacobian, jacobian.T @ (f - y)
+        step = np.linalg.solve(normal + damping * np.diag(np.diag(normal)), gradient)
+        if np.square(rest(p - step)).sum() <= np.square(rest(p)).sum():
+            p, damping = p - step, damping / 3
+            if np.abs(step).max() < 1e-12:
+                break
+        else:
+            damping *= 4
+    return float(np.exp(p[0])), float(p[1])
 
 
 def fuzzy_graph(edges: DataFrame, k: int) -> DataFrame:
@@ -43,26 +76,134 @@ def fuzzy_graph(edges: DataFrame, k: int) -> DataFrame:
     return w.join(back, ["i", "j"], "full").select("i", "j", (a + b - a * b).alias("w"))
 
 
-def layout(graph: DataFrame, start: DataFrame, epochs: int = 15, negatives: int = 4, rate: float = 1.0, seed: int = 43) -> DataFrame:
-    """graph (i, j, w) and start (id, x, y) -> id, x, y after `epochs` rounds of forces, checkpointed each."""
-    graph = cut(graph)
+def move(p: np.ndarray, heads: np.ndarray, tails: np.ndarray, every: np.ndarray, others: np.ndarray, own: np.ndarray, epochs: range, total: int, curve: tuple[float, float], negatives: int, rng: np.random.Generator) -> None:
+    """Moves the rows `heads` of p in place through `epochs`; edges, in order of their heads, are due once in `every` epochs.
+
+    others: places that repel; own: for each row of p its place among them, or -1, as nothing repels itself.
+    """
+    a, b = curve
+    for e in epochs:
+        due = np.flatnonzero(np.floor(e / every) > np.floor((e - 1) / every))
+        if not len(due):
+            continue
+        rate = 1 - e / total
+        begins = np.concatenate(([True], heads[due][1:] != heads[due][:-1]))
+        rank = np.arange(len(due)) - np.maximum.accumulate(np.where(begins, np.arange(len(due)), 0))
+        for turn in range(min(TURNS, int(rank.max()) + 1)):
+            at = due[rank % TURNS == turn]
+            h = heads[at]
+            d = p[h] - p[tails[at]]
+            d2 = np.square(d).sum(1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                pull = np.where(d2 > 0, -2 * a * b * d2 ** (b - 1) / (1 + a * d2**b), 0.0)
+            step = 2 * np.clip(pull[:, None] * d, -_STEP_LIMIT, _STEP_LIMIT)  # once for the edge and once for the one that leads back
+            drawn = rng.integers(0, len(others), (len(at), negatives))
+            d = p[h][:, None] - others[drawn]
+            d2 = np.square(d).sum(2)
+            push = np.where((d2 > 0) & (drawn != own[h][:, None]), 2 * b / ((0.001 + d2) * (1 + a * d2**b)), 0.0)
+            step += np.clip(push[:, :, None] * d, -_STEP_LIMIT, _STEP_LIMIT).sum(1)
+            if len(h) == 1 or (h[1:] != h[:-1]).all():
+                p[h] += rate * step
+            else:
+                some, first, n = np.unique(h, return_index=True, return_counts=True)
+                p[some] += rate * np.add.reduceat(step, first) / n[:, None]
+
+
+def _packed(key: tuple, t: pa.Table) -> pa.Table:
+    """A part's edges in order of head, tail, packed."""
+    a, b, every = (t.column(c).to_numpy() for c in ("a", "b", "every"))
+    order = np.lexsort((b, a))
+    packed = [pa.array([c[order].tobytes()], pa.binary()) for c in (a, b, every)]
+    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), *packed], names=["part", "heads", "tails", "every"])
+
+
+def scaled(start: DataFrame, names: list[str], seed: int) -> DataFrame:
+    """start with each coordinate, after a slight seeded shift, stretched to 0..10 (0 where all are equal), to five places.
+
+    The rounding takes away what the order of sums leaves in the start, so that reruns agree.
+    """
+    limits = start.agg(*[F.max(F.abs(c)).alias(f"m{c}") for c in names]).first()
+    noise = lambda c: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(c)), F.lit(1 << 30)) / float(1 << 30) * 1e-4
+    wide = start.select("id", *[(F.col(c) * (10 / limits[f"m{c}"] if limits[f"m{c}"] else 0.0) + noise(c)).alias(c) for c in names])
+    edge = wide.agg(*[F.min(c).alias(f"l{c}") for c in names], *[F.max(c).alias(f"h{c}") for c in names]).first()
+    return wide.select("id", *[F.round((F.col(c) - edge[f"l{c}"]) * (10 / (edge[f"h{c}"] - edge[f"l{c}"]) if edge[f"h{c}"] > edge[f"l{c}"] else 0.0), 5).alias(c) for c in names])
+
+
+def layout(graph: DataFrame, start: DataFrame, cfg: ManifoldConfig = ManifoldConfig(), together: int = 20, negatives: int = 5) -> DataFrame:
+    """graph (i, j, w; symmetric) and start (id, a column for each of cfg.n_components coordinates) -> the same columns after all epochs.
+
+    cfg.epochs None means 500 up to 10,000 vertices and 200 beyond. `together` epochs make a round. Vertices without edges only keep their
+    start; an empty start gives an empty map.
+    """
+    names = [c for c in start.columns if c != "id"]
+    if len(names) != cfg.n_components:
+        raise ValueError(f"the start has {len(names)} coordinates, the settings say {cfg.n_components}")
+    start = cut(start)
+    n = start.count()
+    if not n:
+        return start
+    total = cfg.epochs or (500 if n <= 10_000 else 200)
+    curve = fit_curve(cfg.min_dist)
     ids = cut(numbered(start.select("id"), "id", "k"))
-    n = ids.count()
-    pos = start
-    clip = lambda c: F.greatest(F.lit(-4.0), F.least(F.lit(4.0), c))
-    for e in range(epochs):
-        p = pos.select(F.col("id").alias("i"), F.col("x").alias("xi"), F.col("y").alias("yi"))
-        q = pos.select(F.col("id").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"))
-        draw = F.explode(F.sequence(F.lit(1), F.lit(negatives))).alias("s")
-        far = ids.select(F.col("id").alias("i"), draw).select("i", F.pmod(F.xxhash64("i", "s", F.lit(seed * 1000 + e)), F.lit(n)).alias("k")).join(ids.withColumnRenamed("id", "j"), "k").where("i <> j").select("i", "j", F.lit(None).cast("double").alias("w"))
-        both = graph.select("i", "j", "w").union(far).join(p, "i").join(q, "j")
-        dx, dy = F.col("xi") - F.col("xj"), F.col("yi") - F.col("yj")
-        d2 = dx * dx + dy * dy
-        pull = F.when(d2 > 0, -2 * CURVE_A * CURVE_B * F.pow(d2, CURVE_B - 1) / (1 + CURVE_A * F.pow(d2, CURVE_B))).otherwise(0.0) * F.col("w")
-        push = 2 * CURVE_B / ((0.001 + d2) * (1 + CURVE_A * F.pow(d2, CURVE_B)))
-        force = F.when(F.col("w").isNull(), push).otherwise(pull)
-        step = both.groupBy(F.col("i").alias("id")).agg(F.avg(clip(force * dx)).alias("gx"), F.avg(clip(force * dy)).alias("gy"))
-        speed = rate * (1 - e / epochs)
-        moved = pos.join(step, "id", "left").select("id", (F.col("x") + speed * F.coalesce("gx", F.lit(0.0))).alias("x"), (F.col("y") + speed * F.coalesce("gy", F.lit(0.0))).alias("y"))
-        pos = cut(moved)
-    return pos
+    pos = cut(scaled(start, names, cfg.seed).join(ids, "id").select("k", F.array(*names).alias("p")))
+    most = graph.agg(F.max("w")).first()[0] or 1.0
+    kept = graph.where((F.col("i") != F.col("j")) & (F.col("w") >= most / total))
+    edges = kept.join(ids.select(F.col("id").alias("i"), F.col("k").alias("a")), "i").join(ids.select(F.col("id").alias("j"), F.col("k").alias("b")), "j").select("a", "b", (most / F.col("w")).alias("every"))
+    edges = cut(edges)
+    hubs = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > EDGES).select("a", F.ceil(F.col("n") / EDGES).alias("shares"))
+    blocks = -(-n // HEADS)
+    block = F.pmod(F.xxhash64("a", F.lit(cfg.seed)), F.lit(blocks))
+    shared = edges.join(hubs, "a", "left").select("a", "b", "every", F.xxhash64(block, F.when(F.col("shares").isNotNull(), F.struct("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("s")))).alias("part"))
+    shared = cut(shared)
+    parts = cut(shared.groupBy("part").applyInArrow(_packed, "part long, heads binary, tails binary, every binary"))
+    needs = cut(shared.select("part", F.col("a").alias("k")).union(shared.select("part", F.col("b").alias("k"))).distinct())
+
+    for begin in range(0, total, together):
+        epochs = range(max(begin, 1), min(begin + together, total))
+        if n <= DRAWN:
+            drawn = pos
+        else:  # about DRAWN of all vertices, other ones in each round
+            drawn = pos.where(F.pmod(F.xxhash64("k", F.lit(cfg.seed), F.lit(begin)), F.lit(1 << 30)) < int((1 << 30) * DRAWN / n))
+        found = drawn.select("k", "p").orderBy("k").collect()
+        sent = start.sparkSession.sparkContext.broadcast((np.array([r["k"] for r in found]), np.array([r["p"] for r in found], float)))
+        seed = cfg.seed
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ks, others = sent.value
+            for batch in batches:
+                for r in range(batch.num_rows):
+                    at = batch.column("at")[r].values
+                    k = at.field("k").to_numpy()
+                    p = np.stack([np.asarray(v.values, float) for v in at.field("p")])
+                    order = np.argsort(k)
+                    k, p = k[order], p[order]
+                    a, b = (np.frombuffer(batch.column(c)[r].as_py(), "<i8") for c in ("heads", "tails"))
+                    every = np.frombuffer(batch.column("every")[r].as_py(), "<f8")
+                    part = batch.column("part")[r].as_py()
+                    among = np.minimum(np.searchsorted(ks, k), len(ks) - 1)
+                    move(p, np.searchsorted(k, a), np.searchsorted(k, b), every, others, np.where(ks[among] == k, among, -1), epochs, total, curve, negatives, np.random.default_rng([seed, begin, part & (2**63 - 1)]))
+                    own, n_own = np.unique(a, return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n_own), pa.array(list(p[np.searchsorted(k, own)]), pa.list_(pa.float64()))], names=["k", "n", "q"])
+
+        placed = needs.join(pos, "k").groupBy("part").agg(F.collect_list(F.struct("k", "p")).alias("at"))
+        moved = parts.join(placed, "part").mapInArrow(run, "k long, n long, q array<double>")
+        # a head whose edges are in several parts goes to the mean of its places, weighed by edges
+        mean = moved.groupBy("k").agg(*[(F.sum(F.col("n") * F.col("q")[c]) / F.sum("n")).alias(f"q{c}") for c in range(len(names))])
+        pos = cut(pos.join(mean, "k", "left").select("k", F.when(F.col("q0").isNull(), F.col("p")).otherwise(F.array(*[f"q{c}" for c in range(len(names))])).alias("p")))
+        sent.destroy()
+    return pos.join(ids, "k").select("id", *[F.col("p")[c].alias(x) for c, x in enumerate(names)])
+
+
+def spectral_start(graph: DataFrame, points: DataFrame, cfg: ManifoldConfig = ManifoldConfig(), tol: float = 1e-4) -> DataFrame:
+    """id and cfg.n_components coordinates: the graph's first eigenvectors, or where it is disconnected the first components of points (id, v)."""
+    names = clusters.axes(cfg.n_components)
+    found, _, _ = eigenvectors(graph, cfg.n_components, cfg.seed, tol)
+    if found is None:
+        return clusters.pca_map(points, cfg.n_components)[0]
+    return found.select(F.col("i").alias("id"), *[F.col(f"v{c}").alias(x) for c, x in enumerate(names)])
+
+
+def manifold_map(neighbours: DataFrame, points: DataFrame, cfg: ManifoldConfig = ManifoldConfig()) -> DataFrame:
+    """neighbours (i, j, d: cfg.n_neighbors of each id) and points (id, v) -> id and cfg.n_components coordinates."""
+    graph = cut(fuzzy_graph(neighbours, cfg.n_neighbors))
+    return layout(graph, spectral_start(graph, points, cfg), cfg)

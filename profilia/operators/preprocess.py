@@ -11,6 +11,7 @@ from ..config import PrepConfig
 from ..functions import columns as C
 from ..functions import series as S
 from ..sources.tables import canonical
+from .lineage import cut
 
 VOLUMES = ("oil", "water", "gas")
 
@@ -72,7 +73,7 @@ PANEL = ["well_name", "t", "date", "oil_sum", "water_sum", "gas_sum", "days_sum"
 
 def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
     """rows with their place from 0 in the order of the unique column `by`: ranges are numbered on their own and shifted by the rows before them."""
-    ranged = rows.repartitionByRange(by).withColumn("__part", F.spark_partition_id()).persist()
+    ranged = cut(rows.repartitionByRange(by).withColumn("__part", F.spark_partition_id()))
     before = ranged.groupBy("__part").agg(F.count("*").alias("n"))  # one row for each partition
     offsets = before.withColumn("offset", F.coalesce(F.sum("n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "offset")
     inside = F.row_number().over(Window.partitionBy("__part").orderBy(by)) - 1

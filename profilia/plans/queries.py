@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import BaselineConfig, ForecastConfig, ManifoldConfig, PrepConfig
 from ..functions import columns as C
 from ..operators import anomaly, barycenter, baseline, clusters, density, dtw, features, forecast, kmeans, layout, models, neighbors, preprocess
+from ..operators.lineage import cut
 from ..sources import tables
 
 R = C.rounded
@@ -105,7 +106,7 @@ def knn_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _forecast(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    m = forecast.make_matrices(forecast.prefix_scaled(_profiles(spark, sf).panel)).persist()
+    m = cut(forecast.make_matrices(forecast.prefix_scaled(_profiles(spark, sf).panel)))
     return m, forecast.knn_forecast(m)
 
 
@@ -271,7 +272,7 @@ def gmm_bic(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _well_points(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    tensor = _profiles(spark, sf).tensor().persist()
+    tensor = cut(_profiles(spark, sf).tensor())
     flat = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0.0)))
     return tensor.select(F.col("well_name").alias("id"), F.concat(flat("r_oil_norm"), flat("wc")).alias("v")), tensor
 
@@ -283,14 +284,12 @@ def dtw_refined_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def umap_map(spark: SparkSession, sf: str) -> DataFrame:
     e = tables.embeddings(spark, sf)
-    graph = layout.fuzzy_graph(neighbors.knn(e, e, _MAP.n_neighbors, "bigint"), _MAP.n_neighbors)
-    return layout.layout(graph, clusters.pca_map(e)[0])
+    return layout.manifold_map(neighbors.knn(e, e, _MAP.n_neighbors, "bigint"), e, _MAP)
 
 
 def umap_dtw_map(spark: SparkSession, sf: str) -> DataFrame:
     points, tensor = _well_points(spark, sf)
-    graph = layout.fuzzy_graph(dtw.refined_neighbors(points, tensor, _MAP), _MAP.n_neighbors)
-    return layout.layout(graph, clusters.pca_map(points)[0])
+    return layout.manifold_map(dtw.refined_neighbors(points, tensor, _MAP), points, _MAP)
 
 
 def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:

@@ -61,17 +61,15 @@ def test_refined_neighbors(spark):
 
 
 def test_map_queries_use_the_settings(spark, monkeypatch):
-    ks, epochs = [], []
+    ks, settings = [], []
     monkeypatch.setattr(queries, "_profiles", lambda *a: type("P", (), {"tensor": lambda s: spark.createDataFrame([], "well_name string, r_oil_norm array<double>, wc array<double>")})())
     monkeypatch.setattr(queries.tables, "embeddings", lambda *a: None)
     monkeypatch.setattr(queries.neighbors, "knn", lambda a, b, k, *t: ks.append(k))
     monkeypatch.setattr(queries.dtw, "refine", lambda *a: None)
-    monkeypatch.setattr(queries.clusters, "pca_map", lambda *a: [None])
-    monkeypatch.setattr(queries.layout, "fuzzy_graph", lambda e, k: ks.append(k))
-    monkeypatch.setattr(queries.layout, "layout", lambda g, s, **k: epochs.append(k))
+    monkeypatch.setattr(queries.layout, "manifold_map", lambda n, p, cfg: settings.append(cfg))
     queries.dtw_refined_edges(spark, "")
     queries.umap_map(spark, "")
-    assert ks == [40, 30, 30] and epochs == [{}]
+    assert ks == [40, 30] and settings == [ManifoldConfig()] and settings[0].epochs is None
 
 
 @pytest.fixture(scope="module")
@@ -127,7 +125,7 @@ def test_pca_and_layout(blobs):
     graph = layout.fuzzy_graph(neighbors.knn(two, two, 8, "bigint"), 8).cache()
     w = {(r["i"], r["j"]): r["w"] for r in graph.collect()}
     assert all(w[j, i] == pytest.approx(x) and 0 <= x <= 1 for (i, j), x in w.items())
-    a, b = (layout.layout(graph, start, epochs=3).orderBy("id").collect() for _ in range(2))
+    a, b = (layout.layout(graph, start, ManifoldConfig(epochs=3)).orderBy("id").collect() for _ in range(2))
     assert [r["id"] for r in a] == list(range(80)) and np.allclose([r["x"] for r in a], [r["x"] for r in b])
 
 
