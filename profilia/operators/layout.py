@@ -79,9 +79,10 @@ def fuzzy_graph(edges: DataFrame, k: int) -> DataFrame:
 def move(p: np.ndarray, heads: np.ndarray, tails: np.ndarray, every: np.ndarray, others: np.ndarray, own: np.ndarray, epochs: range, total: int, curve: tuple[float, float], negatives: int, rng: np.random.Generator) -> None:
     """Moves the rows `heads` of p in place through `epochs`; edges, in order of their heads, are due once in `every` epochs.
 
-    others: places that repel; own: for each row of p its place among them, or -1, as nothing repels itself.
+    others: places that repel; own: for each row of p its place among them, or -1: nothing repels itself, and what moves here repels from where it is.
     """
     a, b = curve
+    others = others.copy()
     for e in epochs:
         due = np.flatnonzero(np.floor(e / every) > np.floor((e - 1) / every))
         if not len(due):
@@ -107,6 +108,8 @@ def move(p: np.ndarray, heads: np.ndarray, tails: np.ndarray, every: np.ndarray,
             else:
                 some, first, n = np.unique(h, return_index=True, return_counts=True)
                 p[some] += rate * np.add.reduceat(step, first) / n[:, None]
+            h = h[own[h] >= 0]
+            others[own[h]] = p[h]
 
 
 def _packed(key: tuple, t: pa.Table) -> pa.Table:
@@ -132,7 +135,8 @@ def scaled(start: DataFrame, names: list[str], seed: int) -> DataFrame:
 def layout(graph: DataFrame, start: DataFrame, cfg: ManifoldConfig = ManifoldConfig(), together: int = 20, negatives: int = 5) -> DataFrame:
     """graph (i, j, w; symmetric) and start (id, a column for each of cfg.n_components coordinates) -> the same columns after all epochs.
 
-    cfg.epochs None means 500 up to 10,000 vertices and 200 beyond. `together` epochs make a round. Vertices without edges only keep their
+    cfg.epochs None means 500 up to 10,000 vertices and 200 beyond. `together` epochs make a round, all of
+    them if there is one part only. Vertices without edges only keep their
     start; an empty start gives an empty map.
     """
     names = [c for c in start.columns if c != "id"]
@@ -158,6 +162,7 @@ def layout(graph: DataFrame, start: DataFrame, cfg: ManifoldConfig = ManifoldCon
     parts = cut(shared.groupBy("part").applyInArrow(_packed, "part long, heads binary, tails binary, every binary"))
     needs = cut(shared.select("part", F.col("a").alias("k")).union(shared.select("part", F.col("b").alias("k"))).distinct())
 
+    together = total if parts.count() < 2 else together  # a lone part has nothing to exchange
     for begin in range(0, total, together):
         epochs = range(max(begin, 1), min(begin + together, total))
         if n <= DRAWN:
