@@ -1,8 +1,9 @@
 """Mixing sources to target weights, with DataFrame operations only.
 
 Every source's words are laid end to end and packed into blocks of BLOCK words. Output shards of SHARD slots draw multinomial
-counts of the sources; what a source draws beyond its target's blocks goes, in order, to sources below theirs, so that
-each comes out at its target. A source's slots, numbered over all shards, are mapped to its blocks by one pseudorandom permutation of
+counts of the sources; what a source draws beyond its target's blocks goes, in order, to sources below theirs. What a source then lacks
+to its target, less than two blocks, comes from its next slots, the last of them in part, so that each source comes out at its target to the
+word. A source's slots, numbered over all shards, are mapped to its blocks by one pseudorandom permutation of
 the block indexes after the other (a Feistel network on a rectangle, walked until it stays within range), and blocks
 are joined by index. As no target exceeds twice its source, no block is used more than twice.
 """
@@ -30,7 +31,8 @@ SEED = 20240101
 
 @dataclass
 class Mix:
-    """documents: doc_id, rk, source, sid, size, at; sources: sid, source, size, target, blocks, quota; draws: sid, shard, block; uses: sid, block, uses."""
+    """documents: doc_id, rk, source, sid, size, at; sources: sid, source, size, target, blocks, quota (whole slots); draws: sid, shard, block;
+    uses: sid, block, uses, part (how many of the block's first words are used once more)."""
 
     documents: DataFrame
     sources: DataFrame
@@ -71,7 +73,9 @@ def _targets(sources: DataFrame) -> DataFrame:
             last, rate = rate, max(rate, (total - (full or 0)) / rest)
     target = F.least(F.lit(rate) * F.col("weight"), LIMIT * F.col("size").cast("double"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    return sources.withColumn("target", target).withColumn("blocks", blocks).withColumn("quota", F.least(LIMIT * blocks, F.round(target / BLOCK).cast("long")))
+    turns = F.coalesce(F.floor(F.col("target") / F.nullif(F.col("size"), F.lit(0))), F.lit(0)).cast("long")
+    rest = F.floor((F.col("target") - turns * F.col("size")) / BLOCK).cast("long")
+    return sources.withColumn("target", target).withColumn("blocks", blocks).withColumn("quota", turns * F.col("blocks") + rest)
 
 
 def _uniform(*key: Column) -> Column:
@@ -121,7 +125,25 @@ def permuted(i: Column, n: Column, *key: Column) -> Column:
         step = lambda y, _: F.when(y < n, y).otherwise(once(y))
         return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, step)
 
-    return F.transform(F.array(once(i)), lambda y: F.when(y < n, y).otherwise(walk(y)))[0]
+    home = F.transform(F.array(once(i)), lambda y: F.when(y < n, y).otherwise(walk(y)))
+    return F.transform(home, lambda y: F.when(y < n, y).otherwise(F.raise_error(F.lit("a walk did not come home")).cast("long")))[0]
+
+
+def _block_of(r: Column) -> Column:
+    """The block of a source's slot r, for rows with sid and blocks."""
+    return permuted(F.pmod(r, F.col("blocks")), F.col("blocks"), F.lit(SEED), F.col("sid"), F.floor(r / F.col("blocks")).cast("long"))
+
+
+def _tails(sources: DataFrame, uses: DataFrame) -> DataFrame:
+    """(sid, block, uses, part): what the whole slots leave of each source's target, from its next two slots."""
+    words = lambda block: F.when(block == F.col("blocks") - 1, F.col("size") - BLOCK * (F.col("blocks") - 1)).otherwise(BLOCK)
+    some = sources.where("size > 0")
+    have = uses.join(sized(some.select("sid", "size", "blocks")), "sid").groupBy("sid").agg(F.sum(F.col("uses") * words(F.col("block"))).alias("have"))
+    lack = some.join(have, "sid", "left").withColumn("lack", F.round("target").cast("long") - F.coalesce("have", F.lit(0)))
+    two = lack.select("*", _block_of(F.col("quota")).alias("b0"), _block_of(F.col("quota") + 1).alias("b1"))
+    two = two.withColumn("x0", F.least("lack", words(F.col("b0")))).withColumn("x1", F.col("lack") - F.col("x0"))
+    each = two.select("sid", F.explode(F.array(*[F.struct(F.col(f"b{k}").alias("block"), F.col(f"x{k}").alias("x"), words(F.col(f"b{k}")).alias("w")) for k in (0, 1)])).alias("t")).where("t.x > 0")
+    return each.select("sid", "t.block", F.when(F.col("t.x") == F.col("t.w"), 1).otherwise(0).cast("long").alias("uses"), F.when(F.col("t.x") < F.col("t.w"), F.col("t.x")).otherwise(0).cast("long").alias("part"))
 
 
 def mix_sources(docs: DataFrame, scratch: Scratch | None = None) -> Mix:
@@ -137,10 +159,10 @@ def mix_sources(docs: DataFrame, scratch: Scratch | None = None) -> Mix:
     n_slots = sources.agg(F.sum("quota")).first()[0] or 0
     spread = shares.repartition(max(1, -(-n_slots // TASK_SLOTS)), "sid", "shard")  # few rows that become many
     slots = spread.select("sid", "shard", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1)).alias("r")).join(sized(sources.select("sid", "blocks")), "sid")
-    turn = F.floor(F.col("r") / F.col("blocks")).cast("long")
-    block = permuted(F.pmod("r", "blocks"), F.col("blocks"), F.lit(SEED), F.col("sid"), turn)
-    draws = slots.select("sid", "shard", block.alias("block"))
-    uses = scratch.table(draws.groupBy("sid", "block").agg(F.count("*").alias("uses")), "uses")
+    draws = slots.select("sid", "shard", _block_of(F.col("r")).alias("block"))
+    whole = scratch.table(draws.groupBy("sid", "block").agg(F.count("*").alias("uses")), "whole-slots")
+    uses = whole.withColumn("part", F.lit(0).cast("long")).unionByName(_tails(sources, whole)).groupBy("sid", "block").agg(F.sum("uses").alias("uses"), F.sum("part").alias("part"))
+    uses = scratch.table(uses, "uses")
     return Mix(layout, sources, draws, uses)
 
 
@@ -151,7 +173,12 @@ def _pieces(mix: Mix) -> DataFrame:
     parts = full.select("sid", "at", "size", block.alias("block"))
     begin = F.greatest(F.col("at"), F.col("block") * BLOCK)
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * BLOCK)
-    return parts.select("sid", "at", "block", (begin - F.col("at")).alias("begin"), (end - begin).alias("words")).join(mix.uses, ["sid", "block"])
+    found = parts.select("sid", "at", "block", begin.alias("from"), end.alias("to")).join(mix.uses, ["sid", "block"])
+    piece = lambda a, b, n: F.struct((a - F.col("at")).alias("begin"), (b - a).alias("words"), n.alias("uses"))
+    mid = F.greatest("from", F.least("to", F.col("block") * BLOCK + F.col("part")))
+    both = F.array(piece(F.col("from"), mid, F.col("uses") + 1), piece(mid, F.col("to"), F.col("uses")))
+    cut = F.when(F.col("part") > 0, both).otherwise(F.array(piece(F.col("from"), F.col("to"), F.col("uses"))))
+    return found.select("sid", "at", F.explode(cut).alias("p")).select("sid", "at", "p.*").where("words > 0 and uses > 0")
 
 
 def taken_words(mix: Mix) -> DataFrame:
@@ -173,7 +200,7 @@ def mixed_documents(docs: DataFrame, mix: Mix) -> DataFrame:
     parts = _pieces(mix).groupBy("sid", "at").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     chosen = mix.documents.select("sid", "at", "rk", "size").where("size > 0").join(parts, ["sid", "at"]).select("rk", "size", "parts")
     key = row_key(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
-    texts = docs.select(key.alias("rk"), F.struct(*docs.columns).alias("row")).groupBy("rk").agg(F.first("row").alias("row"))
+    texts = docs.select(key.alias("rk"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")).groupBy("rk").agg(F.first("row").alias("row"))
     rows = chosen.join(texts, "rk").select("row", "size", "parts", F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
     rows = rows.withColumn("parts", F.filter("parts", lambda p: p["uses"] >= F.col("copy"))).where(F.size("parts") > 0)
     words = F.array(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)))

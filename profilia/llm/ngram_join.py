@@ -314,7 +314,7 @@ def one_of_each(docs: DataFrame, num: int = 3, den: int = 4) -> DataFrame:
     keep = found.groupBy("root").agg(F.min("place").alias("keep"))
     rows = found.groupBy("root", "rk").agg(F.count("*").alias("n")).join(keep, "root")
     odd = scratch.table(rows.where((F.col("rk") != F.col("keep.rk")) | (F.col("n") > 1)).select("rk", (F.col("rk") == F.col("keep.rk")).alias("again")), "odd")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("rk"))
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("rk"))
     single = keyed.join(sized(odd.select("rk")), "rk", "left_anti").select("row")
     repeated = keyed.join(sized(odd.where("again").select("rk")), "rk", "left_semi").groupBy("rk").agg(F.first("row").alias("row")).select("row")
     return single.union(repeated).select("row.*")

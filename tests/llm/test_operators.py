@@ -254,7 +254,7 @@ def test_op4(docs, empty):
     for k, s in enumerate(order):
         assert by_source[k]["target"] == pytest.approx(target[s]) and by_source[k]["size"] == size[s]
     assert all(r["taken"] <= 2 * r["size"] for r in got)
-    assert sum(r["taken"] for r in got) == pytest.approx(total, abs=mixing.BLOCK * len(size))
+    assert sum(r["taken"] for r in got) == pytest.approx(total, abs=len(size))
     again = mixing.taken_words(mixing.mix_sources(docs)).collect()
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, again), key=str)
     texts = mixing.mixed_documents(docs, mix)
@@ -263,6 +263,34 @@ def test_op4(docs, empty):
     assert mixing.taken_words(mixing.mix_sources(empty)).count() == 0
 
 
+def test_op4_every_source_comes_out_at_its_target(spark):
+    """Sources of 1 to 1,000 words, in one document or many: the words taken of each are its target, rounded."""
+    sizes = [1, 2, 12, 15, 33, 40, 63, 64, 65, 127, 128, 129, 200, 641, 1000]
+    rows, k = [], 0
+    for n, size in enumerate(sizes):
+        for part in ([size] if n % 2 else [size // 3, 0, size - size // 3]):
+            rows.append((k, " ".join(f"w{j}" for j in range(part)), f"s{n:02d}"))
+            k += 1
+    docs = documents(spark, rows)
+    mix = mixing.mix_sources(docs)
+    got = {r["doc_id"]: r for r in mixing.taken_words(mix).collect()}
+    assert len(got) == len(rows) and all(r["taken"] <= 2 * r["size"] for r in got.values())
+    taken, target = {}, {}
+    for i, _, s in rows:
+        taken[s], target[s] = taken.get(s, 0) + got[i]["taken"], got[i]["target"]
+    assert taken == {s: int(t + 0.5) for s, t in target.items()} and sum(target.values()) == pytest.approx(1.5 * sum(sizes))
+    out = mixing.mixed_documents(docs, mix).groupBy("source").agg(F.sum(F.regexp_count("text", F.lit(mixing.WORD))).alias("n"), F.max("n_chars").alias("c")).collect()
+    assert {r["source"]: r["n"] for r in out} == {s: n for s, n in taken.items() if n}
+
+
+def test_columns_with_dots_pass(spark):
+    rows = [(1, "a b c d e f g", "s", 3), (2, "a b c d e f g", "s", 4), (3, "z", "t", 5), (4, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, `a.b` long")
+    assert sorted(r["a.b"] for r in ngram_join.one_of_each(docs).collect() if r["text"]) == [3, 5]
+    mixed = mixing.mixed_documents(docs, mixing.mix_sources(docs))
+    assert mixed.columns == docs.columns and {r["a.b"] for r in mixed.collect()} <= {3, 4, 5}
+
+
 def test_op4_permutation(spark):
     for n in (1, 2, 3, 7, 100, 4097):
         got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(9))).collect()
