@@ -5,8 +5,9 @@ import itertools
 import numpy as np
 import pytest
 
+from plain_tree import condensed
 from profilia.config import ClusterConfig
-from profilia.operators import barycenter, density
+from profilia.operators import barycenter, density, dendrogram
 
 
 @pytest.fixture(scope="module")
@@ -49,11 +50,64 @@ def test_tree_and_clusters(spark, points, table):
 def test_condensed_by_hand():
     """Two chains of three joined by a long edge; a far point leaves first."""
     a, b, w = [0, 1, 3, 4, 2, 5], [1, 2, 4, 5, 3, 6], np.array([1.0, 1.0, 1.0, 2.0, 10.0, 50.0])
-    got = density.condensed(a, b, w, 3)
+    got = condensed(a, b, w, 3)
     assert got[6] == (-1, 0.0) and {got[i][0] for i in (0, 1, 2)} != {got[i][0] for i in (3, 4, 5)}
     assert got[0][1] == 1.0 and got[3][1] == 1.0 and got[5][1] == 1.0  # a part too small to split leaves as a whole
 
 
+def random_tree(rng, n, kind):
+    """(a, b, w): each vertex hangs on an earlier one; weights with ties, in clumps, or growing along one long chain."""
+    rows = []
+    for v in range(1, n):
+        u = int(rng.integers(0, v)) if kind != "chain" else v - 1
+        w = {"ties": float(rng.integers(0, 5)), "clumps": float(rng.exponential() if (v % 40) else 20 + rng.exponential()), "chain": v / 7 if v % 50 else 100.0 + v}[kind]
+        rows.append((u, v, w) if rng.random() < 0.5 else (v, u, w))
+    return rows
+
+
+def groups(labels):
+    out = {}
+    for i, c in labels.items():
+        out.setdefault(c, set()).add(i)
+    return sorted(map(sorted, (g for c, g in out.items() if c >= 0)))
+
+
+@pytest.mark.parametrize("kind,n,size,single,epsilon", [("clumps", 260, 8, False, 0.0), ("ties", 150, 3, True, 0.0), ("chain", 200, 6, False, 60.0), ("clumps", 160, 5, False, 0.8)])
+def test_tree_labels_equal_the_plain_ones(spark, kind, n, size, single, epsilon):
+    rows = random_tree(np.random.default_rng(n), n, kind)
+    want = condensed([a for a, _, _ in rows], [b for _, b, _ in rows], np.array([w for _, _, w in rows]), size, single, epsilon)
+    cfg = ClusterConfig(min_cluster_size=size, allow_single_cluster=single, cluster_selection_epsilon=epsilon)
+    got = {r["id"]: r for r in dendrogram.tree_labels(spark.createDataFrame(rows, "a long, b long, w double").repartition(3), cfg).collect()}
+    assert set(got) == set(range(n))
+    assert groups({i: r["cluster"] for i, r in got.items()}) == groups({i: c for i, (c, _) in want.items()}) and groups({i: c for i, (c, _) in want.items()})
+    assert all(got[i]["prob"] == pytest.approx(p) for i, (_, p) in want.items())
+    names = {r["cluster"] for r in got.values()} - {-1}
+    assert names == set(range(len(names)))
+
+
+def test_dendrogram_parents_and_sizes(spark):
+    """Against merging edge by edge."""
+    n, rng = 120, np.random.default_rng(9)
+    rows = sorted(random_tree(rng, n, "clumps"), key=lambda r: r[2])
+    top, count, want, parent = {}, {}, {}, {}
+    part = list(range(n))
+    for e, (a, b, _) in enumerate(rows):
+        x, y = part[a], part[b]
+        want[e] = sum(part[v] in (x, y) for v in range(n))
+        for s in (x, y):
+            if s in top:
+                parent[top.pop(s)] = e
+        part = [x if p == y else p for p in part]
+        top[x] = e
+    tree, first = dendrogram.dendrogram(spark.createDataFrame([(e, f"v{a}", f"v{b}") for e, (a, b, _) in enumerate(rows)], "e long, a string, b string"))
+    got = {r["e"]: (r["par"], r["size"]) for r in tree.collect()}
+    assert got == {e: (parent.get(e), want[e]) for e in range(n - 1)}
+    assert {r["x"]: r["e"] for r in first.collect()} == {f"v{v}": min(e for e, (a, b, _) in enumerate(rows) if v in (a, b)) for v in range(n)}
+    with pytest.raises(ValueError):
+        dendrogram.tree_labels(tree, ClusterConfig(min_cluster_size=1))
+    assert dendrogram.tree_labels(spark.createDataFrame([], "a string, b string, w double")).collect() == []
+
+
 def test_validity(spark, points, table):
     labels = [0] * 30 + [1] * 35 + [-1] * 8 + [1, 1]
     rows = spark.createDataFrame(list(enumerate(labels)), "id long, label int")
