@@ -84,6 +84,21 @@ def well_file_name(label: Column, suffix: str = ".csv") -> Column:
     return F.concat(sanitize_filename(F.coalesce(label, F.lit(""))), F.lit(suffix))
 
 
+#: The metadata that name a well's file, in order.
+FILE_KEYS = ("Well_Nm", "Well_Type", "Wl_Status", "County", "Field")
+
+
+def metadata_file_name(metadata: Column) -> Column:
+    """Slugs of a metadata map's FILE_KEYS, joined by underscores; "unknown" where a key is absent or null."""
+    return F.concat_ws("_", *[slugify(F.coalesce(F.try_element_at(metadata, F.lit(k)), F.lit("unknown"))) for k in FILE_KEYS])
+
+
+def flatten_channels(*channels: str | Column) -> Column:
+    """One vector of all channels' arrays, one after the other; missing and non-finite values count as 0."""
+    whole = lambda x: F.when(F.abs(x) < float("inf"), x.cast("double")).otherwise(0.0)
+    return F.concat(*[F.transform(c, whole) for c in channels])
+
+
 def is_tree_node(label: Column) -> Column:
     return label.rlike(r"^\s*\d{6,}\s*-\s*.+")
 

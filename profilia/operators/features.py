@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import series as S
 from ..sources.tables import require_columns
+from .lineage import cut
+from .quantiles import exact_quantiles
 
 FEATURES = ["peak_oil", "t_peak", "t_half", "t_20", "early_mean6", "early_mean12", "early_trend6", "mid_trend12", "vol_doil_w6", "vol_doil_w12", "wc_mean12", "wc_trend12", "gor_trend12", "plateau_len", "valid_ratio"]
 
@@ -52,8 +54,11 @@ def compute_side_features(panel: DataFrame, T: int = 36) -> DataFrame:
 def scale_features(features: DataFrame, key: str = "well_name") -> DataFrame:
     """(x - median) / (q75 - q25) of each column with exact quantiles; a spread of 0 counts as 1, nulls stay."""
     cols = [c for c in features.columns if c != key]
-    features = features.persist()  # read for the quantiles and for the rows
-    stats = features.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in cols])  # one row
-    both = features.alias("f").join(F.broadcast(stats.alias("s")))
-    spread = lambda c: F.col(f"s.{c}")[2] - F.col(f"s.{c}")[0]
-    return both.select(F.col(f"f.{key}"), *[((F.col(f"f.{c}") - F.col(f"s.{c}")[1]) / F.when(spread(c) == 0, 1.0).otherwise(spread(c))).alias(c) for c in cols])
+    features = cut(features)  # read for the quantiles and for the rows
+    stats = exact_quantiles(features, cols, [0.25, 0.5, 0.75])
+
+    def scaled(c: str) -> Column:
+        low, mid, high = stats[c]
+        return F.lit(None).cast("double") if mid is None else (F.col(c) - mid) / ((high - low) or 1.0)
+
+    return features.select(key, *[scaled(c).alias(c) for c in cols])

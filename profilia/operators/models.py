@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+from .quantiles import exact_quantiles
+
 #: Rows that a tree is grown from; the sample of a tree is drawn by hash.
 TREE_ROWS = 256
 
@@ -72,8 +75,10 @@ def isolation_scores(vectors: DataFrame, trees: int = 100, seed: int = 42) -> Da
 
 
 def flag_outliers(scores: DataFrame, contamination: float = 0.03) -> DataFrame:
-    cut = scores.agg(F.percentile("score", F.lit(1 - contamination)).alias("cut"))  # one row
-    return scores.join(F.broadcast(cut)).select("id", "score", (F.col("score") > F.col("cut")).alias("outlier"))
+    """(id, score) -> id, score, outlier: the share `contamination` with the highest scores."""
+    scores = cut(scores)
+    bound = exact_quantiles(scores, ["score"], [1 - contamination])["score"][0]
+    return scores.select("id", "score", (F.col("score") > F.lit(bound).cast("double")).alias("outlier"))
 
 
 FEATURES = ["y_mean", "y_std", "y_slope", "y_intercept", "y_curv", "wc_mean", "wc_std"]

@@ -80,6 +80,14 @@ def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
     return ranged.withColumn("__k", inside).join(F.broadcast(offsets), "__part").withColumn(name, F.col("offset") + F.col("__k")).drop("__part", "__k", "offset")
 
 
+def gathered(indexed: DataFrame, ordinals: DataFrame, index: str = "well_idx") -> DataFrame:
+    """indexed, whose rows are numbered by `index`, and ordinals (place, index) -> place and the columns of the row with that number.
+
+    An ordinal may come several times; one beyond the rows, or null, gives a row of nulls.
+    """
+    return ordinals.select("place", index).join(indexed, index, "left")
+
+
 @dataclass
 class Profiles:
     """Lazy results: panel, the wells that were dropped with their reasons, and their counts."""

@@ -173,6 +173,10 @@ ORACLES: dict[str, str] = {
     "run_length_start": f"WITH {BASE} SELECT well_name, start::INT AS start FROM st",
     "zscored_wide": f"WITH {WIDE} SELECT well_name, t, {r('((f - m) / (sd + 1e-8))', 'z')} FROM zz WHERE n = 12",
     "slugify_names": r"""SELECT p_partkey, regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(' ' || p_name || ': a/b, ' || p_name), '[\\/:*?"<>|]+', '_', 'g'), '[\s,]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS slug FROM part""",
+    "metadata_file_names": r"""SELECT c_custkey, concat_ws('_', regexp_replace(c_name, '[\s,]+', '_', 'g'), regexp_replace(c_mktsegment, '[\s,]+', '_', 'g'), 'A_b_' || c_custkey, 'unknown',
+        CASE WHEN c_custkey % 2 = 0 THEN 'x_y' ELSE 'unknown' END) AS file FROM customer""",
+    "wells_by_ordinal": """WITH w AS (SELECT well_name, row_number() OVER (ORDER BY well_name) - 1 AS k FROM (SELECT DISTINCT 'P' || lpad(l_partkey::VARCHAR, 6, '0') AS well_name FROM lineitem))
+        SELECT a.k AS place, a.k * 2 AS well_idx, b.well_name FROM w a LEFT JOIN w b ON b.k = a.k * 2""",
     "sanitize_names": r"""SELECT c_custkey, coalesce(nullif(trim(regexp_replace(regexp_replace(c_name || ' <x>|  ?', '[\\/:*?"<>|]+', ' ', 'g'), '\s+', ' ', 'g')), ''), 'file') AS name FROM customer""",
     "producing_rows": f"WITH {B} SELECT well_name, count(*) AS n, {r('sum(oil)', 'oil')}, {r('sum(gas)', 'gas')} FROM raw WHERE oil >= 0 AND gas >= 0 AND water >= 0 GROUP BY 1",
     "resampled_sums": f"WITH {BASE} SELECT well_name, date, {r('coalesce(s, 0.0)', 's')} FROM fil",

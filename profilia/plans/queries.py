@@ -241,6 +241,19 @@ def group_names(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("c_custkey", C.group_dir_name(label).alias("folder"), C.group_index(link).alias("nth"), C.well_file_name(F.concat(key, F.lit(": a/b"))).alias("file"))
 
 
+def metadata_file_names(spark: SparkSession, sf: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf}/customer.parquet")
+    key = F.col("c_custkey")
+    entries = F.map_filter(F.create_map(*[x for k, v in zip(C.FILE_KEYS, (F.col("c_name"), F.col("c_mktsegment"), F.concat(F.lit("A/b: "), key.cast("string")), F.lit(None).cast("string"), F.lit("x y")), strict=True) for x in (F.lit(k), v)]), lambda k, v: (k != "Field") | (key % 2 == 0))
+    return c.select("c_custkey", C.metadata_file_name(entries).alias("file"))
+
+
+def wells_by_ordinal(spark: SparkSession, sf: str) -> DataFrame:
+    """Each well by place, and the well whose number is twice that place, as far as there is one."""
+    wells = preprocess.numbered(tables.part_wells(spark, sf).select("well_name").distinct(), "well_name", "well_idx")
+    return preprocess.gathered(wells, wells.select(F.col("well_idx").alias("place"), (F.col("well_idx") * 2).alias("well_idx")))
+
+
 def hdbscan_clusters(spark: SparkSession, sf: str) -> DataFrame:
     xy = clusters.pca_map(tables.embeddings(spark, sf))[0].select("id", F.array("x", "y").alias("v"))
     return density.hdbscan_clusters(xy)
@@ -273,8 +286,7 @@ def gmm_bic(spark: SparkSession, sf: str) -> DataFrame:
 
 def _well_points(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     tensor = cut(_profiles(spark, sf).tensor())
-    flat = lambda c: F.transform(c, lambda x: F.coalesce(x, F.lit(0.0)))
-    return tensor.select(F.col("well_name").alias("id"), F.concat(flat("r_oil_norm"), flat("wc")).alias("v")), tensor
+    return tensor.select(F.col("well_name").alias("id"), C.flatten_channels(*_MAP.channels).alias("v")), tensor
 
 
 def dtw_refined_edges(spark: SparkSession, sf: str) -> DataFrame:
@@ -310,7 +322,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         forecast_long, forecast_wide, forecast_metrics, lof_scores, medoid_distance, anomaly_scores, top_anomalies, silhouette_by_label,
         mutual_reachability, cluster_summary, prototypes_median_iqr, cluster_mean_bands, clipped_signal, dense_month_spine, interpolated_series,
         run_length_start, zscored_wide, slugify_names, sanitize_names, record_range_parse, producing_rows, resampled_sums, monthly_means, sampled_wells,
-        group_names, hdbscan_clusters, cluster_quality, barycenters, prototypes_dba, pca_map, kmeans_auto, gmm_bic,
+        group_names, metadata_file_names, wells_by_ordinal, hdbscan_clusters, cluster_quality, barycenters, prototypes_dba, pca_map, kmeans_auto, gmm_bic,
         dtw_refined_edges, umap_map, umap_dtw_map, isolation_forest, elasticnet_forecast,
     )
 }

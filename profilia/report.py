@@ -8,15 +8,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators.anomaly import top_anomalies
+from .operators.clusters import cluster_prototypes, mean_bands
+from .operators.lineage import cut
+from .operators.quantiles import exact_quantiles
 
-#: Rows of a table in the page, points of a chart.
-TABLE_ROWS, POINTS = 50, 5000
+#: Rows of a table in the page, points of a chart, lines of a chart.
+TABLE_ROWS, POINTS, LINES = 50, 5000, 100
 
 
-def map_data(map_: DataFrame, share: float = 0.05) -> DataFrame:
-    """(well_name, x, y, cluster, anomaly_score) with `anomalous`: the top share by score."""
-    cut = map_.agg(F.percentile("anomaly_score", F.lit(1 - share)).alias("cut"))  # one row
-    return map_.join(F.broadcast(cut)).select("well_name", "x", "y", "cluster", (F.col("anomaly_score") >= F.col("cut")).alias("anomalous"))
+def map_data(map_: DataFrame, share: float = 0.05, medoids: DataFrame | None = None) -> DataFrame:
+    """(well_name, x, y, cluster, anomaly_score) with `anomalous`, the top share by score, and `medoid`: whether it is in medoids (well_name)."""
+    map_ = cut(map_)
+    bound = exact_quantiles(map_, ["anomaly_score"], [1 - share])["anomaly_score"][0]
+    named = F.lit(False)
+    if medoids is not None:
+        map_, named = map_.join(medoids.select("well_name", F.lit(True).alias("__medoid")), "well_name", "left"), F.coalesce("__medoid", F.lit(False))
+    return map_.select("well_name", "x", "y", "cluster", (F.col("anomaly_score") >= F.lit(bound).cast("double")).alias("anomalous"), named.alias("medoid"))
+
+
+def prototype_lines(panel: DataFrame, labels: DataFrame, channel: str, T: int = 36) -> DataFrame:
+    """name (of the cluster), t, y, low, high: each cluster's median with its quartiles."""
+    found = cluster_prototypes(panel, labels, [channel], T)
+    return found.select(F.concat(F.lit("cluster "), F.col("cluster").cast("string")).alias("name"), "t", F.col("value").alias("y"), F.col("p25").alias("low"), F.col("p75").alias("high"))
+
+
+def mean_lines(panel: DataFrame, labels: DataFrame, channel: str, T: int = 36) -> DataFrame:
+    """name (of the cluster), t, y, low, high: each cluster's mean between its 10th and 90th percentile."""
+    found = mean_bands(panel, labels, channel, T)
+    return found.select(F.concat(F.lit("cluster "), F.col("cluster").cast("string")).alias("name"), "t", F.col("mean").alias("y"), F.col("p10").alias("low"), F.col("p90").alias("high"))
+
+
+def forecast_lines(long: DataFrame, predictions: dict[str, str], wells: int = 6) -> DataFrame:
+    """(well_name, t, y_true, a column for each prediction) -> name, t, y of the first wells by name: the truth and what each method says.
+
+    predictions: names of the methods and of their columns.
+    """
+    some = long.select("well_name").distinct().orderBy("well_name").limit(wells)
+    columns = {"truth": "y_true"} | predictions
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("method"), F.col(c).cast("double").alias("y")) for n, c in columns.items()])).alias("x")
+    rows = long.join(F.broadcast(some), "well_name").select("well_name", "t", each)  # a few names
+    return rows.select(F.concat_ws(" ", "well_name", "x.method").alias("name"), "t", "x.y").where("y is not null")
 
 
 def cluster_sizes(map_: DataFrame) -> DataFrame:
@@ -48,8 +79,14 @@ def export_matrix(rows: DataFrame, column: str, path: str) -> None:
 
 
 def lines_svg(rows: DataFrame, width: int = 640, height: int = 240) -> str:
-    """(name, t, y[, low, high]) as one line for each name with its band; POINTS rows at most: prototypes, forecasts, cluster means."""
-    found = rows.orderBy("name", "t").limit(POINTS).collect()
+    """(name, t, y[, low, high]) as one line for each name with its band: prototypes, forecasts, cluster means.
+
+    A chart holds the first LINES names, each with all its points, and says how many there are if there are more.
+    """
+    names = rows.select("name").distinct()
+    n = names.count()
+    shown = rows if n <= LINES else rows.join(F.broadcast(names.orderBy("name").limit(LINES)), "name")
+    found = shown.orderBy("name", "t").collect()
     band = {"low", "high"} <= set(rows.columns)
     ys = [r[c] for r in found for c in (["y", "low", "high"] if band else ["y"]) if r[c] is not None]
     if not ys:
@@ -64,11 +101,14 @@ def lines_svg(rows: DataFrame, width: int = 640, height: int = 240) -> str:
             edge = [xy(r["t"], r["low"]) for r in of] + [xy(r["t"], r["high"]) for r in reversed(of)]
             out.append(f'<polygon points="{" ".join(edge)}" fill="{hue}" fill-opacity="0.2"/>')
         out.append(f'<polyline points="{" ".join(xy(r["t"], r["y"]) for r in of)}" fill="none" stroke="{hue}"><title>{escape(str(name))}</title></polyline>')
+    if n > LINES:
+        out.append(f'<text x="12" y="14" font-size="11">{LINES} of {n} lines</text>')
     return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{"".join(out)}</svg>'
 
 
 def scatter_svg(data: DataFrame, width: int = 640, height: int = 480) -> str:
-    """The map as SVG, at most POINTS points in hash order."""
+    """The map as SVG; of more than POINTS points those that come first in hash order, with their number. Medoids carry their cluster's number."""
+    n = data.count()
     rows = data.orderBy(F.xxhash64("well_name")).limit(POINTS).collect()
     if not rows:
         return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}"/>'
@@ -78,7 +118,11 @@ def scatter_svg(data: DataFrame, width: int = 640, height: int = 480) -> str:
     dots = "".join(
         f'<circle cx="{at(r["x"], min(xs), max(xs), width):.1f}" cy="{height - at(r["y"], min(ys), max(ys), height):.1f}" r="3" fill="{hue(r["cluster"])}"' + (' stroke="#000"' if r["anomalous"] else "") + f"><title>{escape(r['well_name'])}</title></circle>" for r in rows
     )
-    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{dots}</svg>'
+    if "medoid" in data.columns:  # one of each cluster, whether or not its point is among those drawn
+        for r in data.where("medoid").limit(POINTS).collect():
+            dots += f'<text x="{at(r["x"], min(xs), max(xs), width) + 5:.1f}" y="{height - at(r["y"], min(ys), max(ys), height) - 5:.1f}" font-size="12">{r["cluster"]}</text>'
+    note = f'<text x="12" y="14" font-size="11">{POINTS} of {n} points</text>' if n > POINTS else ""
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width}" height="{height}">{dots}{note}</svg>'
 
 
 def bars_svg(sizes: DataFrame, width: int = 480, height: int = 240) -> str:
