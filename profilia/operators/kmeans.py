@@ -259,6 +259,11 @@ def silhouettes(labelled: DataFrame, counts: list[int]) -> list[float | None]:
     return [None if totals[f"s{m}"] is None else totals[f"s{m}"] / totals["n"] for m in range(len(counts))]
 
 
+def _rank(m: Model) -> tuple[float, int]:
+    """Costs that differ by the order of sums only count as equal, so that the first such start is taken in any partitioning."""
+    return float(f"{m.cost:.9e}"), m.start
+
+
 def kmeans_auto(vectors: DataFrame, ks: Iterable[int] = range(2, 13), seed: int = 42, runs: int = 25, otherwise: int = 3) -> tuple[DataFrame, dict[int, float]]:
     """(id, v) -> id, cluster for the number of clusters with the largest exact silhouette, and the silhouette of each number.
 
@@ -272,12 +277,12 @@ def kmeans_auto(vectors: DataFrame, ks: Iterable[int] = range(2, 13), seed: int
         return rows.select("id", F.lit(0).alias("cluster")), {}
     ks = list(ks)
     models = fit(rows, starts(rows, ks, runs, seed))
-    best = [min((m for m in models if m.k == k), key=lambda m: (m.cost, m.start)) for k in ks]
+    best = [min((m for m in models if m.k == k), key=_rank) for k in ks]
     labelled = label(rows, best)
     found = silhouettes(labelled, [len(m.centres) for m in best])
     score = {k: s for k, s in zip(ks, found, strict=True) if s is not None}
     if not score:
-        only = min(fit(rows, starts(rows, [otherwise], runs, seed)), key=lambda m: (m.cost, m.start))
+        only = min(fit(rows, starts(rows, [otherwise], runs, seed)), key=_rank)
         return label(rows, [only]).select("id", F.col("labels")[0].alias("cluster")), score
     k = max(score, key=lambda k: (score[k], -k))
     return labelled.select("id", F.col("labels")[ks.index(k)].alias("cluster")), score

@@ -61,7 +61,7 @@ def test_all_models_equal_plain_ones(points):
     ks, runs, seed = [2, 3, 4, 6], 5, 42
     rows = points.select("id", F.xxhash64("id").alias("h"), "v").orderBy("id").collect()
     ids, h, x = np.array([r["id"] for r in rows]), np.array([r["h"] for r in rows]), np.array([r["v"] for r in rows])
-    best = {k: min((plain_model(h, x, k, r, seed) for r in range(runs)), key=lambda m: m[0]) for k in ks}
+    best = {k: min((plain_model(h, x, k, r, seed) for r in range(runs)), key=lambda m: float(f"{m[0]:.9e}")) for k in ks}
     score = {k: plain_silhouette(x, labels) for k, (_, labels) in best.items()}
     labels, got = kmeans.kmeans_auto(points, ks, seed, runs)
     assert got.keys() == score.keys() and all(got[k] == pytest.approx(score[k], abs=1e-9) for k in ks)
