@@ -26,6 +26,13 @@ def make_matrices(scaled: DataFrame, cfg: ForecastConfig = ForecastConfig(), tar
     return maps.select("well_name", at("x", cfg.T_pref).alias("x_pref"), at("y", cfg.T).alias("y_full"))
 
 
+def suffix_targets(matrices: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
+    """well_name, t, y of the months after the prefix, for the wells whose horizon is complete."""
+    full = matrices.where(F.forall("y_full", lambda y: y.isNotNull()))
+    late = F.slice("y_full", cfg.T_pref + 1, cfg.T - cfg.T_pref)
+    return full.select("well_name", F.posexplode(late).alias("k", "y")).select("well_name", (F.col("k") + cfg.T_pref).alias("t"), "y")
+
+
 def knn_forecast(matrices: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
     """well_name, t, y_pred for the months after the prefix of each well whose horizon is complete.
 

@@ -1,4 +1,4 @@
-"""Isolation trees and per-month elastic nets, with Spark doing the sums and numpy only small fixed-size problems."""
+"""Isolation trees: Spark draws their rows and scores where rows lie, numpy grows trees of bounded size."""
 
 from __future__ import annotations
 
@@ -79,76 +79,3 @@ def flag_outliers(scores: DataFrame, contamination: float = 0.03) -> DataFrame:
     scores = cut(scores)
     bound = exact_quantiles(scores, ["score"], [1 - contamination])["score"][0]
     return scores.select("id", "score", (F.col("score") > F.lit(bound).cast("double")).alias("outlier"))
-
-
-FEATURES = ["y_mean", "y_std", "y_slope", "y_intercept", "y_curv", "wc_mean", "wc_std"]
-
-
-def _descend(g: np.ndarray, c: np.ndarray, alpha: float, ratio: float, rounds: int = 100) -> np.ndarray:
-    """Elastic-net weights from the Gram matrix and correlations (both per row) by coordinate descent."""
-    w = np.zeros(len(c))
-    for _ in range(rounds):
-        before = w.copy()
-        for j in range(len(c)):
-            r = c[j] - g[j] @ w + g[j, j] * w[j]
-            w[j] = np.sign(r) * max(0.0, abs(r) - alpha * ratio) / (g[j, j] + alpha * (1 - ratio) + 1e-12)
-        if np.abs(w - before).max() < 1e-6:
-            break
-    return w
-
-
-def elastic_net_forecast(features: DataFrame, targets: DataFrame, ratios: tuple[float, ...] = (0.1, 0.5, 0.9), folds: int = 5, seed: int = 43) -> DataFrame:
-    """features (well_name, FEATURES) and targets (well_name, t, y) -> well_name, t, y_pred, y_oof.
-
-    For each month Spark sums the moments of each fold; a task sees folds x 45 numbers, picks penalty and mix by cross-validation and
-    fits. y_pred comes from all wells (as in-sample as its model), y_oof from the folds without the well.
-    """
-    cols = FEATURES
-    fold = F.pmod(F.xxhash64("well_name", F.lit(seed)), F.lit(folds)).cast("int")
-    rows = targets.where("y is not null").join(features, "well_name").withColumn("fold", fold)
-    names = [*cols, "y"]
-    moments = [F.sum(F.col(a) * F.col(b)).alias(f"{a}*{b}") for i, a in enumerate(names) for b in names[i:]]
-    sums = rows.groupBy("t", "fold").agg(F.count("*").cast("double").alias("n"), *[F.sum(c).alias(c) for c in names], *moments)
-
-    def pack(r: pd.Series) -> np.ndarray:
-        m = np.zeros((len(names) + 1, len(names) + 1))
-        m[0, 0] = r["n"]
-        for i, a in enumerate(names, 1):
-            m[0, i] = m[i, 0] = r[a]
-            for j, b in enumerate(names[i - 1 :], i):
-                m[i, j] = m[j, i] = r[f"{a}*{b}"]
-        return m
-
-    def solve(m: np.ndarray, alpha: float, ratio: float) -> tuple[float, np.ndarray]:
-        n, mean = m[0, 0], m[0, 1:] / m[0, 0]
-        cov = m[1:, 1:] / n - np.outer(mean, mean)
-        sd = np.sqrt(np.maximum(np.diag(cov)[:-1], 1e-18))
-        w = _descend(cov[:-1, :-1] / np.outer(sd, sd), cov[:-1, -1] / sd, alpha, ratio) / sd
-        return float(mean[-1] - w @ mean[:-1]), w
-
-    def loss(m: np.ndarray, b: float, w: np.ndarray) -> float:
-        v = np.array([-b, *-w, 1.0])
-        return float(v @ m @ v)
-
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = {int(r["fold"]): pack(r) for _, r in pdf.iterrows()}
-        whole = sum(parts.values())
-        mean = whole[0, 1:] / whole[0, 0]
-        cov = whole[1:, 1:] / whole[0, 0] - np.outer(mean, mean)
-        top = np.abs(cov[:-1, -1] / np.sqrt(np.maximum(np.diag(cov)[:-1], 1e-18))).max() + 1e-12
-        best = min(((sum(loss(p, *solve(whole - p, a * top, r)) for p in parts.values() if (whole - p)[0, 0] > 1), a * top, r) for r in ratios for a in (1.0, 0.3, 0.1, 0.03, 0.01, 0.001)))
-        out = []
-        for f in (-1, *parts):
-            m = whole if f < 0 else whole - parts[f]
-            b, w = solve(m if m[0, 0] > 1 else whole, best[1], best[2])
-            out.append((int(key[0]), f, b, [float(x) for x in w]))
-        return pd.DataFrame(out, columns=["t", "fold", "b", "w"])
-
-    models = sums.groupBy("t").applyInPandas(fit, "t int, fold int, b double, w array<double>")
-    x = features.withColumn("fold", fold).select("well_name", "fold", F.array(*[F.col(c) for c in cols]).alias("x"))
-    months = targets.select("well_name", "t").distinct()
-    dot = F.col("b") + F.aggregate(F.zip_with("w", "x", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
-    keyed = months.join(x, "well_name")
-    all_ = keyed.join(models.where("fold = -1").drop("fold"), "t").select("well_name", "t", dot.alias("y_pred"))
-    oof = keyed.join(models.where("fold >= 0"), ["t", "fold"]).select("well_name", "t", dot.alias("y_oof"))
-    return all_.join(oof, ["well_name", "t"], "left")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import BaselineConfig, ForecastConfig, ManifoldConfig, PrepConfig
 from ..functions import columns as C
-from ..operators import anomaly, barycenter, baseline, clusters, density, dtw, features, forecast, kmeans, layout, models, neighbors, preprocess
+from ..operators import anomaly, barycenter, baseline, clusters, density, dtw, elastic, features, forecast, kmeans, layout, models, neighbors, preprocess
 from ..operators.lineage import cut
 from ..sources import tables
 
@@ -309,9 +309,9 @@ def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def elasticnet_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    panel = _profiles(spark, sf).panel
-    targets = panel.where(F.col("t") >= 20).select("well_name", "t", F.col("r_oil_s").alias("y"))
-    return models.elastic_net_forecast(forecast.prefix_features(forecast.prefix_scaled(panel)), targets)
+    """As for the k-NN forecast, wells whose horizon is complete."""
+    scaled = cut(forecast.prefix_scaled(_profiles(spark, sf).panel))
+    return elastic.elastic_net_forecast(forecast.prefix_features(scaled), forecast.suffix_targets(forecast.make_matrices(scaled)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

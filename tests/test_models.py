@@ -129,16 +129,6 @@ def test_pca_and_layout(blobs):
     assert [r["id"] for r in a] == list(range(80)) and np.allclose([r["x"] for r in a], [r["x"] for r in b])
 
 
-def test_elastic_net(spark):
-    rng = np.random.default_rng(3)
-    x = rng.normal(size=(60, 7))
-    rows = [(f"w{i}", *map(float, r)) for i, r in enumerate(x)]
-    f = spark.createDataFrame(rows, "well_name string, " + ", ".join(f"{c} double" for c in models.FEATURES))
-    t = spark.createDataFrame([(f"w{i}", k, float(3 * r[0] - r[2] + k)) for i, r in enumerate(x) for k in (20, 21)], "well_name string, t int, y double")
-    got = models.elastic_net_forecast(f, t).join(t, ["well_name", "t"]).collect()
-    assert len(got) == 120 and max(abs(r["y_pred"] - r["y"]) for r in got) < 0.2 and max(abs(r["y_oof"] - r["y"]) for r in got) < 0.3
-
-
 def test_stream(spark, tmp_path):
     rows = spark.sql("SELECT 'w' AS well_name, timestamp'2024-01-05 10:00:00' AS date, 2.0D AS oil, -1.0D AS water, 1.0D AS gas, 1.0D AS days_prod UNION ALL SELECT 'w', timestamp'2024-01-25 12:00:00', 3.0D, 1.0D, 1.0D, 1.0D")
     rows.write.parquet(f"{tmp_path}/in")
