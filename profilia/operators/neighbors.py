@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: Blocks of vectors from which a search for neighbours goes through a metric index; below, all pairs of blocks are cheaper.
+INDEXED = 16
 
 
 def _blocks(vectors: DataFrame, extra: list[str]) -> tuple[DataFrame, int]:
@@ -51,22 +53,52 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return out
 
 
+def nearest(a: dict, b: dict, k: int, drop_self: bool, most: np.ndarray | None = None) -> list[list]:
+    """i, j, d of the k nearest of each row of a among those of b (to nine places, ties by id), with most only where d is at most that.
+
+    One matrix product picks the rows that can be among them with its rounding allowed for; only for those d is taken, by differences.
+    """
+    x, y = a["v"], b["v"]
+    if not len(x) or not len(y):
+        return [[], [], []]
+    x, y = x - y[0], y - y[0]
+    xx, yy = np.square(x).sum(1), np.square(y).sum(1)
+    about = xx[:, None] + yy[None] - 2 * (x @ y.T)
+    slack = 1e-13 * (x.shape[1] + 8) * (xx + yy.max()) + 1e-17
+    same = a["id"][:, None] == b["id"][None] if drop_self else np.zeros(about.shape, bool)
+    about[same] = np.inf
+    some = min(len(y), k) - 1
+    edge = np.partition(about, some, axis=1)[:, some]
+    edge = np.where(np.isfinite(edge), np.maximum(edge, 0), np.inf)
+    if most is not None:
+        edge = np.minimum(edge, np.square(most))
+    near, with_ = np.nonzero((about <= (edge + 2 * slack + 4e-9 * np.sqrt(edge + slack))[:, None]) & ~same)
+    d = np.empty(len(near))
+    for s in range(0, len(near), 65536):
+        at = slice(s, s + 65536)
+        d[at] = np.sqrt(np.square(b["v"][with_[at]] - a["v"][near[at]]).sum(1))
+    d = np.round(d, 9)
+    order = np.lexsort((b["id"][with_], d, near))
+    near, with_, d = near[order], with_[order], d[order]
+    first = np.searchsorted(near, np.arange(len(x)))
+    keep = np.arange(len(near)) - first[near] < k
+    if most is not None:
+        keep &= d <= most[near] + 1e-9
+    near, with_ = near[keep], with_[keep]
+    return [a["id"][near].tolist(), b["id"][with_].tolist(), d[keep].tolist()]
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, id_type: str = "string", drop_self: bool = True) -> DataFrame:
-    """(id, v) -> i, j, d, rank: the k nearest of each query by Euclidean distance (to nine places), ties by id."""
+    """(id, v) -> i, j, d, rank: the k nearest of each query by Euclidean distance (to nine places), ties by id.
 
-    def kernel(a: dict, b: dict):
-        d = np.round(_distances(a["v"], b["v"]), 9)
-        rows = []
-        some = min(len(b["id"]), k + 1) - 1  # one more, as the row itself may be among them
-        edge = np.partition(d, some, axis=1)[:, some] if len(b["id"]) else np.zeros(len(d))
-        for i, x in enumerate(a["id"]):
-            near = np.flatnonzero(d[i] <= edge[i])
-            near = near[b["id"][near] != x] if drop_self else near
-            order = near[np.lexsort((b["id"][near], d[i, near]))]
-            rows += [(x, b["id"][j], d[i, j]) for j in order[:k]]
-        return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
-
-    found = block_pairs(queries, vectors, kernel, f"i {id_type}, j {id_type}, d double")
+    From INDEXED blocks of vectors on, a metric index (see metric_index.py) leaves out blocks that can't hold any of them.
+    """
+    from .metric_index import indexed_nearest
+
+    if vectors.count() >= INDEXED * BLOCK:
+        found = indexed_nearest(queries, vectors, k, id_type, drop_self, BLOCK)
+    else:
+        found = block_pairs(queries, vectors, lambda a, b: nearest(a, b, k, drop_self), f"i {id_type}, j {id_type}, d double")
     w = Window.partitionBy("i").orderBy("d", "j")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
