@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, sized
 
-MAGIC = b"WARC/1.1\r\n"
+MAGIC, END = b"WARC/1.1\r\n", b"\r\n\r\n"
 #: Classes of pages by bytes at most, and records of a class in an archive file: about 64 MB a file, which bounds what one task reads at once.
 CLASSES = [(1 << 16, 1024), (1 << 20, 64), (1 << 23, 8), (1 << 31, 1)]
 DATE = "2024-01-01T00:00:00Z"
@@ -74,47 +74,75 @@ def write_archives(pages: DataFrame, path: str, scratch: Scratch | None = None)
 
 _LENGTH = re.compile(rb"\r\nContent-Length: (\d{1,15})\r\n")
 _FIELDS = {"record_type": re.compile(rb"\r\nWARC-Type: (\w+)\r\n"), "page_id": re.compile(rb"\r\nWARC-Record-ID: <urn:page:(-?\d+)>\r\n"), "refers_to": re.compile(rb"\r\nWARC-Refers-To: <urn:page:(-?\d+)>\r\n"), "declared": re.compile(rb"\r\nWARC-Payload-Digest: sha1:(\w+)\r\n")}
-_CANDIDATE = "file long, start long, next long, size long, record_type string, page_id long, refers_to long, declared string, payload_bytes long, payload_digest string, payload binary"
-
-
-def _candidates(with_payload: bool):
-    def rows(file: int, data: bytes) -> Iterator[dict]:
-        at = data.find(MAGIC)
-        while at >= 0:
-            head = data.find(b"\r\n\r\n", at)
-            fields = data[at + len(MAGIC) - 2 : head + 2]
-            length = _LENGTH.search(fields) if head >= 0 else None
-            if length:
-                body = head + 4
-                end = body + int(length[1])
-                if data[end : end + 4] == b"\r\n\r\n":
-                    got = {k: (m[1].decode() if (m := p.search(fields)) else None) for k, p in _FIELDS.items()}
-                    got |= {k: int(v) if (v := got[k]) is not None else None for k in ("page_id", "refers_to")}
-                    digest = base64.b32encode(hashlib.sha1(memoryview(data)[body:end]).digest()).decode()
-                    yield got | {"file": file, "start": at, "next": end + 4, "size": len(data), "payload_bytes": end - body, "payload_digest": digest, "payload": data[body:end] if with_payload else None}
-            at = data.find(MAGIC, at + 1)
+_CANDIDATE = "file long, start long, body long, next long, record_type string, page_id long, refers_to long, declared string"
+_RECORD = "record_type string, page_id long, refers_to long, declared string, payload_bytes long, payload_digest string, payload binary"
+_KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+
+
+def _batch(rows: list[dict], ddl: str) -> pa.RecordBatch:
+    schema = pa.schema([(n, _KINDS[k]) for n, k in (x.split() for x in ddl.split(", "))])
+    return pa.RecordBatch.from_pylist(rows, schema=schema)
+
+
+def candidates(data: bytes) -> Iterator[dict]:
+    """Every offset of data that looks like a record, with the offset of its successor; time is linear in data, however records nest.
+
+    A record stands at the start or after the terminator of another, and its header ends at the next blank line: so no two headers
+    overlap, and payloads are only looked at where they should end.
+    """
+    at = 0 if data.startswith(MAGIC) else _next(data, 0)
+    while at >= 0:
+        head = data.find(END, at)
+        first, last = at + len(MAGIC) - 2, head + 2
+        length = _LENGTH.search(data, first, last) if head >= 0 else None
+        if length:
+            body = head + len(END)
+            end = body + int(length[1])
+            if data.startswith(END, end):
+                got = {k: (m[1].decode() if (m := p.search(data, first, last)) else None) for k, p in _FIELDS.items()}
+                got |= {k: int(v) if (v := got[k]) is not None else None for k in ("page_id", "refers_to")}
+                yield got | {"start": at, "body": body, "next": end + len(END)}
+        at = _next(data, at)
+
+
+def _next(data: bytes, at: int) -> int:
+    found = data.find(END + MAGIC, at)
+    return found + len(END) if found >= 0 else -1
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for i in range(b.num_rows):
+            file = b.column("file")[i].as_py()
+            yield _batch([r | {"file": file} for r in candidates(b.column("content")[i].as_py())], _CANDIDATE)
+
+
+def _payloads(with_payload: bool):
+    """content, records (those on the chain) -> the records with the figures of their payloads; each byte is hashed once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in _CANDIDATE.split(", ")]
-        kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-        schema = pa.schema([(x.split()[0], kinds[x.split()[1]]) for x in _CANDIDATE.split(", ")])
         for b in batches:
             for i in range(b.num_rows):
-                found = list(rows(b.column("file")[i].as_py(), b.column("content")[i].as_py()))
-                yield pa.RecordBatch.from_pylist([{n: r[n] for n in names} for r in found], schema=schema)
+                data, out = memoryview(b.column("content")[i].as_buffer()), []
+                for r in b.column("records")[i].as_py():
+                    payload = data[r.pop("body") : r.pop("next") - len(END)]
+                    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    out.append(r | {"payload_bytes": len(payload), "payload_digest": digest, "payload": bytes(payload) if with_payload else None})
+                yield _batch(out, _RECORD)
 
     return run
 
 
 def read_archives(spark, path: str, with_payload: bool = False, scratch: Scratch | None = None) -> DataFrame:
-    """Records of all archives under path: record_type, page_id, refers_to, payload_bytes, payload_digest, payload.
+    """Records of all archives under path: record_type, page_id, refers_to, declared, payload_bytes, payload_digest, payload.
 
-    Only records on the chain from a file's start are kept. ValueError if a chain doesn't end at its file's end or a response's
-    payload doesn't have the digest that its header declares. A folder without archives gives an empty result.
+    Only records on the chain from a file's start are kept, and only their payloads are read, in a second pass over the files. ValueError if a
+    chain doesn't end at its file's end or a response's payload doesn't have the digest that its header declares. A folder without
+    archives gives an empty result.
     """
     scratch = scratch or Scratch(spark, "warc")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select(F.xxhash64("path").alias("file"), "content", "length").where("length > 0")
-    found = scratch.table(files.select("file", "content").mapInArrow(_candidates(with_payload), _CANDIDATE), "candidates")
+    found = scratch.table(files.select("file", "content").mapInArrow(_find, _CANDIDATE), "candidates")
     jump = found.select("file", "start", "next")
     kept = scratch.table(found.where("start = 0").select("file", "start"), "kept")
     n = kept.count()
@@ -130,14 +158,18 @@ def read_archives(spark, path: str, with_payload: bool = False, scratch: Scratch
         if hasattr(jump, "_scratch_path"):
             scratch.drop(jump)
         jump = longer
-    records = scratch.table(found.join(kept, ["file", "start"]), "records")
-    sizes = files.select("file", "length")
-    ends = records.groupBy("file").agg(F.max("next").alias("end"), F.max(((F.col("record_type") == "response") & (F.col("declared") != F.col("payload_digest"))).cast("int")).alias("bad"))
-    broken = sizes.join(ends, "file", "left").where("end is null or end <> length or bad = 1").count()
-    if broken:
-        raise ValueError(f"{broken} damaged archive files in {path}")
-    scratch.drop(kept, found)
-    return records.select("record_type", "page_id", "refers_to", "declared", "payload_bytes", "payload_digest", "payload")
+    fields = [x.split()[0] for x in _CANDIDATE.split(", ") if not x.startswith(("file", "start"))]
+    chain = scratch.table(found.join(kept, ["file", "start"]).groupBy("file").agg(F.max("next").alias("end"), F.collect_list(F.struct(*fields)).alias("records")), "chains")  # a file's records
+    damaged = files.select("file", "length").join(chain.select("file", "end"), "file", "left").where("end is null or end <> length").count()
+    if damaged:
+        raise ValueError(f"{damaged} damaged archive files in {path}")
+    whole = files.select("file", "content").join(sized(chain.select("file", "records")), "file").select("content", "records")
+    records = scratch.table(whole.mapInArrow(_payloads(with_payload), _RECORD), "records")
+    damaged = records.where("record_type = 'response' and declared <> payload_digest").count()
+    if damaged:
+        raise ValueError(f"{damaged} records in {path} whose payload isn't the one declared")
+    scratch.drop(kept, found, chain)
+    return records
 
 
 def resolved(records: DataFrame) -> DataFrame:

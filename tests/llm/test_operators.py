@@ -1,6 +1,7 @@
 """The training-data operators on small tables: brute force, round trips, and rows with nulls, ties, repeats and odd columns."""
 
 import hashlib
+import time
 import itertools
 import re
 import zlib
@@ -333,6 +334,25 @@ def test_op5_container():
     assert ogg.page_crc(b"some page" * 9) == slow_crc(b"some page" * 9)
 
 
+def test_op6_candidates_of_nested_headers():
+    """Headers nested in a payload cost time in proportion, and all that look like records are found."""
+    inner = b""
+    for i in range(3000):  # each declares all that follows it as its payload
+        inner = b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(inner) + inner + b"\r\n\r\n"
+        if i % 100:
+            continue
+        got = list(warc.candidates(inner))
+        assert [r["start"] for r in got][:2] == [0, inner.find(b"WARC", 1)][: len(got)] and len(got) == i + 1 and got[0]["next"] == len(inner)
+    trap = b"WARC/1.1\r\nWARC-Target-URI: http://x/WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert [(r["start"], r["next"]) for r in warc.candidates(trap * 2)] == [(0, len(trap)), (len(trap), 2 * len(trap))]
+    assert not list(warc.candidates(b"")) and not list(warc.candidates(b"WARC/1.1\r\n\r\n")) and not list(warc.candidates(b"x" + trap))
+    hostile = b"WARC/1.1\r\n" * 400_000  # never a header
+    start = time.time()
+    assert not list(warc.candidates(hostile + b"\r\n\r\n"))
+    assert not list(warc.candidates(b"\r\n\r\nWARC/1.1\r\n" * 300_000))
+    assert time.time() - start < 10
+
+
 def test_op6(spark, tmp_path):
     trap = "x\r\n\r\nWARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:99>\r\nContent-Length: 1\r\n\r\nz\r\n\r\n"
     rows = [(1, "http://a/", "same"), (5, "http://b/\nc", "same"), (3, None, "same"), (7, "u", None), (8, "u", ""), (9, "u", trap), (10, "u", "é" * 5000), (None, "u", "alone"), (11, "u", "twice"), (11, "u", "twice")]
@@ -356,8 +376,15 @@ def test_op6(spark, tmp_path):
     warc.write_archives(pages.limit(0), f"file://{tmp_path}/none")
     assert warc.read_archives(spark, f"file://{tmp_path}/none").count() == 0
     damaged = next(tmp_path.glob("a/part-*"))
+    whole = damaged.read_bytes()
+    damaged.write_bytes(whole.replace(b"alone", b"Alone"))
+    (damaged.parent / f".{damaged.name}.crc").unlink(missing_ok=True)
+    if b"alone" in whole:
+        with pytest.raises(ValueError, match="declared"):
+            warc.read_archives(spark, path)
+    damaged.write_bytes(whole)
     damaged.write_bytes(damaged.read_bytes() + b"rest")
-    (damaged.parent / f".{damaged.name}.crc").unlink()  # else the local file system's own checksum fails first
+    (damaged.parent / f".{damaged.name}.crc").unlink(missing_ok=True)  # else the local file system's own checksum fails first
     with pytest.raises(ValueError):
         warc.read_archives(spark, path)
 
