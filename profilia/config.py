@@ -38,6 +38,8 @@ class ForecastConfig:
 class ManifoldConfig:
     channels: tuple[str, ...] = ("r_oil_norm", "wc")
     channel_weights: tuple[float, ...] = (0.7, 0.3)
+    #: Warped distances: "exact", or "refined" within radius of the path of coarser series, for long ones.
+    warp: str = "exact"
     radius: int = 6
     k_refine: int = 40
     n_neighbors: int = 30

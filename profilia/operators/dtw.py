@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import ManifoldConfig
 from .lineage import cut
 from .neighbors import knn
+from .warping import refined_dtw
 
 
 def frames(channels: list, weights: tuple[float, ...]) -> np.ndarray:
@@ -44,6 +45,8 @@ def refine(edges: DataFrame, profiles: DataFrame, cfg: ManifoldConfig = Manifold
     """
     if len(cfg.channels) != len(cfg.channel_weights):
         raise ValueError("a weight for each channel is needed")
+    if cfg.warp not in ("exact", "refined"):
+        raise ValueError(f"unknown kind of warping: {cfg.warp}")
     missing = sorted(set(cfg.channels) - set(profiles.columns))
     if missing:
         raise ValueError(f"missing channels: {missing}")
@@ -51,9 +54,12 @@ def refine(edges: DataFrame, profiles: DataFrame, cfg: ManifoldConfig = Manifold
     pairs = edges.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "d").groupBy("a", "b").agg(F.min("d").alias("d"))
     both = pairs.join(packed.select(F.col("well_name").alias("a"), F.col("x").alias("xa")), "a").join(packed.select(F.col("well_name").alias("b"), F.col("x").alias("xb")), "b")
 
+    def distance(a: np.ndarray, b: np.ndarray) -> float:
+        return dtw(a, b) if cfg.warp == "exact" else refined_dtw(a, b, cfg.radius)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            d = [dtw(frames(x, cfg.channel_weights), frames(y, cfg.channel_weights)) for x, y in zip(t.column("xa").to_pylist(), t.column("xb").to_pylist(), strict=True)]
+            d = [distance(frames(x, cfg.channel_weights), frames(y, cfg.channel_weights)) for x, y in zip(t.column("xa").to_pylist(), t.column("xb").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), t.column("d"), pa.array(d, pa.float64())], names=["a", "b", "d", "d_dtw"])
 
     return both.select("a", "b", "d", "xa", "xb").mapInArrow(run, "a string, b string, d double, d_dtw double")
