@@ -22,8 +22,8 @@ def producing_rows(raw: DataFrame) -> DataFrame:
 
 
 def sample_wells(rows: DataFrame, n: int, seed: int = 43) -> DataFrame:
-    """All rows of n wells, the first in an order that the seed shuffles; all wells if there are no more."""
-    wells = rows.select("well_name").distinct().orderBy(F.xxhash64("well_name", F.lit(seed)), "well_name").limit(n)
+    """All rows of n wells, the first by the MD5 of seed and name; all wells if there are no more."""
+    wells = rows.select("well_name").distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "well_name").cast("binary")), "well_name").limit(n)
     return rows.join(wells, "well_name", "left_semi")
 
 

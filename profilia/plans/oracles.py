@@ -178,6 +178,8 @@ ORACLES: dict[str, str] = {
     "wells_by_ordinal": """WITH w AS (SELECT well_name, row_number() OVER (ORDER BY well_name) - 1 AS k FROM (SELECT DISTINCT 'P' || lpad(l_partkey::VARCHAR, 6, '0') AS well_name FROM lineitem))
         SELECT a.k AS place, a.k * 2 AS well_idx, b.well_name FROM w a LEFT JOIN w b ON b.k = a.k * 2""",
     "sanitize_names": r"""SELECT c_custkey, coalesce(nullif(trim(regexp_replace(regexp_replace(c_name || ' <x>|  ?', '[\\/:*?"<>|]+', ' ', 'g'), '\s+', ' ', 'g')), ''), 'file') AS name FROM customer""",
+    "sampled_wells": f"""WITH {A}, {grid()}, drawn AS (SELECT well_name FROM (SELECT DISTINCT well_name FROM grid) ORDER BY md5('43:' || well_name), well_name LIMIT 20)
+SELECT well_name, date, {r('r_oil')} FROM grid JOIN drawn USING (well_name)""",
     "producing_rows": f"WITH {B} SELECT well_name, count(*) AS n, {r('sum(oil)', 'oil')}, {r('sum(gas)', 'gas')} FROM raw WHERE oil >= 0 AND gas >= 0 AND water >= 0 GROUP BY 1",
     "resampled_sums": f"WITH {BASE} SELECT well_name, date, {r('coalesce(s, 0.0)', 's')} FROM fil",
     "monthly_means": f"WITH {B} SELECT well_name, last_day(date) AS date, {r('avg(oil)', 's')} FROM raw GROUP BY 1, 2",
