@@ -1,7 +1,7 @@
 """Fuzzy line dedup with DataFrame operations only.
 
 A line, lower-cased and trimmed, has as shingles the SHINGLE characters (UTF-16 units) from each character on, or itself if it is
-shorter. MinHash: each shingle is hashed once, and that hash once more for every band, whose ROWS permutations order by fields of
+shorter. MinHash: each shingle is hashed once, and that hash once more for every further band, whose ROWS permutations order by fields of
 it; the minima of a line form BANDS bands of ROWS. Lines that share a band are candidates; exact Jaccard similarity of the
 shingle sets, as 64-bit hashes, decides; connected components of the links keep one line, the first by document and position.
 
@@ -68,9 +68,9 @@ def signatures(lines: DataFrame) -> DataFrame:
     rows = lines.select("id", units.alias("u"), n.alias("n")).select("id", "u", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STEP))).alias("p"))
     at = lambda i: F.least(F.col("p") + i, F.col("n"))
     each = rows.select("id", *[F.xxhash64(F.substring("u", 2 * at(i) - 1, F.lit(2 * SHINGLE))).alias(f"h{i}") for i in range(STEP)])
-    # a shingle's hash is hashed once more for each band, and a permutation's order is by FIELD bits of that
-    mixed = each.select("id", *[F.xxhash64(F.col(f"h{i}").bitwiseXOR(F.lit(b))).alias(f"p{b}_{i}") for b in range(BANDS) for i in range(STEP)])
-    field = lambda b, r, i: F.shiftright(f"p{b}_{i}", FIELD * r).bitwiseAND(F.lit((1 << FIELD) - 1).cast("long"))
+    # a shingle's hash is hashed once more for each band but the first, and a permutation's order is by FIELD bits of that, left in their place
+    mixed = each.select("id", *[(F.xxhash64(F.col(f"h{i}").bitwiseXOR(F.lit(b))) if b else F.col(f"h{i}")).alias(f"p{b}_{i}") for b in range(BANDS) for i in range(STEP)])
+    field = lambda b, r, i: F.col(f"p{b}_{i}").bitwiseAND(F.lit(((1 << FIELD) - 1) << (FIELD * r)).cast("long"))
     least = [F.min(F.least(*[field(b, r, i) for i in range(STEP)])).alias(f"m{b}_{r}") for b in range(BANDS) for r in range(ROWS)]
     bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b}_{r}") for r in range(ROWS)]) for b in range(BANDS)])
     return mixed.groupBy("id").agg(*least).select("id", bands.alias("bands"))
