@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .csv_folder import read_csv_folder
+
 CANONICAL = ["well_name", "date", "oil", "water", "gas", "days_prod"]
 RENAMES = {"API_WellNo": "well_name", "RptDate": "date", "BBLS_OIL_COND": "oil", "MCF_GAS": "gas", "BBLS_WTR": "water", "DAYS_PROD": "days_prod"}
 
@@ -30,11 +32,20 @@ def canonical(df: DataFrame) -> DataFrame:
     return out.where("well_name is not null and date is not null")
 
 
-def read_production_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_production_csv(spark: SparkSession, path: str, planned: bool | None = None) -> DataFrame:
     """All CSV files under a folder, their columns matched by name; unknown columns are dropped, absent ones null.
 
-    Files are read by groups of equal headers, of which there are few, so headers may differ in order and in columns.
+    planned: through the data source of csv_folder, which reads each byte once; by default where the path is a local or mounted folder.
+    Otherwise (stores that only Spark reads) files are read by groups of equal headers, which takes a scan of the lines first.
     """
+    if planned is None:
+        planned = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+    if not planned:
+        return canonical(_by_headers(spark, path))
+    return canonical(read_csv_folder(spark, path, ", ".join(f"{c} string" for c in CANONICAL), RENAMES))
+
+
+def _by_headers(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(path)
     first = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), "value", F.monotonically_increasing_id().alias("nth")).where("start = 0")
     heads = first.groupBy("path").agg(F.min_by("value", "nth").alias("head")).groupBy("head").agg(F.collect_list("path").alias("paths")).orderBy("head").collect()  # paths, which the driver lists anyway
@@ -44,7 +55,7 @@ def read_production_csv(spark: SparkSession, path: str) -> DataFrame:
         named = rows.withColumnsRenamed({c: RENAMES.get(c.lstrip("\ufeff").strip(), c.lstrip("\ufeff").strip()) for c in rows.columns})
         part = named.select(*[F.col(c).cast("string").alias(c) if c in named.columns else F.lit(None).cast("string").alias(c) for c in CANONICAL])
         out = part if out is None else out.unionByName(part)
-    return canonical(out if out is not None else spark.createDataFrame([], ", ".join(f"{c} string" for c in CANONICAL)))
+    return out if out is not None else spark.createDataFrame([], ", ".join(f"{c} string" for c in CANONICAL))
 
 
 def _plain_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
