@@ -72,7 +72,9 @@ class ShardStore:
 
     def _shards(self, batch: str, schema: T.StructType) -> DataFrame:
         """The manifest rows of a written batch, from its files' sizes and footers."""
-        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/data/{batch}").select("_metadata.file_path", "_metadata.file_size")
+        rows = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{self.root}/data/{batch}")
+        about = rows.metadataColumn("_metadata")  # also where a column has that name
+        rows = rows.select(about["file_path"].alias("file_path"), about["file_size"].alias("file_size"))
         shards = rows.groupBy(F.col("file_path").alias("file")).agg(F.max("file_size").alias("bytes"), F.count("*").alias("rows"))
         tier = F.greatest(F.lit(0), F.floor(F.log(float(FAN), F.col("bytes").cast("double") / (self.target / FAN**4)))).cast("int")
         return shards.select("file", "bytes", "rows", tier.alias("tier"), F.lit(batch).alias("batch"))
@@ -100,7 +102,9 @@ class ShardStore:
         return run.join(several, "run").select("file", "run")
 
     def _scan(self, files: list[str], schema: T.StructType) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(*files)
+        """row and file, whatever the columns are called."""
+        rows = self.spark.read.schema(schema).parquet(*files)
+        return rows.select(F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("row"), rows.metadataColumn("_metadata")["file_path"].alias("file"))
 
     def compact(self, schema: T.StructType, least: int = FAN) -> int:
         """Merges runs of similar shards into files of about the target size; gives the new version, or the last if there are none."""
@@ -125,8 +129,7 @@ class ShardStore:
         for i, place in enumerate(waves):
             wave = {r["file"]: place[r["run"]] for r in runs.where(F.col("run").between(min(place), max(place))).collect()}
             dealt = self.spark.createDataFrame(list(wave.items()), "file string, place int")
-            rows = self._scan(list(wave), schema).select(F.struct(*[F.col(f"`{c}`") for c in schema.names]).alias("row"), F.col("_metadata.file_path").alias("file"))
-            merged = rows.join(F.broadcast(dealt), "file").repartitionById(len(place), "place").select("row.*")  # a run for each task
+            merged = self._scan(list(wave), schema).join(F.broadcast(dealt), "file").repartitionById(len(place), "place").select("row.*")  # a run for each task
             merged.write.option("compression", "zstd").parquet(f"{self.root}/data/{batch}/{i:08d}")
         kept = before.join(runs.select("file"), "file", "left_anti")
         done = self._commit(kept.unionByName(self._shards(batch, schema)), version + 1)
@@ -141,14 +144,13 @@ class ShardStore:
         return version
 
     def read(self, schema: T.StructType, version: int | None = None, with_file: bool = False) -> DataFrame:
-        """The rows of a version, from the files that its manifest names and no others."""
+        """The rows of a version, from the files that its manifest names and no others; with_file: as `row`, with the `file` that holds it."""
         files = [r["file"] for r in self.manifest(version).select("file").orderBy("file").collect()]  # names, which a scan's driver lists anyway
         if not files:
-            empty = self.spark.createDataFrame([], schema)
-            return empty.withColumn("__file", F.lit(None).cast("string")) if with_file else empty
-        scans = [self._scan(files[i : i + FILES], schema) for i in range(0, len(files), FILES)]
-        extra = [F.col("_metadata.file_path").alias("__file")] if with_file else []
-        return reduce(DataFrame.union, [x.select(*[F.col(f"`{c}`") for c in schema.names], *extra) for x in scans])
+            none = T.StructType([T.StructField("row", schema), T.StructField("file", T.StringType())])
+            return self.spark.createDataFrame([], none if with_file else schema)
+        rows = reduce(DataFrame.union, [self._scan(files[i : i + FILES], schema) for i in range(0, len(files), FILES)])
+        return rows if with_file else rows.select(*[F.col("row")[c].alias(c) for c in schema.names])
 
     def remove_unused(self, grace: float = GRACE) -> None:
         """Deletes the folders of batches that the last version doesn't name and that are older than `grace` seconds; older versions can't be read then."""
@@ -177,6 +179,6 @@ def shard_documents(docs: DataFrame, root: str, arrivals: str = "lang", target:
     for rows in arriving:
         store.append(docs.where(rows))
     store.compact_all(docs.schema)
-    rows = store.read(docs.schema, with_file=True).select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("__file").alias("file"))
+    rows = store.read(docs.schema, with_file=True)
     about = store.manifest().select("file", "tier", "batch", F.col("rows").alias("file_rows"), F.col("bytes").alias("file_bytes"))
     return rows.join(sized(about), "file")

@@ -588,6 +588,13 @@ def test_op1(spark, docs, empty, tmp_path):
     assert sharding.shard_documents(empty, f"file://{tmp_path}/e").count() == 0
 
 
+def test_op1_columns_of_any_name(spark, tmp_path):
+    d = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 3).cast("string").alias("lang"), F.lit("f").alias("__file"), F.struct("id").alias("_metadata"), F.lit(1).alias("row"), F.lit(2).alias("file"), F.lit(3).alias("a.b"))
+    got = sharding.shard_documents(d, f"file://{tmp_path}/n", target=1 << 20)
+    assert got.select("row.*").columns == d.columns and sorted(map(str, got.select("row.*").collect())) == sorted(map(str, d.collect()))
+    assert got.select("file").distinct().count() == 1
+
+
 def test_op1_cascade_and_many_arrivals(spark, tmp_path, monkeypatch):
     """A tier's merged file meets those of the tier that it reaches; more arrivals than ARRIVALS are stored too."""
     d = spark.range(1860).select(F.col("id").alias("doc_id"), F.sha2(F.col("id").cast("string"), 256).alias("text"), F.least(F.floor(F.col("id") / 240), F.lit(4)).cast("string").alias("lang")).coalesce(1)
