@@ -118,14 +118,15 @@ def held_out(doc_id) -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame) -> dict:
     """The model learned from at most TRAIN_ROWS labelled rows of each label, outside the held-out rows.
 
-    The sample is the first ids in hash order; texts over TRAIN_BYTES don't enter it. Null texts or labels don't either.
+    The sample is the first ids in hash order; texts over TRAIN_BYTES don't enter it. Null texts or labels don't either; of
+    rows with the same id the last by text does.
     """
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1) and doc_id is not null")
     known = known.where(~held_out(F.col("doc_id"))).dropDuplicates(["doc_id"])
     of = [known.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for q in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
-    rows = texts.join(F.broadcast(of[0].union(of[1])), "doc_id").select("doc_id", "text", "quality").collect()  # bounded by 2 * TRAIN_ROWS ids
-    rows = sorted({r["doc_id"]: r for r in sorted(rows, key=lambda r: r["text"])}.values(), key=lambda r: r["doc_id"])
+    found = texts.join(F.broadcast(of[0].union(of[1])), "doc_id").groupBy("doc_id", "quality").agg(F.max("text").alias("text"))
+    rows = sorted(found.collect(), key=lambda r: r["doc_id"])  # at most 2 * TRAIN_ROWS, one for each id
     return train([r["text"].encode() for r in rows], np.array([r["quality"] for r in rows], float))
 
 

@@ -516,6 +516,17 @@ def test_op9(spark, empty):
     assert kept.columns == d.columns and kept.count() == sum(r["predicted"] for r in got)
 
 
+def test_op9_learns_one_row_of_each_id(spark, monkeypatch):
+    """Repeated ids are reduced before rows reach the driver."""
+    learned = []
+    monkeypatch.setattr(quality, "train", lambda texts, labels: learned.append((texts, labels.tolist())))
+    docs = spark.range(400).select((F.col("id") % 4).alias("doc_id"), F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 3, "0")).alias("text"))
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)] * 2, "doc_id long, quality int")
+    quality.fit(docs, labels)
+    ids = [k for k in range(4) if zlib.crc32(str(k).encode()) % 5]
+    assert len(ids) > 1 and learned == [([f"t{396 + k}".encode() for k in ids], [float(k % 2) for k in ids])]
+
+
 def test_op9_gradient_layout():
     texts = [b"", b"x", b"y" * 63, b"z" * 2000]
     data, at, chunks = quality._layout(texts)
