@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neighbors import block_pairs, distance_sums, knn
+from .lineage import cut
+from .neighbors import _distances, distance_sums, knn, scan, slices
 
 
 def minmax(df: DataFrame, col: str, out: str) -> DataFrame:
@@ -17,10 +21,10 @@ def minmax(df: DataFrame, col: str, out: str) -> DataFrame:
 def lof_scores(vectors: DataFrame, k: int = 30, id_type: str = "bigint") -> DataFrame:
     """(id, v) -> id, lof, lof_score: the local outlier factor over exactly k neighbours, and scaled to 0..1."""
     k = max(1, min(k, vectors.count() - 1))
-    edges = knn(vectors, vectors, k, id_type)
+    edges = cut(knn(vectors, vectors, k, id_type))
     kd = edges.where(F.col("rank") == k).select(F.col("i").alias("j"), F.col("d").alias("kd"))
     reach = edges.join(kd, "j").withColumn("reach", F.greatest("kd", "d"))
-    lrd = reach.groupBy("i").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd"))
+    lrd = cut(reach.groupBy("i").agg((1 / (F.avg("reach") + 1e-10)).alias("lrd")))
     other = lrd.select(F.col("i").alias("j"), F.col("lrd").alias("lrd_j"))
     lof = edges.join(other, "j").groupBy("i").agg(F.avg("lrd_j").alias("m")).join(lrd, "i").select(F.col("i").alias("id"), (F.col("m") / F.col("lrd")).alias("lof"))
     return minmax(lof, "lof", "lof_score")
@@ -28,7 +32,7 @@ def lof_scores(vectors: DataFrame, k: int = 30, id_type: str = "bigint") -> Data
 
 def mutual_reachability(vectors: DataFrame, k: int, id_type: str = "bigint") -> DataFrame:
     """i, j, mr for the k nearest neighbours: the largest of both core distances and the distance."""
-    edges = knn(vectors, vectors, k, id_type)
+    edges = cut(knn(vectors, vectors, k, id_type))
     core = edges.where(F.col("rank") == k).select("i", F.col("d").alias("core"))
     a, b = core.withColumnRenamed("core", "ci"), core.select(F.col("i").alias("j"), F.col("core").alias("cj"))
     return edges.join(a, "i").join(b, "j").select("i", "j", F.greatest("ci", "cj", "d").alias("mr"))
@@ -36,7 +40,7 @@ def mutual_reachability(vectors: DataFrame, k: int, id_type: str = "bigint") ->
 
 def medoids(vectors: DataFrame, id_type: str = "bigint") -> DataFrame:
     """(id, v, label) -> label, id, v of the member with the least summed distance; noise (-1) has none."""
-    sums = distance_sums(vectors.where("label >= 0"), id_type).where("label = other")
+    sums = distance_sums(vectors.where("label >= 0"), id_type, within=True)
     best = sums.groupBy("label").agg(F.min_by("id", F.struct(F.round("s", 9), "id")).alias("id"))
     return best.join(vectors.select("id", "v"), "id").select("label", "id", "v")
 
@@ -44,16 +48,23 @@ def medoids(vectors: DataFrame, id_type: str = "bigint") -> DataFrame:
 def distance_to_medoid(vectors: DataFrame, id_type: str = "bigint") -> DataFrame:
     """(id, v, label) -> id, dist, dist_medoid: to the own cluster's medoid, for noise to the nearest, and scaled; null without clusters."""
 
-    def kernel(a: dict, b: dict):
-        rows = [(i, int(g == o), float(((x - y) ** 2).sum() ** 0.5)) for i, g, x in zip(a["id"], a["label"], a["v"], strict=True) for o, y in zip(b["label"], b["v"], strict=True) if g == o or g < 0]
-        return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], []]
-
-    near = block_pairs(vectors, medoids(vectors, id_type), kernel, f"id {id_type}, own bigint, d double", ["label"]).groupBy("id").agg(F.min("d").alias("dist"))
+    def kernel(a: dict, parts: Iterator[dict]) -> Iterator[list]:
+        least = np.full(len(a["id"]), np.inf)
+        for b in parts:
+            for at in slices(len(least)):
+                own = a["label"][at]
+                d = np.where((own[:, None] == b["label"][None]) | (own < 0)[:, None], _distances(a["v"][at], b["v"]), np.inf)
+                least[at] = np.minimum(least[at], d.min(1))
+        some = np.isfinite(least)
+        yield [a["id"][some], least[some]]
+
+    near = scan(vectors, medoids(vectors, id_type), kernel, f"id {id_type}, d double", ["label"]).groupBy("id").agg(F.min("d").alias("dist"))
     return minmax(vectors.select("id").join(near, "id", "left"), "dist", "dist_medoid")
 
 
 def anomaly_scores(vectors: DataFrame, lof_k: int = 30, id_type: str = "bigint") -> DataFrame:
     """id, lof_score, dist_medoid and their mean, anomaly_score."""
+    vectors = cut(vectors.select("id", "v", "label"))
     both = lof_scores(vectors, lof_k, id_type).select("id", "lof_score").join(distance_to_medoid(vectors, id_type).select("id", "dist_medoid"), "id")
     return both.withColumn("anomaly_score", 0.5 * (F.col("lof_score") + F.col("dist_medoid")))
 

@@ -7,6 +7,8 @@ labels and strengths by contraction (see dendrogram.py).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,36 +17,69 @@ from ..config import ClusterConfig
 from .anomaly import silhouette_points
 from .dendrogram import tree_labels
 from .lineage import cut
-from .neighbors import _distances, block_pairs, knn
-
-
-def spanning_tree(vectors: DataFrame, id_type: str = "bigint", within: bool = False) -> DataFrame:
+from .neighbors import _about, _differences, _distances, apart, knn, placed, scan, slices
+
+
+def _least_leaving(a: dict, parts: Iterator[dict]) -> Iterator[list]:
+    """The lightest edge, ties by ids, from each component among the rows of a to another one among the parts, if it is at most the component's `most`."""
+    v, core, comp = a["v"], a["core"].astype(float), a["comp"]
+    names, place = np.unique(comp, return_inverse=True)
+    most = np.where(np.isnan(a["most"]), np.inf, a["most"])
+    centre, kept = v.mean(0), []
+    for b in parts:
+        y, other = b["v"] - centre, b["comp"]
+        lone = bool((other == other[0]).all())
+        rows = np.flatnonzero(comp != other[0]) if lone else np.arange(len(v))
+        if not len(rows) or max(apart(v[rows], b["v"]), b["core"].min()) > most[rows].max():
+            continue
+        gap = np.maximum(0, np.maximum(v[rows] - b["v"].max(0), b["v"].min(0) - v[rows]))
+        gap = np.sqrt(np.square(gap).sum(1)) * (1 - 1e-9) - 2e-9
+        rows = rows[np.maximum(gap, core[rows]) <= most[rows]]
+        for at in slices(len(rows)):
+            r = rows[at]
+            about, slack = _about(v[r] - centre, y)
+            m = np.sqrt(np.maximum(about - slack[:, None], 0))
+            m = np.maximum(np.maximum(m, core[r][:, None], out=m), b["core"][None], out=m)
+            if not lone:
+                m[comp[r][:, None] == other[None]] = np.inf
+            least = np.minimum(most[r], np.sqrt(np.square(m.min(1)) + 2 * slack) + 2e-9)
+            i, j = np.divmod(np.flatnonzero((m <= np.where(np.isfinite(least), least + 1e-9, -1.0)[:, None]).ravel()), len(y))
+            i = r[i]
+            w = np.maximum(np.round(_differences(v, b["v"], i, j), 9), np.maximum(core[i], b["core"][j]))
+            ok = w <= most[i]
+            i, j, w = i[ok], j[ok], w[ok]
+            x, z = a["id"][i], b["id"][j]
+            lo, hi = np.where(x < z, x, z), np.where(x < z, z, x)
+            order = np.lexsort((hi, lo, w, place[i]))
+            first = order[np.unique(place[i][order], return_index=True)[1]]
+            kept.append((place[i[first]], w[first], lo[first], hi[first], other[j[first]]))
+            least = np.full(len(names), np.inf)
+            np.minimum.at(least, place[i[first]], w[first])
+            most = np.minimum(most, least[place])
+    if kept:
+        c, w, lo, hi, other = (np.concatenate(x) for x in zip(*kept, strict=True))
+        order = np.lexsort((hi, lo, w, c))
+        first = order[np.unique(c[order], return_index=True)[1]]
+        yield [names[c[first]], other[first], w[first], lo[first], hi[first]]
+
+
+def spanning_tree(vectors: DataFrame, id_type: str = "bigint", within: bool = False, known: DataFrame | None = None) -> DataFrame:
     """(id, v, core[, label]) -> a, b, w: the least spanning tree by max(distance, both cores); ties by ids.
 
-    within: a tree for each label. Repeated vectors are joined at their cores.
+    within: a tree for each label. Repeated vectors are joined at their cores. known: edges (i, j, w) of the graph, with their exact weights;
+    they bound what each component's lightest edge may weigh, so that parts farther away are passed over.
     """
-
-    def kernel(a: dict, b: dict):
-        d = np.maximum(np.round(_distances(a["v"], b["v"]), 9), np.maximum(np.array(a["core"], float)[:, None], np.array(b["core"], float)[None]))
-        ids, comp, other = b["id"], np.array(a["comp"]), np.array(b["comp"])
-        barred = comp[:, None] == other[None]
-        if within:
-            barred |= np.array(a["label"])[:, None] != np.array(b["label"])[None]
-        d[barred] = np.inf
-        rows = []
-        for i, x in enumerate(a["id"]):
-            least = d[i].min()
-            if np.isfinite(least):
-                at = np.flatnonzero(d[i] == least)
-                lo, hi, j = min((min(x, ids[j]), max(x, ids[j]), j) for j in at)
-                rows.append((comp[i], other[j], float(least), lo, hi))
-        return [list(c) for c in zip(*rows, strict=True)] if rows else [[], [], [], [], []]
-
-    nodes = cut(vectors.withColumn("comp", F.col("id")))
-    extra = ["core", "comp", *(["label"] if within else [])]
+    nodes = cut(placed(vectors, "label" if within else None, near=not within).withColumn("comp", F.col("id")))
     tree = None
     while True:
-        found = block_pairs(nodes, nodes, kernel, f"c {id_type}, other {id_type}, w double, a {id_type}, b {id_type}", extra)
+        bounded = nodes.withColumn("most", F.lit(None).cast("double"))
+        if known is not None:
+            one, two = nodes.select(F.col("id").alias("i"), F.col("comp").alias("ci")), nodes.select(F.col("id").alias("j"), F.col("comp").alias("cj"))
+            known = cut(known.join(one, "i").join(two, "j").where("ci <> cj").select("i", "j", "w", "ci", "cj"))
+            most = known.select(F.explode(F.array("ci", "cj")).alias("comp"), "w").groupBy("comp").agg(F.min("w").alias("most"))
+            bounded, known = nodes.join(most, "comp", "left"), known.select("i", "j", "w")
+        bounded = cut(bounded)
+        found = scan(bounded, bounded, _least_leaving, f"c {id_type}, other {id_type}, w double, a {id_type}, b {id_type}", ["core", "comp", "most"], "label" if within else None)
         best = cut(found.groupBy("c").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("c", "e.*"))
         if best.isEmpty():
             return tree if tree is not None else best.select("a", "b", "w")
@@ -75,9 +110,10 @@ def hdbscan_clusters(vectors: DataFrame, cfg: ClusterConfig = ClusterConfig(), i
     if n < 2:
         return none
     k = min(cfg.min_samples, n - 1)
-    core = knn(rows, rows, k, id_type).where(F.col("rank") == k).select(F.col("i").alias("id"), F.col("d").alias("core"))
-    tree = spanning_tree(rows.join(core, "id"), id_type)
-
+    edges = cut(knn(rows, rows, k, id_type))
+    core = cut(edges.where(F.col("rank") == k).select(F.col("i").alias("id"), F.col("d").alias("core")))
+    ends = edges.join(core.select(F.col("id").alias("i"), F.col("core").alias("ci")), "i").join(core.select(F.col("id").alias("j"), F.col("core").alias("cj")), "j")
+    tree = spanning_tree(rows.join(core, "id"), id_type, known=ends.select("i", "j", F.greatest("d", "ci", "cj").alias("w")))
     return tree_labels(tree, cfg)
 
 
@@ -86,13 +122,15 @@ def validity_index(vectors: DataFrame, id_type: str = "bigint") -> DataFrame:
     total, width = vectors.agg(F.count("*"), F.max(F.size("v"))).first()
     members = vectors.where("label >= 0")
 
-    def near(a: dict, b: dict):
-        d = _distances(a["v"], b["v"])
-        use = (np.array(a["label"])[:, None] == np.array(b["label"])[None]) & (d > 0)
-        inv = np.where(use, 1 / np.where(d > 0, d, 1), 0.0) ** width
-        return [list(a["id"]), inv.sum(1).tolist()]
+    def near(a: dict, parts: Iterator[dict]) -> Iterator[list]:
+        s = np.zeros(len(a["id"]))
+        for b in parts:
+            for at in slices(len(s)):
+                d = _distances(a["v"][at], b["v"])
+                s[at] += (np.where(d > 0, 1 / np.where(d > 0, d, 1), 0.0) ** width).sum(1)
+        yield [a["id"], s]
 
-    sums = block_pairs(members, members, near, f"id {id_type}, s double", ["label"]).groupBy("id").agg(F.sum("s").alias("s"))
+    sums = scan(members, members, near, f"id {id_type}, s double", ["label"], "label").groupBy("id").agg(F.sum("s").alias("s"))
     sizes = members.groupBy("label").agg(F.count("*").alias("size"))
     core = F.when(F.col("s") > 0, F.pow(F.col("s") / F.greatest(F.col("size") - 1, F.lit(1)), -1.0 / (width or 1))).otherwise(0.0)
     points = cut(members.join(sums, "id").join(sizes, "label").select("id", "v", "label", core.alias("core")))
@@ -105,15 +143,19 @@ def validity_index(vectors: DataFrame, id_type: str = "bigint") -> DataFrame:
     ends = tree.join(inner.select(F.col("id").alias("a"), "label", F.col("inner").alias("ia")), "a").join(inner.select(F.col("id").alias("b"), F.col("inner").alias("ib")), "b")
     sparse = ends.groupBy("label").agg(F.coalesce(F.max(F.when(F.col("ia") & F.col("ib"), F.col("w"))), F.max("w")).alias("sparse"))
 
-    def apart(a: dict, b: dict):
-        d = np.maximum(_distances(a["v"], b["v"]), np.maximum(np.array(a["core"])[:, None], np.array(b["core"])[None]))
-        own, other = np.array(a["label"]), np.array(b["label"])
-        d[own[:, None] == other[None]] = np.inf
-        least = d.min(1)
-        return [[int(g) for g in np.unique(own)], [float(least[own == g].min()) for g in np.unique(own)]]
+    def between(a: dict, parts: Iterator[dict]) -> Iterator[list]:
+        own, least = a["label"], np.full(len(a["id"]), np.inf)
+        for b in parts:
+            for at in slices(len(own)):
+                d = _distances(a["v"][at], b["v"])
+                d = np.maximum(np.maximum(d, a["core"][at][:, None], out=d), b["core"][None], out=d)
+                d[own[at][:, None] == b["label"][None]] = np.inf
+                least[at] = np.minimum(least[at], d.min(1))
+        names = np.unique(own)
+        yield [names.astype(np.int64), np.array([least[own == g].min() for g in names])]
 
     cores = marked.where("inner")
-    separate = block_pairs(cores, cores, apart, "label bigint, apart double", ["label", "core"]).groupBy("label").agg(F.min("apart").alias("apart"))
+    separate = scan(cores, cores, between, "label bigint, apart double", ["label", "core"]).groupBy("label").agg(F.min("apart").alias("apart"))
     v = (F.col("apart") - F.col("sparse")) / F.nullif(F.greatest("apart", "sparse"), F.lit(0.0))
     each = sizes.join(sparse, "label").join(separate.where(F.col("apart") < float("inf")), "label", "left").select("label", "size", v.alias("validity"))
     whole = each.agg(F.sum(F.col("size") / F.lit(float(total or 1)) * F.col("validity")).alias("dbcv"))  # one row

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .lineage import cut
-from .neighbors import _distances, block_pairs
+from .neighbors import _distances, scan, slices
 
 #: Vectors held against all centres at once.
 SLICE = 1024
@@ -225,12 +225,16 @@ def silhouettes(labelled: DataFrame, counts: list[int]) -> list[float | None]:
     cuts = np.concatenate(([0], np.cumsum(counts)))
     kind = labelled.schema["id"].dataType.simpleString()
 
-    def kernel(a: dict, b: dict):
-        member = np.zeros((len(b["id"]), int(cuts[-1])))
-        member[np.arange(len(b["id"]))[:, None], np.array(b["labels"]) + cuts[:-1]] = 1
-        return [a["id"].tolist(), a["labels"], list(_distances(a["v"], b["v"]) @ member)]
+    def kernel(a: dict, parts: Iterator[dict]) -> Iterator[list]:
+        s = np.zeros((len(a["id"]), int(cuts[-1])))
+        for b in parts:
+            member = np.zeros((len(b["id"]), int(cuts[-1])))
+            member[np.arange(len(b["id"]))[:, None], b["labels"] + cuts[:-1]] = 1
+            for at in slices(len(s)):
+                s[at] += _distances(a["v"][at], b["v"]) @ member
+        yield [a["id"], a["labels"], s]
 
-    part = block_pairs(labelled, labelled, kernel, f"id {kind}, labels array<bigint>, s array<double>", ["labels"])
+    part = scan(labelled, labelled, kernel, f"id {kind}, labels array<bigint>, s array<double>", ["labels"])
     sums = part.groupBy("id").agg(F.first("labels").alias("labels"), vector_to_array(Summarizer.sum(array_to_vector("s"))).alias("s"))
     sized = labelled.select(F.posexplode("labels").alias("m", "label")).groupBy("m", "label").count().collect()  # a row for each cluster
     size = np.zeros(int(cuts[-1]))

@@ -9,7 +9,7 @@ rows; blocks are parts of rings.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -153,13 +153,25 @@ def _met(asked: DataFrame, members: DataFrame, k: int, id_type: str, drop_self:
     return pairs.mapInArrow(run, f"i {id_type}, j {id_type}, d double")
 
 
-def indexed_nearest(queries: DataFrame, vectors: DataFrame, k: int, id_type: str, drop_self: bool, block: int) -> DataFrame:
-    """(id, v) -> i, j, d: for each query all of its k nearest, and some more, that are vectors.
+def share_left(queries: DataFrame, rings: Rings, probes: int, plain: Callable[[DataFrame], DataFrame], k: int) -> float:
+    """The share of all vectors that the rings leave for `probes` queries, whose k-th distance comes from the search `plain`."""
+    asked = cut(queries.orderBy(F.xxhash64("id")).limit(probes))
+    kth = {r["i"]: r["d"] for r in plain(asked).groupBy("i").agg(F.max("d").alias("d"), F.count("*").alias("n")).where(F.col("n") >= k).collect()}  # a row for each probe
+    found = asked.collect()
+    if not found:
+        return 1.0
+    least = rings.at_least(rings.distances(np.array([r["v"] for r in found], float)))
+    may = least <= slackened(np.array([kth.get(r["id"], np.inf) for r in found]))[:, None]
+    return float((may @ rings.rows).mean() / max(1, rings.rows.sum()))
+
+
+def indexed_nearest(queries: DataFrame, vectors: DataFrame, index: tuple[Rings, DataFrame], k: int, id_type: str, drop_self: bool, block: int) -> DataFrame:
+    """(id, v) -> i, j, d: for each query all of its k nearest, and some more, that are vectors; index as from metric_rings.
 
     Ids may repeat; with drop_self no vector with the query's own id counts.
     """
     columns = ["id", "v", "most"]
-    rings, members = metric_rings(vectors, id_type, block)
+    rings, members = index
     members = cut(members)
     blocks = cut(members.groupBy("ring", "part").agg(F.collect_list(F.struct("id", "v")).alias("rows")))
     parts = members.groupBy("ring").agg((F.max("part") + 1).alias("parts"))  # PIVOTS * RINGS rows at most

@@ -95,3 +95,41 @@ def test_bounds_hold():
     for k in (1, 10, 200):
         assert (np.sort(to, 1)[:, k - 1] <= rings.bound(rings.distances(q), k) + 1e-9).all()
     assert np.isinf(rings.bound(rings.distances(q), 201)).all()
+
+
+@pytest.mark.parametrize("left", [-1, 1])
+@pytest.mark.parametrize("kind", ["clustered", "spread", "copies"])
+def test_both_ways_give_the_same_rows(spark, monkeypatch, kind, left):
+    rng = np.random.default_rng(12)
+    v = clustered(rng) if kind != "spread" else rng.normal(size=(300, 6))
+    if kind == "copies":
+        v[100:140] = v[3]
+    for name, value in (("BLOCK", 20), ("INDEXED", 4), ("LEFT", left), ("SLICE", 7), ("BLOCKS", 3)):
+        monkeypatch.setattr(neighbors, name, value)
+    df = frame(spark, v)
+    assert rows(neighbors.knn(df, df, 5, "bigint")) == plain(v, v, 5)
+
+
+def test_an_index_that_leaves_all_is_not_used(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "BLOCK", 20)
+    monkeypatch.setattr(neighbors, "INDEXED", 4)
+    monkeypatch.setattr(metric_index, "indexed_nearest", None)  # a call would fail
+    v = np.random.default_rng(13).normal(size=(300, 40))
+    df = frame(spark, v)
+    assert rows(neighbors.knn(df, df, 5, "bigint")) == plain(v, v, 5)
+
+
+def test_a_query_leaves_its_task_with_its_own_neighbours_only(spark, monkeypatch):
+    """k rows of a query whatever the number of parts; they were k for each part."""
+    monkeypatch.setattr(neighbors, "BLOCK", 20)
+    a = frame(spark, np.random.default_rng(14).normal(size=(400, 5)))
+    found = neighbors.scan(a, a, lambda x, parts: neighbors._nearest_of_all(x, parts, 3, True), "i bigint, j bigint, d double")
+    assert found.count() == 3 * 400
+
+
+def test_distances_by_product_equal_those_by_differences():
+    rng = np.random.default_rng(15)
+    y = rng.normal(size=(50, 8)) + 1e3
+    x = np.concatenate([y[:5], y[5:10] + 1e-7, rng.normal(size=(40, 8)) + 1e3])
+    exact = np.sqrt(np.square(x[:, None] - y[None]).sum(2))
+    assert np.allclose(neighbors._distances(x, y), exact, rtol=1e-9, atol=1e-12)
