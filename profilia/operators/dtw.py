@@ -14,6 +14,9 @@ from .lineage import cut
 from .neighbors import knn
 from .warping import refined_dtw
 
+#: Pairs whose paths are searched together.
+TOGETHER = 256
+
 
 def frames(channels: list, weights: tuple[float, ...]) -> np.ndarray:
     """Months with any value, as weighted points; missing values among them count as 0."""
@@ -38,6 +41,29 @@ def dtw(a: np.ndarray, b: np.ndarray) -> float:
     return float(last[n])
 
 
+def dtw_all(xs: list[np.ndarray], ys: list[np.ndarray]) -> list[float]:
+    """dtw of each pair, the pairs together: one step moves a diagonal of all of them. Shorter series are padded, which no path to their ends meets."""
+    out = np.full(len(xs), np.inf)
+    some = [p for p in range(len(xs)) if len(xs[p]) and len(ys[p])]
+    for s in range(0, len(some), TOGETHER):
+        at = some[s : s + TOGETHER]
+        ns, ms = np.array([len(xs[p]) for p in at]), np.array([len(ys[p]) for p in at])
+        n, m, width = int(ns.max()), int(ms.max()), xs[at[0]].shape[1]
+        a, b = np.zeros((n, len(at), width)), np.zeros((m, len(at), width))
+        for c, p in enumerate(at):
+            a[: ns[c], c], b[: ms[c], c] = xs[p], ys[p]
+        old, last = np.full((n + 1, len(at)), np.inf), np.full((n + 1, len(at)), np.inf)
+        for k in range(n + m - 1):
+            lo, hi = max(0, k - m + 1), min(n, k + 1)
+            cost = np.sqrt(np.square(a[lo:hi] - b[k - hi + 1 : k - lo + 1][::-1]).sum(2))
+            new = np.full_like(last, np.inf)
+            new[lo + 1 : hi + 1] = cost + np.minimum(np.minimum(last[lo:hi], last[lo + 1 : hi + 1]), old[lo:hi]) if k else cost
+            done = np.flatnonzero(ns + ms - 2 == k)
+            out[np.array(at)[done]] = new[ns[done], done]
+            old, last = last, new
+    return out.tolist()
+
+
 def refine(edges: DataFrame, profiles: DataFrame, cfg: ManifoldConfig = ManifoldConfig()) -> DataFrame:
     """edges (i, j, d) and profiles (well_name, an array for each channel) -> a, b, d, d_dtw of each unordered pair.
 
@@ -54,13 +80,18 @@ def refine(edges: DataFrame, profiles: DataFrame, cfg: ManifoldConfig = Manifold
     pairs = edges.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "d").groupBy("a", "b").agg(F.min("d").alias("d"))
     both = pairs.join(packed.select(F.col("well_name").alias("a"), F.col("x").alias("xa")), "a").join(packed.select(F.col("well_name").alias("b"), F.col("x").alias("xb")), "b")
 
-    def distance(a: np.ndarray, b: np.ndarray) -> float:
-        return dtw(a, b) if cfg.warp == "exact" else refined_dtw(a, b, cfg.radius)
+    def distances(xs: list[np.ndarray], ys: list[np.ndarray]) -> list[float]:
+        return dtw_all(xs, ys) if cfg.warp == "exact" else [refined_dtw(x, y, cfg.radius) for x, y in zip(xs, ys, strict=True)]
+
+    def points(column: pa.ListArray) -> list[np.ndarray]:
+        return [frames(x, cfg.channel_weights) for x in column.to_pylist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            d = [distance(frames(x, cfg.channel_weights), frames(y, cfg.channel_weights)) for x, y in zip(t.column("xa").to_pylist(), t.column("xb").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([t.column("a"), t.column("b"), t.column("d"), pa.array(d, pa.float64())], names=["a", "b", "d", "d_dtw"])
+            for at in range(0, t.num_rows, TOGETHER):
+                some = t.slice(at, TOGETHER)
+                d = distances(points(some.column("xa")), points(some.column("xb")))
+                yield pa.RecordBatch.from_arrays([some.column("a"), some.column("b"), some.column("d"), pa.array(d, pa.float64())], names=["a", "b", "d", "d_dtw"])
 
     return both.select("a", "b", "d", "xa", "xb").mapInArrow(run, "a string, b string, d double, d_dtw double")
 

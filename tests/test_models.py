@@ -31,6 +31,13 @@ def test_dtw():
     assert dtw.frames([[1.0, None, 2.0], [None, None, 3.0]], (0.5, 1.0)).tolist() == [[0.5, 0.0], [1.0, 3.0]]
 
 
+def test_pairs_together_equal_pairs_alone(monkeypatch):
+    rng = np.random.default_rng(5)
+    xs, ys = ([rng.normal(size=(int(n), 2)) for n in rng.integers(0, 9, 60)] for _ in range(2))
+    monkeypatch.setattr(dtw, "TOGETHER", 7)
+    assert dtw.dtw_all(xs, ys) == [dtw.dtw(x, y) for x, y in zip(xs, ys, strict=True)]
+
+
 def test_refine_checks_channels(spark):
     p = spark.createDataFrame([("a", [1.0], [1.0])], "well_name string, r_oil_norm array<double>, wc array<double>")
     e = spark.createDataFrame([], "i string, j string, d double")
