@@ -9,11 +9,12 @@ from ..config import BaselineConfig
 from ..functions import columns as C
 from ..functions import series as S
 from ..sources.tables import canonical
+from .lineage import cut, dealt
 
 
 def daily_signals(raw: DataFrame, cfg: BaselineConfig = BaselineConfig()) -> DataFrame:
     """Rows with bopd, mcfpd and bbl_mo; values above the well's clip quantile become missing."""
-    rows = canonical(raw).withColumns({c: C.nonnegative(F.col(c)) for c in ("oil", "gas", "water")})
+    rows = dealt(canonical(raw), raw.count()).withColumns({c: C.nonnegative(F.col(c)) for c in ("oil", "gas", "water")})
     rows = rows.withColumn("days_prod", F.when(F.col("days_prod") > 0, F.col("days_prod")))
     rows = rows.withColumns({"bopd": F.try_divide("oil", "days_prod"), "mcfpd": F.try_divide("gas", "days_prod"), "bbl_mo": F.col("oil")})
     whole = Window.partitionBy("well_name")
@@ -34,6 +35,8 @@ def monthly_signal(rows: DataFrame, cfg: BaselineConfig = BaselineConfig()) -> D
 
 def interpolated_signal(signal: DataFrame) -> DataFrame:
     w = Window.partitionBy("well_name").orderBy("date")
+    signal = cut(signal)
+    signal = dealt(signal, signal.count())
     out = signal.withColumn("i", F.row_number().over(w) - 1)
     return out.withColumn("f", S.interpolated(F.col("s"), F.col("i"), w, Window.partitionBy("well_name").orderBy(F.desc("date"))))
 

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows of a series' table that one task sorts.
+DEALT = 250_000
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; one of our own only where that is unset and all runs on one machine."""
@@ -19,6 +22,11 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def dealt(df: DataFrame, rows: int, key: str = "well_name") -> DataFrame:
+    """df by its key in as many tasks as `rows`, its size or a bound of it, call for; windows over the key then grow in number of tasks and not in size."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // DEALT)), key)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df, written under spark.checkpoint.dir and read again: any executor can go on from it, and plans know its true size.
 

@@ -11,7 +11,7 @@ from ..config import PrepConfig
 from ..functions import columns as C
 from ..functions import series as S
 from ..sources.tables import canonical
-from .lineage import cut
+from .lineage import cut, dealt
 
 VOLUMES = ("oil", "water", "gas")
 
@@ -36,6 +36,7 @@ def monthly_rates(raw: DataFrame, cfg: PrepConfig = PrepConfig()) -> DataFrame:
     grid = rows.groupBy("well_name", C.month_start(F.col("date")).alias("date")).agg(
         *[total(c).alias(f"{c}_sum") for c in VOLUMES], total("days_prod").alias("days_sum"), F.count_if(F.col("days_prod") > 0).alias("valid_days")
     )
+    grid = dealt(grid, raw.count())  # a bound; the windows that follow take this partitioning
     grid = grid.withColumn("days_eff", F.when(F.col("valid_days") > 0, F.col("days_sum")).otherwise(C.nominal_days(F.col("date"), cfg.days_mode)))
     return grid.withColumns({f"r_{c}": C.rate(F.col(f"{c}_sum"), F.col("days_eff"), cfg.eps) for c in VOLUMES})
 

@@ -193,7 +193,7 @@ def run_length_start(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zscored_wide(spark: SparkSession, sf: str) -> DataFrame:
-    filled = _signal(spark, sf)
+    filled = cut(_signal(spark, sf))  # used three times
     z = baseline.zscored(baseline.wide_matrix(filled, baseline.run_starts(filled, _BASE), _BASE))
     return _rounded(z.select("well_name", F.posexplode("v").alias("t", "z")))
 

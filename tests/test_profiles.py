@@ -168,3 +168,13 @@ def test_csv_headers_may_differ(spark, tmp_path):
     (tmp_path / "x" / "b.csv").write_text("RptDate,API_WellNo,MCF_GAS,BBLS_OIL_COND,BBLS_WTR\n2024-02-01,w2,5,6,7\nbad,w3,1,1,1\n")
     got = sorted((r["well_name"], r["oil"], r["gas"], r["water"], r["days_prod"]) for r in tables.read_production_csv(spark, f"file://{tmp_path}").collect())
     assert got == [("w1", 1.0, 2.0, 3.0, 4.0), ("w2", 6.0, 5.0, 7.0, None)]
+
+
+def test_series_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
+    from profilia.operators import baseline, lineage, preprocess
+
+    rows = spark.range(600).selectExpr("cast(id % 60 as string) as well_name", "date_add(date'2020-01-01', cast(id div 60 * 31 as int)) as date", "1.0 as oil", "1.0 as water", "1.0 as gas", "1.0 as days_prod")
+    monkeypatch.setattr(lineage, "DEALT", 20)
+    signal = baseline.interpolated_signal(baseline.monthly_signal(baseline.daily_signals(rows)))
+    assert signal.rdd.getNumPartitions() == preprocess.smooth_rates(preprocess.monthly_rates(rows)).rdd.getNumPartitions() == 30
+    assert signal.count() == 600
