@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import ForecastConfig
 from ..functions import columns as C
+from .lineage import cut
 from .neighbors import knn
 
+#: Wells whose forecasts one task makes.
+WELLS = 4096
+
 
 def prefix_scaled(panel: DataFrame, cfg: ForecastConfig = ForecastConfig(), rate: str = "r_oil_s") -> DataFrame:
     """panel within the horizon with r_oil_pref_norm: the rate over its quantile in the prefix, clipped."""
@@ -33,11 +37,12 @@ def suffix_targets(matrices: DataFrame, cfg: ForecastConfig = ForecastConfig())
     return full.select("well_name", F.posexplode(late).alias("k", "y")).select("well_name", (F.col("k") + cfg.T_pref).alias("t"), "y")
 
 
-def knn_forecast(matrices: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
-    """well_name, t, y_pred for the months after the prefix of each well whose horizon is complete.
+def knn_curves(matrices: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
+    """well_name and pred, the array of predictions of the months after the prefix, of each well whose horizon is complete.
 
     Neighbours: the K + 1 nearest scaled prefixes, the well itself among them, without those at distance 0, K at most; if none is
-    left, the nearest. Each neighbour's curve is scaled to the well's raw prefix by least squares; the forecast is their median.
+    left, the nearest. Each neighbour's curve is scaled to the well's raw prefix by least squares; the forecast is their median. A well's
+    neighbours travel as one array each, so there is no row for a neighbour's month.
     """
     full = matrices.where(F.forall("y_full", lambda y: y.isNotNull()) & F.forall("x_pref", lambda x: x.isNotNull()))
     n = full.count()
@@ -48,15 +53,31 @@ def knn_forecast(matrices: DataFrame, cfg: ForecastConfig = ForecastConfig()) ->
     own = Window.partitionBy("i")
     ok = F.when((F.col("d") > 0) & (F.col("rank") <= cfg.K + 1), 1).otherwise(0)
     near = near.withColumn("ok", ok).withColumns({"any": F.max("ok").over(own), "nth": F.sum("ok").over(own.orderBy("rank"))})
-    pairs = near.where(((F.col("ok") == 1) & (F.col("nth") <= cfg.K)) | ((F.col("any") == 0) & (F.col("rank") == 1))).select("i", "j")
+    pairs = cut(near.where(((F.col("ok") == 1) & (F.col("nth") <= cfg.K)) | ((F.col("any") == 0) & (F.col("rank") == 1))).select("i", "j"))
     a = full.select(F.col("well_name").alias("i"), F.slice("y_full", 1, cfg.T_pref).alias("a"))
     b = full.select(F.col("well_name").alias("j"), F.col("y_full").alias("b"))
     both = pairs.join(a, "i").join(b, "j")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     head = F.slice("b", 1, cfg.T_pref)
     scale = dot(F.col("a"), head) / (dot(head, head) + F.lit(cfg.eps))
-    suffix = both.select("i", scale.alias("s"), F.posexplode(F.slice("b", cfg.T_pref + 1, cfg.T - cfg.T_pref)).alias("k", "y"))
-    return suffix.groupBy(F.col("i").alias("well_name"), (F.col("k") + cfg.T_pref).alias("t")).agg(F.median(F.coalesce(C.finite(F.col("s")), F.lit(1.0)) * F.col("y")).alias("y_pred"))
+    late = both.select("i", F.coalesce(C.finite(scale), F.lit(1.0)).alias("s"), F.slice("b", cfg.T_pref + 1, cfg.T - cfg.T_pref).alias("b"))
+    late = late.select("i", F.transform("b", lambda y: F.col("s") * y).alias("y"))
+    late = late.repartition(max(matrices.sparkSession.sparkContext.defaultParallelism, -(-n // WELLS)), "i")  # by number of wells: the rows are small, what is done with them isn't
+    curves = late.groupBy("i").agg(F.collect_list("y").alias("ys"))  # K at most
+    months = F.sequence(F.lit(0), F.lit(cfg.T - cfg.T_pref - 1))
+    return curves.select(F.col("i").alias("well_name"), F.transform(months, lambda k: _median(F.transform("ys", lambda y: F.get(y, k)))).alias("pred"))
+
+
+def _median(values: Column) -> Column:
+    """The median of an array without nulls, as percentile gives it: the middle one or the mean of the two in the middle."""
+    x = F.transform(F.array(F.sort_array(values)), lambda s: (F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")) + F.get(s, F.floor(F.size(s) / 2).cast("int"))) * 0.5)
+    return x[0]
+
+
+def knn_forecast(matrices: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
+    """well_name, t, y_pred for the months after the prefix of each well whose horizon is complete; see knn_curves."""
+    months = knn_curves(matrices, cfg).select("well_name", F.posexplode("pred").alias("k", "y_pred"))
+    return months.select("well_name", (F.col("k") + cfg.T_pref).alias("t"), "y_pred")
 
 
 def prefix_features(scaled: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
@@ -73,17 +94,27 @@ def prefix_features(scaled: DataFrame, cfg: ForecastConfig = ForecastConfig()) -
 
 
 def forecast_long(matrices: DataFrame, forecast: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
-    """well_name, t, y_true, y_pred (observed in the prefix), segment for the wells with a forecast; the forecast is computed once."""
-    months = forecast.groupBy("well_name").agg(F.map_from_entries(F.collect_list(F.struct("t", "y_pred"))).alias("pred"))  # a horizon each
+    """well_name, t, y_true, y_pred (observed in the prefix), segment for the wells with a forecast; the forecast is computed once.
+
+    forecast: a row for each month (t, y_pred), or for each well (pred, as knn_curves gives it).
+    """
+    if "pred" in forecast.columns:
+        months, at = forecast.select("well_name", "pred"), F.get("pred", F.col("t") - cfg.T_pref)
+    else:
+        months = forecast.groupBy("well_name").agg(F.map_from_entries(F.collect_list(F.struct("t", "y_pred"))).alias("pred"))  # a horizon each
+        at = F.try_element_at("pred", F.col("t"))
     true = matrices.join(months, "well_name").select("well_name", "pred", F.posexplode("y_full").alias("t", "y_true"))
     seen = F.col("t") < cfg.T_pref
-    return true.select("well_name", "t", "y_true", F.when(seen, F.col("y_true")).otherwise(F.try_element_at("pred", F.col("t"))).alias("y_pred"), F.when(seen, "observed").otherwise("forecast").alias("segment"))
+    return true.select("well_name", "t", "y_true", F.when(seen, F.col("y_true")).otherwise(at).alias("y_pred"), F.when(seen, "observed").otherwise("forecast").alias("segment"))
 
 
 def forecast_wide(long: DataFrame, cfg: ForecastConfig = ForecastConfig()) -> DataFrame:
-    """A column m<t> of predictions for each month of the horizon."""
-    wide = long.groupBy("well_name").pivot("t", list(range(cfg.T))).agg(F.max("y_pred"))
-    return wide.withColumnsRenamed({str(t): f"m{t}" for t in range(cfg.T)})
+    """A column m<t> of predictions for each month of the horizon, the largest if a month comes twice; a well's months meet in one list."""
+    wells = long.groupBy("well_name").agg(F.sort_array(F.collect_list(F.struct("t", "y_pred"))).alias("x"))
+    last = F.filter("x", lambda e, i: ~F.get("x", i + 1)["t"].eqNullSafe(e["t"]))
+    wells = wells.select("well_name", F.map_from_entries(F.filter(last, lambda e: e["t"].isNotNull())).alias("x"))
+    wells = wells.select("well_name", F.transform(F.sequence(F.lit(0), F.lit(cfg.T - 1)), lambda t: F.try_element_at("x", t)).alias("x"))
+    return wells.select("well_name", *[F.get("x", F.lit(t)).alias(f"m{t}") for t in range(cfg.T)])
 
 
 def evaluate_forecasts(long: DataFrame) -> DataFrame:

@@ -107,11 +107,11 @@ def knn_pairs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _forecast(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     m = cut(forecast.make_matrices(forecast.prefix_scaled(_profiles(spark, sf).panel)))
-    return m, forecast.knn_forecast(m)
+    return m, forecast.knn_curves(m)
 
 
 def knn_forecast(spark: SparkSession, sf: str) -> DataFrame:
-    return _rounded(_forecast(spark, sf)[1])
+    return _rounded(forecast.knn_forecast(cut(forecast.make_matrices(forecast.prefix_scaled(_profiles(spark, sf).panel)))))
 
 
 def forecast_long(spark: SparkSession, sf: str) -> DataFrame:

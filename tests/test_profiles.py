@@ -178,3 +178,31 @@ def test_series_are_dealt_to_more_tasks_as_they_grow(spark, monkeypatch):
     signal = baseline.interpolated_signal(baseline.monthly_signal(baseline.daily_signals(rows)))
     assert signal.rdd.getNumPartitions() == preprocess.smooth_rates(preprocess.monthly_rates(rows)).rdd.getNumPartitions() == 30
     assert signal.count() == 600
+
+
+def test_forecast_has_no_row_for_a_neighbours_month(spark):
+    """Medians as by numpy over each well's scaled neighbours, from arrays: neither a percentile over months nor a pivot is in the plan."""
+    rng = np.random.default_rng(8)
+    cfg = ForecastConfig(T=9, T_pref=4, K=4)
+    y = {f"w{k:02d}": rng.uniform(0.5, 2.0, cfg.T) for k in range(25)}
+    m = spark.createDataFrame([(w, [float(z) for z in v[: cfg.T_pref]], [float(z) for z in v]) for w, v in y.items()], "well_name string, x_pref array<double>, y_full array<double>")
+    got = forecast.knn_forecast(m, cfg)
+    long = forecast.forecast_long(m, forecast.knn_curves(m, cfg), cfg)
+    wide = forecast.forecast_wide(long, cfg)
+    for df, word in ((got, "percentile"), (got, "median"), (wide, "pivotfirst")):
+        assert word not in df._jdf.queryExecution().toString().lower()
+    pred = {}
+    for w, v in y.items():
+        near = sorted((round(float(np.linalg.norm(v[: cfg.T_pref] - u[: cfg.T_pref])), 9), x) for x, u in y.items())[1 : cfg.K + 1]
+        heads = [(y[x][: cfg.T_pref], y[x][cfg.T_pref :]) for _, x in near]
+        pred[w] = np.median([v[: cfg.T_pref] @ h / (h @ h + cfg.eps) * late for h, late in heads], axis=0)
+    for r in got.collect():
+        assert r["y_pred"] == pytest.approx(pred[r["well_name"]][r["t"] - cfg.T_pref], rel=1e-12)
+    assert got.count() == 25 * 5 and long.count() == 25 * 9
+    by_month = {(r["well_name"], r["t"]): r["y_pred"] for r in long.collect()}
+    from_months = forecast.forecast_long(m, got, cfg)
+    assert {(r["well_name"], r["t"]): r["y_pred"] for r in from_months.collect()} == by_month
+    for r in wide.collect():
+        assert [r[f"m{t}"] for t in range(cfg.T)] == [by_month[r["well_name"], t] for t in range(cfg.T)]
+    odd = spark.createDataFrame([("a", 1, 2.0), ("a", 1, 5.0), ("a", 1, None), ("a", 3, None), ("a", None, 7.0), ("a", 40, 1.0)], "well_name string, t int, y_pred double")
+    assert [tuple(r) for r in forecast.forecast_wide(odd, ForecastConfig(T=4)).collect()] == [("a", None, 5.0, None, None)]
