@@ -6,21 +6,25 @@
    threshold must share a member with. Every task first aggregates its own prefix entries: it links the classes
    that share a shingle to the smallest of them and forwards only that one, so a shingle sends at most one
    entry for each task however many documents hold it.
-3. Buckets of shingles do the same among tasks. Components grow from hub pairs (see linking.py); the pairs that share a
+3. Buckets of shingles do the same among tasks. Components grow from hub pairs (see linking.py), of which texts whose sets agree in two
+   of four extremes (smallest and largest hashes) make more, so that groups of near copies are one component before pairs are listed; the pairs that share a
    prefix shingle and still lie in different components are enumerated with the positional and length filters.
 4. Before any set is sent, a pair must pass the length filter and a bound from the parities of both sets' shingles by their low
-   bits: each bit in which they differ stands for a shingle that one set lacks. Each candidate pair is verified once, behind a suffix filter.
+   bits: each bit in which they differ stands for a shingle that one set lacks. The last join, over the pairs of unlike texts that share
+   a prefix shingle, has that bound, from folded parities, in its condition, so such pairs don't leave it. Each candidate pair is
+   verified once, behind a suffix filter.
 
 Only counters and the sketch (SKETCH_BITS, 4 MiB) reach the driver.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, row_key, sized
@@ -31,6 +35,8 @@ SKETCH_BITS = 22
 PARTS = 64
 #: Parity bits of a set, a multiple of 64.
 PARITIES = 2048
+#: 64-bit words of the folded parities that go with a class into the join of all pairs that are left.
+WORDS = 8
 #: Partners that a class meets in one place when pairs are verified.
 FAN = 500
 #: Prefix entries that a task gathers before it aggregates them, and that a bucket holds on average.
@@ -45,20 +51,40 @@ def parities(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.reshape(len(sets), PARITIES), axis=1).view(np.int64)
 
 
+_SCRAMBLE = np.uint64(0x9E3779B97F4A7C15)
+#: Pairs of the four values of extremes() that make a key.
+SKETCHES = ((0, 1), (2, 3), (0, 3), (1, 2))
+
+
+def extremes(sets: list[np.ndarray]) -> np.ndarray:
+    """For each sorted set its smallest and largest member, and the same of its members in another order; an empty set has zeros."""
+    size = np.array([len(s) for s in sets])
+    out = np.zeros((len(sets), 4), np.uint64)
+    some = size > 0
+    if some.any():
+        members = np.concatenate(sets)
+        begin = (np.cumsum(size) - size)[some]
+        with np.errstate(over="ignore"):
+            other = members * _SCRAMBLE
+        out[some] = np.stack([members[begin], members[begin + size[some] - 1], np.minimum.reduceat(other, begin), np.maximum.reduceat(other, begin)], axis=1)
+    return out.view(np.int64)
+
+
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    names = ["part", "counts", "doc_id", "rk", "n", "cls", "bits"]
+    names = ["part", "counts", "doc_id", "rk", "n", "cls", "bits", "ends"]
     for part, texts in slices(batches, "text"):
         sets = shingle_sets(texts)
         cells = np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)
         counts += np.bincount(cells.astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
         k = len(sets)
         bits = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * (PARITIES // 64)), pa.array(parities(sets).ravel()))
-        found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64()), bits]
+        ends = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * 4), pa.array(extremes(sets).ravel()))
+        found = [pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.int64()), bits, ends]
         yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), part.column("doc_id"), part.column("rk"), *found], names=names)
     for p, x in enumerate(counts.reshape(PARTS, -1)):
         if x.any():
-            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())] + [pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.list_(pa.int64()))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([x.tobytes()], pa.binary())] + [pa.nulls(1, pa.int64())] * 4 + [pa.nulls(1, pa.list_(pa.int64()))] * 2, names=names)
 
 
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,7 +262,7 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
     scratch = scratch or Scratch(spark, "ngram")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.withColumn("rk", row_key("doc_id", "text"))
-    scan = scratch.table(rows.mapInArrow(_signatures, "part int, counts binary, doc_id long, rk long, n long, cls long, bits array<long>"), "signatures")
+    scan = scratch.table(rows.mapInArrow(_signatures, "part int, counts binary, doc_id long, rk long, n long, cls long, bits array<long>, ends array<long>"), "signatures")
     info = scan.where("part is null").select("doc_id", "rk", "n", "cls")
     filled = info.where("n > 0")
     classes = scratch.table(filled.groupBy("cls").agg(F.min("rk").alias("rk"), F.min("n").alias("n"), F.min("doc_id").alias("least")), "classes", scan.count())
@@ -253,6 +279,8 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
     found = scratch.table(entries.groupBy("bucket").applyInArrow(_bucket, "key long, a long, b long, w long"), "prefixes")
 
     size = classes.select("cls", "n")
+    word = lambda w: functools.reduce(Column.bitwiseXOR, [F.get("bits", F.lit(k)) for k in range(w, PARITIES // 64, WORDS)]).alias(f"w{w}")
+    folded = scan.where("n > 0").groupBy(F.col("cls").alias("id")).agg(F.first("bits").alias("bits")).select("id", *[word(w) for w in range(WORDS)])
 
     def near(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that lengths and parities allow."""
@@ -284,14 +312,24 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
         return out
 
     stars = found.where("key is null").groupBy("a", "b").agg(F.sum("w").alias("w"))
-    best = scratch.table(stars.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")), "hub-pairs", n_classes)
+    hubs = stars.groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a")).select("a", "b")
+    # a hub by prefixes may be a text that shares just a passage; texts alike in two extremes are mostly alike as a whole
+    ends = scan.where("n > 0").groupBy("cls").agg(F.first("ends").alias("e"))
+    marks = [F.xxhash64(F.lit(k), F.get("e", F.lit(x)), F.get("e", F.lit(y))) for k, (x, y) in enumerate(SKETCHES)]
+    alike = scratch.table(ends.select("cls", F.explode(F.array(*marks)).alias("key")), "alike", n_classes * len(marks))
+    least = alike.groupBy("key").agg(F.min("cls").alias("a"), F.max("cls").alias("last")).where("a < last").select("key", "a")
+    mates = alike.join(least, "key").where("a <> cls").select("a", F.col("cls").alias("b"))
+    best = scratch.table(hubs.union(mates).distinct(), "hub-pairs", n_classes * (1 + len(marks)))
+    scratch.drop(alike)
     shared = found.where("key is not null").select("key", F.col("a").alias("id"), F.col("w").alias("pos")).join(size.withColumnRenamed("cls", "id"), "id")
     shared = scratch.table(shared, "shared", found.count())
     scratch.drop(found)
     both = F.col("l.n") + F.col("r.n")
     rest = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
     possible = (F.least("l.n", "r.n") * den >= F.greatest("l.n", "r.n") * num) & (rest * (num + den) >= both * num)
-    comps = linked_components(shared, best, verified, scratch, possible)
+    differ = functools.reduce(Column.__add__, [F.bit_count(F.col(f"l.w{w}").bitwiseXOR(F.col(f"r.w{w}"))) for w in range(WORDS)])
+    possible &= differ * (num + den) <= both * (den - num)
+    comps = linked_components(shared, best, verified, scratch, possible, folded)
     sketch.unpersist()
 
     root = classes.join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("root"), "least")

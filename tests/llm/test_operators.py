@@ -111,6 +111,15 @@ def test_op2_one_of_each(docs, empty):
     assert ngram_join.one_of_each(empty).count() == 0
 
 
+def test_op2_extremes():
+    sets = shingle_sets([b"a b c d e f g h", b"", b"x y", b"a b c d e f g h i j k l"])
+    scramble = int(ngram_join._SCRAMBLE)
+    for s, e in zip(sets, ngram_join.extremes(sets).view(np.uint64).tolist(), strict=True):
+        other = [int(x) * scramble % 2**64 for x in s]
+        assert e == ([int(s[0]), int(s[-1]), min(other), max(other)] if len(s) else [0] * 4)
+    assert ngram_join.extremes(sets[1:2]).tolist() == [[0] * 4]
+
+
 def test_op2_links_in_a_large_group(spark):
     """A group in which few pairs with the hub link: components must still be those of all pairs."""
     rng = np.random.default_rng(3)
