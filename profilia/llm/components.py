@@ -1,12 +1,30 @@
-"""Distributed connected components by repeated contraction; only counters reach the driver."""
+"""Distributed connected components by repeated contraction; counters reach the driver, and of a contracted graph at most REST edges."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
+#: Edges (16 bytes each) up to which the driver ends what a first contraction has left; a larger rest is contracted further in Spark.
+REST = 1 << 16
+
+
+def roots(src: np.ndarray, dst: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The vertices of a few edges and a representative of each one's component: roots hook onto smaller roots, then pointers jump."""
+    ids, ends = np.unique(np.concatenate([src, dst]), return_inverse=True)
+    a, b = ends[: len(src)], ends[len(src) :]
+    root = np.arange(len(ids))
+    while (apart := root[a] != root[b]).any():
+        x, y = root[a[apart]], root[b[apart]]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
+    return ids, ids[root]
+
 
 def connected_components(edges: DataFrame, scratch: Scratch, most: int | None = None) -> DataFrame:
     """(src, dst) long edges -> (id, component): every vertex of an edge with the smallest id of its component.
@@ -15,6 +33,7 @@ def connected_components(edges: DataFrame, scratch: Scratch, most: int | None =
     accordingly; the order is by id in the first round (stars collapse at once) and by a hash that changes with
     the round afterwards, so that chains shrink by a constant factor. Minima are pre-aggregated before each
     shuffle and joins have one row per vertex on one side, so a vertex with very many edges is split by AQE.
+    Once contracted, a graph of at most REST edges is ended in the driver, as rounds of small joins cost more than they do.
     Nulls and self-loops are ignored; repeated edges count once; no edges give an empty table.
     most: the number of edges at most, if known.
     """
@@ -24,6 +43,12 @@ def connected_components(edges: DataFrame, scratch: Scratch, most: int | None =
     while n := cur.count():
         k = len(parents)
         most = max(most, 2 * n)  # later tables are no larger
+        if parents and n <= REST:
+            t = cur.toArrow()
+            ends = pa.table(dict(zip("vp", roots(*(t.column(c).to_numpy() for c in ("src", "dst"))), strict=True)))
+            parents.append(scratch.table(scratch.spark.createDataFrame(ends, "v long, p long"), "parent", most))
+            scratch.drop(cur)
+            break
 
         def order(c, k=k):
             first = F.lit(0).cast("long") if k == 0 else F.xxhash64(c, F.lit(k))

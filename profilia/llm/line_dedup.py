@@ -22,9 +22,9 @@ from .common import Scratch, sized, whole_row_key
 from .linking import linked_components
 
 SHINGLE = 12
-BANDS, ROWS = 7, 3
+BANDS, ROWS = 6, 2
 #: Bits of the hash that a permutation orders by.
-FIELD = 21
+FIELD = 31
 #: Shingles of a row that is aggregated.
 STEP = 4
 #: Similarity of 4/5 or more.
