@@ -5,7 +5,8 @@ components and, by the share of links among the pairs of the round before, many
 of a key meets a member of that component and one of a few ids of the key that fall into the same cell, both drawn anew each
 round, so that dense groups grow together whether their hub belongs to them or not. Finally all
 pairs that are left are compared, first by bounds inside the join so that only pairs that may link leave it: no link between
-components is missed; inside a component no comparison is needed.
+components is missed; inside a component no comparison is needed. Each id goes into that join with the BEFORE keys before the
+current one, in order, and a pair that shares one of those leaves it there and not here: always at its first shared key, seldom again.
 """
 
 from __future__ import annotations
@@ -20,13 +21,21 @@ from .components import connected_components
 
 #: Rounds at most before the remaining pairs are compared; partners of an id in a round; links expected for each entry that need no further round; ids of a key in a cell, on average.
 ROUNDS, PARTNERS, FEW, CELL = 8, 3, 1, 4
+#: Preceding keys of its id that an entry carries.
+BEFORE = 8
+
+
+def with_keys_before(entries: DataFrame) -> DataFrame:
+    """entries (id, key, and pos or not) with `before`, up to BEFORE keys of the id that precede the entry's by pos and key."""
+    near = Window.partitionBy("id").orderBy(*[c for c in ("pos", "key") if c in entries.columns]).rowsBetween(-BEFORE, -1)
+    return entries.withColumn("before", F.collect_list("key").over(near))
 
 
 def linked_components(shared: DataFrame, first: DataFrame, verify: Callable[[DataFrame, str], DataFrame], scratch: Scratch, possible: Column | None = None, marks: DataFrame | None = None) -> DataFrame:
     """shared: key, id and more; first: pairs (a, b); verify: pairs (a, b) -> scratch table of links (src, dst).
 
-    possible: a condition on aliases l and r of shared that every linked pair meets at some shared key; marks: further columns of
-    each id that it reads. Gives id, component of all ids with links.
+    possible: a condition on aliases l and r of shared that every linked pair meets at the first of its shared keys, by pos (where shared has
+    it) and key; marks: further columns of each id that it reads. Gives id, component of all ids with links.
     """
     n_shared = shared.count()
     done = scratch.table(first.select("a", "b"), "pairs", n_shared)
@@ -57,17 +66,19 @@ def linked_components(shared: DataFrame, first: DataFrame, verify: Callable[[Dat
         n_fresh, found = fresh.count(), verify(fresh, f"round-{k}")
         rate = found.count() / max(1, n_fresh)
         n_links += n_fresh
-        links = scratch.table(links.union(found), "links", n_links)
+        links = links.union(found)
         seen = seen.union(fresh)
         scratch.drop(rest)
     full = rest
     if marks is not None:
         full = scratch.table(rest.join(marks.join(sized(scratch.table(rest.select("id").distinct(), "open-ids", n_shared)), "id", "left_semi"), "id"), "marked", n_shared)
         scratch.drop(rest)
+    full = with_keys_before(full)
     l, r = full.where("minor").alias("l"), full.alias("r")
     cross = (F.col("l.key") == F.col("r.key")) & (F.col("l.component") != F.col("r.component")) & (~F.col("r.minor") | (F.col("l.id") < F.col("r.id")))
     if possible is not None:
         cross &= possible
+    cross &= ~F.arrays_overlap("l.before", "r.before")
     more = l.join(r, cross).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     more = scratch.table(more.join(seen, ["a", "b"], "left_anti"), "pairs", int(min(pairs, 1e15)))
     out = connected_components(links.union(verify(more, "cross")), scratch, n_links + more.count())

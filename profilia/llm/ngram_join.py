@@ -10,21 +10,19 @@
    of four extremes (smallest and largest hashes) make more, so that groups of near copies are one component before pairs are listed; the pairs that share a
    prefix shingle and still lie in different components are enumerated with the positional and length filters.
 4. Before any set is sent, a pair must pass the length filter and a bound from the parities of both sets' shingles by their low
-   bits: each bit in which they differ stands for a shingle that one set lacks. The last join, over the pairs of unlike texts that share
-   a prefix shingle, has that bound, from folded parities, in its condition, so such pairs don't leave it. Each candidate pair is
-   verified once, behind a suffix filter.
+   bits: each bit in which they differ stands for a shingle that one set lacks. In the last join a pair leaves at the first prefix
+   shingle that it shares and at few others, however many they are. Each candidate pair is verified once, behind a suffix filter.
 
 Only counters and the sketch (SKETCH_BITS, 4 MiB) reach the driver.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, row_key, sized
@@ -35,8 +33,6 @@ SKETCH_BITS = 22
 PARTS = 64
 #: Parity bits of a set, a multiple of 64.
 PARITIES = 2048
-#: 64-bit words of the folded parities that go with a class into the join of all pairs that are left.
-WORDS = 8
 #: Partners that a class meets in one place when pairs are verified.
 FAN = 500
 #: Prefix entries that a task gathers before it aggregates them, and that a bucket holds on average.
@@ -279,8 +275,6 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
     found = scratch.table(entries.groupBy("bucket").applyInArrow(_bucket, "key long, a long, b long, w long"), "prefixes")
 
     size = classes.select("cls", "n")
-    word = lambda w: functools.reduce(Column.bitwiseXOR, [F.get("bits", F.lit(k)) for k in range(w, PARITIES // 64, WORDS)]).alias(f"w{w}")
-    folded = scan.where("n > 0").groupBy(F.col("cls").alias("id")).agg(F.first("bits").alias("bits")).select("id", *[word(w) for w in range(WORDS)])
 
     def near(pairs: DataFrame, name: str) -> DataFrame:
         """The pairs that lengths and parities allow."""
@@ -327,9 +321,7 @@ def ngram_jaccard_components(docs: DataFrame, num: int = 3, den: int = 4, scratc
     both = F.col("l.n") + F.col("r.n")
     rest = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos"))
     possible = (F.least("l.n", "r.n") * den >= F.greatest("l.n", "r.n") * num) & (rest * (num + den) >= both * num)
-    differ = functools.reduce(Column.__add__, [F.bit_count(F.col(f"l.w{w}").bitwiseXOR(F.col(f"r.w{w}"))) for w in range(WORDS)])
-    possible &= differ * (num + den) <= both * (den - num)
-    comps = linked_components(shared, best, verified, scratch, possible, folded)
+    comps = linked_components(shared, best, verified, scratch, possible)
     sketch.unpersist()
 
     root = classes.join(comps.select(F.col("id").alias("cls"), "component"), "cls", "left").select("cls", F.coalesce("component", "cls").alias("root"), "least")

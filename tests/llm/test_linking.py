@@ -1,8 +1,9 @@
 """Steps that the similarity operators share: candidate pairs and components."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from profilia.llm import components, line_dedup
+from profilia.llm import components, line_dedup, linking
 from profilia.llm.common import Scratch
 
 
@@ -25,6 +26,23 @@ def test_op3_bands_miss_fewer_pairs_than_before():
     assert line_dedup.ROWS * line_dedup.FIELD <= 63 and line_dedup.ROWS * line_dedup.BANDS < 21
 
 
+def test_pairs_leave_the_last_join_once(spark):
+    """Texts that share hundreds of keys and are no hub's must not come once for each key; none is missed, wherever its first shared key stands."""
+    rng = np.random.default_rng(17)
+    rows = []
+    for i in range(30):  # ids in groups of ten share most of 200 keys, each group in its own order of numbers
+        keys = rng.permutation(200)[:150] + 1000 * (i // 10)
+        rows += [(int(k), i, int(p)) for p, k in enumerate(sorted(keys))]
+    rows += [(5000 + i // 2, 100 + i, 0) for i in range(20)]  # and pairs with a single key
+    shared = spark.createDataFrame(rows, "key long, id long, pos long")
+    full = linking.with_keys_before(shared)
+    l, r = full.alias("l"), full.alias("r")
+    left = l.join(r, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id")) & ~F.arrays_overlap("l.before", "r.before"))
+    got = [(x["a"], x["b"]) for x in left.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).collect()]
+    want = {(a, b) for a in range(30) for b in range(a + 1, 30) if a // 10 == b // 10} | {(100 + 2 * k, 101 + 2 * k) for k in range(10)}
+    assert set(got) == want and len(got) < 1.2 * len(want)
+
+
 def test_components_end_in_the_driver_or_in_spark(spark, monkeypatch):
     """Chains, stars and cycles have the same components whether the contracted rest is ended in the driver or not, in fewer tables."""
     rng = np.random.default_rng(19)
