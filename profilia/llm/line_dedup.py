@@ -1,13 +1,13 @@
 """Fuzzy line dedup with DataFrame operations only.
 
 A line, lower-cased and trimmed, has as shingles the SHINGLE characters (UTF-16 units) from each character on, or itself if it is
-shorter. MinHash: each shingle is hashed once, and that hash once more for every further band, whose ROWS permutations order by fields of
-it; the minima of a line form BANDS bands of ROWS. Lines that share a band are candidates; exact Jaccard similarity of the
+shorter. MinHash: each shingle is hashed once, and the permutations order by that hash XOR a number of their own; the minima of a line
+form BANDS bands of ROWS. Lines that share a band are candidates; exact Jaccard similarity of the
 shingle sets, as 64-bit hashes, decides; connected components of the links keep one line, the first by document and position.
 
 Lines meet hubs first and the pairs of a band that lie in different components afterwards (see linking.py), so large groups
 of similar lines cost a few comparisons for each line and no pair of a band is left out. What is left is compared inside the
-join by bit sets of the shingles, which bound the similarity from above, before any text is sent.
+join by bit sets of the shingles, which bound the similarity from above, before any text is sent. Lines are cut from the texts once.
 
 Equal lines have equal 64-bit ids and equal check hashes (another seed). Of different lines that share an id, which 128 bits tell
 apart, the one with the largest check hash takes part in the fuzzy comparison and all are compared for equality.
@@ -25,6 +25,8 @@ SHINGLE = 12
 BANDS, ROWS = 6, 2
 #: Bits of the hash that a permutation orders by.
 FIELD = 31
+#: A permutation orders by the hash XOR its number; the numbers differ in their first four bits, so each one's minimum is sought in another sixteenth.
+ORDERS = [(k << (FIELD - 4)) | (0x9E3779B97F4A7C15 * (k + 1) >> 20) % (1 << (FIELD - 4)) for k in range(BANDS * ROWS)]
 #: Shingles of a row that is aggregated.
 STEP = 4
 #: Similarity of 4/5 or more.
@@ -47,7 +49,7 @@ def shingle_hashes(line: str) -> Column:
 
 def _hashes(line: str) -> Column:
     units, n = _positions(line)
-    each = lambda u: F.transform(F.sequence(F.lit(1), n), lambda p: F.xxhash64(F.substring(u, 2 * p - 1, F.lit(2 * SHINGLE))))
+    each = lambda u: F.transform(F.sequence(F.lit(1), 2 * n - 1, F.lit(2)), lambda p: F.xxhash64(F.substring(u, p, F.lit(2 * SHINGLE))))
     return F.transform(F.array(units), each)[0]
 
 
@@ -66,18 +68,38 @@ def signatures(lines: DataFrame) -> DataFrame:
     """lines (id, line), repeated or not -> id, bands; shingles are aggregated where the lines are read, STEP of them in a row."""
     units, n = _positions("line")
     rows = lines.select("id", units.alias("u"), n.alias("n")).select("id", "u", "n", F.explode(F.sequence(F.lit(1), F.col("n"), F.lit(STEP))).alias("p"))
-    at = lambda i: F.least(F.col("p") + i, F.col("n"))
-    each = rows.select("id", *[F.xxhash64(F.substring("u", 2 * at(i) - 1, F.lit(2 * SHINGLE))).alias(f"h{i}") for i in range(STEP)])
-    # a shingle's hash is hashed once more for each band but the first, and a permutation's order is by FIELD bits of that, left in their place
-    mixed = each.select("id", *[(F.xxhash64(F.col(f"h{i}").bitwiseXOR(F.lit(b))) if b else F.col(f"h{i}")).alias(f"p{b}_{i}") for b in range(BANDS) for i in range(STEP)])
-    field = lambda b, r, i: F.col(f"p{b}_{i}").bitwiseAND(F.lit(((1 << FIELD) - 1) << (FIELD * r)).cast("long"))
-    least = [F.min(F.least(*[field(b, r, i) for i in range(STEP)])).alias(f"m{b}_{r}") for b in range(BANDS) for r in range(ROWS)]
-    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b}_{r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return mixed.groupBy("id").agg(*least).select("id", bands.alias("bands"))
+    at = lambda i: F.least(F.col("p") + i, F.col("n")) if i else F.col("p")
+    hashed = lambda i: F.shiftrightunsigned(F.xxhash64(F.substring("u", 2 * at(i) - 1, F.lit(2 * SHINGLE))), 64 - FIELD)
+    each = rows.select("id", *[hashed(i).alias(f"h{i}") for i in range(STEP)])
+    least = [F.min(F.least(*[F.col(f"h{i}").bitwiseXOR(F.lit(c)) for i in range(STEP)])).alias(f"m{k}") for k, c in enumerate(ORDERS)]
+    bands = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
+    return each.groupBy("id").agg(*least).select("id", bands.alias("bands"))
 
 
 def bit_sets(texts: DataFrame) -> DataFrame:
-    """texts (id, line), an id once -> id, n (size of the shingle set), w0 .. (parities of the shingles that fall on each bit)."""
+    """texts (id, line), an id once -> id, n (shingles, those that repeat counted again), w0 .. (the bits that shingles fall on).
+
+    Repeated shingles change no bit, so none has to be found here; n and the number of bits enclose the size of the set.
+    """
+    units, n = _positions("line")
+    rows = texts.select("id", units.alias("u"), n.alias("n")).select("id", "u", F.explode(F.sequence(F.lit(1), 2 * F.col("n") - 1, F.lit(2))).alias("p"))
+    each = rows.select("id", F.xxhash64(F.substring("u", F.col("p"), F.lit(2 * SHINGLE))).alias("h"))
+    each = each.select("id", F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int")).alias("bit"), F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1)).alias("part"))
+    words = [F.bit_or(F.when(F.col("part") == w, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(f"w{w}") for w in range(WORDS)]
+    return each.groupBy("id").agg(F.count("*").alias("n"), *words)
+
+
+def possible(l: str, r: str) -> Column:
+    """Whether sizes and bit sets allow the similarity: each bit in which two sets differ stands for a shingle that one of them lacks."""
+    word = lambda side, w: F.col(f"{side}.w{w}")
+    total = lambda f: sum((F.bit_count(f(w)) for w in range(1, WORDS)), F.bit_count(f(0)))
+    differ, some, other = total(lambda w: word(l, w).bitwiseXOR(word(r, w))), total(lambda w: word(l, w)), total(lambda w: word(r, w))
+    x, y = F.col(f"{l}.n"), F.col(f"{r}.n")
+    return (differ * (NUM + DEN) <= (x + y) * (DEN - NUM)) & (DEN * x >= NUM * other) & (DEN * y >= NUM * some)
+
+
+def parity_sets(texts: DataFrame) -> DataFrame:
+    """As bit_sets, with n the size of the set and parities of its shingles instead of bits: a closer bound that costs several times as much."""
     each = texts.select("id", F.explode(shingle_hashes("line")).alias("h"))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("h").bitwiseAND(F.lit(63)).cast("int"))
     part = F.shiftright("h", 6).bitwiseAND(F.lit(WORDS - 1))
@@ -85,25 +107,27 @@ def bit_sets(texts: DataFrame) -> DataFrame:
     return each.groupBy("id").agg(F.count("*").alias("n"), *words)
 
 
-def possible(l: str, r: str) -> Column:
-    """Whether sizes and bit sets allow the similarity: each bit in which two sets differ stands for a shingle that one of them lacks."""
-    differ = F.bit_count(F.col(f"{l}.w0").bitwiseXOR(F.col(f"{r}.w0")))
-    for w in range(1, WORDS):
-        differ = differ + F.bit_count(F.col(f"{l}.w{w}").bitwiseXOR(F.col(f"{r}.w{w}")))
-    x, y = F.col(f"{l}.n"), F.col(f"{r}.n")
-    return (DEN * F.least(x, y) >= NUM * F.greatest(x, y)) & (differ * (NUM + DEN) <= (x + y) * (DEN - NUM))
+def similar(x: str, y: str) -> Column:
+    """Whether the shingle sets of two lines are similar; their sizes are counted only where repeated shingles may decide it."""
+
+    def enough(z: Column) -> Column:
+        both = F.size(F.array_intersect(z["x"], z["y"])) * (NUM + DEN)
+        sizes = lambda f: (F.size(f(z["x"])) + F.size(f(z["y"]))) * NUM
+        return (both >= sizes(lambda a: a)) | (both >= sizes(F.array_distinct))
+
+    return F.transform(F.array(F.struct(_hashes(x).alias("x"), _hashes(y).alias("y"))), enough)[0]
 
 
 def duplicate_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """rk, gone, kept, copies of each row with lines that occur elsewhere or resemble others: positions that go and that stay, and how often the row occurs."""
-    lines = _lines(docs)
-    places = scratch.table(_keyed(lines).select("id", "chk", "doc_id", "rk", "pos"), "places")
-    signed = scratch.table(signatures(lines.select(F.xxhash64("line").alias("id"), "line")), "bands")
+    lines = scratch.table(_keyed(_lines(docs)), "lines")
+    places = lines.drop("line")
+    signed = scratch.table(signatures(lines.select("id", "line")), "bands")
     each = signed.select("id", F.explode("bands").alias("key"))
     hubs = scratch.table(each.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub"), "hubs")
     shared = scratch.table(each.join(sized(hubs), "key"), "shared")
     ids = scratch.table(shared.select("id").distinct(), "candidate-ids")
-    met = _keyed(lines.select("line")).join(sized(ids), "id", "left_semi").distinct()
+    met = lines.select("id", "line", "chk").join(sized(ids), "id", "left_semi").distinct()
     texts = scratch.table(met.select("id", "line", "chk"), "candidate-lines")
     if texts.count() > ids.count():  # different lines with the same id
         texts = scratch.table(texts.groupBy("id").agg(F.max_by("line", "chk").alias("line"), F.max("chk").alias("chk")), "one-line-each")
@@ -112,12 +136,19 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     scratch.drop(signed, hubs, ids)
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda c: marked.select(F.col("id").alias(c), F.struct(*marks).alias(f"m{c}"))
-        near = scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").where(possible("ma", "mb")).select("a", "b", (F.col("ma.n") + F.col("mb.n")).alias("both")), f"{name}-near")
+        def bounded(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+            side = lambda c: sets.select(F.col("id").alias(c), F.struct(*marks).alias(f"m{c}"))
+            return scratch.table(pairs.join(side("a"), "a").join(side("b"), "b").where(possible("ma", "mb")).select("a", "b"), f"{name}-near")
+
+        near = bounded(pairs, marked)
         wanted = scratch.table(near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), f"{name}-ids")
         some = texts.join(sized(wanted), "id", "left_semi")
+        if near.count() > wanted.count():  # a line is in several pairs
+            parities, wide = scratch.table(parity_sets(some), f"{name}-parities"), near
+            near = bounded(wide, parities)
+            scratch.drop(parities, wide)
         x, y = some.select(F.col("id").alias("a"), F.col("line").alias("x")), some.select(F.col("id").alias("b"), F.col("line").alias("y"))
-        links = near.join(x, "a").join(y, "b").where(F.size(F.array_intersect(_hashes("x"), _hashes("y"))) * (NUM + DEN) >= F.col("both") * NUM)
+        links = near.join(x, "a").join(y, "b").where(similar("x", "y"))
         out = scratch.table(links.select(F.col("a").alias("src"), F.col("b").alias("dst")), f"{name}-links")
         scratch.drop(near, wanted)
         return out
@@ -138,7 +169,7 @@ def duplicate_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     copies = (F.col("n") / (F.size("gone") + F.size("kept"))).cast("long")
     found = found.withColumn("copies", copies).where("size(gone) > 0 or copies > 1")
     out = scratch.table(found.select("rk", "gone", F.when(F.col("copies") > 1, F.col("kept")).alias("kept"), "copies"), "dropped")
-    scratch.drop(places, fuzzy, repeated, members, keep)
+    scratch.drop(lines, fuzzy, repeated, members, keep)
     return out
 
 

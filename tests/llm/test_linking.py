@@ -56,3 +56,33 @@ def test_components_end_in_the_driver_or_in_spark(spark, monkeypatch):
         assert {r["id"]: r["component"] for r in components.connected_components(df, scratch).collect()} == want
         tables.append(scratch._n)
     assert tables[0] < 8 <= tables[1]
+
+
+def test_op3_hashes_each_shingle_once(spark, monkeypatch):
+    """Signatures hash a shingle once for all bands, bit sets call no function for each element of an array, and texts are cut into lines once."""
+    t = spark.createDataFrame([(1, "a line of some length that has shingles")], "id long, line string")
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(line_dedup.signatures(t)).count("xxhash64(") == line_dedup.STEP + line_dedup.BANDS
+    assert "lambda" not in plan(line_dedup.bit_sets(t))
+    docs, cut = spark.createDataFrame([(1, "one\ntwo"), (2, "two\nthree")], "doc_id long, text string"), []
+    table = Scratch.table
+    monkeypatch.setattr(Scratch, "table", lambda self, df, *a, **b: cut.append(plan(df).count("posexplode(")) or table(self, df, *a, **b))
+    line_dedup.duplicate_lines(docs, Scratch(spark, "lines"))
+    assert sum(cut) == 1
+
+
+def test_op3_similarity_with_repeated_shingles(spark):
+    """Lines whose shingles repeat are similar by their sets, not by how often a shingle stands in them."""
+    rng = np.random.default_rng(23)
+    lines = ["ab" * 60, "ab" * 100, "a" * 300, "a" * 11 + "b" * 12, "abc" * 40 + "xyz" * 3] + ["".join(rng.choice(list("ab"), 40)) * int(k) for k in (1, 2, 5)]
+    lines += [x + "".join(rng.choice(list("xyz"), int(n))) for x in lines for n in (1, 4, 9)]
+    rows = [(i, j, x, y) for i, x in enumerate(lines) for j, y in enumerate(lines) if i < j]
+    sets = [{x[k : k + 12] for k in range(max(1, len(x) - 11))} for x in lines]
+    got = spark.createDataFrame(rows, "i int, j int, x string, y string").select("i", "j", line_dedup.similar("x", "y").alias("s")).collect()
+    texts = spark.createDataFrame(list(enumerate(lines)), "id int, line string")
+    want = {(i, j) for i, j, _, _ in rows if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))}
+    assert {(g["i"], g["j"]) for g in got if g["s"]} == want and 5 < len(want) < len(rows)
+    for marked in (line_dedup.bit_sets(texts), line_dedup.parity_sets(texts)):
+        l, r = marked.alias("l"), marked.alias("r")
+        may = {(a, b) for a, b, m in l.join(r, F.col("l.id") < F.col("r.id")).select("l.id", "r.id", line_dedup.possible("l", "r")).collect() if m}
+        assert want <= may
