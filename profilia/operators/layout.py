@@ -3,29 +3,28 @@ repulsion of random pairs.
 
 The layout follows the published method: weights from local scales, a curve fitted to the least distance, edges drawn in proportion to
 their weight, several random repulsions for each draw, a falling step. Edges are dealt into parts by their head, at most EDGES of one
-head to a part; in a round a task moves the heads of a part through several epochs, with the tails of other parts where the round found
-them, and positions are exchanged and checkpointed between rounds. Coordinates are seeded and don't depend on tasks or partitions,
-but equal no other implementation's.
+head to a part; in a round a task moves the heads of its block's parts, one after the other, through several epochs, with the tails of
+other parts where the round found them, and positions are exchanged and checkpointed between rounds: all of them to each block of edges (see
+blocks.py). Coordinates are seeded and don't depend on tasks, partitions or blocks, but equal no other implementation's.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import ManifoldConfig
 from . import clusters
+from .blocks import blocks
 from .lineage import cut
 from .preprocess import numbered
 from .spectral import eigenvectors
 
-#: Heads of a part, edges of one head in a part, vertices that repulsion draws from in a round (all, if there are no more).
+#: Heads of a part (a divisor of blocks.UNIT), edges of one head in a part, vertices that repulsion draws from in a round (all, if there are no more).
 HEADS, EDGES, DRAWN = 1024, 1 << 15, 8192
 #: In an epoch a head moves at most so often; its further edges are averaged into these moves.
 TURNS = 32
@@ -58,16 +57,18 @@ def fuzzy_graph(edges: DataFrame, k: int) -> DataFrame:
 
     @F.pandas_udf("double")
     def scale(ds: pd.Series) -> pd.Series:
-        out = []
-        for d in ds:
-            d = np.asarray(d, float)
-            over = np.maximum(0, d - (d[d > 0].min() if (d > 0).any() else 0.0))
-            lo, hi = 1e-6, 1e3
-            for _ in range(60):
-                mid = (lo + hi) / 2
-                lo, hi = (mid, hi) if np.exp(-over / mid).sum() < math.log2(k) else (lo, mid)
-            out.append(hi)
-        return pd.Series(out)
+        if not len(ds):
+            return pd.Series([], dtype=float)
+        d, begins = np.concatenate(ds.to_list()).astype(float), np.concatenate(([0], np.cumsum([len(x) for x in ds])[:-1]))
+        sizes = np.diff(np.append(begins, len(d)))
+        least = np.minimum.reduceat(np.where(d > 0, d, np.inf), begins)
+        over = np.maximum(0, d - np.repeat(np.where(np.isfinite(least), least, 0.0), sizes))
+        lo, hi = np.full(len(begins), 1e-6), np.full(len(begins), 1e3)
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            short = np.add.reduceat(np.exp(-over / np.repeat(mid, sizes)), begins) < math.log2(k)
+            lo, hi = np.where(short, mid, lo), np.where(short, hi, mid)
+        return pd.Series(hi)
 
     local = edges.groupBy("i").agg(F.collect_list("d").alias("ds"), F.coalesce(F.min(F.when(F.col("d") > 0, F.col("d"))), F.lit(0.0)).alias("rho")).select("i", "rho", scale("ds").alias("sigma"))
     w = edges.join(local, "i").select("i", "j", F.exp(-F.greatest(F.lit(0.0), F.col("d") - F.col("rho")) / F.col("sigma")).alias("w"))
@@ -112,12 +113,17 @@ def move(p: np.ndarray, heads: np.ndarray, tails: np.ndarray, every: np.ndarray,
             others[own[h]] = p[h]
 
 
-def _packed(key: tuple, t: pa.Table) -> pa.Table:
-    """A part's edges in order of head, tail, packed."""
-    a, b, every = (t.column(c).to_numpy() for c in ("a", "b", "every"))
-    order = np.lexsort((b, a))
-    packed = [pa.array([c[order].tobytes()], pa.binary()) for c in (a, b, every)]
-    return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int64()), *packed], names=["part", "heads", "tails", "every"])
+def _lots(a: np.ndarray, heads: int, most: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The part of each of a block's edges (a: heads, in order), and what tells each part apart: its first head's place and 0, or a head with more than `most` edges and the number of its share."""
+    lot = (a // heads).astype(np.int64)
+    names = [(int(part), 0) for part in range(int(lot[-1]) + 1)] if len(a) else []
+    begins = np.flatnonzero(np.concatenate((np.ones(min(1, len(a)), bool), a[1:] != a[:-1])))
+    sizes = np.diff(np.append(begins, len(a)))
+    for begin, size in zip(begins[sizes > most], sizes[sizes > most], strict=True):
+        shares = -(-int(size) // most)
+        lot[begin : begin + size] = len(names) + np.arange(size) % shares
+        names += [(int(a[begin]), share + 1) for share in range(shares)]
+    return lot, names
 
 
 def scaled(start: DataFrame, names: list[str], seed: int) -> DataFrame:
@@ -149,54 +155,47 @@ def layout(graph: DataFrame, start: DataFrame, cfg: ManifoldConfig = ManifoldCon
     total = cfg.epochs or (500 if n <= 10_000 else 200)
     curve = fit_curve(cfg.min_dist)
     ids = cut(numbered(start.select("id"), "id", "k"))
-    pos = cut(scaled(start, names, cfg.seed).join(ids, "id").select("k", F.array(*names).alias("p")))
     most = graph.agg(F.max("w")).first()[0] or 1.0
     kept = graph.where((F.col("i") != F.col("j")) & (F.col("w") >= most / total))
-    edges = kept.join(ids.select(F.col("id").alias("i"), F.col("k").alias("a")), "i").join(ids.select(F.col("id").alias("j"), F.col("k").alias("b")), "j").select("a", "b", (most / F.col("w")).alias("every"))
-    edges = cut(edges)
-    hubs = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > EDGES).select("a", F.ceil(F.col("n") / EDGES).alias("shares"))
-    blocks = -(-n // HEADS)
-    block = F.pmod(F.xxhash64("a", F.lit(cfg.seed)), F.lit(blocks))
-    shared = edges.join(hubs, "a", "left").select("a", "b", "every", F.xxhash64(block, F.when(F.col("shares").isNotNull(), F.struct("a", F.pmod(F.xxhash64("b"), F.col("shares")).alias("s")))).alias("part"))
-    shared = cut(shared)
-    parts = cut(shared.groupBy("part").applyInArrow(_packed, "part long, heads binary, tails binary, every binary"))
-    needs = cut(shared.select("part", F.col("a").alias("k")).union(shared.select("part", F.col("b").alias("k"))).distinct())
-
-    together = total if parts.count() < 2 else together  # a lone part has nothing to exchange
-    for begin in range(0, total, together):
-        epochs = range(max(begin, 1), min(begin + together, total))
-        if n <= DRAWN:
-            drawn = pos
-        else:  # about DRAWN of all vertices, other ones in each round
-            drawn = pos.where(F.pmod(F.xxhash64("k", F.lit(cfg.seed), F.lit(begin)), F.lit(1 << 30)) < int((1 << 30) * DRAWN / n))
-        found = drawn.select("k", "p").orderBy("k").collect()
-        sent = start.sparkSession.sparkContext.broadcast((np.array([r["k"] for r in found]), np.array([r["p"] for r in found], float)))
-        seed = cfg.seed
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            ks, others = sent.value
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    at = batch.column("at")[r].values
-                    k = at.field("k").to_numpy()
-                    p = np.stack([np.asarray(v.values, float) for v in at.field("p")])
-                    order = np.argsort(k)
-                    k, p = k[order], p[order]
-                    a, b = (np.frombuffer(batch.column(c)[r].as_py(), "<i8") for c in ("heads", "tails"))
-                    every = np.frombuffer(batch.column("every")[r].as_py(), "<f8")
-                    part = batch.column("part")[r].as_py()
+    edges = kept.join(ids.select(F.col("id").alias("i"), F.col("k").alias("a")), "i").join(ids.select(F.col("id").alias("j"), F.col("k").alias("b")), "j").select("a", "b", "w")
+    b = blocks(edges, F.lit(most) / F.col("w"), n)  # an edge is due once in so many epochs
+    parts, shares, seed = HEADS, EDGES, cfg.seed
+    drawn_at_most, heads, dims = DRAWN, b.heads, len(names)
+    try:
+        pos = b.packed(scaled(start, names, seed).join(ids, "id"), names)
+        if n <= parts and (edges.groupBy("a").count().agg(F.max("count")).first()[0] or 0) <= shares:
+            together = total  # a lone part has nothing to exchange
+        for begin in range(0, total, together):
+            epochs = range(max(begin, 1), min(begin + together, total))
+
+            def run(block: int, edges: tuple, x: np.ndarray) -> list:
+                a, tails, every = edges
+                p = np.ascontiguousarray(x.T)
+                # all vertices repel, or about as many as DRAWN of them, other ones in each round
+                ks = np.flatnonzero(np.random.default_rng([seed, begin]).random(n) < drawn_at_most / n) if n > drawn_at_most else np.arange(n)
+                first = block * heads
+                own = min(heads, n - first)
+                placed, edges_of = np.zeros((own, dims)), np.bincount(a, minlength=own)
+                lot, named = _lots(a, parts, shares)
+                order = np.argsort(lot, kind="stable")
+                for part, at in enumerate(np.split(order, np.searchsorted(lot[order], np.arange(1, len(named))))):
+                    if not len(at):
+                        continue
+                    k, place = np.unique(np.concatenate((a[at].astype(np.int64) + first, tails[at].astype(np.int64))), return_inverse=True)
+                    q = p[k]
                     among = np.minimum(np.searchsorted(ks, k), len(ks) - 1)
-                    move(p, np.searchsorted(k, a), np.searchsorted(k, b), every, others, np.where(ks[among] == k, among, -1), epochs, total, curve, negatives, np.random.default_rng([seed, begin, part & (2**63 - 1)]))
-                    own, n_own = np.unique(a, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(n_own), pa.array(list(p[np.searchsorted(k, own)]), pa.list_(pa.float64()))], names=["k", "n", "q"])
-
-        placed = needs.join(pos, "k").groupBy("part").agg(F.collect_list(F.struct("k", "p")).alias("at"))
-        moved = parts.join(placed, "part").mapInArrow(run, "k long, n long, q array<double>")
-        # a head whose edges are in several parts goes to the mean of its places, weighed by edges
-        mean = moved.groupBy("k").agg(*[(F.sum(F.col("n") * F.col("q")[c]) / F.sum("n")).alias(f"q{c}") for c in range(len(names))])
-        pos = cut(pos.join(mean, "k", "left").select("k", F.when(F.col("q0").isNull(), F.col("p")).otherwise(F.array(*[f"q{c}" for c in range(len(names))])).alias("p")))
-        sent.destroy()
-    return pos.join(ids, "k").select("id", *[F.col("p")[c].alias(x) for c, x in enumerate(names)])
+                    nth, share = named[part]
+                    draws = np.random.default_rng([seed, begin, nth + (first // parts if not share else first), share])
+                    move(q, place[: len(at)], place[len(at) :], every[at], p[ks], np.where(ks[among] == k, among, -1), epochs, total, curve, negatives, draws)
+                    moved, some = np.unique(a[at], return_counts=True)
+                    # a head whose edges are in several parts goes to the mean of its places, weighed by edges
+                    placed[moved] += q[np.searchsorted(k, moved.astype(np.int64) + first)] * (some / edges_of[moved])[:, None]
+                return [block, np.where(edges_of > 0, placed.T, x[:, first : first + own]).astype("<f8").tobytes()]
+
+            pos = cut(b.meet(pos, run, "block long, x binary"))
+        return cut(b.unpacked(pos, names).join(ids, "k").select("id", *names))
+    finally:
+        b.release()
 
 
 def spectral_start(graph: DataFrame, points: DataFrame, cfg: ManifoldConfig = ManifoldConfig(), tol: float = 1e-4) -> DataFrame:

@@ -1,8 +1,9 @@
-"""The first eigenvectors of a graph's normalised Laplacian, by filtered subspace iteration whose products are edge joins.
+"""The first eigenvectors of a graph's normalised Laplacian, by filtered subspace iteration over blocks of edges.
 
-The block of vectors is a table with a row for each vertex; the driver sees only its small Gram matrices. A product of the weighted
-adjacency with the block reads the block once, so a whole polynomial, written as a product of linear factors, is one chain of joins
-between two checkpoints. The polynomial is small on the unwanted part of the spectrum and one at its upper end.
+The block of vectors is a table with a packed row for each block of vertices; the driver sees only its small Gram matrices. A product
+of the weighted adjacency with the vectors sends them to every block of edges (see blocks.py), so a whole polynomial, written as a product of
+linear factors, is one chain of passes between two checkpoints. The polynomial is small on the unwanted part of the spectrum and one at
+its upper end. All works on u = D^-1/2 x, for which D^-1/2 W D^-1/2 becomes D^-1 W: degrees are then sums of a block's own edges.
 """
 
 from __future__ import annotations
@@ -11,24 +12,59 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import Blocks, blocks
 from .lineage import cut
+from .preprocess import numbered
 
 #: Vectors beyond the wanted ones; they widen the gap that the filter works on.
 GUARD = 4
+#: Residuals from which on vectors are sent, and kept, in single precision; their products and residuals are taken in double.
+COARSE = 1e-5
 
 
-def normalised(graph: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """graph (i, j, w), symmetric with positive weights -> i, j, m of D^-1/2 W D^-1/2, with an entry (possibly 0) for each i = j; i, deg."""
-    degree = cut(graph.groupBy("i").agg(F.sum("w").alias("deg")))
-    both = graph.where("i <> j").join(degree, "i").join(degree.select(F.col("i").alias("j"), F.col("deg").alias("other")), "j")
-    own = degree.join(graph.where("i = j").select("i", F.col("w").alias("loop")), "i", "left").select("i", F.col("i").alias("j"), (F.coalesce("loop", F.lit(0.0)) / F.col("deg")).alias("m"))
-    return cut(both.select("i", "j", (F.col("w") / F.sqrt(F.col("deg") * F.col("other"))).alias("m")).union(own)), degree
+def _walk(edges: tuple, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """D^-1 W x for the heads of a block, a row for each vector, and the heads' degrees."""
+    a, b, w = edges
+    begins = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))  # every vertex has an edge
+    degree = np.add.reduceat(w, begins)
+    return np.stack([np.add.reduceat(w * c[b], begins) for c in x]) / degree, degree
 
 
-def _product(entries: DataFrame, block: DataFrame, names: list[str], shift: float = 0.0, scale: float = 1.0, out: list[str] | None = None) -> DataFrame:
-    """(M - shift I) / scale times the block (i, a column for each vector)."""
-    m = F.when(F.col("i") == F.col("j"), F.col("m") - shift).otherwise(F.col("m")) / scale
-    return entries.join(block.withColumnRenamed("i", "j"), "j").groupBy("i").agg(*[F.sum(m * F.col(c)).alias(o) for c, o in zip(names, out or names, strict=True)])
+def _drawn(seed: int, turn: int, block: int, count: int, size: int) -> np.ndarray:
+    return np.random.default_rng([seed, turn, block]).random((count, size)) - 0.5
+
+
+def _own(b: Blocks, block: int) -> slice:
+    return slice(block * b.heads, block * b.heads + b.size(block))
+
+
+def _filtered(b: Blocks, values: DataFrame, root: float, kind: str, mix: np.ndarray | None, redrawn: tuple[int, int, int]) -> DataFrame:
+    """(D^-1 W - root) / (1 - root) times the vectors, which mix turns before and `redrawn` (seed, turn, how many) completes."""
+    shape = Blocks(b.n, b.heads, b.keys, None)  # sizes only
+
+    def kernel(block: int, edges: tuple, x: np.ndarray) -> list:
+        if mix is not None:
+            seed, turn, more = redrawn
+            x = mix.T @ x
+            if more:
+                x = np.concatenate((x, np.concatenate([_drawn(seed, turn, k, more, shape.size(k)) for k in range(len(shape.keys))], axis=1)))
+        y, _ = _walk(edges, x)
+        return [block, ((y - root * x[:, _own(shape, block)]) / (1 - root)).astype(kind).tobytes()]
+
+    return b.meet(values, kernel, "block long, x binary", kind)
+
+
+def _measured(b: Blocks, values: DataFrame, kind: str, seed: int) -> DataFrame:
+    """block, x (its vectors), gram: the block's share of the inner products of x with x, with the product and of the product with itself, and of x with fixed numbers."""
+    shape = Blocks(b.n, b.heads, b.keys, None)
+
+    def kernel(block: int, edges: tuple, x: np.ndarray) -> list:
+        y, degree = _walk(edges, x)
+        own = x[:, _own(shape, block)].astype(float)
+        side = own * np.sqrt(degree) @ _drawn(seed, 1 << 20, block, 1, own.shape[1])[0]
+        return [block, own.astype(kind).tobytes(), np.concatenate([(own * degree @ own.T).ravel(), (own * degree @ y.T).ravel(), (y * degree @ y.T).ravel(), side])]
+
+    return cut(b.meet(values, kernel, "block long, x binary, gram array<double>", kind))
 
 
 def _factors(degree: int, high: float) -> list[float]:
@@ -41,13 +77,10 @@ def _factors(degree: int, high: float) -> list[float]:
     return order
 
 
-def _grams(z: DataFrame, xs: list[str], ys: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The matrices of inner products x.x, x.y and y.y of the block and its product."""
-    pairs = [(a, b) for k, a in enumerate(xs) for b in xs[k:]] + [(a, b) for a in xs for b in ys] + [(a, b) for k, a in enumerate(ys) for b in ys[k:]]
-    row = z.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{a}{b}") for a, b in pairs]).first()  # one row
-    at = lambda a, b: row[f"{a}{b}"] if (a, b) in known else row[f"{b}{a}"]
-    known = set(pairs)
-    return tuple(np.array([[at(a, b) for b in right] for a in left], float) for left, right in ((xs, xs), (xs, ys), (ys, ys)))
+def _grams(z: DataFrame, p: int) -> tuple[np.ndarray, ...]:
+    """The matrices of inner products x.x, x.y and y.y of the vectors and their product, and those of x with fixed numbers."""
+    whole = sum(np.array(r["gram"]) for r in z.select("block", "gram").orderBy("block").collect())  # a row for each block
+    return *whole[: 3 * p * p].reshape(3, p, p), whole[3 * p * p :]
 
 
 def _ritz(xx: np.ndarray, xy: np.ndarray, yy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,33 +103,36 @@ def eigenvectors(graph: DataFrame, count: int, seed: int = 43, tol: float = 1e-4
     rounds have reached. None where the graph is disconnected (or has too few vertices for `count` vectors), as the eigenvalue 0 is then
     a multiple one and says nothing about a component's shape.
     """
-    entries, degrees = normalised(graph)
     p = count + 1 + GUARD
-    xs, ys = [f"x{k}" for k in range(p)], [f"y{k}" for k in range(p)]
-    unit = lambda k: F.pmod(F.xxhash64("i", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30) - 0.5
-    # the first eigenvector is known, the roots of the degrees; within the block it keeps the others from falling together with it
-    block = degrees.select("i", F.sqrt("deg").alias(xs[0]), *[(unit(k) * F.sqrt("deg")).alias(c) for k, c in enumerate(xs) if k])
-    for turn in range(rounds):
-        block = cut(block)
-        z = cut(block.join(_product(entries, block, xs, out=ys), "i"))
-        if z.isEmpty():
-            return None, np.zeros(0), np.zeros(0)
-        value, v, residual = _ritz(*_grams(z, xs, ys))
-        if len(value) <= count:
-            return None, 1 - value[1:], residual[1:]
-        wanted = slice(1, count + 1)
-        if value[1] > 1 - 1e-9:
-            return None, 1 - value[wanted], residual[wanted]
-        turned = [sum((F.col(x) * float(v[k, c]) for k, x in enumerate(xs)), F.lit(0.0)) for c in range(len(value))]
-        if residual[wanted].max() <= tol or turn == rounds - 1:
-            break
-        names = xs[: len(value)]
-        block = z.select("i", *[t.alias(c) for t, c in zip(turned, names, strict=True)])
-        high = float(np.clip(value[-1], -0.9, 1 - 1e-6))
-        for root in _factors(degree, high):
-            block = _product(entries, block, names, root, 1 - root)
-        if len(names) < p:  # vectors that fell together are drawn anew
-            block = block.select("i", *names, *[unit(1000 * turn + k).alias(c) for k, c in enumerate(xs[len(names) :])])
-    out = z.select("i", *[turned[c + 1].alias(f"v{c}") for c in range(count)])
-    sides = out.agg(*[F.sum(F.col(f"v{c}") * unit(0)).alias(f"v{c}") for c in range(count)]).first()  # an eigenvector has no sign of its own
-    return out.select("i", *[(F.col(f"v{c}") * (-1.0 if sides[f"v{c}"] < 0 else 1.0)).alias(f"v{c}") for c in range(count)]), 1 - value[wanted], residual[wanted]
+    ids = cut(numbered(graph.select("i").distinct(), "i", "k"))
+    n = ids.count()
+    if n <= count:
+        return None, np.zeros(0), np.zeros(0)
+    edges = graph.join(ids.select("i", F.col("k").alias("a")), "i").join(ids.select(F.col("i").alias("j"), F.col("k").alias("b")), "j")
+    b = blocks(edges.select("a", "b", "w"), F.col("w"), n)
+    kind = "<f4" if tol >= COARSE else "<f8"
+    try:
+        # the first eigenvector is known, the same number everywhere; within the block it keeps the others from falling together with it
+        start = lambda block, size: np.concatenate((np.ones((1, size)), _drawn(seed, 1 << 21, block, p - 1, size)))
+        values = b.made(start, kind)
+        for turn in range(rounds):
+            z = _measured(b, values, kind, seed)
+            *grams, side = _grams(z, p)
+            value, v, residual = _ritz(*grams)
+            if len(value) <= count:
+                return None, 1 - value[1:], residual[1:]
+            wanted = slice(1, count + 1)
+            if value[1] > 1 - 1e-9:
+                return None, 1 - value[wanted], residual[wanted]
+            if residual[wanted].max() <= tol or turn == rounds - 1:
+                break
+            high = float(np.clip(value[-1], -0.9, 1 - 1e-6))
+            values = z
+            for nth, root in enumerate(_factors(degree, high)):  # vectors that fell together are drawn anew
+                values = _filtered(b, values, root, kind, None if nth else v, (seed, turn, p - len(value)))
+        turned = v[:, wanted] * np.where(v[:, wanted].T @ side < 0, -1.0, 1.0)  # an eigenvector has no sign of its own
+        names = [f"v{c}" for c in range(count)]
+        out = cut(b.unpacked(z, names, lambda block, x: turned.T @ x.reshape(p, -1), kind).join(ids, "k").join(graph.groupBy("i").agg(F.sum("w").alias("deg")), "i"))
+        return out.select("i", *[(F.col(c) * F.sqrt("deg")).alias(c) for c in names]), 1 - value[wanted], residual[wanted]
+    finally:
+        b.release()
