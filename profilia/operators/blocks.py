@@ -90,9 +90,34 @@ class Blocks:
         types = {"long": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
         n, heads = self.n, self.heads
         self_size = lambda block: min(heads, n - block * heads)
-        sent = values.select(F.explode(F.array(*[F.lit(k).cast("long") for k in self.keys])).alias("key"), "block", "x").repartition(len(self.keys), "key")
+        sent = values.selectExpr(f"explode(array({', '.join(f'{k}L' for k in self.keys)})) as key", "block", "x").repartition(len(self.keys), "key")
         return self.edges.groupBy("key").cogroup(sent.groupBy("key")).applyInArrow(run, schema)
 
+    def connected(self) -> bool:
+        """Whether there is a path between any two vertices (edges lead both ways): labels fall to the least one around and jump to their label's label, until they stand."""
+        n, heads = self.n, self.heads
+
+        def kernel(block: int, edges: tuple, x: np.ndarray) -> list:
+            a, b, _ = edges
+            label = x[0].astype(np.int64)
+            while (label[label] != label).any():
+                label = label[label]
+            own = label[block * heads : min(n, (block + 1) * heads)].copy()
+            if len(a):
+                begins = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1])))
+                own[a[begins]] = np.minimum(own[a[begins]], np.minimum.reduceat(label[b], begins))
+            moved = float((own != x[0, block * heads : block * heads + len(own)]).sum())
+            return [block, own.astype("<f8").tobytes(), [moved, float(own.max())]]
+
+        labels = self.made(lambda block, size: block * heads + np.arange(size, dtype=float))
+        while True:
+            labels = cut(self.meet(labels, kernel, "block long, x binary, state array<double>"))
+            state = np.array([r["state"] for r in labels.select("state").collect()])  # a row for each block
+            if not state[:, 1].any():
+                return True
+            if not state[:, 0].any():
+                return False
+
     def release(self) -> None:
         self.edges.unpersist()
 

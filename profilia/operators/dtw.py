@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 
 from ..config import ManifoldConfig
 from .lineage import cut
-from .neighbors import knn
+from .neighbors import knn, knn_beside
 from .warping import refined_dtw
 
 #: Pairs whose paths are searched together.
 TOGETHER = 256
+#: Unrefined neighbours that the one search finds, in multiples of those that are wanted.
+AHEAD = 2
 
 
 def frames(channels: list, weights: tuple[float, ...]) -> np.ndarray:
@@ -99,12 +101,18 @@ def refine(edges: DataFrame, profiles: DataFrame, cfg: ManifoldConfig = Manifold
 def refined_neighbors(points: DataFrame, profiles: DataFrame, cfg: ManifoldConfig = ManifoldConfig()) -> DataFrame:
     """points (id, v) and profiles -> i, j, d: the n_neighbors nearest of each id where the k_refine nearest pairs have warped distances.
 
-    All other pairs keep their plain ones, so the search goes deep enough for n_neighbors unrefined pairs of every id.
+    All other pairs keep their plain ones. One search finds the pairs to refine and AHEAD as many more; an id that this leaves with fewer than
+    n_neighbors unrefined pairs, as it is near to many others that aren't near to it, is searched for again beside its refined ones.
     """
-    refined = cut(refine(knn(points, points, cfg.k_refine), profiles, cfg).select("a", "b", "d", F.when(F.abs("d_dtw") < float("inf"), F.col("d_dtw")).alias("w")))
-    both = refined.select(F.col("a").alias("i"), F.col("b").alias("j"), "d", "w").union(refined.select("b", "a", "d", "w"))
-    most = both.groupBy("i").agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
-    plain = knn(points, points, cfg.n_neighbors + most).select("i", "j", "d")
-    d = both.select("i", "j", F.coalesce("w", "d").alias("d")).union(plain.join(both.select("i", "j"), ["i", "j"], "left_anti"))
+    first = cut(knn(points, points, cfg.k_refine + AHEAD * cfg.n_neighbors))
+    refined = cut(refine(first.where(F.col("rank") <= cfg.k_refine), profiles, cfg).select("a", "b", "d", F.when(F.abs("d_dtw") < float("inf"), F.col("d_dtw")).alias("w")))
+    both = cut(refined.select(F.col("a").alias("i"), F.col("b").alias("j"), "d", "w").union(refined.select("b", "a", "d", "w")))
+    plain = cut(first.select("i", "j", "d").join(both.select("i", "j"), ["i", "j"], "left_anti"))
+    enough = plain.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= cfg.n_neighbors).select(F.col("i").alias("id"))
+    skipped = both.groupBy("i").agg(F.collect_list("j").alias("skip")).withColumnRenamed("i", "id")
+    few = cut(points.join(enough, "id", "left_anti").join(skipped, "id").select("id", "v", "skip"))
+    more = knn_beside(few, points, cfg.n_neighbors)
+    plain = plain.join(few.select(F.col("id").alias("i")), "i", "left_anti").union(more.select("i", "j", "d"))
+    d = both.select("i", "j", F.coalesce("w", "d").alias("d")).union(plain)
     nth = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
     return d.withColumn("nth", nth).where(F.col("nth") <= cfg.n_neighbors).select("i", "j", "d")

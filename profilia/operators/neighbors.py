@@ -8,6 +8,7 @@ its task once, and no row exists for a pair of vectors or of parts.
 from __future__ import annotations
 
 import itertools
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 #: Rows of a part, parts of a block of queries at most, blocks of queries wanted at least.
-BLOCK, PARTS, BLOCKS = 1024, 16, 48
+BLOCK, PARTS, BLOCKS = 1024, 16, 24
 #: Queries held against a part at once.
 SLICE = 512
 #: A product in single precision is taken where the k-th distances are so much larger than its rounding.
@@ -93,14 +94,14 @@ def _typed(c, kind: pa.DataType) -> pa.Array:
     return pa.array(c.tolist() if isinstance(c, np.ndarray) and c.dtype.kind in "UO" else list(c) if pa.types.is_list(kind) else c, kind)
 
 
-def scan(left: DataFrame, right: DataFrame, kernel: Callable, schema: str, extra: list[str] | None = None, by: str | None = None) -> DataFrame:
+def scan(left: DataFrame, right: DataFrame, kernel: Callable, schema: str, extra: list[str] | None = None, by: str | None = None, asked: list[str] | None = None) -> DataFrame:
     """kernel(queries, parts) on each block of left rows and an iterator over the parts of all right rows, a block's own parts first.
 
-    Both are dicts of arrays: id, v (a row for each vector) and the extra columns. The kernel yields lists of columns. With `by` only
-    rows of equal values meet.
+    Both are dicts of arrays: id, v (a row for each vector) and the extra columns, queries those named by `asked` too. The kernel yields
+    lists of columns. With `by` only rows of equal values meet.
     """
     extra = extra or []
-    a = _packed(left, extra, by)
+    a = _packed(left, extra + (asked or []), by)
     b = a if left is right else _packed(right, extra, by)
     per = max(1, min(PARTS, a.count() // BLOCKS))
     block = F.floor(F.col("part") / per)
@@ -109,7 +110,7 @@ def scan(left: DataFrame, right: DataFrame, kernel: Callable, schema: str, extra
     met = b.join(F.broadcast(blocks) if by is None else blocks, "group").select("group", "part", "data", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block"))
     side = F.when(block == F.col("block"), 1).otherwise(2) if left is right else F.lit(2)
     rows = queries.union(met.select("group", "block", side.alias("side"), "data"))
-    tasks = 4 * max(1, blocks.agg(F.sum(F.col("last") + 1)).first()[0] or 1)
+    tasks = 16 * max(1, blocks.agg(F.sum(F.col("last") + 1)).first()[0] or 1)
     rows = rows.repartition(min(tasks, 4096), "group", "block").sortWithinPartitions("group", "block", "side")
     names, kinds = zip(*[(x.split()[0], _TYPES[x.split()[1]]) for x in schema.split(", ")], strict=True)
     read = lambda data: pa.ipc.open_stream(data).read_all()
@@ -205,8 +206,13 @@ class Nearest:
     One matrix product picks the rows that can be among them with its rounding allowed for; only for those d is taken, by differences.
     """
 
-    def __init__(self, a: dict, k: int, drop_self: bool, most: np.ndarray | None = None):
+    def __init__(self, a: dict, k: int, drop_self: bool, most: np.ndarray | None = None, skip: tuple[np.ndarray, np.ndarray] | None = None):
+        """skip: rows of a and, for each, an id that is none of its neighbours."""
         self.a, self.k, self.drop_self = a, k, drop_self
+        self.skip = None
+        if skip is not None and len(skip[0]):
+            order = np.argsort(skip[1], kind="stable")
+            self.skip = skip[0][order], skip[1][order]
         n = len(a["id"])
         self.most = np.full(n, np.inf) if most is None else np.array(most, float) + 1e-9
         self.centre = a["v"].mean(0) if n else 0.0
@@ -219,6 +225,7 @@ class Nearest:
             return
         shared = self.drop_self and _shared_ids(a, b)
         y = b["v"] - self.centre
+        rows, cols = self._skipped(b["id"])
         for at in slices(len(a["id"])):
             x, kth = a["v"][at] - self.centre, np.square(self.most[at])
             size = np.square(x).sum(1).max() + (np.square(y).sum(1).max() if len(y) else 0)
@@ -227,6 +234,9 @@ class Nearest:
             about, slack = _roughly(x, y) if rough else _about(x, y)
             if shared:
                 about[a["id"][at][:, None] == b["id"][None]] = np.inf
+            if len(rows):
+                here = (rows >= at.start) & (rows < at.stop)
+                about[rows[here] - at.start, cols[here]] = np.inf
             edge = np.square(self.most[at])
             fresh = np.flatnonzero(~np.isfinite(edge))
             if len(fresh):
@@ -247,6 +257,14 @@ class Nearest:
         if self.pending > min(len(a["id"]) * k, 1 << 22) or not self.held:
             self.settle()
 
+    def _skipped(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if self.skip is None:
+            return np.zeros(0, int), np.zeros(0, int)
+        begin = np.searchsorted(self.skip[1], ids)
+        n = np.searchsorted(self.skip[1], ids, "right") - begin
+        cols = np.repeat(np.arange(len(ids)), n)
+        return self.skip[0][np.arange(len(cols)) + np.repeat(begin - np.cumsum(n) + n, n)], cols
+
     def settle(self) -> None:
         if not self.kept:
             return
@@ -295,6 +313,24 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, id_type: str = "string",
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def knn_beside(queries: DataFrame, vectors: DataFrame, k: int, id_type: str = "string") -> DataFrame:
+    """queries (id, v, skip: an array of ids) -> i, j, d: the k nearest vectors of each query that are neither itself nor in its skip."""
+
+    def kernel(a: dict, parts: Iterator[dict]) -> Iterator[list]:
+        lists = [json.loads(x) for x in a["skip"]]
+        rows = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+        ids = np.array([x for some in lists for x in some], dtype=None if id_type == "string" else np.int64)
+        found = Nearest(a, k, True, skip=(rows, ids))
+        for b in parts:
+            found.meet(b)
+        yield found.columns()
+
+    packed = queries.select("id", "v", F.encode(F.to_json("skip"), "UTF-8").alias("skip"))
+    found = scan(packed, vectors, kernel, f"i {id_type}, j {id_type}, d double", asked=["skip"])
+    nth = F.row_number().over(Window.partitionBy("i").orderBy("d", "j"))
+    return found.withColumn("nth", nth).where(F.col("nth") <= k).drop("nth")
+
+
 def neighbor_pairs(edges: DataFrame) -> DataFrame:
     """Unordered pairs among the edges, each once, with their distance."""
     return edges.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "d").groupBy("a", "b").agg(F.min("d").alias("d"))

@@ -112,6 +112,8 @@ def eigenvectors(graph: DataFrame, count: int, seed: int = 43, tol: float = 1e-4
     b = blocks(edges.select("a", "b", "w"), F.col("w"), n)
     kind = "<f4" if tol >= COARSE else "<f8"
     try:
+        if not b.connected():  # numbers close to 1 would tell too, but late
+            return None, np.zeros(0), np.zeros(0)
         # the first eigenvector is known, the same number everywhere; within the block it keeps the others from falling together with it
         start = lambda block, size: np.concatenate((np.ones((1, size)), _drawn(seed, 1 << 21, block, p - 1, size)))
         values = b.made(start, kind)

@@ -67,6 +67,16 @@ def test_a_pass_sends_no_edges(spark, small_blocks):
     b.release()
 
 
+@pytest.mark.parametrize("gaps", [[], [41], [16, 63]])
+def test_connected(spark, small_blocks, gaps):
+    """A path in no order of its numbers, whole or with some of its edges missing."""
+    order = np.random.default_rng(1).permutation(70).tolist()
+    pairs = [(order[k], order[k + 1]) for k in range(69) if k not in gaps]
+    b = blocks.blocks(spark.createDataFrame([(i, j, 1.0) for x, y in pairs for i, j in ((x, y), (y, x))], "a long, b long, w double"), F.col("w"), 70)
+    assert b.connected() == (not gaps)
+    b.release()
+
+
 def test_neighbours_in_single_precision():
     """A product in single precision can't tell these rows apart; the neighbours are those by differences all the same."""
     rng = np.random.default_rng(5)
