@@ -18,11 +18,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .lineage import cut
+from .lineage import cut, dealt
 from .neighbors import _distances, scan, slices
 
 #: Vectors held against all centres at once.
-SLICE = 1024
+SLICE = 256
 
 
 @dataclass
@@ -56,7 +56,7 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
     for batch in batches:
         for i in range(0, batch.num_rows, SLICE):
             part = batch.slice(i, SLICE)
-            yield part.column("h").to_numpy(), np.stack([np.asarray(v.values, float) for v in part.column("v")])
+            yield part.column("h").to_numpy(), part.column("v").flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(part.num_rows, -1)
 
 
 def _bounds(models: list[Model]) -> np.ndarray:
@@ -67,6 +67,28 @@ def _all_centres(models: list[Model]) -> np.ndarray:
     return np.concatenate([m.centres for m in models])
 
 
+def _nearest(x: np.ndarray, models: list[Model]) -> tuple[np.ndarray, np.ndarray]:
+    """For each model (column) the number, among the centres of all, of each row's nearest centre, and the squared distance to it.
+
+    Models of equal numbers of centres are searched together. A row's own length is left out until the end, as it moves no minimum.
+    """
+    centres, bounds = _all_centres(models), _bounds(models)
+    sizes = np.diff(bounds)
+    length = np.square(x).sum(1)
+    left = np.column_stack((-2 * x, np.ones(len(x))))
+    near, least = np.empty((len(x), len(models)), np.int64), np.empty((len(x), len(models)))
+    for size in np.unique(sizes):
+        some = np.flatnonzero(sizes == size)
+        at = (bounds[some] + np.arange(size)[:, None]).ravel()  # the first centre of each, the second of each, ...
+        d = (left @ np.column_stack((centres[at], np.square(centres[at]).sum(1))).T).reshape(len(x), size, len(some))
+        best, which = d[:, 0].copy(), np.zeros((len(x), len(some)), np.int32)
+        for c in range(1, size):
+            np.copyto(which, c, where=d[:, c] < best)
+            np.minimum(best, d[:, c], out=best)
+        near[:, some], least[:, some] = bounds[some] + which, best
+    return near, np.maximum(least + length[:, None], 0.0)
+
+
 def _shared(rows: DataFrame, state: object, make: Callable, schema: str, use: Callable):
     """use(rows.mapInArrow(make(state))) with the state sent once to each executor and released afterwards."""
     sent = rows.sparkSession.sparkContext.broadcast(state)
@@ -78,16 +100,14 @@ def _shared(rows: DataFrame, state: object, make: Callable, schema: str, use: Ca
 
 def _sums(state: list[Model], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each centre of all models: how many vectors are nearest to it, their summed squared distance, their sum."""
-    centres, bounds = _all_centres(state), _bounds(state)
+    centres = _all_centres(state)
     n, cost, total = np.zeros(len(centres), np.int64), np.zeros(len(centres)), np.zeros(centres.shape)
     for _, x in _slices(batches):
-        d = squared(x, centres)
-        near = np.stack([a + d[:, a:b].argmin(1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], 1)
-        at = np.arange(len(x))[:, None]
-        member = np.zeros(d.shape)
-        member[at, near] = 1
-        n += member.sum(0).astype(np.int64)
-        cost += np.bincount(near.ravel(), d[at, near].ravel(), len(centres))
+        near, d = _nearest(x, state)
+        member = np.zeros((len(x), len(centres)))
+        member[np.arange(len(x))[:, None], near] = 1
+        n += np.bincount(near.ravel(), minlength=len(centres))
+        cost += np.bincount(near.ravel(), d.ravel(), len(centres))
         total += member.T @ x
     some = np.flatnonzero(n)
     if len(some):
@@ -201,12 +221,11 @@ def fit(rows: DataFrame, models: list[Model], most: int = 300, tol: float = 1e-4
 
 
 def _labels(state: list[Model], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    centres, bounds = _all_centres(state), _bounds(state)
+    bounds = _bounds(state)
     for batch in batches:
         near = [np.zeros((0, len(state)), np.int32)]
         for _, x in _slices([batch]):
-            d = squared(x, centres)
-            near.append(np.stack([d[:, a:b].argmin(1) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], 1).astype(np.int32))
+            near.append((_nearest(x, state)[0] - bounds[:-1]).astype(np.int32))
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), pa.array(list(np.concatenate(near)), pa.list_(pa.int32()))], names=["id", "v", "labels"])
 
 
@@ -276,7 +295,8 @@ def kmeans_auto(vectors: DataFrame, ks: Iterable[int] = range(2, 13), seed: int
     no part; an empty table gives an empty result.
     """
     whole = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
-    rows = cut(vectors.where(whole).select("id", F.xxhash64("id").alias("h"), F.col("v").cast("array<double>").alias("v")))
+    rows = vectors.where(whole).select("id", F.xxhash64("id").alias("h"), F.col("v").cast("array<double>").alias("v"))
+    rows = cut(dealt(rows, vectors.count(), "id"))  # a file may lie in one row group, which one task would read in every pass
     if rows.isEmpty():
         return rows.select("id", F.lit(0).alias("cluster")), {}
     ks = list(ks)

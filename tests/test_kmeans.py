@@ -116,3 +116,25 @@ def test_odd_rows(spark):
     assert score[3] == score[5] == 1.0 and score[2] < 1 and len({r["cluster"] for r in labels.collect()}) == 3
     assert kmeans.kmeans_auto(three.limit(0), [2])[0].collect() == []
     assert kmeans.kmeans_auto(spark.createDataFrame([("a", [1.0])], "id string, v array<float>"), [2], runs=1)[0].collect()[0]["cluster"] == 0
+
+
+def test_passes_run_in_many_tasks(spark, points, monkeypatch):
+    """Vectors that come in one task are dealt out before the passes."""
+    seen = []
+    plain = kmeans.fit
+    monkeypatch.setattr(kmeans, "fit", lambda rows, models: seen.append(rows.select(F.spark_partition_id()).distinct().count()) or plain(rows, models))
+    kmeans.kmeans_auto(points.coalesce(1), [2], runs=1)
+    assert seen == [spark.sparkContext.defaultParallelism]
+
+
+def test_nearest_of_models_of_several_sizes():
+    rng = np.random.default_rng(9)
+    x = 50 + rng.normal(size=(300, 4))
+    models = [kmeans.Model(k, 0, x[rng.choice(300, k, replace=False)]) for k in (3, 1, 5, 3, 2, 5)]
+    models[0].centres[2] = models[0].centres[0]  # of equal ones the first
+    near, d = kmeans._nearest(x, models)
+    begin = 0
+    for m, model in enumerate(models):
+        want = squared(x, model.centres)
+        assert np.array_equal(near[:, m] - begin, want.argmin(1)) and np.allclose(d[:, m], want.min(1), atol=1e-9)
+        begin += model.k
